@@ -42,12 +42,30 @@ def wide(df: DataFrame, metrics: dict[str, dict[str, Column]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def short(v: Column) -> Column:
+    """Long strings as a tagged SHA-256, so that whole documents are never shuffled for counting."""
+    return F.when(F.length(v) > HASH_ABOVE, F.concat(F.lit("sha256:"), F.sha2(v, 256))).otherwise(v)
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """Grouping columns that are equal exactly when two rows are equal; long text enters hashed."""
+    out = []
+    for i, f in enumerate(df.schema.fields):
+        v = X.ref(f.name)
+        if isinstance(f.dataType, T.StringType):
+            v = short(v)
+        elif isinstance(f.dataType, (T.MapType, T.VariantType)):
+            v = short(F.to_json(F.struct(v)))
+        out.append(v.alias(f"k{i}"))
+    return out
+
+
 def unpivot_text(df: DataFrame, columns: list[str], hashed: bool = False) -> DataFrame:
     """(column, value) with every value as string; nested columns must not be passed."""
     def value(c):
         v = X.text(df, c)
         if hashed and isinstance(X.dtype(df, c), T.StringType):
-            v = F.when(F.length(v) > HASH_ABOVE, F.sha2(v, 256)).otherwise(v)
+            v = short(v)
         return v
     return df.select(X.rows(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns]))
 
@@ -69,7 +87,7 @@ def long_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantiles(long: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-              nearest: bool = False) -> DataFrame:
+              nearest: bool = False, few_groups: bool = True) -> DataFrame:
     """Exact linear-interpolated quantiles per key, at any size.
 
     1. A mergeable sketch brackets every wanted order statistic (rank error n / ACCURACY).
@@ -77,8 +95,8 @@ def quantiles(long: DataFrame, keys: list[str], value: str, probs: dict[str, flo
        two brackets into one counter, so the table that is sorted holds ~ n * probs / ACCURACY rows.
     3. A running count over that small table finds the exact order statistics.
 
-    ``keys`` must identify few groups (column names, category levels); the bracket table is
-    broadcast by Spark's own size rule, one row per group.
+    With ``few_groups`` (keys are column names or a fixed number of category levels) the bracket
+    table, one row per group, is broadcast; otherwise Spark chooses the join from its size.
     """
     names = list(probs)
     eps = 2.0 / ACCURACY
@@ -95,8 +113,7 @@ def quantiles(long: DataFrame, keys: list[str], value: str, probs: dict[str, flo
     inside = reduce(lambda a, b: a | b, [(x >= F.col(f"_lo_{n}")) & (x <= F.col(f"_hi_{n}")) for n in names])
     folded = [F.when(F.col(f"_hi_{n}") < x, F.col(f"_hi_{n}")) for n in names]
     below = F.greatest(*folded) if len(folded) > 1 else folded[0]
-    table = (long.where(x.isNotNull()).join(brackets, keys) if keys
-             else long.where(x.isNotNull()).crossJoin(F.broadcast(brackets)))
+    table = long.where(x.isNotNull()).join(F.broadcast(brackets) if few_groups else brackets, keys)
     table = (table.withColumn("_in", inside)
              .withColumn("_v", F.when(F.col("_in"), x).otherwise(below))
              .groupBy(*keys, "_v", (~F.col("_in")).alias("_out"))
