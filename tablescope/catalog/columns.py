@@ -14,7 +14,7 @@ from tablescope.plans import blocks as B
 OM = [c for c, _ in COLUMNS["orders_missing"]]
 BAND = "CASE WHEN {p} = 0 THEN 'none' WHEN {p} <= 5 THEN 'low' WHEN {p} <= 20 THEN 'moderate' WHEN {p} <= 40 THEN 'high' ELSE 'critical' END"
 MISSING = f"""SELECT *, {BAND.format(p='pct_missing')} AS severity FROM ({per_column(OM, '''SELECT {i} AS position, '{c}' AS "column",
-    count(*) - count({c}) AS n_missing, round((count(*) - count({c})) * 100.0 / count(*), 2) AS pct_missing
+    count(*) - count({c}) AS n_missing, (floor((2 * 10000 * ((count(*) - count({c}))) + (count(*))) / (2.0 * (count(*)))) / 100) AS pct_missing
     FROM ''' + duck('orders_missing'))})"""
 NULLS = " + ".join(f"CAST({c} IS NULL AS INT)" for c in OM)
 
@@ -25,7 +25,7 @@ def _(spark, sf):
 
 
 @query("missing_global", f"""SELECT count(*) AS n_rows, count(*) FILTER (k > 0) AS rows_with_missing, CAST(sum(k) AS BIGINT) AS missing_cells,
-    round(count(*) FILTER (k > 0) * 100.0 / count(*), 2) AS pct_rows, round(sum(k) * 100.0 / (count(*) * 6), 2) AS pct_cells
+    (floor((2 * 10000 * (count(*) FILTER (k > 0)) + (count(*))) / (2.0 * (count(*)))) / 100) AS pct_rows, (floor((2 * 10000 * (sum(k)) + ((count(*) * 6))) / (2.0 * ((count(*) * 6)))) / 100) AS pct_cells
     FROM (SELECT {NULLS} AS k FROM {duck('orders_missing')})""", "pct_rows pct_cells")
 def _(spark, sf):
     return Q.missing_global(table(spark, sf, "orders_missing"))
@@ -77,7 +77,7 @@ def _(spark, sf):
 
 @query("duplicate_rows", f"""SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_duplicate_rows,
     CAST(sum(n - 1) AS BIGINT) AS n_removed_by_dedup, CAST(coalesce(sum(n) FILTER (n = 1), 0) AS BIGINT) AS n_unique_rows,
-    round(coalesce(sum(n) FILTER (n > 1), 0) * 100.0 / sum(n), 2) AS pct_duplicate_rows
+    (floor((2 * 10000 * (coalesce(sum(n) FILTER (n > 1), 0)) + (sum(n))) / (2.0 * (sum(n)))) / 100) AS pct_duplicate_rows
     FROM (SELECT count(*) AS n FROM {duck('orders_dup')} GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"),
        "pct_duplicate_rows")
 def _(spark, sf):
@@ -86,7 +86,7 @@ def _(spark, sf):
 
 @query("duplicate_documents", """SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_duplicate_rows,
     CAST(sum(n - 1) AS BIGINT) AS n_removed_by_dedup, CAST(coalesce(sum(n) FILTER (n = 1), 0) AS BIGINT) AS n_unique_rows,
-    round(coalesce(sum(n) FILTER (n > 1), 0) * 100.0 / sum(n), 2) AS pct_duplicate_rows
+    (floor((2 * 10000 * (coalesce(sum(n) FILTER (n > 1), 0)) + (sum(n))) / (2.0 * (sum(n)))) / 100) AS pct_duplicate_rows
     FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang)""", "pct_duplicate_rows")
 def _(spark, sf):
     return Q.duplicate_rows(table(spark, sf, "documents").select("text", "lang"))
@@ -97,7 +97,7 @@ LC = [c for c, _ in COLUMNS["lineitem"]] + ["fixed", "quasi"]
 
 def near_sql(name, cols):
     return f"""SELECT "column", n_distinct, dominant_pct, CASE WHEN n_distinct = 1 THEN 'constant' ELSE 'quasi_constant' END AS flag, only_value FROM (
-      {per_column(cols, '''SELECT '{c}' AS "column", count(*) AS n_distinct, round(max(n) * 100.0 / sum(n), 2) AS dominant_pct, max(v) AS only_value
+      {per_column(cols, '''SELECT '{c}' AS "column", count(*) AS n_distinct, (floor((2 * 10000 * (max(n)) + (sum(n))) / (2.0 * (sum(n)))) / 100) AS dominant_pct, max(v) AS only_value
       FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM ''' + duck(name) + ''' WHERE {c} IS NOT NULL GROUP BY 1)''')})
       WHERE n_distinct = 1 OR (dominant_pct >= 99 AND n_distinct <= 2)"""
 
@@ -122,14 +122,14 @@ def masked_sql(name, cols):
     return f"""SELECT *, {BAND.format(p='pct')} AS severity FROM ({per_column(cols, '''SELECT '{c}' AS "column", count(*) AS n,
       string_agg(DISTINCT lower(trim({c})), '|' ORDER BY lower(trim({c}))) AS tokens,
       string_agg(DISTINCT {c}, '|' ORDER BY {c}) AS examples,
-      round(count(*) * 100.0 / (SELECT count(*) FROM ''' + duck(name) + '''), 2) AS pct
+      (floor((2 * 10000 * (count(*)) + ((SELECT count(*) FROM ''' + duck(name) + '''))) / (2.0 * ((SELECT count(*) FROM ''' + duck(name) + ''')))) / 100) AS pct
       FROM ''' + duck(name) + ''' WHERE lower(trim({c})) IN (''' + TOKENS + ''')''')}) WHERE n > 0"""
 
 
 def space_sql(name, cols):
     return f"""SELECT *, {BAND.format(p='pct')} AS severity FROM ({per_column(cols, '''SELECT '{c}' AS "column", count(*) AS n,
       string_agg('[' || {c} || ']->[' || trim({c}) || ']', '|' ORDER BY {c}) FILTER (k <= 5) AS examples,
-      round(count(*) * 100.0 / (SELECT count(*) FROM ''' + duck(name) + '''), 2) AS pct
+      (floor((2 * 10000 * (count(*)) + ((SELECT count(*) FROM ''' + duck(name) + '''))) / (2.0 * ((SELECT count(*) FROM ''' + duck(name) + ''')))) / 100) AS pct
       FROM (SELECT {c}, row_number() OVER (ORDER BY {c}) AS k FROM ''' + duck(name) + '''
         WHERE {c} <> trim({c}) AND lower(trim({c})) NOT IN (''' + TOKENS + '''))''')}) WHERE n > 0"""
 
@@ -148,7 +148,7 @@ BOTH = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 OVERLAP = f"""WITH g AS (SELECT {', '.join(BOTH)}, count(*) AS n FROM {duck('orders_both')} GROUP BY {', '.join(BOTH)}),
     p AS (SELECT n, n > 1 AS d, ({' OR '.join(c + ' IS NULL' for c in BOTH)}) AS m FROM g)
     SELECT pattern, CAST(coalesce((SELECT sum(n) FROM p WHERE p.m = t.m AND p.d = t.d), 0) AS BIGINT) AS n,
-      round(coalesce((SELECT sum(n) FROM p WHERE p.m = t.m AND p.d = t.d), 0) * 100.0 / (SELECT sum(n) FROM p), 2) AS pct
+      (floor((2 * 10000 * (coalesce((SELECT sum(n) FROM p WHERE p.m = t.m AND p.d = t.d), 0)) + ((SELECT sum(n) FROM p))) / (2.0 * ((SELECT sum(n) FROM p)))) / 100) AS pct
     FROM (VALUES ('only_missing', true, false), ('only_duplicate', false, true), ('missing_and_duplicate', true, true),
       ('none', false, false)) AS t(pattern, m, d)"""
 
@@ -168,8 +168,8 @@ def issues_sql(name, cols, strings):
      nulls AS ({per_column(cols, '''SELECT '{c}' AS "column", (count(*) - count({c})) * 100.0 / count(*) AS pct FROM base''')}),
      odd AS (SELECT sum(n) AS n FROM g WHERE n > 1 OR {' OR '.join(c + ' IS NULL' for c in cols)})
     SELECT 'duplicates:duplicate_rows:dataset' AS id, 'duplicates' AS module, 'duplicate_rows' AS issue, CAST(NULL AS VARCHAR) AS "column",
-      CASE WHEN round(dup.n * 100.0 / total.n, 2) >= 5 THEN 'high' ELSE 'medium' END AS severity,
-      CAST(round(dup.n * 100.0 / total.n, 2) AS DOUBLE) AS value, 'drop_duplicate_rows' AS action, CAST(dup.n - dup.g AS BIGINT) AS impact
+      CASE WHEN (floor((2 * 10000 * (dup.n) + (total.n)) / (2.0 * (total.n))) / 100) >= 5 THEN 'high' ELSE 'medium' END AS severity,
+      CAST((floor((2 * 10000 * (dup.n) + (total.n)) / (2.0 * (total.n))) / 100) AS DOUBLE) AS value, 'drop_duplicate_rows' AS action, CAST(dup.n - dup.g AS BIGINT) AS impact
       FROM dup, total WHERE dup.n > 0 UNION ALL
     SELECT 'inconsistencies:candidate_exclusion:' || "column", 'inconsistencies', 'candidate_exclusion', "column", 'medium', dominant_pct,
       'exclude_column', 1 FROM ({near_sql(name, cols)}) UNION ALL
@@ -223,7 +223,7 @@ SUMMARY_D = "pct_missing mean median std cv min p1 p5 q1 q3 p95 p99 max iqr skew
 def summary_sql(cols, t):
     qs = ", ".join(f"quantile_cont({{c}}, {p}) AS {n}" for n, p in PCTS.items())
     return f"""SELECT s.*, m.skew AS skewness, m.kurt AS kurtosis FROM ({per_column(cols, '''SELECT '{c}' AS "column", count({c}) AS count,
-      round((count(*) - count({c})) * 100.0 / count(*), 2) AS pct_missing, avg({c}) AS mean, stddev_pop({c}) AS std,
+      (floor((2 * 10000 * ((count(*) - count({c}))) + (count(*))) / (2.0 * (count(*)))) / 100) AS pct_missing, avg({c}) AS mean, stddev_pop({c}) AS std,
       stddev_pop({c}) / nullif(avg({c}), 0) AS cv, min({c}) AS min, max({c}) AS max,
       quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr, ''' + qs + ' FROM ' + t)}) s JOIN ({moments_sql(cols, t)}) m USING ("column")"""
 
@@ -246,7 +246,7 @@ def fenced(cols, t):
 
 EV = ["value"]
 OUT_SQL = """SELECT "column", count(*) AS n, count(*) FILTER (x < lo OR x > hi) AS n_outliers,
-    round(count(*) FILTER (x < lo OR x > hi) * 100.0 / count(*), 2) AS pct_outliers FROM ({f}) GROUP BY "column" """
+    (floor((2 * 10000 * (count(*) FILTER (x < lo OR x > hi)) + (count(*))) / (2.0 * (count(*)))) / 100) AS pct_outliers FROM ({f}) GROUP BY "column" """
 
 
 @query("iqr_outliers", OUT_SQL.format(f=fenced(["value", "event_id"], "events")), "pct_outliers")
@@ -363,14 +363,14 @@ def freq_sql(cols, t):
 
 
 @query("discrete_summary", f"""SELECT f."column", CAST(total AS BIGINT) AS count, r.pm AS pct_missing, u AS n_distinct, value AS mode, lo AS min, hi AS max,
-    round(n * 100.0 / total, 2) AS dominant_pct FROM ({freq_sql(['l_linenumber', 'l_suppkey'], 'lineitem')}) f
-    JOIN ({per_column(['l_linenumber', 'l_suppkey'], '''SELECT '{c}' AS "column", round((count(*) - count({c})) * 100.0 / count(*), 2) AS pm, min({c}) AS lo, max({c}) AS hi FROM lineitem''')}) r
+    (floor((2 * 10000 * (n) + (total)) / (2.0 * (total))) / 100) AS dominant_pct FROM ({freq_sql(['l_linenumber', 'l_suppkey'], 'lineitem')}) f
+    JOIN ({per_column(['l_linenumber', 'l_suppkey'], '''SELECT '{c}' AS "column", (floor((2 * 10000 * ((count(*) - count({c}))) + (count(*))) / (2.0 * (count(*)))) / 100) AS pm, min({c}) AS lo, max({c}) AS hi FROM lineitem''')}) r
     USING ("column") WHERE k = 1""", "pct_missing min max dominant_pct")
 def _(spark, sf):
     return U.discrete_summary(table(spark, sf, "lineitem"), ["l_linenumber", "l_suppkey"])
 
 
-@query("discrete_levels", f"""SELECT "column", k AS rank, value, n, round(n * 100.0 / total, 2) AS pct
+@query("discrete_levels", f"""SELECT "column", k AS rank, value, n, (floor((2 * 10000 * (n) + (total)) / (2.0 * (total))) / 100) AS pct
     FROM ({freq_sql(['l_linenumber', 'l_suppkey'], 'lineitem')}) WHERE k <= 30""", "pct")
 def _(spark, sf):
     return U.discrete_levels(table(spark, sf, "lineitem"), ["l_linenumber", "l_suppkey"])
@@ -378,14 +378,14 @@ def _(spark, sf):
 
 CATS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
 CAT_SQL = f"""SELECT "column", CAST(any_value(total) AS BIGINT) AS count, any_value(pm) AS pct_missing, any_value(u) AS n_distinct,
-    round(any_value(u) * 100.0 / any_value(total), 2) AS cardinality_pct, min(value) FILTER (k = 1) AS mode,
-    round(max(n) * 100.0 / any_value(total), 2) AS mode_pct,
+    (floor((2 * 10000 * (any_value(u)) + (any_value(total))) / (2.0 * (any_value(total)))) / 100) AS cardinality_pct, min(value) FILTER (k = 1) AS mode,
+    (floor((2 * 10000 * (max(n)) + (any_value(total))) / (2.0 * (any_value(total)))) / 100) AS mode_pct,
     round(sum(-(n / total) * log2(n / total + 1e-10)) / CASE WHEN any_value(u) > 1 THEN log2(any_value(u)) ELSE 1 END, 3) AS normalized_entropy,
     round(CASE WHEN any_value(u) > 1 THEN max(n) / min(n) ELSE 1 END, 2) AS imbalance, count(*) FILTER (n * 100.0 / total < 1) AS n_rare,
-    round(any_value(u) * 100.0 / any_value(total), 2) > 50 AS high_cardinality, count(*) FILTER (n * 100.0 / total < 1) > 0 AS has_rare,
-    round(any_value(u) * 100.0 / any_value(total), 2) > 90 AS quasi_id
+    (floor((2 * 10000 * (any_value(u)) + (any_value(total))) / (2.0 * (any_value(total)))) / 100) > 50 AS high_cardinality, count(*) FILTER (n * 100.0 / total < 1) > 0 AS has_rare,
+    (floor((2 * 10000 * (any_value(u)) + (any_value(total))) / (2.0 * (any_value(total)))) / 100) > 90 AS quasi_id
     FROM ({freq_sql(CATS, duck('orders_missing'))}) f JOIN ({per_column(CATS, '''SELECT '{c}' AS "column",
-      round((count(*) - count({c})) * 100.0 / count(*), 2) AS pm FROM ''' + duck('orders_missing'))}) USING ("column") GROUP BY "column" """
+      (floor((2 * 10000 * ((count(*) - count({c}))) + (count(*))) / (2.0 * (count(*)))) / 100) AS pm FROM ''' + duck('orders_missing'))}) USING ("column") GROUP BY "column" """
 
 
 @query("categorical_summary", CAT_SQL, "pct_missing cardinality_pct mode_pct normalized_entropy imbalance")
@@ -393,8 +393,8 @@ def _(spark, sf):
     return U.categorical_summary(table(spark, sf, "orders_missing"), CATS)
 
 
-@query("pareto", f"""SELECT "column", k AS rank, value, n, round(n * 100.0 / total, 2) AS pct,
-    round(sum(round(n * 100.0 / total, 2)) OVER (PARTITION BY "column" ORDER BY k), 2) AS cum_pct FROM ({freq_sql(CATS, duck('orders_missing'))}) WHERE k <= 15""",
+@query("pareto", f"""SELECT "column", k AS rank, value, n, (floor((2 * 10000 * (n) + (total)) / (2.0 * (total))) / 100) AS pct,
+    round(sum((floor((2 * 10000 * (n) + (total)) / (2.0 * (total))) / 100)) OVER (PARTITION BY "column" ORDER BY k), 2) AS cum_pct FROM ({freq_sql(CATS, duck('orders_missing'))}) WHERE k <= 15""",
        "pct cum_pct")
 def _(spark, sf):
     return U.pareto(table(spark, sf, "orders_missing"), CATS)
@@ -402,7 +402,7 @@ def _(spark, sf):
 
 BOOL_SQL = per_column(["quality", "toxic", "lang"], f"""SELECT *, round(greatest(pct_true, pct_false) / nullif(least(pct_true, pct_false), 0), 2) AS imbalance FROM (
     SELECT '{{c}}' AS "column", count, CASE WHEN t + f = 0 THEN a ELSE t END AS n_true, CASE WHEN t + f = 0 THEN b ELSE f END AS n_false,
-      round(CASE WHEN t + f = 0 THEN a ELSE t END * 100.0 / count, 2) AS pct_true, round(CASE WHEN t + f = 0 THEN b ELSE f END * 100.0 / count, 2) AS pct_false FROM (
+      (floor((2 * 10000 * (CASE WHEN t + f = 0 THEN a ELSE t END) + (count)) / (2.0 * (count))) / 100) AS pct_true, (floor((2 * 10000 * (CASE WHEN t + f = 0 THEN b ELSE f END) + (count)) / (2.0 * (count))) / 100) AS pct_false FROM (
     SELECT CAST(sum(n) AS BIGINT) AS count, CAST(coalesce(sum(n) FILTER (v IN ({quoted(K.TRUE_WORDS)})), 0) AS BIGINT) AS t,
       CAST(coalesce(sum(n) FILTER (v IN ({quoted(K.FALSE_WORDS)})), 0) AS BIGINT) AS f, max(n) FILTER (k = 1) AS a, coalesce(max(n) FILTER (k = 2), 0) AS b
     FROM (SELECT lower(CAST({{c}} AS VARCHAR)) AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lower(CAST({{c}} AS VARCHAR))) AS k
@@ -432,9 +432,9 @@ def _(spark, sf):
 
 
 @query("text_summary", per_column(["text", "source"], """SELECT '{c}' AS "column", count({c}) AS count, count(DISTINCT {c}) AS n_distinct,
-    round(count(DISTINCT {c}) * 100.0 / count({c}), 2) AS cardinality_pct, avg(length({c})) AS avg_length, quantile_cont(length({c}), 0.5) AS median_length,
+    (floor((2 * 10000 * (count(DISTINCT {c})) + (count({c}))) / (2.0 * (count({c})))) / 100) AS cardinality_pct, avg(length({c})) AS avg_length, quantile_cont(length({c}), 0.5) AS median_length,
     (SELECT l FROM (SELECT length({c}) AS l, row_number() OVER (ORDER BY length({c})) - 1 AS i, count(*) OVER () AS n FROM documents)
-      WHERE i = floor(0.95 * (n - 1) + 0.5)) AS p95_length, round(count(*) FILTER (trim({c}) = '') * 100.0 / count({c}), 2) AS pct_blank FROM documents"""),
+      WHERE i = floor(0.95 * (n - 1) + 0.5)) AS p95_length, (floor((2 * 10000 * (count(*) FILTER (trim({c}) = '')) + (count({c}))) / (2.0 * (count({c})))) / 100) AS pct_blank FROM documents"""),
        "cardinality_pct avg_length median_length p95_length pct_blank")
 def _(spark, sf):
     return U.text_summary(table(spark, sf, "documents"), ["text", "source"])
@@ -446,7 +446,7 @@ def _(spark, sf):
 
 
 @query("id_summary", per_column(["o_orderkey", "o_custkey", "o_orderdate"], f"""SELECT '{{c}}' AS "column", count(*) AS n_rows, count(DISTINCT {{c}}) AS n_distinct,
-    round(count(DISTINCT {{c}}) * 100.0 / count(*), 2) AS unique_pct, count(*) - count(DISTINCT {{c}}) AS n_duplicates FROM {duck('orders_missing')}"""), "unique_pct")
+    (floor((2 * 10000 * (count(DISTINCT {{c}})) + (count(*))) / (2.0 * (count(*)))) / 100) AS unique_pct, count(*) - count(DISTINCT {{c}}) AS n_duplicates FROM {duck('orders_missing')}"""), "unique_pct")
 def _(spark, sf):
     return U.id_summary(table(spark, sf, "orders_missing"), ["o_orderkey", "o_custkey", "o_orderdate"])
 

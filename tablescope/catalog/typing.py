@@ -245,7 +245,7 @@ def _size(name):
 @query("table_overview", f"""SELECT count(*) AS n_rows, 6 AS n_columns, count(*) * 6 AS n_cells,
     {' + '.join(f'(count(*) - count({c}))' for c, _ in COLUMNS['orders_missing'])} AS n_missing,
     CAST({_size('orders_missing')} AS BIGINT) AS n_bytes,
-    round(({' + '.join(f'(count(*) - count({c}))' for c, _ in COLUMNS['orders_missing'])}) * 100.0 / (count(*) * 6), 2) AS pct_missing
+    (floor((2 * 10000 * (({' + '.join(f'(count(*) - count({c}))' for c, _ in COLUMNS['orders_missing'])})) + ((count(*) * 6))) / (2.0 * ((count(*) * 6)))) / 100) AS pct_missing
     FROM {duck('orders_missing')}""", "pct_missing")
 def _(spark, sf):
     return O.table_overview(table(spark, sf, "orders_missing"))
@@ -254,7 +254,7 @@ def _(spark, sf):
 def overview_sql(name):
     kinds = " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DTYPES[name]))
     return f"""SELECT position, "column", CASE position {kinds} END AS dtype, semantic_type, u AS n_distinct,
-        round((n_rows - n_valid) * 100.0 / n_rows, 2) AS pct_missing,
+        (floor((2 * 10000 * ((n_rows - n_valid)) + (n_rows)) / (2.0 * (n_rows))) / 100) AS pct_missing,
         CASE semantic_type WHEN 'id' THEN 'key' WHEN 'datetime' THEN 'temporal' WHEN 'geographic' THEN 'spatial'
         ELSE 'feature' END AS role FROM ({types_sql(name)})"""
 

@@ -76,6 +76,12 @@ def pct(part: Column, whole: Column) -> Column:
     return F.coalesce(div(part * F.lit(100.0), whole), F.lit(0.0))
 
 
+def pct2(part: Column, whole: Column) -> Column:
+    """Percent with two decimals, half up, decided on whole numbers (no binary rounding surprises)."""
+    scaled = (part.cast("double") * 20000 + whole) / F.when(whole != 0, whole * F.lit(2.0))
+    return F.coalesce(F.floor(scaled) / F.lit(100.0), F.lit(0.0))
+
+
 def count_if(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.lit(1).cast("bigint"))), F.lit(0).cast("bigint"))
 

@@ -20,7 +20,7 @@ def table_overview(df: DataFrame) -> DataFrame:
     return cols.agg(F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_columns"),
                     F.sum("n_rows").alias("n_cells"), F.sum("n_null").alias("n_missing"),
                     F.sum("n_bytes").alias("n_bytes")).withColumn(
-        "pct_missing", F.round(X.pct(F.col("n_missing"), F.col("n_cells")), 2))
+        "pct_missing", X.pct2(F.col("n_missing"), F.col("n_cells")))
 
 
 def column_role(semantic_type: Column) -> Column:
@@ -33,7 +33,7 @@ def column_overview(df: DataFrame, overrides: dict | None = None) -> DataFrame:
     """O2"""
     return S.typed_stats(df, overrides).select(
         "position", "column", "dtype", "semantic_type", "n_distinct",
-        F.round(X.pct(F.col("n_null"), F.col("n_rows")), 2).alias("pct_missing"),
+        X.pct2(F.col("n_null"), F.col("n_rows")).alias("pct_missing"),
         column_role(F.col("semantic_type")).alias("role"))
 
 

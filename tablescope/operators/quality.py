@@ -31,7 +31,7 @@ def issue_severity(band: Column) -> Column:
 
 
 def _pct2(part, whole) -> Column:
-    return F.round(X.pct(part, whole), 2)
+    return X.pct2(part, whole)
 
 
 def _null_counts(df: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def _overlap(patterns: DataFrame) -> DataFrame:
                        total(~m & ~d).alias("e"), F.sum("n").alias("total"))
     return one.select("total", X.rows(*[F.struct(F.lit(k).alias("pattern"), F.col(c).alias("n")) for k, c in (
         ("only_missing", "a"), ("only_duplicate", "b"), ("missing_and_duplicate", "c"), ("none", "e"))])).select(
-        "pattern", "n", F.round(X.div(F.col("n") * 100.0, F.col("total")), 2).alias("pct"))
+        "pattern", "n", X.pct2(F.col("n"), F.col("total")).alias("pct"))
 
 
 def anomaly_overlap(df: DataFrame) -> DataFrame:

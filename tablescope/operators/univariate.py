@@ -37,7 +37,7 @@ def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     q = B.quantiles(B.long_numeric(df, columns), ["column"], "x", PERCENTILES).drop("n")
     m = _moments(df, columns)
     return m.join(q, "column", "left").select(
-        "column", "count", F.round(X.pct(F.col("n_null"), F.col("n_rows")), 2).alias("pct_missing"), "mean", "median", "std",
+        "column", "count", X.pct2(F.col("n_null"), F.col("n_rows")).alias("pct_missing"), "mean", "median", "std",
         X.div(F.col("std"), F.col("mean")).alias("cv"), "min", "p1", "p5", "q1", "q3", "p95", "p99", "max",
         (F.col("q3") - F.col("q1")).alias("iqr"), "skewness", "kurtosis")
 
@@ -56,7 +56,7 @@ def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     x = F.col("x")
     return _fenced(df, columns).groupBy("column").agg(
         F.count(x).alias("n"), X.count_if((x < F.col("lo")) | (x > F.col("hi"))).alias("n_outliers")).withColumn(
-        "pct_outliers", F.round(X.pct(F.col("n_outliers"), F.col("n")), 2))
+        "pct_outliers", X.pct2(F.col("n_outliers"), F.col("n")))
 
 
 def jarque_bera(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -243,15 +243,15 @@ def discrete_summary(df: DataFrame, columns: list[str]) -> DataFrame:
                            "min": F.min(X.double(df, c)), "max": F.max(X.double(df, c))} for c in columns})
     s = _freq_stats(B.freq(df, columns))
     return ends.join(s, "column", "left").select(
-        "column", F.col("n_valid").alias("count"), F.round(X.pct(F.col("n_null"), F.col("n_rows")), 2).alias("pct_missing"),
-        "n_distinct", "mode", "min", "max", F.round(X.pct(F.col("top_n"), F.col("n_valid")), 2).alias("dominant_pct"))
+        "column", F.col("n_valid").alias("count"), X.pct2(F.col("n_null"), F.col("n_rows")).alias("pct_missing"),
+        "n_distinct", "mode", "min", "max", X.pct2(F.col("top_n"), F.col("n_valid")).alias("dominant_pct"))
 
 
 def _levels(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     f = B.freq(df, columns)
     total = f.groupBy("column").agg(F.sum("n").alias("total"))
     return _top(f, k).join(F.broadcast(total), "column").select(
-        "column", "rank", "value", "n", F.round(X.pct(F.col("n"), F.col("total")), 2).alias("pct"))
+        "column", "rank", "value", "n", X.pct2(F.col("n"), F.col("total")).alias("pct"))
 
 
 def discrete_levels(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -273,8 +273,8 @@ def categorical_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     u = F.col("n_distinct")
     card = F.round(X.pct(u, F.col("count")), 2)
     return s.join(nulls, "column").select(
-        "column", "count", F.round(X.pct(F.col("n_null"), F.col("n_rows")), 2).alias("pct_missing"), "n_distinct",
-        card.alias("cardinality_pct"), "mode", F.round(X.pct(F.col("top_n"), F.col("count")), 2).alias("mode_pct"),
+        "column", "count", X.pct2(F.col("n_null"), F.col("n_rows")).alias("pct_missing"), "n_distinct",
+        card.alias("cardinality_pct"), "mode", X.pct2(F.col("top_n"), F.col("count")).alias("mode_pct"),
         F.round(F.col("entropy") / F.when(u > 1, F.log2(u.cast("double"))).otherwise(1.0), 3).alias("normalized_entropy"),
         F.round(F.when(u > 1, F.col("top_n") / F.col("last_n")).otherwise(1.0), 2).alias("imbalance"), "n_rare",
         (card > 50).alias("high_cardinality"), (F.col("n_rare") > 0).alias("has_rare"), (card > 90).alias("quasi_id"))
@@ -301,8 +301,8 @@ def boolean_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     out = words.join(top, "column").select(
         "column", "count", F.when(none, F.col("first_n")).otherwise(F.col("t")).alias("n_true"),
         F.when(none, F.coalesce("second_n", zero)).otherwise(F.col("f")).alias("n_false"))
-    out = (out.withColumn("pct_true", F.round(X.pct(F.col("n_true"), F.col("count")), 2))
-           .withColumn("pct_false", F.round(X.pct(F.col("n_false"), F.col("count")), 2)))
+    out = (out.withColumn("pct_true", X.pct2(F.col("n_true"), F.col("count")))
+           .withColumn("pct_false", X.pct2(F.col("n_false"), F.col("count"))))
     big, small = F.greatest("pct_true", "pct_false"), F.least("pct_true", "pct_false")
     return out.withColumn("imbalance", F.round(X.div(big, small), 2))
 
@@ -342,8 +342,8 @@ def text_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     p95 = B.quantiles(lengths, ["column"], "x", {"p95_length": 0.95}, nearest=True).drop("n")
     u = B.freq(df, columns, hashed=True).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
     return stats.join(u, "column").join(median, "column").join(p95, "column").select(
-        "column", "count", "n_distinct", F.round(X.pct(F.col("n_distinct"), F.col("count")), 2).alias("cardinality_pct"),
-        "avg_length", "median_length", "p95_length", F.round(X.pct(F.col("n_blank"), F.col("count")), 2).alias("pct_blank"))
+        "column", "count", "n_distinct", X.pct2(F.col("n_distinct"), F.col("count")).alias("cardinality_pct"),
+        "avg_length", "median_length", "p95_length", X.pct2(F.col("n_blank"), F.col("count")).alias("pct_blank"))
 
 
 def text_length_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -356,7 +356,7 @@ def id_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = B.wide(df, {c: {"n_rows": F.count(F.lit(1))} for c in columns})
     u = B.freq(df, columns, hashed=True).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
     return rows.join(u, "column", "left").na.fill(0, ["n_distinct"]).select(
-        "column", "n_rows", "n_distinct", F.round(X.pct(F.col("n_distinct"), F.col("n_rows")), 2).alias("unique_pct"),
+        "column", "n_rows", "n_distinct", X.pct2(F.col("n_distinct"), F.col("n_rows")).alias("unique_pct"),
         (F.col("n_rows") - F.col("n_distinct")).alias("n_duplicates"))
 
 
