@@ -47,8 +47,11 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
         X.count_if(odd).alias("not_boolean"))
 
 
-def column_stats(df: DataFrame, distinct: bool = True, overrides: dict | None = None) -> DataFrame:
-    """One row per column: the measurements the typing rules need, in two jobs over the table."""
+def column_stats(df: DataFrame, overrides: dict | None = None, extra=None) -> DataFrame:
+    """One row per column: the measurements the typing rules need, in two scans of the table.
+
+    ``extra(column)`` may add aggregates to the first scan.
+    """
     metrics = {}
     for f in df.schema.fields:
         c, v, kind = f.name, X.ref(f.name), kind_of(f.dataType)
@@ -61,10 +64,10 @@ def column_stats(df: DataFrame, distinct: bool = True, overrides: dict | None =
             "n_rows": F.count(F.lit(1)), "n_null": X.count_if(v.isNull()),
             "avg_length": F.avg(F.char_length(v)) if is_text else F.lit(None).cast("double"),
             "n_parsed": X.count_if(v.try_cast("timestamp_ntz").isNotNull()) if is_text else F.lit(0).cast("bigint"),
+            "n_nan": X.count_if(F.isnan(v)) if isinstance(f.dataType, X.FLOAT_TYPES) else F.lit(0).cast("bigint"),
+            **(extra(c) if extra else {}),
         }
     stats = B.wide(df, metrics)
-    if not distinct:
-        return stats
     return (stats.join(distinct_counts(df), "column", "left")
             .na.fill(0, ["n_distinct", "top_n", "not_boolean"]))
 
@@ -90,8 +93,8 @@ def type_rule() -> Column:
             .otherwise("categorical_nominal"))
 
 
-def typed_stats(df: DataFrame, overrides: dict | None = None) -> DataFrame:
-    return column_stats(df, overrides=overrides).withColumn("semantic_type", type_rule())
+def typed_stats(df: DataFrame, overrides: dict | None = None, extra=None) -> DataFrame:
+    return column_stats(df, overrides, extra).withColumn("semantic_type", type_rule())
 
 
 def semantic_types(df: DataFrame, overrides: dict | None = None) -> DataFrame:
