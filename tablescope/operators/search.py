@@ -47,6 +47,10 @@ def term_stats(df: DataFrame, doc: str, text: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq")).withColumn("idf", _idf(F.col("doc_freq"), n))
 
 
+def _occurrences(tokens: str, word: str):
+    return F.size(F.filter(tokens, lambda t: t == F.lit(word)))
+
+
 def bm25_topk(df: DataFrame, doc: str, text: str, query: str, k: int = TOP) -> DataFrame:
     """The k best documents; a repeated query word counts again.
 
@@ -61,7 +65,7 @@ def bm25_topk(df: DataFrame, doc: str, text: str, query: str, k: int = TOP) -> D
     tokens = token_array(F.coalesce(X.ref(text), F.lit("")))
     docs = df.select(X.ref(doc).alias("doc"), tokens.alias("tokens")).select(
         "doc", F.size("tokens").cast("double").alias("length"),
-        *[F.size(F.filter("tokens", lambda t, w=w: t == w)).cast("double").alias(f"tf{i}") for i, w in enumerate(distinct)])
+        *[_occurrences("tokens", w).cast("double").alias(f"tf{i}") for i, w in enumerate(distinct)])
     one = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"),
                    *[X.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
     # One row of corpus statistics, joined on a constant key.
