@@ -144,7 +144,7 @@ def quantiles(long: DataFrame, keys: list[str], value: str, probs: dict[str, flo
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None,
-            running: dict[str, str] | None = None) -> DataFrame:
+            running: dict[str, str] | None = None, totals: bool = False) -> DataFrame:
     """Global order without a single-task window (ORD).
 
     Rows are range-partitioned on (keys, order), so one key holding a third of all rows is spread
@@ -154,7 +154,8 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], weight: str | None
 
     Adds ``_rn`` (1-based row number per key), ``_before`` (weight strictly before the value's
     peers), ``_peers`` (weight of the peers), ``_total`` (weight of the key) and, for each
-    ``running`` item ``name: column``, the running sum up to this row.
+    ``running`` item ``name: column``, the running sum up to this row (with ``totals`` also
+    ``name_total``, its sum over the key).
     ``keys`` must not be null.
     """
     running = running or {}
@@ -163,16 +164,17 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], weight: str | None
     base = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id()))
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     local = [*keys, "_pid"]
-    totals = base.groupBy(*local).agg(F.count(F.lit(1)).alias("_c"), F.sum(w).alias("_w"),
+    sums = base.groupBy(*local).agg(F.count(F.lit(1)).alias("_c"), F.sum(w).alias("_w"),
                                       *[F.sum(c).alias(f"_s_{name}") for name, c in running.items()])
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    offsets = totals.select(
+    offsets = sums.select(
         *local,
         F.coalesce(F.sum("_c").over(before), zero).alias("_oc"),
         F.coalesce(F.sum("_w").over(before), zero).alias("_ow"),
         F.sum("_w").over(Window.partitionBy(*keys)).alias("_total"),
-        *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0.0)).alias(f"_o_{name}") for name in running])
+        *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0.0)).alias(f"_o_{name}") for name in running],
+        *[F.sum(f"_s_{name}").over(Window.partitionBy(*keys)).alias(f"{name}_total") for name in running])
     by_row = Window.partitionBy(*local).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     by_value = Window.partitionBy(*local).orderBy(*order).rangeBetween(Window.unboundedPreceding, 0)
     peers = Window.partitionBy(*local, *order)
@@ -187,7 +189,8 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], weight: str | None
         (F.col("_lr") + F.col("_oc")).cast("bigint").alias("_rn"),
         (F.col("_lw") + F.col("_ow") - F.col("_peers")).alias("_before"),
         "_peers", "_total",
-        *[(F.coalesce(F.col(f"_r_{name}"), F.lit(0.0)) + F.col(f"_o_{name}")).alias(name) for name in running])
+        *[(F.coalesce(F.col(f"_r_{name}"), F.lit(0.0)) + F.col(f"_o_{name}")).alias(name) for name in running],
+        *[f"{name}_total" for name in running if totals])
 
 
 def avg_ranks(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
