@@ -81,16 +81,17 @@ def _bins_of(n: Column) -> Column:
     return F.least(F.lit(50), F.greatest(F.lit(10), F.floor(n / 100))).cast("bigint")
 
 
-def binned(long: DataFrame, bins: Column | int | None = None) -> DataFrame:
+def binned(long: DataFrame, bins: Column | int | None = None, weight: str | None = None) -> DataFrame:
     """Equal-width counts of (column, x): every bin is reported, empty ones with 0."""
-    ends = long.groupBy("column").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    count = _bins_of(F.col("n")) if bins is None else F.lit(bins).cast("bigint")
+    one = F.col(weight) if weight else F.lit(1).cast("bigint")
+    ends = long.groupBy("column").agg(F.sum(one).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    count = _bins_of(F.col("n")) if bins is None else (bins if isinstance(bins, Column) else F.lit(bins)).cast("bigint")
     flat = F.col("lo") == F.col("hi")
     ends = ends.select("column", count.alias("bins"), F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
                        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     place = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1)
-    counts = long.join(F.broadcast(ends), "column").groupBy("column", (place + 1).cast("bigint").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = long.select("column", "x", one.alias("one")).join(F.broadcast(ends), "column").groupBy("column", (place + 1).cast("bigint").alias("bin")).agg(
+        F.sum("one").alias("n"))
     grid = ends.select("column", "lo", "hi", "bins", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("bins"))).alias("bin"))
     step = (F.col("hi") - F.col("lo")) / F.col("bins")
     return grid.join(counts, ["column", "bin"], "left").select(
