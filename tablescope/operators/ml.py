@@ -23,6 +23,8 @@ from tablescope.session import cut_lineage
 # Column limits, cluster range, forest and neighbourhood sizes, share flagged.
 MI_FEATURES, MI_ROWS, MI_BINS = 15, 20, 10
 KM_COLUMNS, KM_ROWS, KM_MAX, SEED = 8, 20, 8, 42
+# A fit stops when no centre moves further than this (in standard deviations).
+KM_TOLERANCE = 5e-3
 AN_COLUMNS, AN_ROWS, TREES, TREE_ROWS, NEIGHBOURS, FLAGGED = 10, 21, 100, 256, 20, 0.05
 # Points per leaf of the neighbour search, most leaves, rows of the driver-side sample that places the cuts.
 LEAF, MAX_LEAVES, CUT_SAMPLE, QUERY_BATCH = 2_000, 65_536, 50_000, 20_000
@@ -83,6 +85,13 @@ def _standardized(df: DataFrame, columns: list[str], keep: list[str] = ()) -> tu
     return df.select(*[X.ref(c) for c in keep], *z).dropna(subset=names), int(n)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Iterative fits touch the rows many times: use every core even if the input is one file.
+    A table with enough partitions is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _vectors(df: DataFrame, columns: list[str], keep: list[str] = ()) -> tuple[DataFrame, int]:
     z, n = _standardized(df, columns[:KM_COLUMNS], keep)
     assembler = VectorAssembler(inputCols=[f"z{i}" for i in range(len(columns[:KM_COLUMNS]))], outputCol="features")
@@ -95,11 +104,11 @@ def kmeans_sweep(df: DataFrame, columns: list[str]) -> DataFrame:
     schema = "k int, inertia double, silhouette double"
     if n < KM_ROWS or len(columns) < 2:
         return X.lit_rows(df, [], schema)
-    data = data.select("features").persist()
+    data = _spread(data.select("features")).persist()
     judge = ClusteringEvaluator()
     out = []
     for k in range(2, min(KM_MAX, n // 5) + 1):
-        model = KMeans(k=k, seed=SEED, maxIter=100).fit(data)
+        model = KMeans(k=k, seed=SEED, maxIter=100, tol=KM_TOLERANCE).fit(data)
         out.append((k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(data)))))
     data.unpersist()
     return X.lit_rows(df, out, schema)
@@ -111,7 +120,8 @@ def kmeans_assign(df: DataFrame, columns: list[str], keep: list[str] = (), k: in
         best = kmeans_sweep(df, columns).orderBy(F.desc("silhouette"), "k").first()
         k = best["k"] if best else 2
     data, _ = _vectors(df, columns, keep)
-    model = KMeans(k=k, seed=SEED, maxIter=300).fit(data)
+    data = _spread(data).persist()
+    model = KMeans(k=k, seed=SEED, maxIter=300, tol=KM_TOLERANCE).fit(data)
     return model.transform(data).withColumnRenamed("prediction", "cluster")
 
 
@@ -144,7 +154,7 @@ def _distinct(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str],
     z, n = _standardized(df, columns)
     names = [f"z{i}" for i in range(len(columns))]
     v = z.groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
-    return cut_lineage(v.withColumn("id", F.monotonically_increasing_id())), names, n
+    return cut_lineage(_spread(v).withColumn("id", F.monotonically_increasing_id())), names, n
 
 
 def _worst(scored: DataFrame, value: str) -> DataFrame:
