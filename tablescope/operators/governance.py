@@ -46,7 +46,7 @@ def _near_constant() -> Column:
     return (F.col("n_distinct") == 1) | ((F.col("n_distinct") == 2) & (X.pct2(F.col("top_n"), valid) >= Q.QUASI_CONSTANT))
 
 
-def _dimension_scores(df: DataFrame, typed: DataFrame) -> DataFrame:
+def _dimension_scores(df: DataFrame, typed: DataFrame, patterns: DataFrame | None) -> DataFrame:
     """One row with the six unrounded scores."""
     t = F.col("semantic_type")
     numeric = t.startswith("numeric")
@@ -54,7 +54,7 @@ def _dimension_scores(df: DataFrame, typed: DataFrame) -> DataFrame:
         X.pct2(F.sum("n_null"), F.sum("n_rows")).alias("missing"), X.count_if(_near_constant()).alias("constant"),
         X.pct(F.sum(F.when(numeric, F.col("n_nan"))), F.sum(F.when(numeric, F.col("n_rows")))).alias("invalid"),
         F.max((t == "datetime").cast("int")).alias("dated"))
-    dup = Q.duplicate_rows(df).select("pct_duplicate_rows").scalar()
+    dup = Q.duplicate_rows(df, patterns).select("pct_duplicate_rows").scalar()
     c, u = 100.0 - F.col("missing"), 100.0 - dup
     return cols.select(
         c.alias("Completeness"), u.alias("Uniqueness"), F.greatest(F.lit(0.0), 100.0 - F.col("invalid")).alias("Validity"),
@@ -63,9 +63,10 @@ def _dimension_scores(df: DataFrame, typed: DataFrame) -> DataFrame:
         F.when(F.col("dated") == 1, TIMELY).otherwise(UNTIMELY).alias("Timeliness"))
 
 
-def quality_dimensions(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None) -> DataFrame:
+def quality_dimensions(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None,
+                       patterns: DataFrame | None = None) -> DataFrame:
     """G1"""
-    one = _dimension_scores(df, S.typed_stats(df, overrides) if typed is None else typed)
+    one = _dimension_scores(df, S.typed(df, overrides, typed), patterns)
     return one.select(X.rows(*[F.struct(
         F.lit(i).alias("position"), F.lit(name).alias("dimension"), F.lit(w).alias("weight"), F.round(F.col(name), 2).alias("score"),
         F.lit(bench).alias("benchmark"),
@@ -73,9 +74,10 @@ def quality_dimensions(df: DataFrame, overrides: dict | None = None, typed: Data
         for i, (name, w, bench, ok, warn) in enumerate(DIMENSIONS)]))
 
 
-def quality_score(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None) -> DataFrame:
+def quality_score(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None,
+                  patterns: DataFrame | None = None) -> DataFrame:
     """G2"""
-    one = _dimension_scores(df, S.typed_stats(df, overrides) if typed is None else typed)
+    one = _dimension_scores(df, S.typed(df, overrides, typed), patterns)
     total = reduce(lambda a, b: a + b, [F.col(name) * (w / 100) for name, w, *_ in DIMENSIONS])
     one = one.select(total.alias("total"))
     band = F.when(F.col("total") >= HIGH_BAND, "high").when(F.col("total") >= MEDIUM_BAND, "medium").otherwise("low")
@@ -131,10 +133,16 @@ def pii_candidates(df: DataFrame) -> DataFrame:
     return pii_by_name(df).unionByName(pii_by_pattern(df)).orderBy("position")
 
 
-def column_schema_profile(df: DataFrame, overrides: dict | None = None) -> DataFrame:
-    """G5"""
-    typed = S.typed_stats(df, overrides, extra=lambda c: {"n_bytes": bytes_of(df, c)})
-    pii = pii_candidates(df).select("column", "pii_type")
+def profile_stats(df: DataFrame, overrides: dict | None = None) -> DataFrame:
+    """Typed column statistics with sizes: what all metadata operators here accept as ``typed``."""
+    return S.typed_stats(df, overrides, extra=lambda c: {"n_bytes": bytes_of(df, c)})
+
+
+def column_schema_profile(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None,
+                          pii: DataFrame | None = None) -> DataFrame:
+    """G5; ``typed`` is a result of ``profile_stats``."""
+    typed = profile_stats(df, overrides) if typed is None else typed
+    pii = (pii_candidates(df) if pii is None else pii).select("column", "pii_type")
     t = F.col("semantic_type")
     status = (F.when(F.col("pct_missing") >= 40, "critical").when(F.col("pct_missing") >= 10, "warning")
               .when(t == "id", "attention").otherwise("ready"))
@@ -148,9 +156,9 @@ def column_schema_profile(df: DataFrame, overrides: dict | None = None) -> DataF
         .when(t.isin("id", "geographic"), "name-based").otherwise("dtype-profile").alias("pattern")))
 
 
-def semantic_summary(df: DataFrame, overrides: dict | None = None) -> DataFrame:
+def semantic_summary(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None) -> DataFrame:
     """G6"""
-    typed = S.semantic_types(df, overrides)
+    typed = S.typed(df, overrides, typed)
     names = F.transform(F.sort_array(F.collect_list(F.struct("position", "column"))), lambda s: s["column"])
     return typed.groupBy("semantic_type").agg(
         F.count(F.lit(1)).alias("n_columns"), F.array_join(F.slice(names, 1, 3), ", ").alias("examples")).withColumn(
@@ -171,7 +179,7 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
 
 def leakage_risks(df: DataFrame, target: str, overrides: dict | None = None, typed: DataFrame | None = None) -> DataFrame:
     """From the types and names of the columns."""
-    typed = S.typed_stats(df, overrides) if typed is None else typed
+    typed = S.typed(df, overrides, typed)
     name, t = F.lower("column"), F.col("semantic_type")
     late = reduce(lambda a, b: a | b, [name.contains(w) for w in K.POST_EVENT])
     risk = (F.when(t == "id", "identifier_leakage").when((t == "datetime") & late, "post_event_timestamp")
@@ -235,18 +243,18 @@ def fairness(df: DataFrame, target: str) -> DataFrame:
             .drop("low", "high"))
 
 
-def encoding_advice(df: DataFrame, overrides: dict | None = None) -> DataFrame:
+def encoding_advice(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None) -> DataFrame:
     """G10"""
     t = F.col("semantic_type")
     strategy = (F.when((t == "categorical_nominal") & (F.col("n_distinct") > MANY_LEVELS), "target_or_frequency")
                 .when(t == "categorical_nominal", "one_hot").when(t == "categorical_ordinal", "ordinal").when(t == "boolean", "binary"))
-    return (S.typed_stats(df, overrides).withColumn("strategy", strategy).where("strategy is not null")
+    return (S.typed(df, overrides, typed).withColumn("strategy", strategy).where("strategy is not null")
             .select("column", "strategy", _pct_missing().alias("pct_missing")))
 
 
-def scaling_advice(df: DataFrame, overrides: dict | None = None) -> DataFrame:
+def scaling_advice(df: DataFrame, overrides: dict | None = None, types: dict[str, str] | None = None) -> DataFrame:
     """G11"""
-    groups = S.group_map(S.type_map(df, overrides))
+    groups = S.group_map(types or S.type_map(df, overrides))
     parts = []
     if groups["numeric_continuous"]:
         o = U.iqr_outliers(df, groups["numeric_continuous"])
@@ -257,21 +265,22 @@ def scaling_advice(df: DataFrame, overrides: dict | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, X.lit_rows(df, [], "column string, strategy string, pct_outliers double"))
 
 
-def imputation_advice(df: DataFrame, overrides: dict | None = None) -> DataFrame:
+def imputation_advice(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None) -> DataFrame:
     """G12"""
     t, p = F.col("semantic_type"), F.col("pct_missing")
     strategy = (F.when(t.startswith("numeric") & (p < SEGMENT_MISSING), "median").when(t.startswith("numeric"), "segment_median_or_drop")
                 .when(t.startswith("categorical") | (t == "boolean"), "most_frequent_or_bucket")
                 .when(t == "datetime", "calendar_aware_or_flag").otherwise("explicit_token_or_review"))
-    return (S.typed_stats(df, overrides).where("n_null > 0").withColumn("pct_missing", _pct_missing())
+    return (S.typed(df, overrides, typed).where("n_null > 0").withColumn("pct_missing", _pct_missing())
             .select("column", "pct_missing", Q.severity(p).alias("severity"), strategy.alias("strategy")))
 
 
-def split_advice(df: DataFrame, problem_type: str | None = None, overrides: dict | None = None) -> DataFrame:
+def split_advice(df: DataFrame, problem_type: str | None = None, overrides: dict | None = None,
+                 typed: DataFrame | None = None) -> DataFrame:
     """The recommended split."""
     dated = F.max((F.col("semantic_type") == "datetime").cast("int")) == 1
     other = "stratified" if problem_type == "classification" else "random"
-    return S.semantic_types(df, overrides).agg(F.when(dated, "time").otherwise(other).alias("recommended")).select(
+    return S.typed(df, overrides, typed).agg(F.when(dated, "time").otherwise(other).alias("recommended")).select(
         "recommended", *[F.lit(v).alias(n) for n, v in zip(("train_pct", "validation_pct", "test_pct"), SPLIT)])
 
 
@@ -296,22 +305,23 @@ def train_valid_test_split(df: DataFrame, key: list[str], stratum: str | None =
     return df.withColumn("split", F.when(h < SPLIT[0], "train").when(h < SPLIT[0] + SPLIT[1], "validation").otherwise("test"))
 
 
-def feature_advice(df: DataFrame, accepted: list[AcceptedFeature] = (), overrides: dict | None = None) -> DataFrame:
+def feature_advice(df: DataFrame, accepted: list[AcceptedFeature] = (), overrides: dict | None = None,
+                   typed: DataFrame | None = None) -> DataFrame:
     """Accepted features, plus a calendar decomposition per datetime column."""
     rows = [(f.name, ", ".join(f.source_columns), f.formula or f.type or "derived", f.status or "accepted") for f in accepted if f.name]
     taken = X.lit_rows(df, rows, "feature string, source_columns string, formula string, status string")
-    dates = S.semantic_types(df, overrides).where("semantic_type = 'datetime'")
+    dates = S.typed(df, overrides, typed).where("semantic_type = 'datetime'")
     return taken.unionByName(dates.select(F.concat("column", F.lit("_year/month")).alias("feature"), F.col("column").alias("source_columns"),
                                           F.lit("calendar decomposition").alias("formula"), F.lit("recommended").alias("status")))
 
 
-def analysis_applicability(df: DataFrame, overrides: dict | None = None) -> DataFrame:
+def analysis_applicability(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None) -> DataFrame:
     """G15"""
     t = F.col("semantic_type")
 
     def has(cond):
         return F.coalesce(F.max(cond.cast("int")), F.lit(0)) == 1
-    one = S.semantic_types(df, overrides).agg(has(t == "datetime").alias("d"), has(t == "id").alias("i"),
+    one = S.typed(df, overrides, typed).agg(has(t == "datetime").alias("d"), has(t == "id").alias("i"),
                                               has(t == "boolean").alias("b"), has(t.startswith("numeric")).alias("n"))
     d = F.col("d")
     return one.select(X.rows(*[F.struct(F.lit(a).alias("analysis"), cond.alias("applicable")) for a, cond in (
@@ -348,27 +358,30 @@ def _alerts(df: DataFrame, target: str | None, typed: DataFrame, pii: DataFrame)
             .select("rank", "severity", "issue", "columns", "action", _owner(F.col("issue")).alias("owner")))
 
 
-def critical_alerts(df: DataFrame, target: str | None = None, overrides: dict | None = None) -> DataFrame:
+def critical_alerts(df: DataFrame, target: str | None = None, overrides: dict | None = None,
+                    typed: DataFrame | None = None, pii: DataFrame | None = None) -> DataFrame:
     """First eight alerts: missing values, leakage, imbalance, personal data."""
-    return _alerts(df, target, S.typed_stats(df, overrides), pii_candidates(df))
+    return _alerts(df, target, S.typed(df, overrides, typed), pii_candidates(df) if pii is None else pii)
 
 
-def executive_metrics(df: DataFrame, overrides: dict | None = None) -> DataFrame:
+def executive_metrics(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None,
+                      patterns: DataFrame | None = None) -> DataFrame:
     """The score and five of its dimensions."""
-    typed = S.typed_stats(df, overrides)
-    d = quality_dimensions(df, typed=typed).where("dimension <> 'Accuracy'").select(
+    typed = S.typed(df, overrides, typed)
+    d = quality_dimensions(df, typed=typed, patterns=patterns).where("dimension <> 'Accuracy'").select(
         (F.col("position") + 1).alias("position"), F.col("dimension").alias("metric"), F.col("score").alias("value"), "benchmark", "status")
-    s = quality_score(df, typed=typed).select(
+    s = quality_score(df, typed=typed, patterns=patterns).select(
         F.lit(0).alias("position"), F.lit("Data Quality Score").alias("metric"), F.col("total_score").alias("value"), F.lit(">80").alias("benchmark"),
         F.when(F.col("total_score") >= READY_SCORE, "ok").otherwise("warning").alias("status"))
     return s.unionByName(d)
 
 
-def decision_matrix(df: DataFrame, target: str | None = None, overrides: dict | None = None) -> DataFrame:
+def decision_matrix(df: DataFrame, target: str | None = None, overrides: dict | None = None, typed: DataFrame | None = None,
+                    patterns: DataFrame | None = None, pii: DataFrame | None = None) -> DataFrame:
     """Three decisions with status, evidence and confidence; readiness needs a score of 80 and no high leakage."""
-    typed = S.typed_stats(df, overrides).persist()
-    pii = pii_candidates(df)
-    score = quality_score(df, typed=typed).select("total_score").scalar()
+    typed = S.typed(df, overrides, typed)
+    pii = pii_candidates(df) if pii is None else pii
+    score = quality_score(df, typed=typed, patterns=patterns).select("total_score").scalar()
     leaks = (leakage_risks(df, target, typed=typed).where("severity = 'high'") if target is not None else typed.limit(0))
     n_leaks = leaks.agg(F.count(F.lit(1)).alias("n")).scalar()
     n_pii = pii.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -384,8 +397,9 @@ def decision_matrix(df: DataFrame, target: str | None = None, overrides: dict |
                              row("escalate_privacy", private, "pending", "no", F.col("pii"), 88, 25)))
 
 
-def action_items(df: DataFrame, target: str | None = None, overrides: dict | None = None) -> DataFrame:
+def action_items(df: DataFrame, target: str | None = None, overrides: dict | None = None,
+                 typed: DataFrame | None = None, pii: DataFrame | None = None) -> DataFrame:
     """The first five alerts as actions with owner and deadline."""
-    return critical_alerts(df, target, overrides).where(F.col("rank") <= MAX_ACTIONS).select(
+    return critical_alerts(df, target, overrides, typed, pii).where(F.col("rank") <= MAX_ACTIONS).select(
         F.col("rank").alias("priority"), F.col("issue").alias("title"), "owner",
         F.when(F.col("severity") == "critical", "immediate").otherwise(F.concat(F.lit("sprint "), F.col("rank").cast("string"))).alias("deadline"), "action")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -25,6 +27,7 @@ MI_FEATURES, MI_ROWS, MI_BINS = 15, 20, 10
 KM_COLUMNS, KM_ROWS, KM_MAX, SEED = 8, 20, 8, 42
 # A fit stops when no centre moves further than this (in standard deviations).
 KM_TOLERANCE = 5e-3
+KM_PARALLEL = 4
 AN_COLUMNS, AN_ROWS, TREES, TREE_ROWS, NEIGHBOURS, FLAGGED = 10, 21, 100, 256, 20, 0.05
 # Points per leaf of the neighbour search, most leaves, rows of the driver-side sample that places the cuts.
 LEAF, MAX_LEAVES, CUT_SAMPLE, QUERY_BATCH = 2_000, 65_536, 50_000, 20_000
@@ -106,10 +109,14 @@ def kmeans_sweep(df: DataFrame, columns: list[str]) -> DataFrame:
         return X.lit_rows(df, [], schema)
     data = _spread(data.select("features")).persist()
     judge = ClusteringEvaluator()
-    out = []
-    for k in range(2, min(KM_MAX, n // 5) + 1):
+
+    def fit(k):
         model = KMeans(k=k, seed=SEED, maxIter=100, tol=KM_TOLERANCE).fit(data)
-        out.append((k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(data)))))
+        return k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(data)))
+
+    # The fits are independent Spark jobs over the same cached rows.
+    with ThreadPoolExecutor(KM_PARALLEL) as pool:
+        out = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(2, min(KM_MAX, n // 5) + 1)))
     data.unpersist()
     return X.lit_rows(df, out, schema)
 

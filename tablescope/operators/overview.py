@@ -29,18 +29,18 @@ def column_role(semantic_type: Column) -> Column:
             .when(semantic_type == "geographic", "spatial").otherwise("feature"))
 
 
-def column_overview(df: DataFrame, overrides: dict | None = None) -> DataFrame:
+def column_overview(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None) -> DataFrame:
     """O2"""
-    return S.typed_stats(df, overrides).select(
+    return S.typed(df, overrides, typed).select(
         "position", "column", "dtype", "semantic_type", "n_distinct",
         X.pct2(F.col("n_null"), F.col("n_rows")).alias("pct_missing"),
         column_role(F.col("semantic_type")).alias("role"))
 
 
-def overview_flags(df: DataFrame, overrides: dict | None = None) -> DataFrame:
+def overview_flags(df: DataFrame, overrides: dict | None = None, typed: DataFrame | None = None) -> DataFrame:
     """Table-level flags, one row per flag that applies, with the value behind it."""
     t = F.col("semantic_type")
-    one = S.typed_stats(df, overrides).agg(
+    one = S.typed(df, overrides, typed).agg(
         F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_cols"),
         X.pct(F.sum("n_null"), F.sum("n_rows")).alias("pct_missing"),
         X.count_if(t == "id").alias("n_id"), X.count_if(t.startswith("categorical")).alias("n_cat"),

@@ -144,7 +144,8 @@ def missing_clusters(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def row_patterns(df: DataFrame) -> DataFrame:
-    """(missing, duplicated, n, n_groups): rows by null flag and by having an exact copy.
+    """(missing, duplicated, n, n_groups): rows by null flag and by having an exact copy; at most four rows,
+    worth keeping because several operators accept it as ``patterns``.
 
     The only shuffle groups whole rows (long text hashed); copies collapse in the map tasks.
     """
@@ -156,10 +157,10 @@ def row_patterns(df: DataFrame) -> DataFrame:
             .groupBy("missing", "duplicated").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_groups")))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """Q8: all members of duplicate groups; plus the rows a deduplication would really remove."""
     dup = F.col("duplicated")
-    p = row_patterns(df)
+    p = row_patterns(df) if patterns is None else patterns
     zero = F.lit(0).cast("bigint")
     members = F.coalesce(F.sum(F.when(dup, F.col("n"))), zero)
     groups = F.coalesce(F.sum(F.when(dup, F.col("n_groups"))), zero)
@@ -255,9 +256,9 @@ def _overlap(patterns: DataFrame) -> DataFrame:
         "pattern", "n", X.pct2(F.col("n"), F.col("total")).alias("pct"))
 
 
-def anomaly_overlap(df: DataFrame) -> DataFrame:
+def anomaly_overlap(df: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """Q13: rows only missing, only duplicated, both, none; over all rows."""
-    return _overlap(row_patterns(df))
+    return _overlap(row_patterns(df) if patterns is None else patterns)
 
 
 def _issue(df, module, issue, column, severity_col, value, action, impact) -> DataFrame:
@@ -269,8 +270,8 @@ def _issue(df, module, issue, column, severity_col, value, action, impact) -> Da
         impact.cast("bigint").alias("impact"))
 
 
-def _standardized(df: DataFrame) -> DataFrame:
-    patterns = row_patterns(df)
+def _standardized(df: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    patterns = row_patterns(df) if patterns is None else patterns
     dup = patterns.where("duplicated").agg(F.sum("n").alias("n"), F.sum("n_groups").alias("g"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     dup = dup.where("n > 0").withColumn("pct", _pct2(F.col("n"), total))
@@ -292,22 +293,22 @@ def _standardized(df: DataFrame) -> DataFrame:
     ])
 
 
-def standardized_issues(df: DataFrame) -> DataFrame:
+def standardized_issues(df: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """Q14: all findings as issue rows, worst first; ``impact`` is rows removed, columns removed or cells changed."""
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    return _standardized(df).orderBy(rank, F.coalesce("column", F.lit("")), "issue")
+    return _standardized(df, patterns).orderBy(rank, F.coalesce("column", F.lit("")), "issue")
 
 
-def cleaning_summary(df: DataFrame) -> DataFrame:
-    """Q15"""
+def cleaning_summary(df: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """Q15; ``issues`` may be an earlier result of ``standardized_issues``."""
     review = F.col("action") == "review_only"
-    return _standardized(df).agg(
+    return (_standardized(df) if issues is None else issues).agg(
         F.count(F.lit(1)).alias("issues_total"), X.count_if(~review).alias("actionable_total"),
         X.count_if(review).alias("review_only_total"),
         F.array_join(F.sort_array(F.collect_set(F.when(~review, F.col("column")))), ", ").alias("columns_impacted"),
         X.count_if(~review & F.col("column").isNull()).alias("dataset_level_actions"))
 
 
-def issues_by_severity(df: DataFrame) -> DataFrame:
+def issues_by_severity(df: DataFrame, issues: DataFrame | None = None) -> DataFrame:
     """Q16"""
-    return _standardized(df).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    return (_standardized(df) if issues is None else issues).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))

@@ -97,6 +97,11 @@ def typed_stats(df: DataFrame, overrides: dict | None = None, extra=None) -> Dat
     return column_stats(df, overrides, extra).withColumn("semantic_type", type_rule())
 
 
+def typed(df: DataFrame, overrides: dict | None = None, known: DataFrame | None = None) -> DataFrame:
+    """``known``, or the typed column statistics of the table (one row per column)."""
+    return typed_stats(df, overrides) if known is None else known
+
+
 def semantic_types(df: DataFrame, overrides: dict | None = None) -> DataFrame:
     """(column, semantic_type); ``overrides`` win over the rules."""
     return typed_stats(df, overrides).select("position", "column", "semantic_type")

@@ -30,25 +30,47 @@ TEST_BOOLEANS, TEST_CATEGORIES, FEW_LEVELS = 2, 2, 5
 class _Run:
     """What the modules share: the prepared table, the raw result of typing, the request."""
 
-    def __init__(self, full: DataFrame, table: DataFrame, types: dict[str, str], ctx: AnalysisContext):
-        self.full, self.table, self.types, self.ctx = full, table, types, ctx
+    def __init__(self, full: DataFrame, table: DataFrame, ctx: AnalysisContext):
+        self.full, self.table, self.ctx = full, table, ctx
+        # One row per column; kept, because most of overview and governance is a projection of it.
+        self.typed = G.profile_stats(full, ctx.semantic_overrides).persist()
+        rows = self.typed.select("position", "column", "semantic_type").orderBy("position").collect()
+        self.types = {r["column"]: r["semantic_type"] for r in rows}
+        types = self.types
+        self._patterns = self._pii = None
         self.groups = S.group_map(types)
         self.numeric = self.groups["numeric_continuous"] + self.groups["numeric_discrete"]
         self.categorical = self.groups["categorical_nominal"] + self.groups["categorical_ordinal"]
 
+    @property
+    def patterns(self) -> DataFrame:
+        """At most four rows behind the one whole-row shuffle."""
+        if self._patterns is None:
+            self._patterns = Q.row_patterns(self.full).persist()
+        return self._patterns
+
+    @property
+    def pii(self) -> DataFrame:
+        if self._pii is None:
+            self._pii = G.pii_candidates(self.full).persist()
+        return self._pii
+
 
 def _overview(r: _Run):
-    return {"table": O.table_overview(r.full), "columns": O.column_overview(r.full, r.types), "flags": O.overview_flags(r.full, r.types)}
+    return {"table": O.table_overview(r.full), "columns": O.column_overview(r.full, typed=r.typed),
+            "flags": O.overview_flags(r.full, typed=r.typed)}
 
 
 def _data_quality(r: _Run):
     df = r.full
+    issues = Q.standardized_issues(df, r.patterns).persist()
+    worst = Q.worst_columns(df, Q.PATTERN_COLUMNS)
     return {"missing_by_column": Q.missing_by_column(df), "missing_global": Q.missing_global(df), "missing_per_row": Q.missing_per_row(df),
-            "missing_cooccurrence": Q.missing_cooccurrence(df), "missing_correlation": Q.missing_correlation(df),
-            "missing_clusters": Q.missing_clusters(df), "duplicates": Q.duplicate_rows(df), "near_constant": Q.near_constant(df),
+            "missing_cooccurrence": Q.missing_cooccurrence(df, worst), "missing_correlation": Q.missing_correlation(df, worst),
+            "missing_clusters": Q.missing_clusters(df, worst), "duplicates": Q.duplicate_rows(df, r.patterns), "near_constant": Q.near_constant(df),
             "exclusion_candidates": Q.exclusion_candidates(df), "masked_missing": Q.masked_missing(df),
-            "whitespace": Q.whitespace_issues(df), "overlap": Q.anomaly_overlap(df), "issues": Q.standardized_issues(df),
-            "cleaning_summary": Q.cleaning_summary(df), "issues_by_severity": Q.issues_by_severity(df)}
+            "whitespace": Q.whitespace_issues(df), "overlap": Q.anomaly_overlap(df, r.patterns), "issues": issues,
+            "cleaning_summary": Q.cleaning_summary(df, issues), "issues_by_severity": Q.issues_by_severity(df, issues)}
 
 
 def _univariate(r: _Run):
@@ -142,16 +164,19 @@ def _inference(r: _Run):
 
 
 def _governance(r: _Run):
-    df, t, ctx = r.full, r.types, r.ctx
+    df, ctx, typed = r.full, r.ctx, r.typed
     target = ctx.target if ctx.target in df.columns else None
-    out = {"dimensions": G.quality_dimensions(df, t), "score": G.quality_score(df, t), "pii": G.pii_candidates(df),
-           "schema": G.column_schema_profile(df, t), "types": G.semantic_summary(df, t), "encoding": G.encoding_advice(df, t),
-           "scaling": G.scaling_advice(df, t), "imputation": G.imputation_advice(df, t), "split": G.split_advice(df, ctx.problem_type, t),
-           "features": G.feature_advice(df, list(ctx.accepted_features), t), "applicability": G.analysis_applicability(df, t),
-           "alerts": G.critical_alerts(df, target, t), "metrics": G.executive_metrics(df, t),
-           "decisions": G.decision_matrix(df, target, t), "actions": G.action_items(df, target, t)}
+    known = {"typed": typed, "patterns": r.patterns}
+    out = {"dimensions": G.quality_dimensions(df, **known), "score": G.quality_score(df, **known), "pii": r.pii,
+           "schema": G.column_schema_profile(df, typed=typed, pii=r.pii), "types": G.semantic_summary(df, typed=typed),
+           "encoding": G.encoding_advice(df, typed=typed), "scaling": G.scaling_advice(df, types=r.types),
+           "imputation": G.imputation_advice(df, typed=typed), "split": G.split_advice(df, ctx.problem_type, typed=typed),
+           "features": G.feature_advice(df, list(ctx.accepted_features), typed=typed),
+           "applicability": G.analysis_applicability(df, typed=typed), "alerts": G.critical_alerts(df, target, typed=typed, pii=r.pii),
+           "metrics": G.executive_metrics(df, **known), "decisions": G.decision_matrix(df, target, pii=r.pii, **known),
+           "actions": G.action_items(df, target, typed=typed, pii=r.pii)}
     if target:
-        out |= {"class_balance": G.class_balance(df, target), "leakage": G.leakage_risks(df, target, t)}
+        out |= {"class_balance": G.class_balance(df, target), "leakage": G.leakage_risks(df, target, typed=typed)}
         if ctx.problem_type == "classification":
             out |= {"fairness_groups": G.fairness_groups(df, target), "fairness": G.fairness(df, target)}
     return out
@@ -183,9 +208,8 @@ def run_analysis(df: DataFrame, ctx: AnalysisContext | None = None, modules: lis
         full = full.select(*[X.ref(c) for c in full.columns if c in wanted])
     if ctx.accepted_features or ctx.cleaning_actions:
         full = full.persist()
-    types = S.type_map(full, ctx.semantic_overrides)
-    run = _Run(full, sample_fixed(full) if sample else full, types, ctx)
-    results = {"prepare": prepare | {"types": X.lit_rows(df, list(types.items()), "column string, semantic_type string")}}
+    run = _Run(full, sample_fixed(full) if sample else full, ctx)
+    results = {"prepare": prepare | {"types": X.lit_rows(df, list(run.types.items()), "column string, semantic_type string")}}
     for name in modules or MODULES:
         try:
             results[name] = MODULES[name](run)
