@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from tablescope.catalog.common import query, table
 from tablescope.context import AnalysisContext, CleaningAction
-from tablescope.plans.pipeline import run_analysis
+from tablescope.plans.pipeline import run_analysis, summary
 
 
 @query("run_analysis")
 def _(spark, sf):
     ctx = AnalysisContext(target="o_orderstatus", problem_type="classification", cleaning_actions=(CleaningAction("drop_duplicate_rows"),))
     results = run_analysis(table(spark, sf, "orders_missing"), ctx, ["overview", "data_quality", "univariate", "inference", "governance"])
-    counts = [frame.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(m).alias("module"), F.lit(r).alias("result"), "n_rows")
-              for m, frames in results.items() for r, frame in frames.items()]
-    return reduce(DataFrame.unionByName, counts)
+    return summary(results)

@@ -228,3 +228,9 @@ def write_analysis(results: dict[str, dict[str, DataFrame]], path: str) -> dict[
             except Exception as error:  # noqa: BLE001 - reported, the rest is still written
                 failed[f"{module}/{name}"] = f"{type(error).__name__}: {error}"[:500]
     return failed
+
+
+def summary(results: dict[str, dict[str, DataFrame]]) -> DataFrame:
+    """Run every result on its own and report its size: (module, result, n_rows)."""
+    rows = [(module, name, frame.count()) for module, frames in results.items() for name, frame in frames.items()]
+    return X.lit_rows(next(iter(results["prepare"].values())), rows, "module string, result string, n_rows bigint")
