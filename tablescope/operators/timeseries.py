@@ -76,6 +76,10 @@ def _blocks(s: DataFrame, before, after=0, size: int = BLOCK) -> DataFrame:
     return B.blocks(s.withColumnRenamed("rn", "_rn"), [KEY], size, before, after)
 
 
+def _same(value: str, n: int) -> pd.Series:
+    return pd.Series([value] * n, dtype=object)
+
+
 STATE = "start bigint, mean double, sd double, hi double, lo double"
 
 
@@ -116,7 +120,7 @@ def cusum_change_points(s: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def alarms(pdf: pd.DataFrame) -> pd.DataFrame:
         found, _ = run(pdf, entry_of(pdf))
-        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]] * len(found), "rn": pd.Series(found, dtype="int64")})
+        return pd.DataFrame({KEY: _same(pdf[KEY].iloc[0], len(found)), "rn": np.array(found, dtype="int64")})
 
     schema = f"{KEY} string, _block bigint, {STATE}"
     existing = data.select(*keys).distinct()
@@ -215,7 +219,7 @@ def _lag_products(s: DataFrame, lags: Column) -> DataFrame:
         x, own = pdf["dev"].to_numpy(), pdf["_own"].to_numpy()
         lags = int(pdf["lags"].iloc[0])
         sums = [float((x[k:] * x[:len(x) - k])[own[k:]].sum()) for k in range(1, lags + 1)]
-        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]] * lags, "lag": np.arange(1, lags + 1), "s": sums})
+        return pd.DataFrame({KEY: _same(pdf[KEY].iloc[0], lags), "lag": np.arange(1, lags + 1), "s": sums})
 
     parts = b.groupBy(KEY, "_block").applyInPandas(part, f"{KEY} string, lag int, s double")
     return parts.groupBy(KEY, "lag").agg(F.sum("s").alias("s"))
