@@ -57,6 +57,11 @@ def _(spark, sf):
     return BI.spearman_pairs(table(spark, sf, "lineitem"), NUM)
 
 
+@query("spearman_pairs_missing", spearman_sql(BI.column_pairs(["o_custkey", "o_totalprice", "o_orderkey"]), duck("orders_missing")), "spearman_rho")
+def _(spark, sf):
+    return BI.spearman_pairs(table(spark, sf, "orders_missing"), ["o_custkey", "o_totalprice", "o_orderkey"])
+
+
 def matrix_sql(cols, t):
     return " UNION ALL ".join(f"SELECT '{a}' AS var_a, '{b}' AS var_b, " + ("1.0" if a == b else f"coalesce(corr({a}, {b}), 0)") + f" AS value FROM {t}"
                               for a in cols for b in cols)

@@ -12,6 +12,7 @@ from tablescope.functions import stats as ST
 from tablescope.operators import groups as G
 from tablescope.operators import univariate as U
 from tablescope.plans import blocks as B
+from tablescope.session import cut_lineage
 
 # Result sizes and thresholds.
 MAX_NUMERIC, MIN_N, TOP_PAIRS, TOP_SCATTERS, SCATTER_POINTS = 20, 10, 30, 5, 2_000
@@ -37,26 +38,59 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
             .orderBy(F.abs("pearson_r").desc(), "var_a", "var_b").limit(TOP_PAIRS))
 
 
-def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """B2: Pearson of the average ranks, per pair of complete rows.
+# A rank table up to this many distinct values is broadcast (about 16 bytes each).
+BROADCAST_VALUES = 500_000
 
-    Both sides are merged to (pair, x, y) counts first; each side's distinct values are ranked by the
-    global order, then joined back on the value.
-    """
+
+def _rho(moments: DataFrame) -> DataFrame:
+    rho = F.coalesce(X.div(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy"))), F.lit(0.0))
+    return moments.where(F.col("n") >= MIN_N).select("var_a", "var_b", "n", rho.alias("spearman_rho"))
+
+
+def _spearman_complete(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Columns without gaps have one rank per value whatever the partner: rank each column once, look the
+    ranks up by value (broadcast while the rank table is small, else a shuffle join), one pass for all pairs."""
+    counts = B.long_numeric(df, columns).groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+    ranks = cut_lineage(B.avg_ranks(counts, ["column"], "x").select("column", "x", "rank"))
+    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = df.select(*[X.double(df, c).alias(c) for c in columns])
+    for c in columns:
+        table = ranks.where(F.col("column") == c).select(F.col("x").alias(c), F.col("rank").alias("_rank"))
+        table = F.broadcast(table) if sizes.get(c, 0) <= BROADCAST_VALUES else table
+        rows = rows.join(table, c).select(*[F.col("_rank").alias(c) if o == c else X.ref(o) for o in columns])
+    return _rho(B.pair_moments(rows, pairs))
+
+
+def _spearman_pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Ranks among the complete rows of each pair: both sides are merged to (pair, x, y) counts, each
+    side's distinct values are ranked by the global order, then joined back on the value."""
     keys = ["var_a", "var_b"]
-    joint = B.pair_rows(df, column_pairs(columns[:MAX_NUMERIC])).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    joint = joint.persist()
+    joint = cut_lineage(B.pair_rows(df, pairs).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("c")))
     sides = [joint.groupBy(*keys, F.lit(s).alias("side"), F.col(s).alias("v")).agg(F.sum("c").alias("n")) for s in ("x", "y")]
-    ranks = B.avg_ranks(sides[0].unionByName(sides[1]), [*keys, "side"], "v")
+    ranks = cut_lineage(B.avg_ranks(sides[0].unionByName(sides[1]), [*keys, "side"], "v").select(*keys, "side", "v", "rank", "_total"))
     rx = ranks.where("side = 'x'").select(*keys, F.col("v").alias("x"), F.col("rank").alias("rx"), "_total")
     ry = ranks.where("side = 'y'").select(*keys, F.col("v").alias("y"), F.col("rank").alias("ry"))
     j = joint.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])
     mid = (F.col("_total") + 1) / F.lit(2.0)
     a, b, c = F.col("rx") - mid, F.col("ry") - mid, F.col("c")
-    s = j.groupBy(*keys).agg(F.sum(c).alias("n"), F.sum(c * a * a).alias("sxx"), F.sum(c * b * b).alias("syy"),
-                             F.sum(c * a * b).alias("sxy")).where(F.col("n") >= MIN_N)
-    rho = F.coalesce(X.div(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy"))), F.lit(0.0))
-    return s.select(*keys, "n", rho.alias("spearman_rho"))
+    return _rho(j.groupBy(*keys).agg(F.sum(c).alias("n"), F.sum(c * a * a).alias("sxx"), F.sum(c * b * b).alias("syy"),
+                                     F.sum(c * a * b).alias("sxy")))
+
+
+def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """B2: Pearson of the average ranks, per pair of complete rows."""
+    columns = columns[:MAX_NUMERIC]
+    gaps = B.wide(df, {c: {"gaps": X.count_if(X.double(df, c).isNull())} for c in columns}).collect()
+    whole = [r["column"] for r in gaps if r["gaps"] == 0]
+    pairs = column_pairs(columns)
+    fast = [p for p in pairs if p[0] in whole and p[1] in whole]
+    slow = [p for p in pairs if p not in fast]
+    parts = []
+    if fast:
+        parts.append(_spearman_complete(df, [c for c in whole if any(c in p for p in fast)], fast))
+    if slow:
+        parts.append(_spearman_pairwise(df, slow))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -40,7 +40,10 @@ def kind_of(kind: T.DataType) -> str:
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Exact (column, n_distinct, top_n, not_boolean) from one FREQ shuffle."""
-    f = B.freq(df, B.countable(df) if columns is None else columns, hashed=True)
+    columns = B.countable(df) if columns is None else columns
+    if not columns:
+        return X.lit_rows(df, [], "column string, n_distinct bigint, top_n bigint, not_boolean bigint")
+    f = B.freq(df, columns, hashed=True)
     odd = ~F.lower("value").isin(*K.BOOLEAN)
     return f.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_distinct"), F.max("n").alias("top_n"),

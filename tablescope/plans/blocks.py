@@ -72,10 +72,35 @@ def unpivot_text(df: DataFrame, columns: list[str], hashed: bool = False) -> Dat
     return df.select(X.rows(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns]))
 
 
+def _family(kind: T.DataType) -> str:
+    """Type in which a column's values are counted: 8-byte keys wherever possible, text only for text."""
+    if isinstance(kind, X.INTEGER_TYPES):
+        return "bigint"
+    if isinstance(kind, X.FLOAT_TYPES):
+        return "double"
+    return kind.simpleString()
+
+
 def freq(df: DataFrame, columns: list[str], hashed: bool = False) -> DataFrame:
-    """FREQ: (column, value, n) over non-null values; hot values are pre-counted in the map tasks."""
-    return (unpivot_text(df, columns, hashed).where(F.col("value").isNotNull())
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    """FREQ: (column, value, n) over non-null values; hot values are pre-counted in the map tasks.
+
+    Columns of one type are counted together in that type and turned into text afterwards, so each
+    column is read once and numbers are shuffled as numbers.
+    """
+    families: dict[str, list[str]] = {}
+    for c in columns:
+        families.setdefault(_family(X.dtype(df, c)), []).append(c)
+    parts = []
+    for family, names in families.items():
+        def value(c, family=family):
+            if family == "string":
+                return short(X.ref(c)) if hashed else X.ref(c)
+            v = X.ref(c).cast(family)
+            return v + F.lit(0.0) if family == "double" else v
+        counts = (df.select(X.rows(*[F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in names]))
+                  .where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
+        parts.append(counts.select("column", F.col("v").cast("string").alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def countable(df: DataFrame) -> list[str]:
