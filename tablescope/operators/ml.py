@@ -166,13 +166,8 @@ def _distinct(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str],
 
 def _worst(scored: DataFrame, value: str) -> DataFrame:
     """Adds ``anomaly``: above the linear-interpolated 95 % quantile of the rows (vectors weighted by count)."""
-    o = B.ordered(scored.withColumn("_all", F.lit(1)), ["_all"], [value], weight="w")
-    h = (1 - FLAGGED) * (F.col("_total") - 1)
-
-    def at(i):
-        return F.max(F.when((F.col("_before") <= i) & (F.col("_before") + F.col("_peers") > i), F.col(value)))
-    cut = o.agg(at(F.floor(h)).alias("a"), at(F.ceil(h)).alias("b"), F.max(h - F.floor(h)).alias("f")).select(
-        (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("cut")).scalar()
+    cut = B.weighted_quantile(scored.select(F.lit("all").alias("_all"), value, "w"), ["_all"], value, "w", 1 - FLAGGED, "cut")
+    cut = cut.select("cut").scalar()
     return scored.withColumn("anomaly", F.col(value) > cut)
 
 

@@ -22,6 +22,8 @@ MIN_N, MAX_LAG, NOTABLE = 10, 40, 0.2
 MAX_VALUES = 3
 # Rows per block and rows of context the seasonal decomposition needs on either side.
 BLOCK, STL_HALO = 100_000, 1_000
+# Copies of one row that a task expands at a time.
+COPY_CHUNK = 1_000_000
 KEY = "series_key"
 
 
@@ -34,23 +36,32 @@ def value_columns(numeric: list[str]) -> list[str]:
 def series_prepare(df: DataFrame, ts: str, value: str, key: str | None = None) -> DataFrame:
     """TS1: complete rows in time order with position ``rn`` and the series' ``n``; short series are dropped.
 
-    Also carries ``mean`` and the running sums of the centred value and its square, on which the
-    other operators build. A random last sort key spreads rows that are equal in every column.
+    Also carries ``mean`` and the running sums of the centred value and its square, on which the other
+    operators build. Equal rows are merged before the global order and given back afterwards, so a third
+    of the table being copies of one row does not end up in one task.
     """
     k = F.coalesce(X.text(df, key), F.lit("null")) if key else F.lit("all")
     rows = df.select(k.alias(KEY), X.timestamp(df, ts).alias("ts"), X.double(df, value).alias("x")).dropna()
     shift = rows.agg(F.avg("x").alias("m")).scalar()
-    rows = rows.withColumn("c", F.col("x") - shift).withColumn("c2", F.col("c") ** 2).withColumn("tie", F.rand(7))
-    o = B.ordered(rows, [KEY], ["ts", "x", "tie"], running={"sum_c": "c", "sum_c2": "c2"}, totals=True)
+    merged = rows.groupBy(KEY, "ts", "x").agg(F.count(F.lit(1)).alias("w")).withColumn("c", F.col("x") - shift)
+    merged = merged.withColumn("wc", F.col("w") * F.col("c")).withColumn("wc2", F.col("w") * F.col("c") ** 2)
+    o = B.ordered(merged, [KEY], ["ts", "x"], weight="w", running={"sum_c": "wc", "sum_c2": "wc2"}, totals=True)
     o = o.where(F.col("_total") >= MIN_N)
-    n = F.col("_total").cast("double")
+    copies = F.sequence(F.lit(1).cast("bigint"), F.col("w"))
+    if (merged.agg(F.max("w").alias("w")).first()["w"] or 0) > COPY_CHUNK:
+        # Long runs of copies are cut up and spread before they are expanded.
+        starts = F.sequence(F.lit(1).cast("bigint"), F.col("w"), F.lit(COPY_CHUNK).cast("bigint"))
+        o = o.withColumn("from", F.explode(starts)).repartition(KEY, F.col("_before") + F.col("from"))
+        copies = F.sequence(F.col("from"), F.least(F.col("w"), F.col("from") + COPY_CHUNK - 1))
+    o = o.withColumn("j", F.explode(copies))
+    behind = F.col("w") - F.col("j")
+    n, rn = F.col("_total").cast("double"), F.col("_before") + F.col("j")
     mean_c = F.col("sum_c_total") / n
-    return o.select(KEY, "ts", "x", F.col("_rn").alias("rn"), F.col("_total").alias("n"),
-                    (F.col("x") - F.col("c") + mean_c).alias("mean"),
-                    (F.col("sum_c") - (F.col("_rn")) * mean_c).alias("drift"),
-                    (F.col("c") - mean_c).alias("dev"),
-                    F.greatest(F.lit(0.0), F.col("sum_c2_total") - n * mean_c ** 2).alias("ss"),
-                    "sum_c", "sum_c2", F.col("sum_c_total"), F.col("sum_c2_total"), "c")
+    sum_c, sum_c2 = F.col("sum_c") - behind * F.col("c"), F.col("sum_c2") - behind * F.col("c") ** 2
+    return o.select(KEY, "ts", "x", rn.cast("bigint").alias("rn"), F.col("_total").alias("n"), "c",
+                    (F.col("x") - F.col("c") + mean_c).alias("mean"), (F.col("c") - mean_c).alias("dev"),
+                    (sum_c - rn * mean_c).alias("drift"), sum_c.alias("sum_c"), sum_c2.alias("sum_c2"),
+                    F.greatest(F.lit(0.0), F.col("sum_c2_total") - n * mean_c ** 2).alias("ss"), "sum_c_total", "sum_c2_total")
 
 
 def series_metadata(s: DataFrame) -> DataFrame:
@@ -286,15 +297,18 @@ def stl_decompose(s: DataFrame, block: int = BLOCK) -> DataFrame:
 def datetime_gaps(df: DataFrame, columns: list[str]) -> DataFrame:
     """TS10: median step and gaps above 1.5 times the median, per datetime column."""
     micros = [F.struct(F.lit(c).alias("column"), F.unix_micros(X.timestamp(df, c).cast("timestamp")).alias("t")) for c in columns]
-    rows = df.select(X.rows(*micros)).where(F.col("t").isNotNull()).withColumn("tie", F.rand(7))
-    o = B.ordered(rows, ["column"], ["t", "tie"]).select("column", "t", "_rn")
+    counts = df.select(X.rows(*micros)).where(F.col("t").isNotNull()).groupBy("column", "t").agg(F.count(F.lit(1)).alias("w"))
+    o = cut_lineage(B.ordered(counts, ["column"], ["t"]).select("column", "t", "w", "_rn"))
     w = Window.partitionBy("column", "_block").orderBy("_rn")
-    steps = (B.blocks(o, ["column"], BLOCK, 1, 0).withColumn("step", F.col("t") - F.lag("t").over(w))
-             .where("_own and step is not null").select("column", F.col("step").cast("double").alias("step")))
-    median = B.quantiles(steps, ["column"], "step", {"median": 0.5}).select("column", (F.col("median") / 1000).alias("ms"))
+    # Between two distinct times lies one step; w equal times have w - 1 steps of zero.
+    moves = (B.blocks(o, ["column"], BLOCK, 1, 0).withColumn("step", F.col("t") - F.lag("t").over(w))
+             .where("_own and step is not null").select("column", F.col("step").cast("double").alias("step"), F.lit(1).cast("bigint").alias("k")))
+    still = o.where("w > 1").groupBy("column").agg(F.lit(0.0).alias("step"), F.sum(F.col("w") - 1).alias("k"))
+    steps = moves.unionByName(still).groupBy("column", "step").agg(F.sum("k").alias("k"))
+    median = B.weighted_quantile(steps, ["column"], "step", "k", 0.5, "median").select("column", (F.col("median") / 1000).alias("ms"))
     ms = F.col("ms")
     found = steps.join(F.broadcast(median), "column").where(ms > 0).groupBy("column", "ms").agg(
-        X.count_if(F.floor(F.col("step") / 1000) > ms * 1.5).alias("n_gaps"))
+        F.coalesce(F.sum(F.when(F.floor(F.col("step") / 1000) > ms * 1.5, F.col("k"))), F.lit(0).cast("bigint")).alias("n_gaps"))
     day, hour, minute = 86_400_000, 3_600_000, 60_000
 
     def unit(size, label):

@@ -224,6 +224,17 @@ def avg_ranks(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> D
     return o.withColumn("rank", F.col("_before") + (F.col("_peers") + 1) / F.lit(2.0))
 
 
+def weighted_quantile(counts: DataFrame, keys: list[str], value: str, weight: str, prob: float, name: str) -> DataFrame:
+    """Exact linear-interpolated quantile per key of a frequency table, by global order."""
+    o = ordered(counts, keys, [value], weight=weight)
+    h = F.lit(float(prob)) * (F.col("_total") - 1)
+
+    def at(i):
+        return F.max(F.when((F.col("_before") <= i) & (F.col("_before") + F.col("_peers") > i), F.col(value)))
+    found = o.groupBy(*keys).agg(at(F.floor(h)).alias("_a"), at(F.ceil(h)).alias("_b"), F.max(h - F.floor(h)).alias("_f"))
+    return found.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(name))
+
+
 def pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(var_a, var_b, x, y), pairwise-complete."""
     return (df.select(X.rows(*[

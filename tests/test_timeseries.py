@@ -137,3 +137,22 @@ def test_rolling_mean_matches_pandas(spark):
     got = {r["rn"]: r["rolling_mean"] for r in TS.rolling_mean(prepared(spark, x)).collect()}
     want = pd.Series(x).rolling(20).mean()
     assert len(got) == 181 and all(got[i + 1] == pytest.approx(want[i], abs=1e-9) for i in range(19, 200))
+
+
+@pytest.mark.parametrize("chunk", [7, 1_000_000])
+def test_copies_of_one_row_are_all_kept(spark, monkeypatch, chunk):
+    monkeypatch.setattr(TS, "COPY_CHUNK", chunk)
+    x = [1.0] * 30 + [2.0] * 20 + [float(i) for i in range(10)]
+    t = [START] * 50 + [START + dt.timedelta(days=1 + i) for i in range(10)]
+    s = TS.series_prepare(spark.createDataFrame(list(zip(t, x)), "t timestamp_ntz, v double"), "t", "v")
+    rows = s.orderBy("rn").collect()
+    assert [r["rn"] for r in rows] == list(range(1, 61)) and [r["x"] for r in rows] == x
+    d = np.array(x) - np.mean(x)
+    assert [r["drift"] for r in rows] == pytest.approx(np.cumsum(d), abs=1e-9)
+    gaps = TS.datetime_gaps(spark.createDataFrame([(v,) for v in t], "t timestamp_ntz"), ["t"])
+    assert gaps.count() == 0  # the median step is zero
+
+
+def test_cusum_alarms_inside_copies(spark):
+    x = np.concatenate([np.zeros(150), np.full(150, 1.0), np.random.default_rng(1).normal(size=50)])
+    assert sorted(r["rn"] for r in TS.cusum_change_points(prepared(spark, x), 40).collect()) == naive_cusum(x)
