@@ -168,6 +168,11 @@ def _(spark, sf):
 
 # ── suggestions ───────────────────────────────────────────────────────────────────────────────
 
+def _verdicts(spark, sf, name):
+    """One row per column, read several times by each rule."""
+    return S.best_semantic(table(spark, sf, name)).persist()
+
+
 def _hits(col, words):
     return "(" + " + ".join(f"CAST(contains({col}, '{w}') AS INT)" for w in dict.fromkeys(words)) + ")"
 
@@ -185,7 +190,7 @@ def _edge(col):
     FROM (SELECT *, trim(regexp_replace(lower(c), 'price|prezzo|costo', '', 'g'), '_') AS s FROM price) p,
          (SELECT *, trim(regexp_replace(lower(c), 'qty|quantity|quantita', '', 'g'), '_') AS s FROM qty) q ORDER BY p.position, q.position LIMIT 6"""), "confidence")
 def _(spark, sf):
-    return FE.suggest_revenue(S.best_semantic(table(spark, sf, "lineitem")))
+    return FE.suggest_revenue(_verdicts(spark, sf, "lineitem"))
 
 
 @query("suggest_margin", with_verdicts("sales", f""", m AS (SELECT a.c AS s, b.c AS k,
@@ -195,7 +200,7 @@ def _(spark, sf):
     SELECT 'margin_pct_' || s, 'margin_pct', s || ', ' || k, '(' || s || ' - ' || k || ') / NULLIF(' || s || ', 0) * 100',
       round(f * 0.95, 3), 'pending' FROM m"""), "confidence")
 def _(spark, sf):
-    return FE.suggest_margin(S.best_semantic(table(spark, sf, "sales")))
+    return FE.suggest_margin(_verdicts(spark, sf, "sales"))
 
 
 @query("suggest_discount", with_verdicts("sales", f"""
@@ -205,7 +210,7 @@ def _(spark, sf):
     FROM price p, best d WHERE d.detector IN ('price', 'percentage') AND {_hits('d.c', K.DISCOUNT)} > 0 AND p.c <> d.c
       AND (SELECT count(*) FROM price) >= 2"""), "confidence")
 def _(spark, sf):
-    return FE.suggest_discount(S.best_semantic(table(spark, sf, "sales")))
+    return FE.suggest_discount(_verdicts(spark, sf, "sales"))
 
 
 @query("suggest_ratio", with_verdicts("sales", """
@@ -213,7 +218,7 @@ def _(spark, sf):
       a.c || ' / NULLIF(' || b.c || ', 0)' AS formula, round((a.confidence + b.confidence) / 2, 3) AS confidence,
       'pending' AS status FROM qty a, qty b WHERE contains(a.c, 'sold') AND contains(b.c, 'stock')"""), "confidence")
 def _(spark, sf):
-    return FE.suggest_ratio(S.best_semantic(table(spark, sf, "sales")))
+    return FE.suggest_ratio(_verdicts(spark, sf, "sales"))
 
 
 @query("suggest_ratio_fallback", with_verdicts("lineitem", """, r AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, position) AS k FROM qty)
@@ -221,7 +226,7 @@ def _(spark, sf):
       a.c || ' / NULLIF(' || b.c || ', 0)' AS formula, round((a.confidence + b.confidence) / 2 * 0.7, 3) AS confidence,
       'pending' AS status FROM r a, r b WHERE a.k < b.k ORDER BY a.k, b.k LIMIT 3"""), "confidence")
 def _(spark, sf):
-    return FE.suggest_ratio(S.best_semantic(table(spark, sf, "lineitem")))
+    return FE.suggest_ratio(_verdicts(spark, sf, "lineitem"))
 
 
 @query("suggest_datetime", with_verdicts("lineitem", """
@@ -229,7 +234,7 @@ def _(spark, sf):
       0.9 AS confidence, 'pending' AS status FROM best, (VALUES ('year'), ('month')) AS p(part) WHERE detector = 'date'"""),
        "confidence")
 def _(spark, sf):
-    return FE.suggest_datetime(S.best_semantic(table(spark, sf, "lineitem")))
+    return FE.suggest_datetime(_verdicts(spark, sf, "lineitem"))
 
 
 # ── overview ──────────────────────────────────────────────────────────────────────────────────

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,7 +232,14 @@ def write_analysis(results: dict[str, dict[str, DataFrame]], path: str) -> dict[
     return failed
 
 
-def summary(results: dict[str, dict[str, DataFrame]]) -> DataFrame:
-    """Run every result on its own and report its size: (module, result, n_rows)."""
-    rows = [(module, name, frame.count()) for module, frames in results.items() for name, frame in frames.items()]
-    return X.lit_rows(next(iter(results["prepare"].values())), rows, "module string, result string, n_rows bigint")
+def summary(results: dict[str, dict[str, DataFrame]], parallel: int = 8) -> DataFrame:
+    """Run every result on its own and report its size: (module, result, n_rows).
+
+    The results are independent jobs, so they are submitted from a few threads.
+    """
+    frames = [(module, name, frame) for module, found in results.items() for name, frame in found.items()]
+    spark = frames[0][2].sparkSession
+    count = inheritable_thread_target(spark)(lambda item: (item[0], item[1], item[2].count()))
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = list(pool.map(count, frames))
+    return X.lit_rows(frames[0][2], rows, "module string, result string, n_rows bigint")
