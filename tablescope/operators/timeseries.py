@@ -48,7 +48,7 @@ def series_prepare(df: DataFrame, ts: str, value: str, key: str | None = None) -
     o = B.ordered(merged, [KEY], ["ts", "x"], weight="w", running={"sum_c": "wc", "sum_c2": "wc2"}, totals=True)
     o = o.where(F.col("_total") >= MIN_N)
     copies = F.sequence(F.lit(1).cast("bigint"), F.col("w"))
-    if (merged.agg(F.max("w").alias("w")).first()["w"] or 0) > COPY_CHUNK:
+    if (o.agg(F.max("w").alias("w")).first()["w"] or 0) > COPY_CHUNK:
         # Long runs of copies are cut up and spread before they are expanded.
         starts = F.sequence(F.lit(1).cast("bigint"), F.col("w"), F.lit(COPY_CHUNK).cast("bigint"))
         o = o.withColumn("from", F.explode(starts)).repartition(KEY, F.col("_before") + F.col("from"))
