@@ -16,7 +16,26 @@ def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.ordinal import grades_of, score, train
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, grades_of(_table(spark, sf_dir, "labels")))
+    out = score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", "expected_grade", F.col("tail").alias("tail_probability"), (F.col("tail") >= 0.5).alias("kept"))
+
+
+def op8_binary_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from tablescope.llm.binary_packing import pack
+    out = pack(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                      "offset", "bucket")
+
+
 QUERIES = {
+    "op6_ordinal_quality": op6_ordinal_quality,
+    "op8_binary_packing": op8_binary_packing,
     "op7_partenum_join": op7_partenum_join,
 }
 
