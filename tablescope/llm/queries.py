@@ -16,6 +16,28 @@ def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.spaced_seeds import contamination
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_quantile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.quantile_rules import apply_rules, measures
+    from tablescope.session import cut_lineage
+    measured = cut_lineage(measures(_table(spark, sf_dir, "documents")))
+    return apply_rules(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.prefix_doubling import kept_bytes, repeated_spans
+    out = repeated_spans(_table(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    return out.select(F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"),
+                      F.when(F.size("spans") == 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise(
+                          F.sha2(kept_bytes(F.col("text"), F.col("spans")), 256)).alias("kept_sha256"))
+
+
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablescope.llm.ordinal import grades_of, score, train
     docs = _table(spark, sf_dir, "documents")
@@ -34,6 +56,9 @@ def op8_binary_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 
 QUERIES = {
+    "op1_spaced_seeds": op1_spaced_seeds,
+    "op2_quantile_rules": op2_quantile_rules,
+    "op5_prefix_doubling": op5_prefix_doubling,
     "op6_ordinal_quality": op6_ordinal_quality,
     "op8_binary_packing": op8_binary_packing,
     "op7_partenum_join": op7_partenum_join,
@@ -42,7 +67,70 @@ QUERIES = {
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _seed_rows(key: str, table: str) -> str:
+    masks = ((0, 1, 2, 4, 5, 7, 9), (0, 1, 3, 4, 6, 8, 9), (0, 2, 3, 5, 7, 8, 9))
+    windows = f"(select {key}, ws, unnest(range(len(ws) - 9)) as p from {table} where len(ws) >= 10)"
+    return " union all ".join(
+        f"select {key}, ws, p, {m} as mask, array_to_string([{', '.join(f'ws[p + {i + 1}]' for i in mask)}], ' ') as seed from {windows}"
+        for m, mask in enumerate(masks))
+
+
+def _quantile_rules_sql() -> str:
+    gamma, fence, least = "(1.02::double / 0.98::double)", 3.0, 50
+    measures = {"word_length": ("word_chars / n_words", 0.5, True), "symbol_rate": ("n_symbols / n_words", 0.05, False),
+                "dup_line_rate": ("n_dup_lines / n_words", 0.01, False), "repeat_rate": ("n_repeat_words / n_words", 0.03, False)}
+    rows = " union all ".join(
+        f"select lang, source, '{m}' as measure, case when x <= 1e-6 then 0 else ceil(ln(x / 1e-6) / ln({gamma}))::int end as bin "
+        f"from (select lang, source, ({e})::double as x from m where not base_failed)" for m, (e, _, _) in measures.items())
+
+    def level(name, keys):
+        over = f"partition by measure{keys}"
+        value = f"case when bin = 0 then 0.0 else pow({gamma}, bin - 0.5) * 1e-6 end"
+        return f"""
+{name} as (select measure{keys}, max(a) as n, min(case when b >= 0.25 * a then {value} end) as q1, min(case when b >= 0.75 * a then {value} end) as q3
+  from (select *, sum(n) over ({over} order by bin) as b, sum(n) over ({over}) as a from
+        (select measure{keys}, bin, count(*) as n from s group by measure{keys}, bin)) group by measure{keys})"""
+    pick = {q: f"case when f.n >= {least} then f.{q} when c.n >= {least} then c.{q} else w.{q} end" for q in ("q1", "q3")}
+    fences, tests = [], []
+    for m, (e, spread, both) in measures.items():
+        fences.append(f"max(case when measure = '{m}' then q3 + greatest(q3 - q1, {spread}) * {fence} end) as {m}_high")
+        tests.append(f"({e})::double <= {m}_high")
+        if both:
+            fences.append(f"max(case when measure = '{m}' then q1 - greatest(q3 - q1, {spread}) * {fence} end) as {m}_low")
+            tests.append(f"({e})::double >= {m}_low")
+    return rf"""
+with w as (select doc_id, lang, source, coalesce(text, '') as t, {WORDS.format(text="coalesce(text, '')")} as ws from documents),
+g as (select *, case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) else [] end as h,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) as ls from w),
+u as (select doc_id, unnest(h) as x, unnest(range(len(h))) as i from g where len(list_distinct(h)) < len(h)),
+r as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from
+        (select doc_id, i, count(*) over (partition by doc_id, x) as c from u) where c > 1) group by doc_id),
+k as (select g.doc_id, lang, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+        coalesce(r.n, 0)::bigint as n_repeat_words from g left join r on r.doc_id = g.doc_id),
+m as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from k),
+s as ({rows}),{level("f0", ", lang, source")},{level("c0", ", lang")},{level("w0", "")},
+p as (select f.measure, f.lang, f.source, {pick["q1"]} as q1, {pick["q3"]} as q3 from f0 f join c0 c on c.measure = f.measure
+        and c.lang is not distinct from f.lang join w0 w on w.measure = f.measure),
+z as (select lang, source, {", ".join(fences)} from p group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and case when n_words > 0 then coalesce({" and ".join(tests)}, false) else false end as kept
+from m left join z on z.lang is not distinct from m.lang and z.source is not distinct from m.source"""
+
+
 ORACLES = {
+    "op1_spaced_seeds": rf"""
+with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as ws from documents),
+t as (select distinct item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as ws from benchmark),
+ds as ({_seed_rows("doc_id", "d")}), ts as ({_seed_rows("item_id", "t")}),
+h as (select ds.doc_id, ts.item_id, ds.ws as dw, ts.ws as tw, ds.p - ts.p as s, ts.p as q from ds join ts using (mask, seed)),
+b as (select *, greatest(q - 3, 0, -s) as a, least(q + 13, len(tw), len(dw) - s) as e, greatest(0, -s) as a2, least(len(tw), len(dw) - s) as e2 from h),
+m as (select *, len(list_filter(range(a, e), lambda j: dw[j + s + 1] = tw[j + 1])) as near,
+        len(list_filter(range(a2, e2), lambda j: dw[j + s + 1] = tw[j + 1])) as whole from b)
+select doc_id, item_id, max(whole)::bigint as matched, max(len(tw))::bigint as item_words, count(*) as n_hits
+from m where near * 100 >= 80 * (e - a) group by 1, 2""",
+    "op2_quantile_rules": _quantile_rules_sql(),
     "op7_partenum_join": rf"""
 with recursive w as (select doc_id, {WORDS.format(text=LOWERED)} as ws from documents),
 s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
