@@ -28,6 +28,15 @@ def op2_quantile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.cross_parsing import predict, train
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    model = train(docs.where(~held_out))
+    out = docs.select("doc_id", held_out.alias("held_out"), predict(F.col("text"), model, spark).alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op5_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablescope.llm.prefix_doubling import kept_bytes, repeated_spans
     out = repeated_spans(_table(spark, sf_dir, "documents"), length=100)
@@ -58,6 +67,7 @@ def op8_binary_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_quantile_rules": op2_quantile_rules,
+    "op4_cross_parsing": op4_cross_parsing,
     "op5_prefix_doubling": op5_prefix_doubling,
     "op6_ordinal_quality": op6_ordinal_quality,
     "op8_binary_packing": op8_binary_packing,
