@@ -1,10 +1,81 @@
-"""The corpus pipeline: stages applied to ``documents`` one after another."""
+"""The corpus pipeline: from raw ``documents`` to packed token sequences.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
+columns of ``documents``. Empty tables, null texts and null ids are defined by the operators: a null text is the empty
+text; it has no grade against it, no shingles, no repeats and no benchmark overlap, so it stays and is packed as its end id.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablescope.llm import ordinal, partenum, prefix_doubling, spaced_seeds
+from tablescope.llm.binary_packing import pack
+from tablescope.session import cut_lineage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document is kept if the model finds the best grade at least so likely.
+LEAST_TAIL = 0.5
+#: Shingle length and similarity of near duplicates.
+SHINGLE, PERCENT = 5, 80
+#: Bytes of a repeated passage.
+PASSAGE = 100
+SEQUENCE = 2048
+END_ID = 1
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a good expected grade; ratings come from ``labels``."""
+    model = ordinal.train(docs, ordinal.grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return ordinal.score(docs, model).where(F.col("tail") >= LEAST_TAIL).select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that with the smallest id. Texts without words and rows with null ids stay."""
+    groups = cut_lineage(partenum.similarity_components(docs, k=SHINGLE, percent=PERCENT))
+    dropped = groups.where("id <> component_id").select(F.col("id").alias("_dropped")).distinct()
+    few = dropped.count() <= partenum.BROADCAST_IDS
+    left = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    if not groups.where("id is not null and n_shingles > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "text"])
+    return left.select(COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without byte strings that started earlier; a document of which nothing is left goes."""
+    out = prefix_doubling.repeated_spans(docs, length=PASSAGE, keep=["lang", "source"])
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(prefix_doubling.kept_text(F.col("text"), F.col("spans")))
+    out = out.select(F.col("id").alias("doc_id"), text.alias("text"), "payload.lang", "payload.source", (F.size("spans") > 0).alias("cut"))
+    out = out.where(~F.col("cut") | F.regexp_like("text", F.lit(r"\S")))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    return spaced_seeds.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths with their ids."""
+    import public_tokenizers
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=SEQUENCE, end_id=END_ID).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+#: The stages cannot be expressed in SQL; they are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; what a stage keeps is checkpointed, as the next one reads it several times."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

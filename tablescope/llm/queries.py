@@ -64,6 +64,21 @@ def op8_binary_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None =
                       "offset", "bucket")
 
 
+def op9_snapshot_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.snapshots import render
+    return render(_table(spark, sf_dir, "conversations"))
+
+
+def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.ngram_trie import score, train
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    trie = train(docs.where(~held_out))
+    out = score(docs, trie).withColumnRenamed("id", "doc_id")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_quantile_rules": op2_quantile_rules,
@@ -71,6 +86,8 @@ QUERIES = {
     "op5_prefix_doubling": op5_prefix_doubling,
     "op6_ordinal_quality": op6_ordinal_quality,
     "op8_binary_packing": op8_binary_packing,
+    "op9_snapshot_chats": op9_snapshot_chats,
+    "op10_ngram_trie": op10_ngram_trie,
     "op7_partenum_join": op7_partenum_join,
 }
 
@@ -141,6 +158,19 @@ m as (select *, len(list_filter(range(a, e), lambda j: dw[j + s + 1] = tw[j + 1]
 select doc_id, item_id, max(whole)::bigint as matched, max(len(tw))::bigint as item_words, count(*) as n_hits
 from m where near * 100 >= 80 * (e - a) group by 1, 2""",
     "op2_quantile_rules": _quantile_rules_sql(),
+    "op9_snapshot_chats": """
+with t as (select distinct conv_id, turn, role, text from conversations where conv_id is not null),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as p,
+        count(*) over (partition by conv_id) as n from t),
+h as (select *, md5(string_agg(coalesce('+' || role, '-') || chr(1) || coalesce('+' || text, '-') || chr(2), '' order by p)
+        over (partition by conv_id order by p rows unbounded preceding)) as h from o),
+w as (select n, h, min(conv_id) as conv_id from h where p = n group by n, h),
+k as (select conv_id, n from w where not exists (select 1 from h where h.p < h.n and h.p = w.n and h.h = w.h)),
+r as (select h.conv_id, (p - 1) // 256 as segment, max(h.n) as n_turns, string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '')
+        || chr(10) || '<|end|>' || chr(10), '' order by p) as text from h join k on k.conv_id = h.conv_id group by 1, 2)
+select conv_id, segment::bigint as segment, n_turns::bigint as n_turns, text from r
+union all select conv_id, 0, 1, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10)
+from conversations where conv_id is null""",
     "op7_partenum_join": rf"""
 with recursive w as (select doc_id, {WORDS.format(text=LOWERED)} as ws from documents),
 s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
