@@ -1,33 +1,38 @@
 """Removal of repeated byte strings by distributed prefix doubling (operator 5).
 
 Ranks of positions start with short prefixes and grow until a rank is unique (the position repeats nothing) or its
-prefix reaches the threshold. Sorting every byte position would move many times the input, so ranks are
-first sorted for sampled positions, which settle whole blocks of windows at once:
+prefix reaches the threshold. Sorting every byte position would move many times the input, so neighbouring window
+starts stay together in one row as long as they share their fate:
 
 1. Every window of ``length`` bytes has one anchor, the smallest hash of its ``ANCHOR``-byte strings. The windows of one
-   anchor are a block. Spark sorts the blocks by the rank of the anchor and then of the whole block. An anchor that
-   occurs once has no repeated window; a block equal to an earlier one is repeated as a whole; an anchor with
-   one kind of block is settled.
-2. Only blocks whose anchor stands in different surroundings are left: the edges of repeated passages. Their byte
-   positions are ranked by the first ``length / 4`` bytes, and pairs of ranks at growing offsets rerank them
-   (``length / 2``, then ``length`` bytes); after each round positions with a unique rank are dropped.
+   anchor are a block; the anchor is the prefix that they share, the block the bytes that they cover.
+2. Spark sorts the rows by the pair (rank of the shared bytes, rank of the covered bytes) and position. Where the first is
+   unique nothing repeats; where the pair occurred before, all windows of the row are repeated; where all
+   rows of a first rank are alike, the first of them is settled too.
+3. The rows that are left, the edges of repeated passages, are cut into rows of ``WIDTHS`` windows, which share more
+   bytes (``length`` less the width), and are ranked again, until the shared bytes are the whole window.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm import textnum as X
 from tablescope.session import cut_lineage
 
 ANCHOR = 32
+WIDTHS = (16, 4, 1)
 #: Up to so many documents' span lists are sent to all executors; more are joined by shuffle.
 BROADCAST_DOCUMENTS = 400_000
+BROADCAST_SPANS = 2_500_000
 _SPANS = "array<struct<lo:int,hi:int>>"
+_RANKED = "a long, c long, key long, lo int, hi int, at int"
 
 
 def _windows(offsets: np.ndarray, length: int) -> np.ndarray:
@@ -48,7 +53,7 @@ def _sliding_minimum(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def _blocks(length: int):
-    """(a, c, key, lo, hi): rank of the anchor, rank of the block, and the window starts lo .. hi of the block."""
+    """(a, c, key, lo, hi, at): ranks of anchor and block, the window starts lo .. hi, and the place of the anchor."""
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -77,18 +82,45 @@ def _blocks(length: int):
                 doc = np.searchsorted(offsets, lo, "right") - 1
                 base = offsets[doc]
                 yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[first + doc]),
-                                       pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
-                                      ["a", "c", "key", "lo", "hi"])
+                                       pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32)), pa.array((where - base).astype(np.int32))],
+                                      ["a", "c", "key", "lo", "hi", "at"])
+    return run
+
+
+def _tiles(width: int, length: int):
+    """Rows of ``_blocks`` for the open window starts of each text, cut at multiples of ``width`` before the anchor."""
+    def run(batches):
+        for batch in batches:
+            spans = batch.column(2)
+            size = np.diff(spans.offsets.to_numpy())
+            lo, hi, at = (spans.flatten().field(i).to_numpy().astype(np.int64) for i in range(3))
+            bounds = X.counts_to_offsets(size)
+            for first, end, b, offsets in X.chunks(batch.column(1)):
+                mine = slice(bounds[first], bounds[end])
+                doc = np.repeat(np.arange(end - first), size[first:end])
+                l, h, p = lo[mine], hi[mine], at[mine]
+                one, many = (p - h) // width, (p - l) // width - (p - h) // width + 1
+                j, of = X.ragged(one, many), np.repeat(np.arange(len(l)), many)
+                l, h, p, doc = l[of], h[of], p[of], doc[of]
+                h, l = p - np.maximum(j * width, p - h), p - np.minimum(j * width + width - 1, p - l)
+                base = offsets[doc]
+                prefix = X.prefix_hash(b)
+                shared = X.span_hash(prefix, base + p - j * width, base + p - j * width - width + 1 + length)
+                covered = X.span_hash(prefix, base + l, base + h + length)
+                a = X.mix(shared + j.astype(np.uint64), 33)
+                c = X.mix(covered + ((p - l) * 4096 + p - h).astype(np.uint64), 34)
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).slice(first, end - first).take(pa.array(doc)),
+                                       *(pa.array(x.astype(np.int32)) for x in (l, h, p))], ["a", "c", "key", "lo", "hi", "at"])
     return run
 
 
 def _resolve(batches):
-    """Rows sorted by (a, c, key, lo) -> (open, key, lo, hi): repeated blocks (open false) and blocks left to rank."""
+    """Rows sorted by (a, c, key, lo) -> (open, key, lo, hi, at): repeated rows (open false) and rows left to rank."""
     last = None  # (a, c) of the last row
-    pending = None  # the only block kind of the last anchor so far: (key, lo, hi)
-    several = False  # the last anchor has more than one kind
+    pending = None  # the only kind of row of the last shared bytes so far: (key, lo, hi, at)
+    several = False  # the last shared bytes have more than one kind
     for batch in batches:
-        a, c, key, lo, hi = (batch.column(i).to_numpy() for i in range(5))
+        a, c, key, lo, hi, at = (batch.column(i).to_numpy() for i in range(6))
         if not len(a):
             continue
         new_a, new_c = np.ones(len(a), bool), np.ones(len(a), bool)
@@ -97,7 +129,7 @@ def _resolve(batches):
         if last is not None and last[0] == a[0]:
             new_a[0] = False
             new_c[0] = last[1] != c[0]
-        group = np.cumsum(new_a)  # 0: the anchor that began earlier
+        group = np.cumsum(new_a)  # 0: the one that began earlier
         kinds = np.flatnonzero(new_c)
         per_group = np.bincount(group[kinds], minlength=int(group[-1]) + 1)
         if pending is not None and not new_a[0]:
@@ -107,19 +139,19 @@ def _resolve(batches):
             left[0] |= several
         out = kinds[left[group[kinds]]]
         copies = np.flatnonzero(~new_c)
-        rows = [np.concatenate([x[copies], x[out]]) for x in (key, lo, hi)]
+        rows = [np.concatenate([x[copies], x[out]]) for x in (key, lo, hi, at)]
         opened = np.concatenate([np.zeros(len(copies), bool), np.ones(len(out), bool)])
         if pending is not None and not new_a[0] and left[0]:
             rows = [np.append(x, np.array(p, x.dtype)) for x, p in zip(rows, pending, strict=True)]
             opened = np.append(opened, True)
             pending = None
-        yield pa.record_batch([pa.array(opened), *map(pa.array, rows)], ["open", "key", "lo", "hi"])
+        yield pa.record_batch([pa.array(opened), *map(pa.array, rows)], ["open", "key", "lo", "hi", "at"])
         end = int(group[-1])
         if end > 0 or new_a[0]:
             of_last = kinds[group[kinds] == end]
             several = bool(left[end])
             i = of_last[0]
-            pending = None if several else (key[i], lo[i], hi[i])
+            pending = None if several else (key[i], lo[i], hi[i], at[i])
         else:
             several = bool(left[0])
             if several:
@@ -127,127 +159,97 @@ def _resolve(batches):
         last = (a[-1], c[-1])
 
 
-def _merge(spans) -> list[tuple[int, int]]:
-    """Sorted maximal half-open spans of overlapping or touching ones."""
-    out: list[list[int]] = []
-    for s in sorted((x["lo"], x["hi"]) for x in spans):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
-        else:
-            out.append(list(s))
-    return [tuple(x) for x in out]
-
-
-def _positions(step: int, length: int):
-    """(key, pos, r): rank of the first ``step`` bytes of the open window starts and of what their prefixes reach."""
-    def run(batches):
-        ready, waiting = [], 0
-
-        def flush():
-            return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*ready, strict=True)], ["key", "pos", "r"])
-        for batch in batches:
-            for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                b = np.frombuffer(text.as_buffer(), np.uint8)
-                prefix = X.prefix_hash(b)
-                # window starts up to hi - 1, and what their prefixes reach
-                at = np.concatenate([np.arange(lo, hi) for lo, hi in _merge([{"lo": s["lo"], "hi": s["hi"] + length - step} for s in spans])])
-                ready.append((np.full(len(at), key), at.astype(np.int32), X.mix(X.span_hash(prefix, at, at + step), 33).view(np.int64)))
-                waiting += len(at)
-                if waiting >= 100_000:
-                    yield flush()
-                    ready, waiting = [], 0
-            if ready:
-                yield flush()
-                ready, waiting = [], 0
-    return run
-
-
-def _keep_repeated(rows: DataFrame) -> DataFrame:
-    """Positions whose rank occurs again; ranks are counted with partial sums first."""
-    again = rows.groupBy("r").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("r")
-    return rows.join(again, "r", "left_semi")
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+def _merged(batches):
+    """(key, sorted list of spans) -> (key, maximal spans of overlapping or touching ones)."""
+    for batch in batches:
+        lists = batch.column(1)
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        lo, hi = (lists.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
+        reach = np.maximum.accumulate((owner << 32) + hi)
+        new = np.ones(len(lo), bool)
+        new[1:] = (owner[1:] << 32) + lo[1:] > reach[:-1]
+        begin = np.flatnonzero(new)
+        end = reach[np.append(begin[1:], len(lo)) - 1] & 0xFFFFFFFF
+        offsets = X.counts_to_offsets(np.bincount(owner[begin], minlength=len(lists)))
+        spans = pa.StructArray.from_arrays([pa.array(lo[begin].astype(np.int32)), pa.array(end.astype(np.int32))], ["lo", "hi"])
+        yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), spans)], ["key", "spans"])
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, bool]:
     """(id, key, text), and whether keys are distinct: ``key`` orders the documents; equal rows share one key.
 
     With distinct, non-null long ids the key is the id. Otherwise documents are numbered by (id, nulls last, hash of text).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       F.struct(*[F.col(c).alias(c) for c in keep], F.lit(True).alias("_")).alias("payload"))
     odd = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
     if odd.isEmpty():
-        return rows.select("id", F.col("id").alias("key"), "text"), True
+        return rows.select("id", F.col("id").alias("key"), "text", "payload"), True
     from tablescope.plans.blocks import ordered
     named = rows.withColumn("h", F.xxhash64("text"))
     ids = named.select(F.lit(1).alias("one"), F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("i"), "h").distinct()
     numbers = ordered(ids, ["one"], ["last", "i", "h"]).select("last", "i", "h", F.col("_rn").alias("key"))
     keyed = named.withColumn("last", F.col("id").isNull()).withColumn("i", F.coalesce("id", F.lit(0))).join(numbers, ["last", "i", "h"])
-    return keyed.select("id", "key", "text"), False
+    return keyed.select("id", "key", "text", "payload"), False
 
 
-def _with_spans(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+def _with_lists(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """``rows`` and the list ``spans`` of their key."""
-    spans = cut_lineage(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select(
-        "key", _merge_udf()("spans").alias("spans")))
-    small = spans.count() <= BROADCAST_DOCUMENTS and spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    return rows.join(F.broadcast(spans) if small and small <= 4 * BROADCAST_DOCUMENTS else spans, "key", how)
-
-
-def _merge_udf():
-    def merged(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: [{"lo": a, "hi": b} for a, b in _merge(x)])
-    return F.pandas_udf(merged, _SPANS)
+    lists = cut_lineage(lists)
+    small = lists.count() <= BROADCAST_DOCUMENTS and (lists.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
+    return rows.join(F.broadcast(lists) if small else lists, "key", how)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """(id, text, spans): every row with the maximal byte spans ``[lo, hi)`` covered by a repeated string.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
+                   keep: list[str] | None = None) -> DataFrame:
+    """(id, text, spans, payload): every row with the maximal byte spans ``[lo, hi)`` covered by a repeated string.
 
     A string of ``length`` bytes is repeated where it also starts earlier: in a document with a smaller id, or earlier in
     the same one; overlapping occurrences count, and matches never leave a document. Texts are UTF-8
-    bytes; all windows of all whole texts are judged on the input. ``length`` is at least 64 and divisible by 4.
+    bytes; all windows of all whole texts are judged on the input. ``length`` is at least 64.
 
     Null text is the empty text. Rows equal in id and text are one document and get the same spans; different texts
-    under one id follow in the order of their hashes, null ids come last. Other columns are ignored; an empty
-    table gives no rows.
+    under one id follow in the order of their hashes, null ids come last. Other columns are ignored but for those
+    named in ``keep``, which become fields of ``payload``; an empty table gives no rows.
     """
-    if length < 64 or length % 4:
-        raise ValueError("length must be at least 64 and divisible by 4")
+    if length < 64:
+        raise ValueError("length must be at least 64")
     spark = docs.sparkSession
-    rows, distinct = _keyed(docs, id_col, text_col)
+    rows, distinct = _keyed(docs, id_col, text_col, keep or [])
     texts = rows.select("key", "text") if distinct else rows.select("key", "text").dropDuplicates(["key"])
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = texts.mapInArrow(_blocks(length), "a long, c long, key long, lo int, hi int")
-    sorted_blocks = blocks.repartition(n, "a").sortWithinPartitions("a", "c", "key", "lo")
-    settled = cut_lineage(sorted_blocks.mapInArrow(_resolve, "open boolean, key long, lo int, hi int"))
-    removed = settled.where("not open").select("key", "lo", (F.col("hi") + length).alias("hi"))
-
-    step = length // 4
-    left = settled.where("open").select("key", "lo", (F.col("hi") + 1).alias("hi"))
-    starts = _with_spans(texts, left, "inner").select("key", F.col("text").cast("binary"), "spans")
-    ranked = _keep_repeated(cut_lineage(starts.mapInArrow(_positions(step, length), "key long, pos int, r long")))
-    offset = step
-    while offset < length:
-        at_offset = Window.partitionBy("key").orderBy("pos").rangeBetween(offset, offset)
-        pairs = ranked.withColumn("_r2", F.max("r").over(at_offset)).where(F.col("_r2").isNotNull())
-        # the pair of ranks, as one number, is the rank of the doubled prefix
-        ranked = _keep_repeated(cut_lineage(pairs.select("key", "pos", F.xxhash64("r", "_r2").alias("r"))))
-        offset *= 2
-    first = ranked.groupBy("r").agg(F.min(F.struct("key", "pos")).alias("first"))
-    later = ranked.join(first, "r").where((F.col("key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos")))
-    removed = removed.union(later.select("key", F.col("pos").alias("lo"), (F.col("pos") + length).alias("hi")))
-    return _with_spans(rows, removed, "left").select("id", "text", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    blocks = texts.mapInArrow(_blocks(length), _RANKED)
+    removed = []
+    for width in (*WIDTHS, None):
+        settled = cut_lineage(blocks.repartition(n, "a").sortWithinPartitions("a", "c", "key", "lo").mapInArrow(
+            _resolve, "open boolean, key long, lo int, hi int, at int"))
+        removed.append(settled.where("not open").select("key", "lo", (F.col("hi") + length).alias("hi")))
+        if width:
+            left = settled.where("open").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("spans"))
+            blocks = _with_lists(texts, left, "inner").mapInArrow(_tiles(width, length), _RANKED)
+    lists = reduce(DataFrame.union, removed).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    out = _with_lists(rows, lists.mapInArrow(_merged, f"key long, spans {_SPANS}"), "left")
+    return out.select("id", "text", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), "payload")
+
+
+def _outside(text: str, spans) -> bytes:
+    b, at, parts = text.encode("utf-8", "surrogatepass"), 0, []
+    for s in spans:
+        parts.append(b[at:s["lo"]])
+        at = s["hi"]
+    parts.append(b[at:])
+    return b"".join(parts)
 
 
 def kept_bytes(text: Column, spans: Column) -> Column:
     """The bytes of ``text`` outside ``spans``, one after another."""
     def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for t, spans in zip(texts, lists, strict=True):
-            b, at, parts = t.encode("utf-8", "surrogatepass"), 0, []
-            for s in spans:
-                parts.append(b[at:s["lo"]])
-                at = s["hi"]
-            parts.append(b[at:])
-            out.append(b"".join(parts))
-        return pd.Series(out)
+        return pd.Series([_outside(t, x) for t, x in zip(texts, lists, strict=True)])
     return F.pandas_udf(cut, "binary")(text, spans)
+
+
+def kept_text(text: Column, spans: Column) -> Column:
+    """``kept_bytes`` as text; bytes of a character that a span has split are left out."""
+    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([_outside(t, x).decode("utf-8", "ignore") for t, x in zip(texts, lists, strict=True)])
+    return F.pandas_udf(cut, "string")(text, spans)
