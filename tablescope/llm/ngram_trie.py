@@ -180,7 +180,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Trie:
         h, n = np.unique(_tokens(b, offsets)[0], return_counts=True)
         return _shard(h, bits), h, n
 
-    def write_words(key, table: pa.Table) -> pa.Table:
+    def write_words(key, table):
         h, n = _received(table)
         s = key[0].as_py()
         total = int(n.sum())
@@ -211,7 +211,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Trie:
         local = before - trie.offsets[shard]
         return shard, (local.astype(np.uint64) << X.U64(32)) | number.astype(np.uint64), np.ones(len(h), np.int64)
 
-    def write_pairs(key, table: pa.Table) -> pa.Table:
+    def write_pairs(key, table):
         keys, n = _received(table)
         s = key[0].as_py()
         context, word = (keys >> X.U64(32)).astype(np.int64), (keys & X.U64(0xFFFFFFFF)).astype(np.int64)
