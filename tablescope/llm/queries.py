@@ -28,6 +28,13 @@ def op2_quantile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.dom_model import extract, train
+    pages = _table(spark, sf_dir, "pages")
+    out = pages.select("page_id", "url", extract(F.col("html"), train(pages), spark).alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablescope.llm.cross_parsing import predict, train
     docs = _table(spark, sf_dir, "documents")
@@ -82,6 +89,7 @@ def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_quantile_rules": op2_quantile_rules,
+    "op3_dom_model": op3_dom_model,
     "op4_cross_parsing": op4_cross_parsing,
     "op5_prefix_doubling": op5_prefix_doubling,
     "op6_ordinal_quality": op6_ordinal_quality,

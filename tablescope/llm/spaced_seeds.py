@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.session import cut_lineage
+
 SPAN = 10
 #: Kept positions of each mask (weight 7 of 10).
 MASKS = ((0, 1, 2, 4, 5, 7, 9), (0, 1, 3, 4, 6, 8, 9), (0, 2, 3, 5, 7, 8, 9))
@@ -17,6 +19,8 @@ MASKS = ((0, 1, 2, 4, 5, 7, 9), (0, 1, 3, 4, 6, 8, 9), (0, 2, 3, 5, 7, 8, 9))
 MARGIN = 3
 #: Up to so many seeds (24 bytes each) are sent to all executors; more are joined by a shuffle.
 BROADCAST_SEEDS = 2_000_000
+#: Up to so many alignments are sent to all executors (about 1 KB each with its item); more are joined by a shuffle.
+BROADCAST_LINES = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -25,12 +29,12 @@ def words_of(text: Column) -> Column:
 
 
 def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep..., words, pos, seed): a row for each window and mask; ``df`` has ``words``."""
-    shifted = F.arrays_zip(*[(F.col("words") if i == 0 else F.slice("words", i + 1, F.greatest(F.size("words"), F.lit(1)))).alias(f"w{i}")
-                             for i in range(SPAN)])
-    windows = df.where(F.size("words") >= SPAN).select(*keep, "words", F.posexplode(shifted).alias("pos", "w"))
-    hashes = [F.xxhash64(F.lit(m), *[F.col(f"w.w{i}") for i in mask]) for m, mask in enumerate(MASKS)]
-    return windows.where(F.col("pos") <= F.size("words") - SPAN).select(*keep, "words", "pos", F.explode(F.array(*hashes)).alias("seed"))
+    """(keep..., pos, mask, seed): a row for each window and mask; ``df`` has ``words``."""
+    n = F.size("words") - SPAN + 1
+    shifted = F.arrays_zip(*[F.slice("words", F.lit(i + 1), n).alias(f"w{i}") for i in range(SPAN)])
+    windows = df.where(F.size("words") >= SPAN).select(*keep, F.posexplode(shifted).alias("pos", "w"))
+    hashes = [F.xxhash64(*[F.col(f"w.w{i}") for i in mask]) for mask in MASKS]
+    return windows.select(*keep, "pos", F.posexplode(F.array(*hashes)).alias("mask", "seed"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -45,27 +49,42 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     different ids get rows of their own; repeated rows of one id count as one document whose hits add up; rows with
     null ids are kept under null. Other columns are ignored; an empty table on either side gives no rows.
     """
-    tests = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("_t")).distinct()
-    tests = tests.select("item_id", F.xxhash64("_t").alias("_k"), words_of(F.col("_t")).alias("words"))
-    seeds = _seeds(tests, ["item_id", "_k"]).select("seed", "item_id", F.col("pos").alias("q"), F.col("words").alias("item"))
+    tests = items.select(F.col(item_id_col).alias("item_id"), words_of(F.col(item_text_col)).alias("item")).distinct()
+    seeds = _seeds(tests.withColumnRenamed("item", "words").select("item_id", F.xxhash64("words").alias("version"), "words"),
+                   ["item_id", "version"]).withColumnRenamed("pos", "q")
+    few = seeds.count() <= BROADCAST_SEEDS
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
-    hits = _seeds(texts, ["doc_id"]).join(seeds, "seed")
-    shift = F.col("pos") - F.col("q")
-    first = F.greatest(F.col("q") - MARGIN, F.lit(0), -shift)
-    last = F.least(F.col("q") + SPAN + MARGIN, F.size("item"), F.size("words") - shift)
+    hits = _seeds(texts, ["doc_id"]).join(F.broadcast(seeds) if few else seeds, ["mask", "seed"])
+    # one row for each alignment; the hits on it are at most masks x words of the item
+    lines = cut_lineage(hits.groupBy("doc_id", "item_id", "version", (F.col("pos") - F.col("q")).alias("shift")).agg(
+        F.collect_set(F.struct("mask", "q")).alias("hits")))
+    small = lines.count() <= BROADCAST_LINES
+    tests = tests.select(F.col("item_id").alias("_i"), F.xxhash64("item").alias("_k"), "item")
+    lines = lines.join(F.broadcast(tests) if few else tests, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("version") == F.col("_k")))
+    lines = lines.withColumnRenamed("doc_id", "_d")
+    # only texts with a hit are split again
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).join(
+        F.broadcast(lines) if small else lines, F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("words", words_of(F.col("_t")))
+    shift = F.col("shift")
 
     def agree(a: Column, b: Column) -> Column:
-        n = b - a
-        both = F.zip_with(F.slice("words", a + shift + 1, n), F.slice("item", a + 1, n), lambda x, y: x == y)
+        n = F.greatest(b - a, F.lit(0))
+        both = F.zip_with(F.slice("words", F.greatest(a + shift + 1, F.lit(1)), n), F.slice("item", a + 1, n), lambda x, y: x == y)
         return F.size(F.filter(both, lambda x: x))
 
-    near = hits.where(agree(first, last) * 100 >= percent * (last - first))
+    def near(hit: Column) -> Column:
+        first = F.greatest(hit["q"] - MARGIN, F.lit(0), -shift)
+        last = F.least(hit["q"] + SPAN + MARGIN, F.size("item"), F.size("words") - shift)
+        return (last - first >= SPAN) & (agree(first, last) * 100 >= percent * (last - first))
+
     whole = agree(F.greatest(F.lit(0), -shift), F.least(F.size("item"), F.size("words") - shift))
-    return near.select("doc_id", "item_id", F.size("item").alias("item_words"), whole.alias("matched")).groupBy("doc_id", "item_id").agg(
+    counted = found.select("doc_id", "item_id", "version", "shift", F.size("item").alias("item_words"), whole.alias("matched"),
+                           F.size(F.filter("hits", near)).alias("n")).where("n > 0")
+    counted = counted.groupBy("doc_id", "item_id", "version", "shift").agg(
+        F.max("n").alias("n"), F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
+    return counted.groupBy("doc_id", "item_id").agg(
         F.max("matched").cast("long").alias("matched"), F.max("item_words").cast("long").alias("item_words"),
-        F.count(F.lit(1)).alias("n_hits"))
+        F.sum("n").cast("long").alias("n_hits"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
