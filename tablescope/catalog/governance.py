@@ -142,7 +142,7 @@ FAIR = f"""SELECT * FROM (SELECT attribute, attribute_type, 'yes' AS positive_cl
     SELECT *, row_number() OVER (PARTITION BY attribute ORDER BY grp) AS k FROM (
     SELECT 'home_region' AS attribute, 'geography' AS attribute_type, home_region AS grp, count(*) AS n, count(*) FILTER (churn = 'yes') AS hits FROM {duck('people')} GROUP BY 3
     UNION ALL SELECT 'age', 'age', CASE WHEN a < 25 THEN '<25' WHEN a < 45 THEN '25-44' WHEN a < 65 THEN '45-64' ELSE '65+' END, count(*), count(*) FILTER (churn = 'yes')
-    FROM (SELECT *, CAST(age AS DOUBLE) AS a FROM {duck('people')}) GROUP BY 3)) WHERE k <= 8 AND n >= 10)"""
+    FROM (SELECT *, CAST(age AS DOUBLE) AS a FROM {duck('people')}) GROUP BY 3)) WHERE n >= 10)"""
 
 
 @query("fairness_groups", FAIR, "positive_rate")

@@ -87,7 +87,7 @@ def verdicts_sql(name: str) -> str:
     score = {
         "price": f"price + {pts(num, .2)} + {pts('lo >= 0', .1)} + {pts(num + ' AND n_valid > 0 AND u > 10', .1)}"
                  f" + {pts('sd > 0', .1)} + {pts('hi < 1000000', .05)}",
-        "quantity": f"quantity + {pts(num, .15)} + {pts(chr(107) + 'ind = ' + chr(39) + 'integer' + chr(39), .1)}"
+        "quantity": f"quantity + {pts(num, .15)} + {pts("kind = 'integer'", .1)}"
                     f" + {pts('lo >= 0', .15)} + {pts(num + ' AND n_valid > 0 AND u > 2', .1)}"
                     f" + CASE WHEN kind = 'float' AND whole > 0.95 THEN .1 ELSE 0 END",
         "id": f"id + CASE WHEN {un} > .95 * n_rows THEN .4 WHEN {un} > .8 * n_rows THEN .25"

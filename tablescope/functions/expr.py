@@ -25,6 +25,17 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_hash(df: DataFrame, *more: Column) -> Column:
+    """64-bit hash of a row that tells a null from a missing value and one column from another."""
+    parts = list(more)
+    for i, f in enumerate(df.schema.fields):
+        v = ref(f.name)
+        if not isinstance(f.dataType, (T.StringType, T.BinaryType, T.BooleanType, *NUMERIC_TYPES, *TEMPORAL_TYPES)):
+            v = F.to_json(F.struct(v))  # maps cannot be hashed
+        parts += [F.lit(i), ref(f.name).isNull(), v]
+    return F.xxhash64(*parts)
+
+
 def double(df: DataFrame, name: str) -> Column:
     """Value as double; text that is not a number, and NaN, become null."""
     kind = dtype(df, name)

@@ -33,7 +33,7 @@ NAME_CONFIDENCE, EMAIL_CONFIDENCE, PHONE_CONFIDENCE, PII_SHARE, PII_MIN = 96.0,
 PSEUDONYMIZE = ("email", "phone", "financial", "government_id")
 MANY_LEVELS, MANY_OUTLIERS, SEGMENT_MISSING = 20, 5, 20
 MAX_ALERTS, MAX_ACTIONS, TOP_MISSING, TOP_PII = 8, 5, 3, 3
-FAIR_LEVELS, FAIR_GROUP, FAIR_ROWS, FAIR_CLASSES = 8, 10, 20, 6
+FAIR_GROUP, FAIR_ROWS, FAIR_CLASSES = 10, 20, 6
 SPLIT = (70, 15, 15)
 
 
@@ -226,9 +226,7 @@ def fairness_groups(df: DataFrame, target: str) -> DataFrame:
         for c, k in protected.items()])).where(F.col("grp").isNotNull())
     g = long.groupBy("attribute", "attribute_type", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
     rows = g.groupBy("attribute").agg(F.sum("n").alias("total")).where(F.col("total") >= FAIR_ROWS)
-    place = F.row_number().over(Window.partitionBy("attribute").orderBy("grp"))
-    return (g.join(rows, "attribute").withColumn("place", place)
-            .where((F.col("place") <= FAIR_LEVELS) & (F.col("n") >= FAIR_GROUP))
+    return (g.join(rows, "attribute").where(F.col("n") >= FAIR_GROUP)
             .select("attribute", "attribute_type", F.lit(positive).alias("positive_class"), "grp", "n",
                     X.pct2(F.col("hits"), F.col("n")).alias("positive_rate")))
 

@@ -178,9 +178,10 @@ def _forest(vectors: DataFrame, names: list[str]):
     # Rows of a repeated vector are as likely to be drawn as any other row: one hash per copy, at most
     # as many copies as could ever be drawn.
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("w"), F.lit(picked)).cast("int"))))
-    copies = copies.withColumn("h", F.xxhash64(F.lit(SEED), "id", "copy"))
-    drawn = copies.orderBy("h", "id", "copy").limit(picked).withColumn(
-        "place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("h", "id", "copy")))
+    # drawn by the vector's own values, so the sample is the same for any partitioning
+    copies = copies.withColumn("h", F.xxhash64(F.lit(SEED), *names, "copy"))
+    drawn = copies.orderBy("h", *names, "copy").limit(picked).withColumn(
+        "place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("h", *names, "copy")))
     size = drawn.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     per_tree = min(TREE_ROWS, size)
     if size >= picked:

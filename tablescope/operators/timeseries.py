@@ -24,6 +24,8 @@ MAX_VALUES = 3
 BLOCK, STL_HALO = 100_000, 1_000
 # Copies of one row that a task expands at a time.
 COPY_CHUNK = 1_000_000
+# Up to so many series' means are sent to all executors; more are joined by key.
+BROADCAST_SERIES = 200_000
 KEY = "series_key"
 
 
@@ -42,8 +44,11 @@ def series_prepare(df: DataFrame, ts: str, value: str, key: str | None = None) -
     """
     k = F.coalesce(X.text(df, key), F.lit("null")) if key else F.lit("all")
     rows = df.select(k.alias(KEY), X.timestamp(df, ts).alias("ts"), X.double(df, value).alias("x")).dropna()
-    shift = rows.agg(F.avg("x").alias("m")).scalar()
-    merged = rows.groupBy(KEY, "ts", "x").agg(F.count(F.lit(1)).alias("w")).withColumn("c", F.col("x") - shift)
+    # every series is centred on its own mean: sums of squares of series on different levels must not cancel
+    shifts = cut_lineage(rows.groupBy(KEY).agg(F.avg("x").alias("shift")))
+    merged = rows.groupBy(KEY, "ts", "x").agg(F.count(F.lit(1)).alias("w"))
+    merged = merged.join(F.broadcast(shifts) if shifts.count() <= BROADCAST_SERIES else shifts, KEY)
+    merged = merged.withColumn("c", F.col("x") - F.col("shift")).drop("shift")
     merged = merged.withColumn("wc", F.col("w") * F.col("c")).withColumn("wc2", F.col("w") * F.col("c") ** 2)
     o = B.ordered(merged, [KEY], ["ts", "x"], weight="w", running={"sum_c": "wc", "sum_c2": "wc2"}, totals=True)
     o = o.where(F.col("_total") >= MIN_N)

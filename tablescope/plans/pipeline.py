@@ -145,11 +145,10 @@ def _ml(r: _Run):
     df, ctx = r.table, r.ctx
     check = ML.validate_target(df, ctx.target, ctx.problem_type)
     out = {"target": check}
-    if not check.first()["valid"]:
-        return out
     features = M.ranked(df, [c for c in r.numeric if c != ctx.target]) if r.numeric else []
     features = [c for c in r.numeric if c in features]
-    if features:
+    # only feature importance needs a target; clusters and anomalies are found without one
+    if features and check.first()["valid"]:
         out["mutual_information"] = ML.mutual_information(df, features, ctx.target, ctx.problem_type)
     if len(features) >= 2:
         out |= {"kmeans_sweep": ML.kmeans_sweep(df, features), "clusters": ML.kmeans_best(df, features),

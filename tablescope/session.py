@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,27 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package; needed once per session unless its wheel is installed on every node.
+
+    The sources are zipped in a folder of the driver and handed to Spark, which copies them to the executors.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tablescope_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tablescope-")) / "tablescope.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._tablescope_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 

@@ -106,8 +106,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """Fingerprint that does not depend on row order, file layout or partitioning."""
-    h = F.xxhash64(*[X.ref(c) for c in df.columns])
+    """Fingerprint that does not depend on row order, file layout or partitioning.
+
+    Column names, types and positions count, and a null is told from its neighbour's value.
+    """
+    h = X.row_hash(df, F.lit(df.schema.simpleString()))
     wide_sum = F.sum(h.cast("decimal(38,0)"))
     return df.agg(F.count(F.lit(1)).alias("n_rows"), wide_sum.cast("string").alias("hash_sum"),
                   F.bit_xor(h).alias("hash_xor")).select(

@@ -20,7 +20,7 @@ def sample_fixed(df: DataFrame, n: int = SAMPLE_ROWS, threshold: int = THRESHOLD
     total = df.count()
     if total <= threshold:
         return df
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[X.ref(c) for c in df.columns]))
+    hashed = df.withColumn("_h", X.row_hash(df, F.lit(seed)))
     # The n smallest of N uniform hashes lie below 2n/N of the range with overwhelming probability;
     # the cut is only used if enough rows are below it.
     span = min(1.0, 2.0 * n / total + 1e-9)

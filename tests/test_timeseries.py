@@ -156,3 +156,18 @@ def test_copies_of_one_row_are_all_kept(spark, monkeypatch, chunk):
 def test_cusum_alarms_inside_copies(spark):
     x = np.concatenate([np.zeros(150), np.full(150, 1.0), np.random.default_rng(1).normal(size=50)])
     assert sorted(r["rn"] for r in TS.cusum_change_points(prepared(spark, x), 40).collect()) == naive_cusum(x)
+
+
+def test_series_on_different_levels_keep_their_moments(spark):
+    import numpy as np
+
+    from tablescope.operators import timeseries as TS
+    x = np.random.default_rng(1).normal(size=3000)
+    rows = [(key, i, float(v + level)) for key, level in (("a", 0.0), ("b", 1e9)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, t long, v double").selectExpr("k", "timestamp_seconds(t) as ts", "v")
+    s = TS.series_prepare(df, "ts", "v", "k")
+    ss = {r["series_key"]: r["ss"] for r in s.groupBy("series_key").agg({"ss": "max"}).withColumnRenamed("max(ss)", "ss").collect()}
+    want = float(((x - x.mean()) ** 2).sum())
+    assert abs(ss["a"] - want) < 1e-6 * want and abs(ss["b"] - want) < 1e-3 * want
+    lag = {r["series_key"]: r["acf"] for r in TS.acf(s).where("lag = 1").collect()}
+    assert abs(lag["a"] - lag["b"]) < 1e-4

@@ -117,3 +117,11 @@ def test_a_failing_module_does_not_stop_the_others(spark, monkeypatch):
     monkeypatch.setitem(P.MODULES, "bivariate", lambda r: 1 / 0)
     res = P.run_analysis(spark.range(30).toDF("n"), modules=["bivariate", "overview"])
     assert "ZeroDivisionError" in res["bivariate"]["error"].first()["error"] and res["overview"]["table"].first()["n_rows"] == 30
+
+
+def test_content_hash_tells_nulls_columns_and_maps_apart(spark):
+    def h(rows, schema):
+        return SF.content_hash(spark.createDataFrame(rows, schema)).first()["content_hash"]
+    assert h([("x", None), (None, "y")], "a string, b string") != h([(None, "x"), ("y", None)], "a string, b string")
+    assert h([("x", "y")], "a string, b string") != h([("x", "y")], "b string, a string")
+    assert h([({"k": 1},)], "m map<string,int>") != h([({"k": 2},)], "m map<string,int>")
