@@ -4,6 +4,10 @@ Sizes are cut into bands; a pair with Jaccard similarity of at least t has both
 in neighbouring ones, and differs in at most k elements, k following from the band. The shingle
 domain is hashed into parts, more than the k differences can spoil, and subsets of the parts become
 signatures: a similar pair shares one. Candidates are verified on the whole sets, so only true links count.
+
+The members of a signature group are compared with one of them, the centre. Members that this does not join into one
+component are compared with each other by the elements in which they differ from the centre, never as all pairs; those
+far from it get a centre of their own.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from tablescope.session import cut_lineage
 ENUMERATE_UP_TO = 8
 #: Up to so many candidate ids are sent to all executors (8 bytes each); beyond, the ids are joined.
 BROADCAST_IDS = 1_000_000
-#: Rounds in which signature groups are linked to one member before remaining pairs are taken singly.
-STAR_ROUNDS = 3
+#: Rounds in which the open members of each signature group are compared with a centre.
+CENTRES = 4
 
 
 @lru_cache
@@ -167,13 +171,49 @@ def _set_rows(k: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) for distinct ``pairs(a, b)``, on the whole sets."""
-    left, right = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a")
+def _set_pairs(pairs: DataFrame, sets: DataFrame, *columns) -> DataFrame:
+    """``columns`` of ``pairs(a, b, ...)`` joined with the sets sa and sb of both ends."""
+    ends, centres = pairs.select("b").distinct(), cut_lineage(pairs.select("a").distinct())
+    few = pairs.count() <= BROADCAST_IDS
+    right = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
+    if few:
+        with_b = right.join(F.broadcast(pairs), "b")
+    else:
+        with_b = right.join(ends, "b", "left_semi").join(pairs, "b")
+    left = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
+    left = left.join(F.broadcast(centres) if few else centres, "a", "left_semi")
+    return with_b.join(left, "a").select(*columns)
+
+
+def _linked(percent: int):
     same = F.size(F.array_intersect("sa", "sb"))
-    linked = 100 * same >= percent * (F.size("sa") + F.size("sb") - same)
-    return both.select("a", "b", linked.alias("linked"))
+    return 100 * same >= percent * (F.size("sa") + F.size("sb") - same)
+
+
+def _most(percent: int, n1, n2):
+    """Elements in which similar sets of these sizes can differ."""
+    return F.floor((100 - percent) * (n1 + n2) / (100 + percent))
+
+
+def _between_members(stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one centre, in different components, that can still be similar.
+
+    ``stars`` has (a, b, n, d): centre, member, size of the member's set, elements in which it differs from its centre.
+    Members x and y differ in |d(x)| + |d(y)| - 2 |d(x) & d(y)| elements. For a link that must not exceed k(x, y), so
+    they share some of the elements that several members differ in, and enough of them.
+    """
+    rows = stars.join(label.select(F.col("v").alias("b"), "c"), "b").select("a", "b", "c", "n", F.size("d").alias("nd"), F.explode("d").alias("e"))
+    again = rows.groupBy("a", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    common = rows.join(again, ["a", "e"]).groupBy("a", "b", "c", "n", "nd").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("es"))
+    # the rarest elements first: of |d| elements at least |d| - k must be shared, so the last of them need no look
+    alone = F.col("nd") - F.size("es")
+    look = F.least(F.col("nd"), _most(percent, F.col("n"), F.floor(F.col("n") * 100 / percent)) + 1) - alone
+    keys = cut_lineage(common.where(look > 0).select(
+        "a", "b", "c", "n", "nd", F.size("es").alias("ns"), F.explode(F.slice("es", F.lit(1), look.cast("int"))["e"]).alias("e")))
+    x, y = (keys.select("a", "e", *[F.col(i).alias(f"{i}{side}") for i in ("b", "c", "n", "nd", "ns")]) for side in (1, 2))
+    k = _most(percent, F.col("n1"), F.col("n2"))
+    possible = (F.col("b1") < F.col("b2")) & (F.col("c1") != F.col("c2")) & (2 * F.least("ns1", "ns2") >= F.col("nd1") + F.col("nd2") - k)
+    return x.join(y, ["a", "e"]).where(possible).select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -181,9 +221,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows link when ``100 * |A & B| >= percent * |A | B|`` on their sets of ``k``-word shingles (A-Z
     lower-cased; a text with fewer words is one shingle). ``component_id`` is the smallest id reachable by
-    links; ``n_links`` counts the links verified from the row's set to *different* sets. Links that
-    cannot change a component are not all verified: a signature group whose members are already joined
-    is settled, which keeps thousands of near copies linear. No partner, group or candidate is capped.
+    links; ``n_links`` counts the links verified from the row's set to *different* sets. Links inside a component
+    that is already joined are not all verified, which keeps thousands of near copies linear. No partner, group or
+    candidate is capped.
 
     Null or empty text and text without words: n_shingles 0, component_id the own id. Rows with equal sets
     are one vertex, so copies and repeated rows meet without being paired. Null ids never are a
@@ -205,33 +245,49 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wanted = candidates.join(reps, "v").select("rep")
     few = candidates.count() <= BROADCAST_IDS
     texts = source.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = cut_lineage(texts.mapInArrow(_set_rows(k), "v long, s array<long>").join(
-        F.broadcast(candidates) if few else candidates, "v", "left_semi").dropDuplicates(["v"]))
+    sets = texts.mapInArrow(_set_rows(k), "v long, s array<long>").join(F.broadcast(candidates) if few else candidates, "v", "left_semi")
+    if not nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        sets = sets.dropDuplicates(["v"])
+    sets = cut_lineage(sets)
 
     edges = spark.createDataFrame([], "a long, b long")
-    tested = spark.createDataFrame([], "a long, b long, linked boolean")
     label = candidates.select("v", F.col("v").alias("c"))
-    open_rows = shared
-    for step in range(STAR_ROUNDS + 1):
-        marked = open_rows.join(label, "v")
-        several = marked.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"),
-                                            F.min_by(F.struct("v", "c"), F.xxhash64("v", F.lit(step))).alias("m")).where("c0 < c1")
-        marked = cut_lineage(marked.join(several.select("sig", F.col("m.v").alias("mv"), F.col("m.c").alias("mc")), "sig"))
-        if marked.isEmpty():
+    open_ = shared  # members of signatures that may still be linked with each other
+    for _ in range(CENTRES):
+        several = open_.join(label, "v").groupBy("sig").agg(
+            F.min("v").alias("a"), F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+        members = cut_lineage(open_.join(several.select("sig", "a", "m"), "sig").where("a <> v"))
+        pairs = cut_lineage(members.groupBy("a", F.col("v").alias("b")).agg((F.max("m") > 2).alias("several")))
+        if pairs.isEmpty():
             break
-        if step < STAR_ROUNDS:
-            pairs = marked.where("c <> mc").select(F.least("v", "mv").alias("a"), F.greatest("v", "mv").alias("b"))
-        else:
-            # whatever still spans components is compared pair by pair across components only
-            l, r = marked.select("sig", F.col("v").alias("a"), F.col("c").alias("ca")), marked.select("sig", F.col("v").alias("b"), F.col("c").alias("cb"))
-            pairs = l.join(r, "sig").where("ca <> cb and a < b").select("a", "b")
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        found = cut_lineage(_verified(pairs, sets, percent))
-        tested = tested.union(found)
-        edges = edges.union(found.where("linked").select("a", "b"))
-        joined = components(edges)
-        label = cut_lineage(candidates.join(joined, "v", "left").select("v", F.coalesce("c", "v").alias("c")))
-        open_rows = marked.select("sig", "v")
+        difference = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+        k_most = _most(percent, F.size("sb"), F.floor(F.size("sb") * 100 / percent))
+        stars = _set_pairs(pairs, sets, "a", "b", "several", _linked(percent).alias("linked"), F.size("sb").alias("n"), difference.alias("d"), k_most.alias("k"))
+        stars = cut_lineage(stars.select("a", "b", "linked", "n", "k", F.size("d").alias("nd"),
+                                         F.when(F.col("several") & (F.size("d") <= 3 * F.col("k")), F.col("d")).alias("d")))
+        edges = edges.union(stars.where("linked").select("a", "b"))
+        label = cut_lineage(candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c")))
+        # members near the centre are compared by their differences, if their signatures still span components
+        spans = members.join(label, "v").groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
+        members = cut_lineage(members.join(spans, "sig", "left_semi"))
+        unsettled = members.select("a", F.col("v").alias("b")).distinct()
+        rest = cut_lineage(_between_members(stars.where("d is not null").join(unsettled, ["a", "b"], "left_semi"), label, percent))
+        more = cut_lineage(_set_pairs(rest, sets, "a", "b", _linked(percent).alias("linked")).where("linked").select("a", "b").distinct())
+        if not more.isEmpty():
+            edges = edges.union(more)
+            label = cut_lineage(candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c")))
+        # what is similar to a member beyond 3 k (its own k) is itself beyond about 2 k: only those need another centre
+        far = stars.where(F.col("nd") > 2 * F.col("k") * percent / 100 - 4).select("a", F.col("b").alias("v"))
+        open_ = cut_lineage(members.join(far, ["a", "v"], "left_semi").select("sig", "v"))
+    else:
+        # what several centres have not settled are small groups of texts that are all unlike each other
+        left = open_.join(label, "v").join(nodes.where("v <> 0").select("v", "n").distinct(), "v")
+        x, y = left.select("sig", F.col("v").alias("a"), F.col("c").alias("c1"), F.col("n").alias("n1")), left.select("sig", F.col("v").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"))
+        fits = (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+        rest = cut_lineage(x.join(y, "sig").where(fits).select("a", "b").distinct())
+        more = cut_lineage(_set_pairs(rest, sets, "a", "b", _linked(percent).alias("linked")).where("linked").select("a", "b").distinct())
+        edges = edges.union(more)
+        label = candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
 
     ends = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = ends.groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("n_links"))
