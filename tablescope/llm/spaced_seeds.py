@@ -62,23 +62,25 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     tests = tests.select(F.col("item_id").alias("_i"), F.xxhash64("item").alias("_k"), "item")
     lines = lines.join(F.broadcast(tests) if few else tests, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("version") == F.col("_k")))
     lines = lines.withColumnRenamed("doc_id", "_d")
-    # only texts with a hit are split again
+    # only texts with a hit are split again; of their words what lies against the item is kept
+    shift, start = F.col("shift"), F.greatest(F.lit(0), -F.col("shift"))
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).join(
-        F.broadcast(lines) if small else lines, F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("words", words_of(F.col("_t")))
-    shift = F.col("shift")
+        F.broadcast(lines) if small else lines, F.col("doc_id").eqNullSafe(F.col("_d")))
+    found = cut_lineage(found.select("doc_id", "item_id", "version", "shift", "item", "hits", start.alias("start"),
+                                     F.slice(words_of(F.col("_t")), start + shift + 1, F.size("item") - start).alias("part")))
 
     def agree(a: Column, b: Column) -> Column:
         n = F.greatest(b - a, F.lit(0))
-        both = F.zip_with(F.slice("words", F.greatest(a + shift + 1, F.lit(1)), n), F.slice("item", a + 1, n), lambda x, y: x == y)
+        both = F.zip_with(F.slice("part", a - F.col("start") + 1, n), F.slice("item", a + 1, n), lambda x, y: x == y)
         return F.size(F.filter(both, lambda x: x))
 
+    end = F.col("start") + F.size("part")
+
     def near(hit: Column) -> Column:
-        first = F.greatest(hit["q"] - MARGIN, F.lit(0), -shift)
-        last = F.least(hit["q"] + SPAN + MARGIN, F.size("item"), F.size("words") - shift)
+        first, last = F.greatest(hit["q"] - MARGIN, F.col("start")), F.least(hit["q"] + SPAN + MARGIN, end)
         return (last - first >= SPAN) & (agree(first, last) * 100 >= percent * (last - first))
 
-    whole = agree(F.greatest(F.lit(0), -shift), F.least(F.size("item"), F.size("words") - shift))
-    counted = found.select("doc_id", "item_id", "version", "shift", F.size("item").alias("item_words"), whole.alias("matched"),
+    counted = found.select("doc_id", "item_id", "version", "shift", F.size("item").alias("item_words"), agree(F.col("start"), end).alias("matched"),
                            F.size(F.filter("hits", near)).alias("n")).where("n > 0")
     counted = counted.groupBy("doc_id", "item_id", "version", "shift").agg(
         F.max("n").alias("n"), F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
