@@ -254,9 +254,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     label = candidates.select("v", F.col("v").alias("c"))
     open_ = shared  # members of signatures that may still be linked with each other
     for _ in range(CENTRES):
-        several = open_.join(label, "v").groupBy("sig").agg(
-            F.min("v").alias("a"), F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-        members = cut_lineage(open_.join(several.select("sig", "a", "m"), "sig").where("a <> v"))
+        # the centre is the member that shares most signatures: of a family of copies the one nearest to all
+        sizes = open_.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+        shares = open_.join(sizes, "sig").groupBy("v").agg(F.sum("m").alias("shares"))
+        several = open_.join(label.join(shares, "v"), "v").groupBy("sig").agg(
+            F.max(F.struct("shares", "v")).alias("top"), F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+        members = cut_lineage(open_.join(several.select("sig", F.col("top.v").alias("a"), "m"), "sig").where("a <> v"))
         pairs = cut_lineage(members.groupBy("a", F.col("v").alias("b")).agg((F.max("m") > 2).alias("several")))
         if pairs.isEmpty():
             break
