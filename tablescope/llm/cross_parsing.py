@@ -12,8 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tablescope.session import cut_lineage
 
 #: Characters of a segment: texts are parsed in segments side by side; a phrase ends with its segment.
 SEGMENT = 512
@@ -117,25 +121,48 @@ def fit(samples: dict[str, list[str]], characters: int) -> LanguageModel:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", characters: int = 40_000, texts: int = 400) -> LanguageModel:
-    """Learn from at most ``texts`` texts and ``characters`` letters of every non-null language.
+    """Learn from at most ``texts`` distinct texts and ``characters`` letters of every non-null language.
 
-    Of each language the texts with the smallest hashes are taken. Both bounds are per language, so the model
-    stays small however long the table is; a language with a single text is learned from it. Null texts and
-    texts without a letter teach nothing. The number of languages bounds what reaches the driver.
+    Of each language the distinct texts with the smallest hashes are taken, exactly, and all of them where there are
+    fewer; copies count once. Both bounds are per language, so the model stays small however long the table is; a
+    language with a single text is learned from it, however many copies it has. Null texts and texts without a letter
+    teach nothing. The number of languages bounds what reaches the driver: of each about ``texts`` hashes and texts.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(F.col(text_col), 1, characters).alias("t"))
-    # a sketch per language replaces sorting: hashes below the share that holds about twice the wanted texts
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+        F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(F.col(text_col), 1, characters).alias("t")).where(
+        F.col("t").rlike(r"\p{L}"))
+    hashes = cut_lineage(rows.select("lang", "h").distinct())
+    counts = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen: list[tuple[str, int]] = []
+    # hashes below the share that holds about the wanted texts replace sorting; where it holds too few, it is doubled
+    share = {lang: min(1.0, (texts + 4 * texts**0.5) / n) for lang, n in counts.items()}
+    while share:
+        edge = F.create_map(*[x for lang, part in share.items() for x in (
+            F.lit(lang), F.lit(min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * part))))])
+        found: dict[str, list[int]] = {}
+        for r in hashes.where(F.col("h") <= F.element_at(edge, F.col("lang"))).collect():
+            found.setdefault(r["lang"], []).append(r["h"])
+        full = {lang for lang in share if len(found.get(lang, ())) >= min(texts, counts[lang])}
+        chosen += [(lang, h) for lang in full for h in sorted(found[lang])[:texts]]
+        share = {lang: min(1.0, 2 * part) for lang, part in share.items() if lang not in full}
+    if not chosen:
         return fit({}, characters)
-    edge = F.create_map(*[x for lang, n in counts.items() for x in (
-        F.lit(lang), F.lit(min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, (texts + 4 * texts**0.5) / n)))))])
-    near = rows.where(F.col("h") <= F.element_at(edge, F.col("lang")))
-    found: dict[str, list[tuple[int, str]]] = {}
-    for r in near.select("lang", "h", "t").toLocalIterator():
-        found.setdefault(r["lang"], []).append((r["h"], r["t"]))
-    return fit({lang: [t for _, t in sorted(set(v))[:texts]] for lang, v in found.items()}, characters)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            new = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+            if new:
+                yield batch.take(pa.array(new, pa.int32()))
+
+    wanted = docs.sparkSession.createDataFrame(chosen, StructType([rows.schema["lang"], rows.schema["h"]]))
+    # copies of a chosen text are dropped in the task that reads them
+    near = rows.join(F.broadcast(wanted), ["lang", "h"], "left_semi").select("lang", "h", "t").mapInArrow(once, rows.schema)
+    samples: dict[str, list[tuple[int, str]]] = {}
+    for r in near.groupBy("lang", "h").agg(F.min("t").alias("t")).toLocalIterator():
+        samples.setdefault(r["lang"], []).append((r["h"], r["t"]))
+    return fit({lang: [t for _, t in sorted(v)] for lang, v in samples.items()}, characters)
 
 
 def parse(lengths: np.ndarray, symbols: np.ndarray, model: LanguageModel) -> np.ndarray:
