@@ -59,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two lengths with their ids."""
     import public_tokenizers
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=SEQUENCE, end_id=END_ID).withColumnRenamed("id", "doc_id")
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=SEQUENCE, end_id=END_ID, added=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

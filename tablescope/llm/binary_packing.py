@@ -62,6 +62,16 @@ def _encoder(path: str):
     return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """(the library's tokenizer, pattern of the file's added tokens or None)."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+    return tokenizer, regex.compile("|".join(map(regex.escape, added))) if added else None
+
+
 def _pretokens(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """First characters of the pretokens of texts without apostrophes laid one after another."""
     n = len(code)
@@ -86,11 +96,18 @@ def _pretokens(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def encode(texts: list[str], path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts one after another, number of ids of each)."""
+def encode(texts: list[str], path: str, end_id: int | None, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after another, number of ids of each).
+
+    With ``added`` a text that contains an added token of the file goes through the library in its default setting.
+    """
     encoder = _encoder(path)
     n = np.zeros(len(texts), np.int64)
-    slow = {i: encoder(t) for i, t in enumerate(texts) if "'" in t or len(t) >= 1 << 22}
+    slow = {}
+    if added:
+        tokenizer, pattern = _tokenizer(path)
+        slow = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if pattern and pattern.search(t)}
+    slow |= {i: encoder(t) for i, t in enumerate(texts) if i not in slow and ("'" in t or len(t) >= 1 << 22)}
     fast = [i for i, t in enumerate(texts) if t and i not in slow]
     parts: list[np.ndarray] = []
     flat, flat_offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -146,14 +163,14 @@ def _groups(texts: list[str]):
         yield start, len(texts)
 
 
-def _pieces(path: str, end_id: int | None, length: int):
+def _pieces(path: str, end_id: int | None, length: int, added: bool):
     def run(batches):
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 40
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _groups(texts):
-                ids, n = encode(texts[a:b], path, end_id)
+                ids, n = encode(texts[a:b], path, end_id, added)
                 cuts = [cut(x, length) for x in n.tolist()]
                 count = np.fromiter(map(len, cuts), np.int64, len(cuts))
                 size = np.fromiter((x for c in cuts for x in c), np.int64, int(count.sum()))
@@ -172,13 +189,14 @@ def _pieces(path: str, end_id: int | None, length: int):
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048,
-         end_id: int | None = None) -> DataFrame:
+         end_id: int | None = None, added: bool = False) -> DataFrame:
     """One row per piece: (id, start, length, doc_tokens, bucket, sequence_id, offset, ids).
 
     ``ids`` are little-endian unsigned 32-bit numbers; ``start`` is the number of the text's ids before the
     piece; ``bucket`` is log2 of the length; ``offset`` is the piece's place in its sequence, always 0.
     ``sequence_id`` is the input partition and a running number in it, so it is unique and the same when a
-    lost task runs again. ``length`` must be a power of two. ``end_id`` closes every text.
+    lost task runs again. ``length`` must be a power of two. ``end_id`` closes every text. With ``added`` the file's added
+    tokens are matched inside texts, as the library does by default; without it they are plain text.
 
     Null text is the empty text: its only piece is the end id (none without ``end_id``). Repeated rows and
     null ids are packed like any other. Other columns are ignored; an empty table gives no rows.
@@ -187,7 +205,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("length must be a power of two")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_pieces(path, end_id, length),
+    return rows.mapInArrow(_pieces(path, end_id, length, added),
                            f"id {kind}, start long, length long, doc_tokens long, bucket int, sequence_id long, ids binary").select(
         "id", "start", "length", "doc_tokens", "bucket", "sequence_id", F.lit(0).cast("long").alias("offset"), "ids")
 

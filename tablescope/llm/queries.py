@@ -66,7 +66,8 @@ def op8_binary_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     import public_tokenizers
 
     from tablescope.llm.binary_packing import pack
-    out = pack(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
+    out = pack(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1,
+               added=True)
     return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                       "offset", "bucket")
 

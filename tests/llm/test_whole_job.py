@@ -1,7 +1,10 @@
 """Cases of the second review: each failed before its finding was settled."""
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from tablescope.llm import binary_packing as B
 from tablescope.llm import cross_parsing as C
 
 
@@ -18,3 +21,22 @@ def test_languages_of_copies_are_learned_from_their_distinct_texts(spark):
     again = C.fit({"hh": wanted}, 40_000)
     assert model.cost[6] == again.cost[0]
     assert C.train(df.where("lang in ('aa', 'hh')").limit(50)).languages
+
+
+def test_packing_matches_added_tokens_like_the_library(spark, tmp_path):
+    import corpus_pipeline
+    from tablescope.llm.queries import op8_binary_packing
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["See <|endoftext|> here", "<|endoftext|>", "it's <|endoftext|><|endoftext|> twice", "plain, <|endoftext| not", None, "a\n<|endoftext|>  b " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(path)
+    want = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    assert 50256 in want[0] and library.encode(texts[0], add_special_tokens=False).ids == [6214, 220, 50256, 994]
+    got = {}
+    for r in corpus_pipeline.packing(spark, df, "").orderBy("doc_id", "start").collect():
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert got == want
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["doc_tokens"] for r in op8_binary_packing(spark, str(tmp_path)).collect()} == {i: len(v) for i, v in want.items()}
+    assert B.encode([texts[0]], path, None)[0].tolist() != want[0][:-1]
