@@ -23,9 +23,14 @@ BROADCAST_SEEDS = 2_000_000
 BROADCAST_LINES = 100_000
 
 
+#: Scripts written without spaces: each of their letters is a word.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+WORD = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+|[\p{{L}}\p{{N}}&&[{UNSPACED}]]"
+
+
 def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; null is the empty text."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased runs of letters and digits, single letters of unspaced scripts; null is the empty text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -37,6 +42,26 @@ def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
     return windows.select(*keep, "pos", F.posexplode(F.array(*hashes)).alias("mask", "seed"))
 
 
+def _whole(texts: DataFrame, tests: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id, matched, item_words, n) of items of under ``SPAN`` words: their equally long windows in the texts.
+
+    None without such an item. Hashes of all words find the windows, the words themselves decide.
+    """
+    short = tests.where(F.size("item").between(1, SPAN - 1)).withColumn("size", F.size("item")).withColumn("key", F.xxhash64("item"))
+    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())
+    if not sizes:
+        return None
+    few = short.count() <= BROADCAST_SEEDS
+    last = F.size("words") - sizes[0]
+    windows = texts.where(last >= 0).select("doc_id", F.explode(F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.slice("words", i + 1, sizes[-1]))).alias("window"))
+    parts = windows.select("doc_id", F.explode(F.array(*[F.when(F.size("window") >= k, F.slice("window", 1, k)) for k in sizes])).alias("part"))
+    parts = parts.where(F.col("part").isNotNull()).withColumn("key", F.xxhash64("part"))
+    hits = parts.join(F.broadcast(short) if few else short, (parts["key"] == short["key"]) & (F.col("part") == F.col("item")))
+    size = F.max("size").cast("int")
+    return hits.groupBy("doc_id", "item_id").agg(size.alias("matched"), size.alias("item_words"), F.count(F.lit(1)).alias("n"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc_id, item_id, matched, item_words, n_hits): every document that overlaps a benchmark item.
@@ -45,11 +70,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     (the stretch is clipped to item and text). ``matched`` is the largest number of item words that agree on one
     alignment, ``n_hits`` the number of hits that count. All windows of all whole texts are looked up.
 
-    Null or empty texts and items, and those of under ``SPAN`` words, have no window and no row. Copies under
+    An item of under ``SPAN`` words counts wherever all its words stand in a text, in order and side by side; each such
+    place is a hit. Letters of scripts without spaces are words of their own (``UNSPACED``). Null or empty texts and items
+    have no row, nor has a text of under ``SPAN`` words that is only a part of a longer item. Copies under
     different ids get rows of their own; repeated rows of one id count as one document whose hits add up; rows with
     null ids are kept under null. Other columns are ignored; an empty table on either side gives no rows.
     """
     tests = items.select(F.col(item_id_col).alias("item_id"), words_of(F.col(item_text_col)).alias("item")).distinct()
+    every = tests
     seeds = _seeds(tests.withColumnRenamed("item", "words").select("item_id", F.xxhash64("words").alias("version"), "words"),
                    ["item_id", "version"]).withColumnRenamed("pos", "q")
     few = seeds.count() <= BROADCAST_SEEDS
@@ -84,6 +112,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                            F.size(F.filter("hits", near)).alias("n")).where("n > 0")
     counted = counted.groupBy("doc_id", "item_id", "version", "shift").agg(
         F.max("n").alias("n"), F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
+    counted = counted.select("doc_id", "item_id", "matched", "item_words", F.col("n").cast("long").alias("n"))
+    whole = _whole(texts, every)
+    if whole is not None:
+        counted = counted.unionByName(whole)
     return counted.groupBy("doc_id", "item_id").agg(
         F.max("matched").cast("long").alias("matched"), F.max("item_words").cast("long").alias("item_words"),
         F.sum("n").cast("long").alias("n_hits"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm import binary_packing as B
 from tablescope.llm import cross_parsing as C
+from tablescope.llm import spaced_seeds as S
 
 
 def test_languages_of_copies_are_learned_from_their_distinct_texts(spark):
@@ -40,3 +41,17 @@ def test_packing_matches_added_tokens_like_the_library(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["doc_tokens"] for r in op8_binary_packing(spark, str(tmp_path)).collect()} == {i: len(v) for i, v in want.items()}
     assert B.encode([texts[0]], path, None)[0].tolist() != want[0][:-1]
+
+
+def test_short_and_unspaced_items_are_found(spark):
+    question = "東京から大阪まで新幹線で何時間かかりますか"
+    items = [(1, "What is the capital of Peru?"), (2, question), (3, "Lima"), (4, "one two three four five six seven eight nine"), (5, None), (6, "?!")]
+    filler = " ".join(f"w{i}" for i in range(40))
+    docs = [(1, f"{filler} what is THE capital, of peru {filler}"), (2, f"前置きの文です。{question}。答えは二時間半です。"), (3, "lima"), (4, "one two three four five six seven eight nine"),
+            (5, "one two three four five six seven eight"), (6, f"{filler} lima {filler}, Lima."), (7, "what is the capital"), (8, None), (9, "..."), (None, "Lima"), (3, "lima")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["item_words"], r["n_hits"]) for r in S.contamination(d, b).collect()}
+    hits = got.pop((2, 2))
+    assert hits[0] == hits[1] == len(question) and hits[2] > 0
+    assert got == {(1, 1): (6, 6, 1), (3, 3): (1, 1, 2), (4, 4): (9, 9, 1), (6, 3): (1, 1, 2), (None, 3): (1, 1, 1)}
+    assert {r["doc_id"] for r in S.clean(d, b).collect()} == {5, 7, 8, 9}
