@@ -25,12 +25,16 @@ BROADCAST_LINES = 100_000
 
 #: Scripts written without spaces: each of their letters is a word.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+#: Blocks that hold all of them; only texts with a character from these take the slower pattern.
+MAYBE = r"[\u0E00-\u109F\u1780-\u17FF\u3005-\uABFF\uF900-\uFAFF\uFF66-\uFF9F\x{16FE0}-\x{3FFFF}]"
 WORD = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+|[\p{{L}}\p{{N}}&&[{UNSPACED}]]"
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits, single letters of unspaced scripts; null is the empty text."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    runs, single = (F.regexp_extract_all(lowered, F.lit(x), F.lit(0)) for x in (r"[\p{L}\p{N}]+", WORD))
+    return F.when(lowered.rlike(MAYBE), single).otherwise(runs)
 
 
 def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
