@@ -87,6 +87,22 @@ def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.hard_negatives import mine
+    label = F.col("label").cast("long")
+    return mine(_table(spark, sf_dir, "embeddings"), label=F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op12_gram_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.spelling import variants, word_counts
+    return variants(word_counts(_table(spark, sf_dir, "documents")))
+
+
+def op13_tiled_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.topk_search import search
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_quantile_rules": op2_quantile_rules,
@@ -97,6 +113,9 @@ QUERIES = {
     "op8_binary_packing": op8_binary_packing,
     "op9_snapshot_chats": op9_snapshot_chats,
     "op10_ngram_trie": op10_ngram_trie,
+    "op11_slot_negatives": op11_slot_negatives,
+    "op12_gram_spelling": op12_gram_spelling,
+    "op13_tiled_search": op13_tiled_search,
     "op7_partenum_join": op7_partenum_join,
 }
 
@@ -155,7 +174,30 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from m left join z on z.lang is not distinct from m.lang and z.source is not distinct from m.source"""
 
 
+def _vectors_sql(columns: str, where: str = "") -> str:
+    return (f"select {columns}, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where vec_id is not null "
+            f"and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0{where}")
+
+
+def _dot_sql(a: str, b: str) -> str:
+    return f"list_dot_product({a}.v, {b}.v)::bigint"
+
+
 ORACLES = {
+    "op11_slot_negatives": f"""
+with v as ({_vectors_sql("vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label", " and label is not null")}),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, {_dot_sql("a", "c")} as score from v a join v c
+        on a.vec_id % 50 = 0 and a.vec_id <> c.vec_id and len(a.v) = len(c.v)),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id)::int as rank,
+  n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n on n.anchor_id = p.anchor_id and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) <= 3""",
+    "op13_tiled_search": f"""
+with v as ({_vectors_sql("vec_id")})
+select query_id, rank, vec_id, score from (select q.vec_id as query_id, c.vec_id, {_dot_sql("q", "c")} as score,
+  row_number() over (partition by q.vec_id order by {_dot_sql("q", "c")} desc, c.vec_id)::int as rank
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)) where rank <= 5""",
     "op1_spaced_seeds": rf"""
 with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as ws from documents),
 t as (select distinct item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as ws from benchmark),
