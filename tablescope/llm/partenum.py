@@ -6,8 +6,7 @@ domain is hashed into parts, more than the k differences can spoil, and subsets
 signatures: a similar pair shares one. Candidates are verified on the whole sets, so only true links count.
 
 The members of a signature group are compared with one of them, the centre. Members that this does not join into one
-component are compared with each other by the elements in which they differ from the centre, never as all pairs; those
-far from it get a centre of their own.
+component meet in cells of bounded size, which count what their sets share and leave only links that join components.
 """
 
 from __future__ import annotations
@@ -28,8 +27,10 @@ from tablescope.session import cut_lineage
 ENUMERATE_UP_TO = 8
 #: Up to so many candidate ids are sent to all executors (8 bytes each); beyond, the ids are joined.
 BROADCAST_IDS = 1_000_000
-#: Rounds in which the open members of each signature group are compared with a centre.
-CENTRES = 4
+#: Sets and elements of a block; a cell holds two blocks.
+CELL_SETS, CELL_ELEMENTS = 4096, 1 << 21
+#: An element that meets more often in a cell is counted by a product of columns.
+HEAVY = 4096
 
 
 @lru_cache
@@ -190,30 +191,141 @@ def _linked(percent: int):
     return 100 * same >= percent * (F.size("sa") + F.size("sb") - same)
 
 
-def _most(percent: int, n1, n2):
-    """Elements in which similar sets of these sizes can differ."""
-    return F.floor((100 - percent) * (n1 + n2) / (100 + percent))
+def _spanning(row: np.ndarray, column: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the links (row, column) between nodes of these labels join what no chosen link has joined yet."""
+    label, chosen, left = label.copy(), [], np.arange(len(row))
+    while True:
+        left = left[label[row[left]] != label[column[left]]]
+        if not len(left):
+            return np.concatenate(chosen) if chosen else left
+        # every component takes one link that leaves it
+        _, first = np.unique(np.concatenate([label[row[left]], label[column[left]]]), return_index=True)
+        take = np.unique(left[first % len(left)])
+        chosen.append(take)
+        to: dict[int, int] = {}
+
+        def root(x, to=to):
+            while x in to:
+                x = to[x]
+            return x
+        for x, y in zip(label[row[take]].tolist(), label[column[take]].tolist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                to[max(x, y)] = min(x, y)
+        values, at = np.unique(label, return_inverse=True)
+        label = np.array([root(x) for x in values.tolist()])[at]
+
+
+def _overlaps(owner: np.ndarray, element: np.ndarray, left: int, right: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``left`` sets with the ``right`` ones after them."""
+    _, e = np.unique(element, return_inverse=True)
+    side = owner >= left
+    f, g = np.bincount(e[~side], minlength=e.max() + 1), np.bincount(e[side], minlength=e.max() + 1)
+    out = np.zeros((left, right), np.float32)
+    heavy = f * g > HEAVY
+    columns = np.flatnonzero(heavy)
+    for at in range(0, len(columns), 512):  # what many sets have: products of 0/1 columns
+        slot = np.full(len(f), -1)
+        slot[columns[at:at + 512]] = np.arange(len(columns[at:at + 512]))
+        use = slot[e] >= 0
+        m = np.zeros((left + right, 512), np.float32)
+        m[owner[use], slot[e[use]]] = 1
+        out += m[:left] @ m[left:].T
+    rare = ~heavy & (f * g > 0)
+    x, y = np.flatnonzero(rare[e] & ~side), np.flatnonzero(rare[e] & side)
+    y = y[np.argsort(e[y], kind="stable")]
+    start = np.cumsum(np.where(rare, g, 0)) - np.where(rare, g, 0)
+    todo = np.concatenate([[0], np.cumsum(g[e[x]])])
+    at = 0
+    while at < len(x):  # what few have: one count for each meeting
+        end = max(at + 1, int(np.searchsorted(todo, todo[at] + (1 << 22), "right")) - 1)
+        part = x[at:end]
+        n = g[e[part]]
+        cell = np.repeat(owner[part] * right, n) + owner[y[X.ragged(start[e[part]], n)]] - left
+        values, count = np.unique(cell, return_counts=True)
+        out.ravel()[values] += count
+        at = end
+    return out
+
+
+def _cell_links(percent: int):
+    """Rows (a, kind, i, j, side, b, c, s) of a partition, cells one after another: links that join components of a cell."""
+    def cell(rows: pa.Table) -> pa.RecordBatch | None:
+        side = rows.column("side").to_numpy()
+        b, c = rows.column("b").to_numpy(), rows.column("c").to_numpy()
+        lists = rows.column("s").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        element = lists.flatten().to_numpy()
+        left = int((side == 0).sum())
+        if side[-1] == 0:  # one block with itself
+            at = np.concatenate([np.arange(left), np.arange(left)])
+        else:
+            at = np.argsort(side, kind="stable")
+        right = len(at) - left
+        if not left or not right or (c == c[0]).all():
+            return None
+        first = np.cumsum(n) - n
+        owner, element = np.repeat(np.arange(len(at)), n[at]), element[X.ragged(first[at], n[at])]
+        b, c, n = b[at], c[at], n[at]
+        same = _overlaps(owner, element, left, right)
+        total = n[:left, None] + n[None, left:]
+        linked = ((100 + percent) * same.astype(np.int64) >= percent * total) & (c[:left, None] != c[None, left:])
+        row, column = np.nonzero(linked)
+        column += left
+        keep = _spanning(row, column, np.unique(c, return_inverse=True)[1])
+        return pa.record_batch([pa.array(b[row[keep]]), pa.array(b[column[keep]])], ["a", "b"])
+
+    def run(batches):
+        held, keys = [], None
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            new = np.ones(len(batch), bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+            starts = [*np.flatnonzero(new).tolist(), len(batch)]
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                key = tuple(int(x[s]) for x in columns)
+                if key != keys and held:
+                    if (out := cell(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                keys = key
+                held.append(batch.slice(s, e - s))
+        if held and (out := cell(pa.Table.from_batches(held))) is not None:
+            yield out
+    return run
 
 
-def _between_members(stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one centre, in different components, that can still be similar.
+def _family_links(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one centre that are in different components, enough of them to join what is linked.
 
-    ``stars`` has (a, b, n, d): centre, member, size of the member's set, elements in which it differs from its centre.
-    Members x and y differ in |d(x)| + |d(y)| - 2 |d(x) & d(y)| elements. For a link that must not exceed k(x, y), so
-    they share some of the elements that several members differ in, and enough of them.
+    ``members(a, v)`` are the members of each centre ``a``. Those outside the centre's largest component are compared with each
+    other and with that component, block by block in cells of bounded size; a pair is never written.
     """
-    rows = stars.join(label.select(F.col("v").alias("b"), "c"), "b").select("a", "b", "c", "n", F.size("d").alias("nd"), F.explode("d").alias("e"))
-    again = rows.groupBy("a", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    common = rows.join(again, ["a", "e"]).groupBy("a", "b", "c", "n", "nd").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("es"))
-    # the rarest elements first: of |d| elements at least |d| - k must be shared, so the last of them need no look
-    alone = F.col("nd") - F.size("es")
-    look = F.least(F.col("nd"), _most(percent, F.col("n"), F.floor(F.col("n") * 100 / percent)) + 1) - alone
-    keys = cut_lineage(common.where(look > 0).select(
-        "a", "b", "c", "n", "nd", F.size("es").alias("ns"), F.explode(F.slice("es", F.lit(1), look.cast("int"))["e"]).alias("e")))
-    x, y = (keys.select("a", "e", *[F.col(i).alias(f"{i}{side}") for i in ("b", "c", "n", "nd", "ns")]) for side in (1, 2))
-    k = _most(percent, F.col("n1"), F.col("n2"))
-    possible = (F.col("b1") < F.col("b2")) & (F.col("c1") != F.col("c2")) & (2 * F.least("ns1", "ns2") >= F.col("nd1") + F.col("nd2") - k)
-    return x.join(y, ["a", "e"]).where(possible).select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
+    spark = members.sparkSession
+    sizes = sets.select("v", F.size("s").alias("n"))
+    rows = cut_lineage(members.join(label, "v").join(sizes, "v").select("a", F.col("v").alias("b"), "c", "n"))
+    each = rows.groupBy("a", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"))
+    top = each.groupBy("a").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("m"), F.sum("e").alias("e"),
+                                F.max(F.struct("m", "c", "e"))["e"].alias("top_e"))
+
+    def blocks(m, e):
+        return F.greatest(F.ceil(m / CELL_SETS), F.ceil(e / CELL_ELEMENTS)).cast("int")
+    top = cut_lineage(top.where(F.col("m") > F.col("top.m")).select(
+        "a", F.col("top.c").alias("main"), blocks(F.col("m") - F.col("top.m"), F.col("e") - F.col("top_e")).alias("nf"),
+        blocks(F.col("top.m"), F.col("top_e")).alias("nm")))
+    h = F.xxhash64("b", F.lit(7))
+    rows = rows.join(top, "a").withColumn("odd", F.col("c") != F.col("main"))
+    f, m = F.pmod(h, "nf").cast("int"), F.pmod(h, "nm").cast("int")
+    zero, one = F.lit(0), F.lit(1)
+    cells = F.when(F.col("odd"), F.concat(
+        F.transform(F.sequence(zero, F.col("nf") - 1), lambda t: F.struct(zero.alias("kind"), F.least(f, t).alias("i"), F.greatest(f, t).alias("j"), F.when(f > t, one).otherwise(zero).alias("side"))),
+        F.transform(F.sequence(zero, F.col("nm") - 1), lambda t: F.struct(one.alias("kind"), f.alias("i"), t.alias("j"), zero.alias("side"))))).otherwise(
+        F.transform(F.sequence(zero, F.col("nf") - 1), lambda t: F.struct(one.alias("kind"), t.alias("i"), m.alias("j"), one.alias("side"))))
+    rows = rows.select("a", "b", "c", F.inline(cells))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["a", "kind", "i", "j"]
+    full = rows.join(sets.select(F.col("v").alias("b"), "s"), "b").select(*key, "side", "b", "c", "s")
+    return full.repartition(n, *key).sortWithinPartitions(*key, "side").mapInArrow(_cell_links(percent), "a long, b long")
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -250,47 +362,22 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         sets = sets.dropDuplicates(["v"])
     sets = cut_lineage(sets)
 
-    edges = spark.createDataFrame([], "a long, b long")
-    label = candidates.select("v", F.col("v").alias("c"))
-    open_ = shared  # members of signatures that may still be linked with each other
-    for _ in range(CENTRES):
-        # the centre is the member that shares most signatures: of a family of copies the one nearest to all
-        sizes = open_.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
-        shares = open_.join(sizes, "sig").groupBy("v").agg(F.sum("m").alias("shares"))
-        several = open_.join(label.join(shares, "v"), "v").groupBy("sig").agg(
-            F.max(F.struct("shares", "v")).alias("top"), F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-        members = cut_lineage(open_.join(several.select("sig", F.col("top.v").alias("a"), "m"), "sig").where("a <> v"))
-        pairs = cut_lineage(members.groupBy("a", F.col("v").alias("b")).agg((F.max("m") > 2).alias("several")))
-        if pairs.isEmpty():
-            break
-        difference = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
-        k_most = _most(percent, F.size("sb"), F.floor(F.size("sb") * 100 / percent))
-        stars = _set_pairs(pairs, sets, "a", "b", "several", _linked(percent).alias("linked"), F.size("sb").alias("n"), difference.alias("d"), k_most.alias("k"))
-        stars = cut_lineage(stars.select("a", "b", "linked", "n", "k", F.size("d").alias("nd"),
-                                         F.when(F.col("several") & (F.size("d") <= 3 * F.col("k")), F.col("d")).alias("d")))
-        edges = edges.union(stars.where("linked").select("a", "b"))
-        label = cut_lineage(candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c")))
-        # members near the centre are compared by their differences, if their signatures still span components
-        spans = members.join(label, "v").groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
-        members = cut_lineage(members.join(spans, "sig", "left_semi"))
-        unsettled = members.select("a", F.col("v").alias("b")).distinct()
-        rest = cut_lineage(_between_members(stars.where("d is not null").join(unsettled, ["a", "b"], "left_semi"), label, percent))
-        more = cut_lineage(_set_pairs(rest, sets, "a", "b", _linked(percent).alias("linked")).where("linked").select("a", "b").distinct())
-        if not more.isEmpty():
-            edges = edges.union(more)
-            label = cut_lineage(candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c")))
-        # what is similar to a member beyond 3 k (its own k) is itself beyond about 2 k: only those need another centre
-        far = stars.where(F.col("nd") > 2 * F.col("k") * percent / 100 - 4).select("a", F.col("b").alias("v"))
-        open_ = cut_lineage(members.join(far, ["a", "v"], "left_semi").select("sig", "v"))
-    else:
-        # what several centres have not settled are small groups of texts that are all unlike each other
-        left = open_.join(label, "v").join(nodes.where("v <> 0").select("v", "n").distinct(), "v")
-        x, y = left.select("sig", F.col("v").alias("a"), F.col("c").alias("c1"), F.col("n").alias("n1")), left.select("sig", F.col("v").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"))
-        fits = (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-        rest = cut_lineage(x.join(y, "sig").where(fits).select("a", "b").distinct())
-        more = cut_lineage(_set_pairs(rest, sets, "a", "b", _linked(percent).alias("linked")).where("linked").select("a", "b").distinct())
+    # the centre of a signature is the member that shares most signatures: of a family of copies the one nearest to all
+    sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    shares = shared.join(sizes, "sig").groupBy("v").agg(F.sum("m").alias("shares"))
+    tops = shared.join(shares, "v").groupBy("sig").agg(F.max(F.struct("shares", "v"))["v"].alias("a"))
+    members = cut_lineage(shared.join(tops, "sig"))
+    pairs = cut_lineage(members.where("a <> v").select("a", F.col("v").alias("b")).distinct())
+    stars = _set_pairs(pairs, sets, "a", "b", _linked(percent).alias("linked"))
+    edges = cut_lineage(stars.where("linked").select("a", "b"))
+    label = cut_lineage(candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c")))
+    # members of signatures that still span components meet in the cells of their centre
+    spans = members.join(label, "v").groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
+    unsettled = members.join(spans, "sig", "left_semi").select("a", "v").distinct()
+    more = cut_lineage(_family_links(unsettled, label, sets, percent).distinct())
+    if not more.isEmpty():
         edges = edges.union(more)
-        label = candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
+        label = cut_lineage(candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c")))
 
     ends = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = ends.groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("n_links"))

@@ -77,3 +77,41 @@ def test_null_ids_repeated_rows_clashing_columns_and_empty(spark):
     got = sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in P.similarity_components(df).collect()), key=str)
     assert got == sorted([(None, 7, 7), (7, 7, 7), (7, 7, 7), (None, 1, None), (9, 0, 9)], key=str)
     assert P.similarity_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_unlike_sets_with_common_elements_meet_in_many_cells(spark, monkeypatch):
+    """Hundreds of sets share most signatures but few are similar: small cells lose no link between components."""
+    monkeypatch.setattr(P, "CELL_SETS", 16)
+    rng = random.Random(6)
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = [common + " " + " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(18)) for _ in range(150)]
+    base = [f"b{i}" for i in range(60)]
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 9)}"
+        texts.append(" ".join(w))
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in P.similarity_components(spark.createDataFrame(docs, "doc_id long, text string"), k=3, percent=70).collect()}
+    assert got == brute(docs, 3, 70)
+
+
+def test_overlaps_and_spanning_links():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(300)]
+    owner = np.repeat(np.arange(300), [len(x) for x in sets])
+    out = P._overlaps(owner, np.concatenate(sets), 120, 180)
+    assert all(out[i, j] == len(np.intersect1d(sets[i], sets[120 + j])) for i in range(120) for j in range(180))
+    row, column = rng.integers(0, 200, 260), rng.integers(0, 200, 260)
+    label = rng.integers(0, 190, 200)
+    keep = P._spanning(row, column, label)
+
+    def parts(links):
+        lab = list(label)
+        for _ in range(200):
+            for x, y in links:
+                low, high = sorted((lab[x], lab[y]))
+                lab = [low if v == high else v for v in lab]
+        return [lab.index(v) for v in lab]
+    assert parts(list(zip(row, column, strict=True))) == parts(list(zip(row[keep], column[keep], strict=True))) and len(set(keep.tolist())) == len(keep) < 190
