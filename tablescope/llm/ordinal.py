@@ -13,9 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.session import cut_lineage
+
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 
@@ -48,22 +51,24 @@ class OrdinalModel:
     thresholds: np.ndarray
 
 
-def fit(rows: list[tuple[int, np.ndarray]], grades: int, size: int, rounds: int = 250, decay: float = 3e-5,
-        least: int = 6, chi2: float = 24.0) -> OrdinalModel:
-    """Full-batch Adam on the log likelihood of (grade, slots) rows; thresholds stay ordered by construction.
+def telling(counts: np.ndarray, grades: np.ndarray, least: int = 6, chi2: float = 24.0) -> np.ndarray:
+    """Slots worth a weight, from ``counts`` (slots x grades) and the rows of each grade.
 
     Only slots seen in ``least`` rows whose grades differ from the whole by a chi-square of ``chi2`` get a
     weight: in long texts thousands of chance weights would drown the few words that matter.
     """
-    y = np.array([g for g, _ in rows], np.int64)
-    slots = np.concatenate([s for _, s in rows]) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(s) for _, s in rows])
+    n = counts.sum(1, keepdims=True)
+    expected = n * (grades / max(1, grades.sum()))
+    test = ((counts - expected) ** 2 / np.maximum(expected, 1e-9)).sum(1)
+    return np.flatnonzero((n[:, 0] >= least) & (test >= chi2))
+
+
+def fit(y: np.ndarray, owner: np.ndarray, slots: np.ndarray, grades: int, size: int, rounds: int = 250, decay: float = 3e-5) -> OrdinalModel:
+    """Full-batch Adam on the log likelihood of the grades ``y``; entry k says that row ``owner[k]`` has feature ``slots[k]``.
+
+    Thresholds stay ordered by construction.
+    """
     share = np.bincount(y, minlength=grades) / max(1, len(y))
-    table = np.bincount(slots * grades + y[owner], minlength=size * grades).reshape(size, grades)
-    expected = table.sum(1, keepdims=True) * share
-    test = ((table - expected) ** 2 / np.maximum(expected, 1e-9)).sum(1)
-    chosen = ((table.sum(1) >= least) & (test >= chi2))[slots]
-    slots, owner = slots[chosen], owner[chosen]
     used, column = np.unique(slots, return_inverse=True)
     row_weight = 1 / max(1, len(y))
     below = np.clip(np.cumsum(share)[:-1], 1e-3, 1 - 1e-3)
@@ -106,13 +111,13 @@ def grades_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, text_col: str = "text", id_col: str = "doc_id", grades: int = 3,
-          size: int = 1 << 18, max_rows: int = 12_000, max_tokens: int = 5_000) -> OrdinalModel:
+          size: int = 1 << 18, max_rows: int = 12_000) -> OrdinalModel:
     """Fit on about ``max_rows`` rated documents: those whose hashed ids are the smallest.
 
-    ``ratings`` has (id, grade). A training row keeps ``max_tokens`` distinct tokens at most, chosen by hash
-    (scoring always reads whole texts). Both bounds limit what reaches the driver. Rows with null
-    grade or text are left out, an id that occurs in several documents counts once. Without rows the model
-    knows nothing and gives every text the same probabilities.
+    ``ratings`` has (id, grade). Training rows enter with all tokens of their whole texts; Spark counts slots by grade, and
+    only slots that tell grades apart reach the driver: at most ``size`` of them, in ``max_rows`` rows. Rows with null
+    grade or text are left out; of an id that occurs in several documents the text of the smallest hash counts. Without rows
+    the model knows nothing and gives every text the same probabilities.
     """
     rated = ratings.where(F.col("id").isNotNull() & F.col("grade").between(0, grades - 1))
     n = rated.count()
@@ -123,19 +128,37 @@ def train(docs: DataFrame, ratings: DataFrame, text_col: str = "text", id_col: s
 
     def slots(batches):
         for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                tokens = _tokens(text)
-                if len(tokens) > max_tokens:
-                    tokens = sorted(tokens, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))[:max_tokens]
-                out.append(sorted({s for w in tokens for s in _slots(w, size)}))
-            yield pd.DataFrame({"id": pdf["id"], "grade": pdf["grade"], "slots": out})
+            out = [np.unique([s for w in _tokens(text) for s in _slots(w, size)]).astype(np.int32) for text in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "grade": pdf["grade"], "h": pdf["h"], "slots": out})
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = (rows.select("id", "grade", "text").mapInPandas(slots, f"id {kind}, grade int, slots array<int>")
-           .dropDuplicates(["id"]).select("grade", "slots").toArrow())
-    values = [np.asarray(x, np.int64) for x in got["slots"].to_pylist()]
-    return fit(list(zip(got["grade"].to_pylist(), values, strict=True)), grades, size)
+    got = (rows.select("id", "grade", F.sha2("text", 256).alias("h"), "text").mapInPandas(slots, f"id {kind}, grade int, h string, slots array<int>")
+           .groupBy("id").agg(F.min_by(F.struct("grade", "slots"), "h").alias("row")).select("row.*"))
+    got = cut_lineage(got)
+    by_grade = np.zeros(grades)
+    for r in got.groupBy("grade").count().collect():
+        by_grade[r["grade"]] = r["count"]
+    table = got.select("grade", F.explode("slots").alias("slot")).groupBy("slot", "grade").count().toArrow()
+    counts = np.zeros((size, grades), np.int32)
+    counts[table["slot"].to_numpy(), table["grade"].to_numpy()] = table["count"].to_numpy()
+    chosen = telling(counts, by_grade)
+    del table, counts
+    keep = got.sparkSession.sparkContext.broadcast(chosen.astype(np.int32))
+
+    def telling_slots(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            take = np.isin(values, keep.value)
+            take[:offsets[0]] = take[offsets[-1]:] = False
+            new = np.concatenate([[0], np.cumsum(take)])[offsets]
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array((new - new[0]).astype(np.int32)), pa.array(values[take]))], ["grade", "slots"])
+
+    few = got.select("grade", "slots").mapInArrow(telling_slots, "grade int, slots array<int>").toArrow().combine_chunks()
+    lists = few["slots"].combine_chunks() if few.num_rows else pa.array([], pa.list_(pa.int32()))
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    owner = np.repeat(np.arange(few.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    return fit(few["grade"].to_numpy().astype(np.int64), owner, lists.flatten().to_numpy(), grades, size)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:

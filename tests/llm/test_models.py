@@ -65,6 +65,44 @@ def test_ordinal_regression_orders_grades_and_finds_toxic_words(spark):
     assert O.score(odd, empty).count() == 3
 
 
+def test_ordinal_fit_is_a_minimum_of_the_penalised_likelihood():
+    rng = np.random.default_rng(5)
+    n, size = 400, 12
+    has = rng.random((n, size - 1)) < 0.3
+    z = has @ rng.normal(size=size - 1)
+    y = np.searchsorted([-0.5, 0.8], z + rng.logistic(size=n))
+    owner, slot = np.nonzero(has)
+    model = O.fit(y, owner, slot + 1, 3, size, rounds=3000, decay=0.01)
+
+    def loss(w, t):
+        edge = np.concatenate([[-np.inf], t, [np.inf]])
+        s = has @ w[1:]
+        p = 1 / (1 + np.exp(-(edge[y + 1] - s))) - 1 / (1 + np.exp(-(edge[y] - s)))
+        return -np.log(p).mean() + 0.005 * (w @ w)
+    w, t = model.weights.astype(float), model.thresholds
+    at = loss(w, t)
+    for k in range(1, size):
+        for d in (0.05, -0.05):
+            assert loss(w + d * (np.arange(size) == k), t) > at
+    for k in range(2):
+        for d in (0.05, -0.05):
+            assert loss(w, t + d * (np.arange(2) == k)) > at
+
+
+def test_ordinal_fit_does_not_depend_on_partitions_and_repeated_ids(spark):
+    rng = random.Random(2)
+    docs = [(i % 120, " ".join(rng.choices(["good", "fine", "odd", "bad", "worse"], [3, 3, 1, i % 3, i % 2], k=12)), "x", 0.5) for i in range(240)]
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(120)], "id long, grade int")
+    models = []
+    for parts in (1, 5):
+        rng.shuffle(docs)
+        df = spark.createDataFrame(docs, "doc_id long, text string, grade string, slots double").repartition(parts)
+        models.append(O.train(df, ratings, size=256))
+    assert np.allclose(models[0].weights, models[1].weights, atol=1e-5) and np.abs(models[0].weights).max() > 0
+    out = O.score(spark.createDataFrame([(1, "good fine", 9.0, 2.0), (1, "good fine", 9.0, 2.0)], "doc_id long, text string, tail double, expected_grade double"), models[0])
+    assert out.columns.count("tail") == 1 and len({(r["tail"], r["expected_grade"]) for r in out.collect()}) == 1
+
+
 def test_grades(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (3, 1, 0), (4, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r["id"]: r["grade"] for r in O.grades_of(labels).collect()} == {1: 2, 2: 1, 3: 0}
