@@ -61,3 +61,15 @@ def test_stages_catch_what_was_planted_and_keep_clean_documents(spark, tmp_path)
         total[r["doc_id"]] += r["length"]
         assert len(np.frombuffer(r["ids"], "<u4")) == r["length"]
     assert set(total) == after_leaks and total[1500] == total[1501] == 1
+
+
+def test_near_duplicates_tell_rows_apart_not_ids(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c = (" ".join(words(rng, 80)) for _ in range(3))
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (7, b, "en", "t", 1), (None, a, None, "s", 1),
+            (None, c, None, None, None), (8, None, "en", "s", 0), (8, None, "en", "s", 0), (9, "", "en", "s", 0), (3, a + " end", "de", "s", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for parts in (1, 4):
+        got = P.near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(parts), str(tmp_path))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[k] for k in (0, 2, 6, 7, 8, 9)], key=str)
+    assert P.near_duplicates(spark, spark.createDataFrame([], schema), str(tmp_path)).count() == 0
