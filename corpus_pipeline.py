@@ -32,13 +32,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Texts without words and rows with null ids stay."""
-    groups = cut_lineage(partenum.similarity_components(docs, k=SHINGLE, percent=PERCENT))
-    dropped = groups.where("id <> component_id").select(F.col("id").alias("_dropped")).distinct()
-    few = dropped.count() <= partenum.BROADCAST_IDS
-    left = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
-    if not groups.where("id is not null and n_shingles > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "text"])
+    """One row of each group: that with the smallest id, then text, language and source. Texts without words stay.
+
+    Rows are told apart by a hash of all their columns, not by their ids: another text under the same id is a row of its own.
+    """
+    docs = docs.withColumn("_row", F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]))
+    groups = cut_lineage(partenum.similarity_components(docs, id_col="_row", k=SHINGLE, percent=PERCENT).where("n_shingles > 0")
+                         .groupBy("id", "component_id").agg(F.count(F.lit(1)).alias("n")))
+    several = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("component_id")
+    members = cut_lineage(groups.join(several, "component_id").select("component_id", F.col("id").alias("_member")))
+    few = members.count() <= partenum.BROADCAST_IDS
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2("text", 256), "lang", "source", "n_chars")
+    keys = docs.select("_row", order.alias("_order")).join(F.broadcast(members) if few else members, F.col("_row") == F.col("_member"))
+    kept = keys.groupBy("component_id").agg(F.min_by("_row", "_order").alias("_member")).select("_member")
+    dropped = cut_lineage(members.select("_member").join(kept, "_member", "left_anti"))
+    left = docs.join(F.broadcast(dropped) if few else dropped, F.col("_row") == F.col("_member"), "left_anti")
+    if not groups.where("n > 1").isEmpty():
+        words = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+        left = left.where(words).dropDuplicates(["_row"]).union(left.where(~words))
     return left.select(COLUMNS)
 
 
