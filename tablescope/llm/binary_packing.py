@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tablescope.llm import textnum as X
 
 #: Texts per chunk, in characters; pretokens repeated in a chunk are encoded once.
-CHARACTERS = 1 << 21
+CHARACTERS = 1 << 20
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -62,14 +62,18 @@ def _encoder(path: str):
     return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> regex.Pattern | None:
+    """Pattern of the file's added tokens."""
+    added = sorted((t["content"] for t in json.load(open(path, encoding="utf-8")).get("added_tokens", [])), key=len, reverse=True)
+    return regex.compile("|".join(map(regex.escape, added))) if added else None
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    """(the library's tokenizer, pattern of the file's added tokens or None)."""
+    """The library's tokenizer, loaded only where a text holds an added token."""
     from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-    return tokenizer, regex.compile("|".join(map(regex.escape, added))) if added else None
+    return Tokenizer.from_file(path)
 
 
 def _pretokens(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -105,8 +109,8 @@ def encode(texts: list[str], path: str, end_id: int | None, added: bool = False)
     n = np.zeros(len(texts), np.int64)
     slow = {}
     if added:
-        tokenizer, pattern = _tokenizer(path)
-        slow = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if pattern and pattern.search(t)}
+        pattern = _added(path)
+        slow = {i: _tokenizer(path).encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if pattern and pattern.search(t)}
     slow |= {i: encoder(t) for i, t in enumerate(texts) if i not in slow and ("'" in t or len(t) >= 1 << 22)}
     fast = [i for i, t in enumerate(texts) if t and i not in slow]
     parts: list[np.ndarray] = []
@@ -185,6 +189,8 @@ def _pieces(path: str, end_id: int | None, length: int, added: bool):
                     pa.array(number + np.arange(len(size))), blob],
                     ["id", "start", "length", "doc_tokens", "bucket", "sequence_id", "ids"])
                 number += len(size)
+            del texts
+            X.release()
     return run
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.llm.textnum import release
 from tablescope.session import cut_lineage
 
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
@@ -130,6 +131,7 @@ def train(docs: DataFrame, ratings: DataFrame, text_col: str = "text", id_col: s
         for pdf in batches:
             out = [np.unique([s for w in _tokens(text) for s in _slots(w, size)]).astype(np.int32) for text in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "grade": pdf["grade"], "h": pdf["h"], "slots": out})
+        release()
 
     kind = rows.schema["id"].dataType.simpleString()
     got = (rows.select("id", "grade", F.sha2("text", 256).alias("h"), "text").mapInPandas(slots, f"id {kind}, grade int, h string, slots array<int>")
@@ -189,9 +191,11 @@ def _iter_udf(shared, size):
                         x = known[w] = float(sum(weights[s] for s in _slots(w, size)))
                     z += x
                 out[i] = z
-                if len(known) > 300_000:
+                if len(known) > 100_000:
                     known.clear()
             yield pd.Series(out)
+        known.clear()
+        release()
 
     return F.pandas_udf(logit, "double")
 

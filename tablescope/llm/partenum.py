@@ -139,6 +139,7 @@ def _features(k: int):
                 s, size = shingle_sets(b, offsets, k)
                 yield pa.record_batch([batch.column(0).slice(start, end - start), pa.array(size), pa.array(fingerprints(s, size))],
                                       ["id", "n", "v"])
+        X.release()
     return run
 
 
@@ -159,6 +160,8 @@ def _signature_rows(k: int, percent: int):
                 s, v, size = s[np.repeat(fresh, size)], v[fresh], size[fresh]
                 sig, owner = signatures(s, size, percent)
                 yield pa.record_batch([pa.array(sig), pa.array(v[owner])], ["sig", "v"])
+        seen.clear()
+        X.release()
     return run
 
 
@@ -169,6 +172,7 @@ def _set_rows(k: int):
                 s, size = shingle_sets(b, offsets, k)
                 lists = pa.ListArray.from_arrays(pa.array(X.counts_to_offsets(size).astype(np.int32)), pa.array(s.view(np.int64)))
                 yield pa.record_batch([pa.array(fingerprints(s, size)), lists], ["v", "s"])
+        X.release()
     return run
 
 
@@ -292,6 +296,8 @@ def _cell_links(percent: int):
                 held.append(batch.slice(s, e - s))
         if held and (out := cell(pa.Table.from_batches(held))) is not None:
             yield out
+        held.clear()
+        X.release()
     return run
 
 

@@ -84,6 +84,7 @@ def _blocks(length: int):
                 yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[first + doc]),
                                        pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32)), pa.array((where - base).astype(np.int32))],
                                       ["a", "c", "key", "lo", "hi", "at"])
+        X.release()
     return run
 
 

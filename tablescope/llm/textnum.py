@@ -6,6 +6,8 @@ bounded by the chunk or by the longest single text, not by the batch.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,13 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: Python workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base^i`` and ``base^-i`` modulo 2^64 for i < n."""
     if len(_powers[0]) < n:
