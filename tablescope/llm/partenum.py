@@ -5,8 +5,10 @@ in neighbouring ones, and differs in at most k elements, k following from the ba
 domain is hashed into parts, more than the k differences can spoil, and subsets of the parts become
 signatures: a similar pair shares one. Candidates are verified on the whole sets, so only true links count.
 
-The members of a signature group are compared with one of them, the centre. Members that this does not join into one
-component meet in cells of bounded size, which count what their sets share and leave only links that join components.
+The member of a signature that shares most signatures is its centre. All members of a centre form a family, which meets
+in cells of bounded size: a cell counts what its sets share and leaves only links that join components. A family of
+several blocks is first linked within its blocks, each with the centre; then members outside its largest component meet
+each other and that component.
 """
 
 from __future__ import annotations
@@ -176,25 +178,6 @@ def _set_rows(k: int):
     return run
 
 
-def _set_pairs(pairs: DataFrame, sets: DataFrame, *columns) -> DataFrame:
-    """``columns`` of ``pairs(a, b, ...)`` joined with the sets sa and sb of both ends."""
-    ends, centres = pairs.select("b").distinct(), cut_lineage(pairs.select("a").distinct())
-    few = pairs.count() <= BROADCAST_IDS
-    right = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
-    if few:
-        with_b = right.join(F.broadcast(pairs), "b")
-    else:
-        with_b = right.join(ends, "b", "left_semi").join(pairs, "b")
-    left = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
-    left = left.join(F.broadcast(centres) if few else centres, "a", "left_semi")
-    return with_b.join(left, "a").select(*columns)
-
-
-def _linked(percent: int):
-    same = F.size(F.array_intersect("sa", "sb"))
-    return 100 * same >= percent * (F.size("sa") + F.size("sb") - same)
-
-
 def _spanning(row: np.ndarray, column: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Which of the links (row, column) between nodes of these labels join what no chosen link has joined yet."""
     label, chosen, left = label.copy(), [], np.arange(len(row))
@@ -271,6 +254,9 @@ def _cell_links(percent: int):
         first = np.cumsum(n) - n
         owner, element = np.repeat(np.arange(len(at)), n[at]), element[X.ragged(first[at], n[at])]
         b, c, n = b[at], c[at], n[at]
+        if left == 2 and side[-1] == 0:
+            same = np.intersect1d(element[:n[0]], element[n[0]:n[0] + n[1]], assume_unique=True).size
+            return pa.record_batch([pa.array(b[:1]), pa.array(b[1:2])], ["a", "b"]) if (100 + percent) * same >= percent * (n[0] + n[1]) else None
         same = _overlaps(owner, element, left, right)
         total = n[:left, None] + n[None, left:]
         linked = ((100 + percent) * same.astype(np.int64) >= percent * total) & (c[:left, None] != c[None, left:])
@@ -301,24 +287,45 @@ def _cell_links(percent: int):
     return run
 
 
+CELL = ["a", "kind", "i", "j"]
+
+
+def _blocks_of(m, e):
+    """Blocks into which ``m`` sets of ``e`` elements are dealt."""
+    return F.greatest(F.ceil(m / CELL_SETS), F.ceil(e / CELL_ELEMENTS)).cast("int")
+
+
+def _cells(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the cells of ``rows(a, kind, i, j, side, b, c)``; the sets join them here."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = rows.join(sets.select(F.col("v").alias("b"), "s"), "b").select(*CELL, "side", "b", "c", "s")
+    return full.repartition(n, *CELL).sortWithinPartitions(*CELL, "side").mapInArrow(_cell_links(percent), "a long, b long")
+
+
+def _block_links(members: DataFrame, split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside every block of ``members(a, v)``, the centre ``a`` being in each block of its family."""
+    zero = F.lit(0)
+    nb = F.coalesce("nb", F.lit(1))
+    mine = F.pmod(F.xxhash64("v", F.lit(7)), nb).cast("int")
+    blocks = F.when(F.col("v") == F.col("a"), F.sequence(zero, nb - 1)).otherwise(F.array(mine))
+    rows = members.join(split, "a", "left").select("a", F.lit(2).alias("kind"), F.explode(blocks).alias("i"), zero.alias("j"), zero.alias("side"),
+                                                   F.col("v").alias("b"), F.col("v").alias("c"))
+    return _cells(rows, sets, percent)
+
+
 def _family_links(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one centre that are in different components, enough of them to join what is linked.
 
-    ``members(a, v)`` are the members of each centre ``a``. Those outside the centre's largest component are compared with each
-    other and with that component, block by block in cells of bounded size; a pair is never written.
+    ``members(a, v, n)`` are the members of large families and the sizes of their sets. Those outside the family's largest
+    component are compared with each other and with that component, block by block in cells of bounded size; a pair is
+    never written.
     """
-    spark = members.sparkSession
-    sizes = sets.select("v", F.size("s").alias("n"))
-    rows = cut_lineage(members.join(label, "v").join(sizes, "v").select("a", F.col("v").alias("b"), "c", "n"))
+    rows = cut_lineage(members.join(label, "v").select("a", F.col("v").alias("b"), "c", "n"))
     each = rows.groupBy("a", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"))
-    top = each.groupBy("a").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("m"), F.sum("e").alias("e"),
-                                F.max(F.struct("m", "c", "e"))["e"].alias("top_e"))
-
-    def blocks(m, e):
-        return F.greatest(F.ceil(m / CELL_SETS), F.ceil(e / CELL_ELEMENTS)).cast("int")
+    top = each.groupBy("a").agg(F.max(F.struct("m", "c", "e")).alias("top"), F.sum("m").alias("m"), F.sum("e").alias("e"))
     top = cut_lineage(top.where(F.col("m") > F.col("top.m")).select(
-        "a", F.col("top.c").alias("main"), blocks(F.col("m") - F.col("top.m"), F.col("e") - F.col("top_e")).alias("nf"),
-        blocks(F.col("top.m"), F.col("top_e")).alias("nm")))
+        "a", F.col("top.c").alias("main"), _blocks_of(F.col("m") - F.col("top.m"), F.col("e") - F.col("top.e")).alias("nf"),
+        _blocks_of(F.col("top.m"), F.col("top.e")).alias("nm")))
     h = F.xxhash64("b", F.lit(7))
     rows = rows.join(top, "a").withColumn("odd", F.col("c") != F.col("main"))
     f, m = F.pmod(h, "nf").cast("int"), F.pmod(h, "nm").cast("int")
@@ -327,11 +334,7 @@ def _family_links(members: DataFrame, label: DataFrame, sets: DataFrame, percent
         F.transform(F.sequence(zero, F.col("nf") - 1), lambda t: F.struct(zero.alias("kind"), F.least(f, t).alias("i"), F.greatest(f, t).alias("j"), F.when(f > t, one).otherwise(zero).alias("side"))),
         F.transform(F.sequence(zero, F.col("nm") - 1), lambda t: F.struct(one.alias("kind"), f.alias("i"), t.alias("j"), zero.alias("side"))))).otherwise(
         F.transform(F.sequence(zero, F.col("nf") - 1), lambda t: F.struct(one.alias("kind"), t.alias("i"), m.alias("j"), one.alias("side"))))
-    rows = rows.select("a", "b", "c", F.inline(cells))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = ["a", "kind", "i", "j"]
-    full = rows.join(sets.select(F.col("v").alias("b"), "s"), "b").select(*key, "side", "b", "c", "s")
-    return full.repartition(n, *key).sortWithinPartitions(*key, "side").mapInArrow(_cell_links(percent), "a long, b long")
+    return _cells(rows.select("a", "b", "c", F.inline(cells)), sets, percent)
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -372,18 +375,17 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
     shares = shared.join(sizes, "sig").groupBy("v").agg(F.sum("m").alias("shares"))
     tops = shared.join(shares, "v").groupBy("sig").agg(F.max(F.struct("shares", "v"))["v"].alias("a"))
-    members = cut_lineage(shared.join(tops, "sig"))
-    pairs = cut_lineage(members.where("a <> v").select("a", F.col("v").alias("b")).distinct())
-    stars = _set_pairs(pairs, sets, "a", "b", _linked(percent).alias("linked"))
-    edges = cut_lineage(stars.where("linked").select("a", "b"))
+    members = shared.join(tops, "sig").select("a", "v").distinct()
+    members = cut_lineage(members.join(sets.select("v", F.size("s").alias("n")), "v"))
+    split = members.groupBy("a").agg(_blocks_of(F.count(F.lit(1)), F.sum("n")).alias("nb")).where("nb > 1")
+    split = cut_lineage(split)  # families of more than one block
+    edges = cut_lineage(_block_links(members, split, sets, percent))
     label = cut_lineage(candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c")))
-    # members of signatures that still span components meet in the cells of their centre
-    spans = members.join(label, "v").groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
-    unsettled = members.join(spans, "sig", "left_semi").select("a", "v").distinct()
-    more = cut_lineage(_family_links(unsettled, label, sets, percent).distinct())
-    if not more.isEmpty():
-        edges = edges.union(more)
-        label = cut_lineage(candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c")))
+    if not split.isEmpty():
+        more = cut_lineage(_family_links(members.join(split.select("a"), "a", "left_semi"), label, sets, percent).distinct())
+        if not more.isEmpty():
+            edges = edges.union(more)
+            label = cut_lineage(candidates.join(components(edges), "v", "left").select("v", F.coalesce("c", "v").alias("c")))
 
     ends = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = ends.groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("n_links"))
