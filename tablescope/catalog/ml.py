@@ -15,23 +15,55 @@ def _(spark, sf):
     return ML.validate_target(table(spark, sf, "documents_labelled"), "toxic", "classification")
 
 
-def mi_sql(features, target, t):
-    bins = per_column(features, "SELECT '{c}' AS feature, b_{c} AS b, y FROM binned")
-    sums = ", ".join(f"(SELECT CAST(count(DISTINCT v) AS INT) FROM cuts WHERE feature = '{c}' AND v < CAST({c} AS DOUBLE)) AS b_{c}" for c in features)
-    cuts = " UNION ALL ".join(f"SELECT '{c}' AS feature, quantile_cont({c}, {i / 10}) AS v FROM rows" for c in features for i in range(1, 10))
-    return f"""WITH rows AS (SELECT {', '.join(features)}, CAST({target} AS VARCHAR) AS y FROM {t}), cuts AS ({cuts}),
-      binned AS (SELECT y, {sums} FROM rows), cells AS (SELECT feature, b, y, count(*) * 1.0 AS c FROM ({bins}) GROUP BY 1, 2, 3),
-      m AS (SELECT feature, b, y, c, sum(c) OVER (PARTITION BY feature, b) AS cb, sum(c) OVER (PARTITION BY feature, y) AS cy, sum(c) OVER (PARTITION BY feature) AS n FROM cells)
-      SELECT feature, CAST(max(n) AS BIGINT) AS n, greatest(0, sum(c / n * ln(c * n / (cb * cy)))) AS mi_score,
-        row_number() OVER (ORDER BY round(greatest(0, sum(c / n * ln(c * n / (cb * cy)))), 9) DESC, feature) AS rank FROM m GROUP BY feature"""
-
-
-@query("mutual_information", mi_sql(["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_returnflag", "lineitem"), "mi_score")
+def psi_sql(n):
+    z = f"(({n}) + 6.0)"
+    steps = " + ".join(f"1.0 / (({n}) + {j}.0)" for j in range(6))
+    return f"(ln({z}) - 1.0 / (2.0 * {z}) - 1.0 / (12.0 * pow({z}, 2)) + 1.0 / (120.0 * pow({z}, 4)) - 1.0 / (252.0 * pow({z}, 6)) - ({steps}))"
+
+
+def mi_classes_sql(features, target, t):
+    """All pairs of distinct values within a class, then all distinct values inside each radius."""
+    rows = per_column(features, f"SELECT '{{c}}' AS feature, CAST({target} AS VARCHAR) AS y, CAST({{c}} AS DOUBLE) AS x FROM {t}")
+    return f"""WITH v AS (SELECT feature, y, x, count(*) AS w FROM ({rows}) GROUP BY 1, 2, 3),
+      c AS (SELECT *, sum(w) OVER (PARTITION BY feature, y) AS nc FROM v QUALIFY nc > 1),
+      d AS (SELECT a.feature, a.y, a.x, a.w, a.nc, abs(a.x - b.x) AS d, sum(b.w - CASE WHEN a.x = b.x THEN 1 ELSE 0 END)
+              OVER (PARTITION BY a.feature, a.y, a.x ORDER BY abs(a.x - b.x)) AS reached FROM c a JOIN c b ON a.feature = b.feature AND a.y = b.y),
+      r AS (SELECT feature, y, x, w, nc, min(d) FILTER (reached >= least(3, nc - 1)) AS r FROM d GROUP BY ALL),
+      f AS (SELECT feature, x, sum(w) AS w FROM c GROUP BY 1, 2),
+      m AS (SELECT r.feature, r.y, r.x, r.w, r.nc, r.r, sum(f.w) AS inside FROM r JOIN f ON f.feature = r.feature
+              AND (f.x = r.x OR abs(f.x - r.x) < r.r * (1 - 1e-12)) GROUP BY ALL),
+      s AS (SELECT feature, CAST(sum(w) AS BIGINT) AS n, greatest(0.0, {psi_sql('sum(w)')} + sum(w * ({psi_sql('CASE WHEN r = 0 THEN w - 1 ELSE least(3, nc - 1) END')}
+              - {psi_sql('nc')} - {psi_sql('inside')})) / sum(w)) AS mi_score FROM m GROUP BY feature)
+      SELECT *, row_number() OVER (ORDER BY round(mi_score, 9) DESC, feature) AS rank FROM s"""
+
+
+def mi_numbers_sql(features, target, t):
+    rows = per_column(features, f"SELECT '{{c}}' AS feature, CAST({{c}} AS DOUBLE) / (SELECT stddev_pop({{c}}) FROM {t}) AS x, CAST({target} AS DOUBLE) / (SELECT stddev_pop({target}) FROM {t}) AS y FROM {t}")
+    far = "greatest(abs(a.x - b.x), abs(a.y - b.y))"
+
+    def inside(axis):
+        return (f"(SELECT r.feature, r.x, r.y, sum(f.w) AS n{axis} FROM r JOIN (SELECT feature, {axis}, sum(w) AS w FROM v GROUP BY 1, 2) f ON f.feature = r.feature "
+                f"AND (f.{axis} = r.{axis} OR abs(f.{axis} - r.{axis}) < r.r * (1 - 1e-12)) GROUP BY 1, 2, 3)")
+    return f"""WITH v AS MATERIALIZED (SELECT feature, x, y, count(*) AS w FROM ({rows}) GROUP BY 1, 2, 3),
+      d AS (SELECT a.feature, a.x, a.y, a.w, {far} AS d, sum(b.w - CASE WHEN a.x = b.x AND a.y = b.y THEN 1 ELSE 0 END)
+              OVER (PARTITION BY a.feature, a.x, a.y ORDER BY {far}) AS reached FROM v a JOIN v b ON a.feature = b.feature),
+      r AS MATERIALIZED (SELECT feature, x, y, w, min(d) FILTER (reached >= 3) AS r FROM d GROUP BY ALL),
+      s AS (SELECT feature, CAST(sum(w) AS BIGINT) AS n, greatest(0.0, {psi_sql('sum(w)')} + sum(w * ({psi_sql('CASE WHEN r = 0 THEN w - 1 ELSE 3 END')}
+              - {psi_sql('nx')} - {psi_sql('ny')})) / sum(w)) AS mi_score FROM r JOIN {inside('x')} USING (feature, x, y) JOIN {inside('y')} USING (feature, x, y) GROUP BY feature)
+      SELECT *, row_number() OVER (ORDER BY round(mi_score, 9) DESC, feature) AS rank FROM s"""
+
+
+@query("mutual_information", mi_classes_sql(["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_returnflag", "lineitem"), "mi_score")
 def _(spark, sf):
     return ML.mutual_information(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_returnflag", "classification")
 
 
-@query("mutual_information_regression")
+@query("mutual_information_customer", mi_classes_sql(["c_acctbal", "c_nationkey", "c_custkey"], "c_mktsegment", "customer"), "mi_score")
+def _(spark, sf):
+    return ML.mutual_information(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey", "c_custkey"], "c_mktsegment", "classification")
+
+
+@query("mutual_information_regression", mi_numbers_sql(["retail_price", "discount_share", "stock_units"], "supplier_cost", duck("sales")), "mi_score")
 def _(spark, sf):
     return ML.mutual_information(table(spark, sf, "sales"), ["retail_price", "discount_share", "stock_units"], "supplier_cost", "regression")
 

@@ -74,7 +74,7 @@ def leaves_in_reach(nodes, x: np.ndarray, radius: np.ndarray):
     return np.concatenate(rows_out), np.concatenate(leaf_out)
 
 
-def nearest(queries, query_ids, points, ids, weights, k):
+def nearest(queries, query_ids, points, ids, weights, k, norm="euclid"):
     """For each query the closest points until their weights reach k: (query index, point index, distance).
 
     A point's own copies (weight - 1) count as neighbours at distance 0.
@@ -85,9 +85,11 @@ def nearest(queries, query_ids, points, ids, weights, k):
         q = queries[start:start + CHUNK]
         d2 = np.zeros((len(q), len(points)))
         for j in range(points.shape[1]):
-            d2 += (q[:, j:j + 1] - points[None, :, j]) ** 2
+            gap = q[:, j:j + 1] - points[None, :, j]
+            d2 = np.maximum(d2, np.abs(gap)) if norm == "max" else d2 + gap ** 2
         near = np.argpartition(d2, take - 1, axis=1)[:, :take] if take < len(points) else np.tile(np.arange(len(points)), (len(q), 1))
-        dist = np.sqrt(np.take_along_axis(d2, near, axis=1))
+        dist = np.take_along_axis(d2, near, axis=1)
+        dist = dist if norm == "max" else np.sqrt(dist)
         order = np.lexsort((ids[near], dist), axis=1)
         near, dist = np.take_along_axis(near, order, axis=1), np.take_along_axis(dist, order, axis=1)
         own = ids[near] == query_ids[start:start + len(q), None]

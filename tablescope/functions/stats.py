@@ -50,6 +50,13 @@ def ln_gamma(x: Column) -> Column:
     return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(total)
 
 
+def digamma(n: Column) -> Column:
+    """psi(n) for n >= 1: six steps of the recurrence, then the asymptotic series."""
+    z = n.cast("double") + 6.0
+    steps = sum((1.0 / (n.cast("double") + float(j)) for j in range(1, 6)), 1.0 / n.cast("double"))
+    return F.log(z) - 1.0 / (2.0 * z) - 1.0 / (12.0 * z * z) + 1.0 / (120.0 * z * z * z * z) - 1.0 / (252.0 * z * z * z * z * z * z) - steps
+
+
 def _iterate(n: int, start: dict, step, finish) -> Column:
     """Run ``step`` n times over a struct of doubles (no data rows involved)."""
     init = F.struct(*[F.lit(v).cast("double").alias(k) if not isinstance(v, Column)

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from tablescope.context import PROBLEM_TYPES
 from tablescope.functions import expr as X
 from tablescope.functions import neighbours as N
+from tablescope.operators import information as I
 from tablescope.operators import multivariate as M
 from tablescope.operators import univariate as U
 from tablescope.plans import blocks as B
 from tablescope.session import cut_lineage
 
 # Column limits, cluster range, forest and neighbourhood sizes, share flagged.
-MI_FEATURES, MI_ROWS, MI_BINS = 15, 20, 10
 KM_COLUMNS, KM_ROWS, KM_MAX, SEED = 8, 20, 8, 42
 # A fit stops when no centre moves further than this (in standard deviations).
 KM_TOLERANCE = 5e-3
@@ -50,34 +50,18 @@ def _complete(df: DataFrame, columns: list[str], extra: list = ()) -> DataFrame:
     return df.select(*[X.double(df, c).alias(c) for c in columns], *extra).dropna()
 
 
-def mutual_information(df: DataFrame, features: list[str], target: str, problem_type: str, bins: int = MI_BINS) -> DataFrame:
-    """ML2: plug-in mutual information (nats) of quantile-binned features with the target, ranked.
+def mutual_information(df: DataFrame, features: list[str], target: str, problem_type: str) -> DataFrame:
+    """ML2: mutual information (nats) of every feature with the target by nearest neighbours, ranked.
 
-    The cut points (features x 9 numbers) are the only thing that reaches the driver.
+    Rows in which a feature or the target is null take no part; under 20 rows there is no result.
     """
-    features = [c for c in features if c != target][:MI_FEATURES]
-    classes = problem_type == "classification"
-    label = X.text(df, target) if classes else X.double(df, target)
-    rows = _complete(df, features, [label.alias("_y")])
-    probs = {f"p{i}": i / bins for i in range(1, bins)}
-    numeric = features if classes else [*features, "_y"]
-    long = rows.select(X.rows(*[F.struct(F.lit(c).alias("column"), X.ref(c).alias("x")) for c in numeric]))
-    cuts = {r["column"]: sorted({r[p] for p in probs}) for r in B.quantiles(long, ["column"], "x", probs).where(F.col("n") >= MI_ROWS).collect()}
-    if not cuts:
+    features = [c for c in features if c != target]
+    if not features:
         return X.lit_rows(df, [], "feature string, n bigint, mi_score double, rank int")
-
-    def binned(c):
-        return reduce(lambda a, b: a + b, [(X.ref(c) > F.lit(float(v))).cast("int") for v in cuts[c]])
-    y = F.col("_y") if classes else binned("_y").cast("string")
-    cells = rows.select(X.rows(*[F.struct(F.lit(c).alias("feature"), binned(c).alias("b"), y.alias("y")) for c in features])).groupBy(
-        "feature", "b", "y").agg(F.count(F.lit(1)).alias("c"))
-    by_b = cells.groupBy("feature", "b").agg(F.sum("c").alias("cb"))
-    by_y = cells.groupBy("feature", "y").agg(F.sum("c").alias("cy"))
-    total = F.broadcast(cells.groupBy("feature").agg(F.sum("c").alias("n")))
-    j = cells.join(by_b, ["feature", "b"]).join(by_y, ["feature", "y"]).join(total, "feature")
-    c, n = F.col("c").cast("double"), F.col("n").cast("double")
-    mi = j.groupBy("feature").agg(F.first("n").alias("n"), F.greatest(F.lit(0.0), F.sum(c / n * F.log(c * n / (F.col("cb") * F.col("cy"))))).alias("mi_score"))
-    return mi.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round("mi_score", 9).desc(), "feature")))
+    if problem_type != "classification":
+        return I.with_numbers(_complete(df, [*features, target]), features, target)
+    rows = _complete(df, features, [X.text(df, target).alias("_y")])
+    return I.with_classes(rows.select(X.rows(*[F.struct(F.lit(c).alias("feature"), (X.ref(c) + F.lit(0.0)).alias("x"), F.col("_y").alias("y")) for c in features])))
 
 
 def _standardized(df: DataFrame, columns: list[str], keep: list[str] = ()) -> tuple[DataFrame, int]:
@@ -221,8 +205,8 @@ def isolation_scores(vectors: DataFrame, names: list[str]) -> DataFrame:
     return vectors.select(*names, "w", "id").mapInPandas(score, f"{types}, w bigint, id bigint, score double")
 
 
-def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_size: int = LEAF) -> DataFrame:
-    """Exact k nearest neighbours: (id, nid, w, dist), weights adding up to k.
+def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_size: int = LEAF, norm: str = "euclid") -> DataFrame:
+    """Exact k nearest neighbours: (id, nid, w, dist), weights adding up to k; ``norm`` is euclid or max.
 
     Median cuts from a bounded sample divide the space into leaves of about ``leaf_size`` vectors.
     Each vector first searches its own leaf; the distance found bounds a ball, and only the leaves this
@@ -246,7 +230,7 @@ def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_s
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids, w = pdf[names].to_numpy(), pdf["id"].to_numpy(), pdf["w"].to_numpy()
-        q, p, d = N.nearest(x, ids, x, ids, w, k)
+        q, p, d = N.nearest(x, ids, x, ids, w, k, norm)
         return pd.DataFrame({"id": ids[q], "nid": ids[p], "w": w[p] - (ids[q] == ids[p]), "dist": d, "home": pdf["leaf"].iloc[0]})
 
     found = cut_lineage(placed.groupBy("leaf").applyInPandas(local, "id bigint, nid bigint, w bigint, dist double, home bigint"))
@@ -270,7 +254,7 @@ def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_s
             return pd.DataFrame({"id": [], "nid": [], "w": [], "dist": []})
         ids, w = host["id"].to_numpy(), host["w"].to_numpy()
         gids = guest["id"].to_numpy()
-        q, p, d = N.nearest(guest[names].to_numpy(), gids, host[names].to_numpy(), ids, w, k)
+        q, p, d = N.nearest(guest[names].to_numpy(), gids, host[names].to_numpy(), ids, w, k, norm)
         return pd.DataFrame({"id": gids[q], "nid": ids[p], "w": w[p], "dist": d})
 
     remote = hosts.groupBy("leaf", "batch").cogroup(visitors.groupBy("leaf", "batch")).applyInPandas(

@@ -22,6 +22,8 @@ WIDE_CHUNK = 60
 ACCURACY = 20_000
 # Groups up to this size are kept whole: the sketch's rank error matters only above.
 EXACT_BELOW = 100_000
+# Rows per key that one task may sort, and ranges into which a round of selection cuts them.
+KEEP, CELLS = 100_000, 256
 # Strings longer than this enter frequency tables as SHA-256 when only counts are needed.
 HASH_ABOVE = 64
 
@@ -113,14 +115,54 @@ def long_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
             .where(F.col("x").isNotNull()))
 
 
+def _at_rank(rank: Column, upto: Column, n: Column) -> Column:
+    """Do ``n`` rows that end at running count ``upto`` hold the 0-based rank?"""
+    return (upto > rank) & (upto - n <= rank)
+
+
+def refine_once(table: DataFrame, keys: list[str], ranks: list[Column], cells: int | None = None) -> DataFrame:
+    """One round of selection on (keys, _v, _out, _n, _total): only cells that hold a wanted rank keep their values.
+
+    ``_out`` marks a run of rows folded into one counter right after the value ``_v``. The values of a key are cut into
+    ``cells`` ranges of about equally many distinct values; the weights of a range are added up exactly, so the range
+    of every rank is known and all other ranges become one counter each.
+    """
+    cells = cells or CELLS
+    grid = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    cuts = table.where(~F.col("_out")).groupBy(*keys).agg(F.percentile_approx("_v", grid, F.lit(10 * cells)).alias("_cuts"))
+    rows = table.join(cuts, keys, "left").withColumn("_cell", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0)))
+    sums = rows.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_c"), F.first("_total").alias("_total"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumn("_upto", upto)
+    wanted = reduce(lambda x, y: x | y, [_at_rank(r, F.col("_upto"), F.col("_c")) for r in ranks])
+    rows = rows.join(sums.select(*keys, "_cell", wanted.alias("_wanted")), [*keys, "_cell"])
+    columns = [*keys, "_v", "_out", "_n", "_total"]
+    folded = rows.where(~F.col("_wanted")).groupBy(*keys, "_cell").agg(
+        F.max("_v").alias("_v"), F.sum("_n").alias("_n"), F.first("_total").alias("_total")).withColumn("_out", F.lit(True))
+    return cut_lineage(rows.where("_wanted").select(columns).unionByName(folded.select(columns)))
+
+
+def refine(table: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
+    """Rounds of ``refine_once`` until no key has more than ``KEEP`` rows, or a round gains nothing."""
+    before = None
+    while True:
+        most = table.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if most <= KEEP or (before is not None and most >= before):
+            return table
+        before = most
+        table = refine_once(table, keys, ranks)
+
+
 def quantiles(long: DataFrame, keys: list[str], value: str, probs: dict[str, float],
               nearest: bool = False, few_groups: bool = True) -> DataFrame:
     """Exact linear-interpolated quantiles per key, at any size.
 
     1. A mergeable sketch brackets every wanted order statistic (rank error n / ACCURACY).
     2. One more pass keeps the exact frequencies inside the brackets and folds everything between
-       two brackets into one counter, so the table that is sorted holds ~ n * probs / ACCURACY rows.
-    3. A running count over that small table finds the exact order statistics.
+       two brackets into one counter: about n * probs / ACCURACY rows.
+    3. Where a key could still hold more than ``KEEP`` of them, rounds of selection cut the brackets
+       again, each to a small part of the last, until no more are left.
+    4. A running count over that bounded table finds the exact order statistics.
 
     With ``few_groups`` (keys are column names or a fixed number of category levels) the bracket
     table, one row per group, is broadcast; otherwise Spark chooses the join from its size.
@@ -137,6 +179,8 @@ def quantiles(long: DataFrame, keys: list[str], value: str, probs: dict[str, flo
     hi = {n: F.col("_max") if wanted[k + i] >= 1 else F.col("_q")[k + i] for i, n in enumerate(names)}
     brackets = brackets.select(*keys, "_total", *[lo[n].alias(f"_lo_{n}") for n in names],
                                *[hi[n].alias(f"_hi_{n}") for n in names])
+    brackets = cut_lineage(brackets)
+    largest = brackets.agg(F.max("_total")).first()[0] or 0
     inside = (F.col("_total") <= EXACT_BELOW) | reduce(lambda a, b: a | b, [(x >= F.col(f"_lo_{n}")) & (x <= F.col(f"_hi_{n}")) for n in names])
     folded = [F.when(F.col(f"_hi_{n}") < x, F.col(f"_hi_{n}")) for n in names]
     below = F.greatest(*folded) if len(folded) > 1 else folded[0]
@@ -145,18 +189,23 @@ def quantiles(long: DataFrame, keys: list[str], value: str, probs: dict[str, flo
              .withColumn("_v", F.when(F.col("_in"), x).otherwise(below))
              .groupBy(*keys, "_v", (~F.col("_in")).alias("_out"))
              .agg(F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total")))
-    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first(), "_out").rowsBetween(
-        Window.unboundedPreceding, 0)
-    table = table.withColumn("_upto", F.sum("_n").over(order))
 
     def position(p):
         h = F.lit(float(p)) * (F.col("_total") - 1)
         return F.floor(h + 0.5).cast("double") if nearest else h
 
+    # two ends of the sketch's error on both sides of every bracket bound what a key can keep
+    if max(min(largest, EXACT_BELOW), largest * (2 * eps + 2 / ACCURACY) * k) > KEEP:
+        ranks = [f(position(probs[n])) for n in names for f in (F.floor, F.ceil)]
+        table = refine(cut_lineage(table), keys, ranks)
+    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first(), "_out").rowsBetween(
+        Window.unboundedPreceding, 0)
+    table = table.withColumn("_upto", F.sum("_n").over(order))
+
     def at(idx):
         # A wanted rank inside a folded run would mean the sketch broke its error bound: stop, never guess.
         value_at = F.when(F.col("_out"), F.raise_error(F.lit("quantile outside its bracket"))).otherwise(F.col("_v"))
-        return F.max(F.when((F.col("_upto") > idx) & (F.col("_upto") - F.col("_n") <= idx), value_at))
+        return F.max(F.when(_at_rank(idx, F.col("_upto"), F.col("_n")), value_at))
 
     aggs = []
     for n in names:

@@ -19,6 +19,38 @@ def test_quantiles_fold_and_still_find_exact_order_statistics(spark, monkeypatch
         assert row[name] == pytest.approx(np.quantile(x, p), abs=1e-9)
 
 
+@pytest.mark.parametrize("few_groups", [True, False])
+def test_quantiles_by_rounds_of_selection(spark, monkeypatch, few_groups):
+    """Nothing is folded by the sketch; rounds alone bring each key down to what one task may sort."""
+    monkeypatch.setattr(B, "KEEP", 60)
+    monkeypatch.setattr(B, "CELLS", 16)
+    rng = np.random.default_rng(3)
+    x = {"a": rng.normal(size=6_000), "b": np.round(rng.gamma(2.0, 10.0, 3_000), 1), "c": np.full(2_000, 4.0), "d": np.array([1.0, 2.0]), "e": np.arange(61.0)}
+    rows = [(k, float(v)) for k, values in x.items() for v in values] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    probs = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.999, "f": 1.0}
+    for nearest in (False, True):
+        got = {r["k"]: r for r in B.quantiles(df, ["k"], "x", probs, nearest=nearest, few_groups=few_groups).collect()}
+        for k, values in x.items():
+            values = np.sort(values)
+            for name, p in probs.items():
+                want = values[int(np.floor(p * (len(values) - 1) + 0.5))] if nearest else np.quantile(values, p)
+                assert got[k][name] == pytest.approx(want, abs=1e-9), (k, name)
+            assert got[k]["n"] == len(values)
+
+
+def test_a_round_keeps_a_small_share_and_all_weight(spark):
+    df = spark.range(40_000).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("_v"), F.lit(False).alias("_out"), F.lit(2).cast("long").alias("_n"),
+                                    F.lit(80_000).cast("long").alias("_total"))
+    ranks, kept = [F.lit(20_000), F.lit(60_001)], [40_000]
+    for _ in range(3):
+        df = B.refine_once(df, ["k"], ranks, 32)
+        kept.append(df.where("not _out").count())
+        assert df.agg(F.sum("_n")).first()[0] == 80_000
+    assert all(b <= a / 8 for a, b in zip(kept[:3], kept[1:], strict=False) if a > 200) and kept[-1] < 50
+    assert df.where("not _out and _v in (10000, 30000)").count() == 2
+
+
 @pytest.mark.parametrize("partitions", [1, 8])
 def test_average_ranks_do_not_depend_on_partitions(spark, partitions):
     x = [3.0, 1.0, 1.0, 2.0, 3.0, 3.0, 7.0]

@@ -160,3 +160,33 @@ def test_bm25_by_hand(spark):
     part = lambda tf, length, d: idf(d) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg))
     want = {0: part(2, 3, 1), 1: 2 * part(1, 2, 2), 2: 2 * part(1, 3, 2)}
     assert {r["doc"]: r["score"] for r in top} == pytest.approx(want)
+
+
+def test_neighbours_and_counts_do_not_depend_on_blocks(spark, monkeypatch):
+    from tablescope.operators import information as I
+    monkeypatch.setattr(I, "BLOCK", 40)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=700), 2)
+    x[:230] = 0.25  # a third of the rows is one value
+    y = np.where(x + rng.normal(scale=0.5, size=700) > 0.2, "a", "b").astype(object)
+    y[5] = "alone"
+
+    def psi(n):
+        return sum(1 / np.arange(1, n)) - np.euler_gamma
+    keep = y != "alone"
+    total = 0.0
+    for i in np.flatnonzero(keep):
+        own = np.flatnonzero((y == y[i]) & (np.arange(700) != i))
+        d = np.sort(np.abs(x[own] - x[i]))
+        r = d[2]
+        near = 3 if r > 0 else int((d == 0).sum())
+        gap = np.abs(x[keep] - x[i])
+        inside = int((gap < r * (1 - 1e-12)).sum()) if r > 0 else int((gap == 0).sum())
+        total += psi(near) - psi(len(own) + 1) - psi(inside)
+    want = psi(int(keep.sum())) + total / keep.sum()
+    df = spark.createDataFrame([(float(a), b, float(-a)) for a, b in zip(x, y, strict=True)], "f double, y string, g double").repartition(6)
+    got = {r["feature"]: r for r in ML.mutual_information(df, ["f", "g"], "y", "classification").collect()}
+    assert got["f"]["mi_score"] == pytest.approx(max(want, 0), abs=1e-8) and got["g"]["mi_score"] == pytest.approx(max(want, 0), abs=1e-8)
+    assert got["f"]["n"] == 699
+    empty = ML.mutual_information(df.limit(5), ["f"], "g", "regression")
+    assert empty.count() == 0 and ML.mutual_information(df, [], "y", "classification").count() == 0
