@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -292,20 +294,74 @@ def pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
 
 
+def _cross_products(columns: list[str], shift: list[float]):
+    """Arrow batches of the columns to one row per pair and task: counts and sums over the rows in which both are numbers."""
+    k = len(columns)
+    first, second = np.triu_indices(k)
+
+    def run(batches):
+        total = np.zeros((7, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]) - np.array(shift)
+            there = ~np.isnan(x)
+            endless = np.isinf(x)
+            x = np.where(there & ~endless, x, 0.0)
+            m = there.astype(np.float64)
+            xx = x * x
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, xx.T @ m, m.T @ xx, x.T @ x, endless.T.astype(np.float64) @ m])
+        total[6] += total[6].T  # an infinite value makes the moments of its pairs undefined, as in any sum
+        total[1:6, total[6] > 0] = np.nan
+        yield pa.record_batch([pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)),
+                               *[pa.array(t[first, second]) for t in total[:6]]], ["i", "j", "n", "sa", "sb", "saa", "sbb", "sab"])
+    return run
+
+
+def moments_of_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """GRAM of all pairs i <= j of ``columns``: (var_a, var_b, n, mean_a, mean_b, sxx, syy, sxy), each over the rows where both are numbers.
+
+    One matrix product per Arrow batch with masks for the gaps, one row per pair and task, added up by Spark. Values are
+    shifted by the columns' means first, so large values lose no digits. A row is never copied per pair.
+    """
+    numbers = df.select(*[X.double(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    means = _means(numbers)
+    schema = "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
+    sums = numbers.mapInArrow(_cross_products(columns, means), schema).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]).where("n > 0")
+    names, shift = F.array(*[F.lit(c) for c in columns]), F.array(*[F.lit(float(m)) for m in means])
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    return sums.select(
+        F.get(names, "i").alias("var_a"), F.get(names, "j").alias("var_b"), n.cast("long").alias("n"),
+        (F.get(shift, "i") + sa / n).alias("mean_a"), (F.get(shift, "j") + sb / n).alias("mean_b"),
+        F.greatest(F.col("saa") - sa * sa / n, F.lit(0.0)).alias("sxx"), F.greatest(F.col("sbb") - sb * sb / n, F.lit(0.0)).alias("syy"),
+        (F.col("sab") - sa * sb / n).alias("sxy"))
+
+
+def _means(numbers: DataFrame) -> list[float]:
+    """Mean of the finite values of every column, 0 without any: one row."""
+    parts = [numbers.columns[i:i + WIDE_CHUNK] for i in range(0, len(numbers.columns), WIDE_CHUNK)]
+    finite = [numbers.agg(*[F.avg(F.when(F.abs(c) < float("inf"), F.col(c))).alias(c) for c in part]).first() for part in parts]
+    return [float(v) if v is not None and abs(v) < float("inf") else 0.0 for row in finite for v in row]
+
+
 def pair_moments(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """GRAM per pair: n, means, central sums of squares and products, merged from the map tasks."""
-    return (pair_rows(df, pairs).groupBy("var_a", "var_b")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"),
-                 F.regr_syy("x", "y").alias("sxx"), F.regr_sxx("x", "y").alias("syy"),
-                 F.regr_sxy("y", "x").alias("sxy")))
+    """GRAM per pair of the list: n, means, central sums of squares and products over the pairwise-complete rows."""
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    if not pairs:
+        return X.lit_rows(df, [], "var_a string, var_b string, n bigint, mean_a double, mean_b double, sxx double, syy double, sxy double")
+    at = {c: i for i, c in enumerate(columns)}
+    all_of = moments_of_pairs(df, columns)
+    wanted = X.lit_rows(df, [(*((a, b) if at[a] <= at[b] else (b, a)), at[a] > at[b]) for a, b in pairs], "var_a string, var_b string, turned boolean")
+    both = all_of.join(F.broadcast(wanted), ["var_a", "var_b"])
+
+    def side(x, y):
+        return F.when(F.col("turned"), F.col(y)).otherwise(F.col(x))
+    return both.select(*[side(x, y).alias(x) for x, y in (("var_a", "var_b"), ("var_b", "var_a"))], "n",
+                       *[side(x, y).alias(x) for x, y in (("mean_a", "mean_b"), ("mean_b", "mean_a"), ("sxx", "syy"), ("syy", "sxx"))], "sxy")
 
 
 def gram(df: DataFrame, columns: list[str]) -> DataFrame:
     """Complete-case GRAM: the same sums over rows where *all* columns are numbers, i <= j."""
-    named = [X.double(df, c).alias(c) for c in columns]
-    complete = df.select(*named).dropna()
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    return pair_moments(complete, pairs)
+    return moments_of_pairs(df.select(*[X.double(df, c).alias(c) for c in columns]).dropna(), columns)
 
 
 def blocks(positioned: DataFrame, keys: list[str], size: int, before: int, after: int) -> DataFrame:

@@ -84,3 +84,29 @@ def test_distribution_functions(spark):
         ST.normal_quantile(F.lit(0.975)).alias("q")).first()
     assert [row["c"], row["t"], row["f"], row["z"]] == pytest.approx([0.05] * 4, abs=1e-6)
     assert row["q"] == pytest.approx(1.959964, abs=1e-6)
+
+
+def test_moments_of_pairs_equal_numpy_without_copies_of_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 6)) * [1, 10, 0.1, 5, 1, 0] + [1e9, 0, 3, -1e6, 0, 7]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[3, 4] = np.inf
+    names = ["a", "b", "c.d", "e", "f", "same"]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"`{c}` double" for c in names)).repartition(7)
+    pairs = [(names[i], names[j]) for i in range(6) for j in range(6) if i != j]
+    out = B.pair_moments(df, pairs)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["var_a"], r["var_b"]): r for r in out.collect()}
+    assert len(got) == 30
+    for a, b in pairs:
+        p, q = x[:, names.index(a)], x[:, names.index(b)]
+        both = ~np.isnan(p) & ~np.isnan(q)
+        p, q, r = p[both], q[both], got[a, b]
+        assert r["n"] == both.sum()
+        if np.isinf(p).any() or np.isinf(q).any():
+            assert np.isnan(r["sxy"])
+            continue
+        assert r["mean_a"] == pytest.approx(p.mean()) and r["mean_b"] == pytest.approx(q.mean())
+        assert r["sxx"] == pytest.approx(((p - p.mean()) ** 2).sum(), rel=1e-6, abs=1e-9)
+        assert r["sxy"] == pytest.approx(((p - p.mean()) * (q - q.mean())).sum(), rel=1e-5, abs=1e-6)
+    assert B.pair_moments(df.limit(0), pairs).count() == 0
