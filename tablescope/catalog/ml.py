@@ -93,6 +93,24 @@ def _(spark, sf):
     return ML.local_outlier_factor(table(spark, sf, "lineitem"), NUM)
 
 
+def lof_sql(columns, t, k=20):
+    """All pairs; LOF from the k nearest of every row. Rows must be distinct and distances untied."""
+    z = ", ".join(f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(columns))
+    gap = " + ".join(f"pow(a.z{i} - b.z{i}, 2)" for i in range(len(columns)))
+    names = ", ".join(f"z{i}" for i in range(len(columns)))
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {', '.join(columns)}) AS id, {z} FROM {t}),
+      nn AS MATERIALIZED (SELECT a.id, b.id AS nid, sqrt({gap}) AS d FROM v a JOIN v b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {gap}) <= {k}),
+      kd AS (SELECT id, max(d) AS kd FROM nn GROUP BY id),
+      lrd AS MATERIALIZED (SELECT nn.id, 1.0 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.id = nn.nid GROUP BY nn.id),
+      lof AS (SELECT nn.id, avg(o.lrd) / any_value(m.lrd) AS lof FROM nn JOIN lrd o ON o.id = nn.nid JOIN lrd m ON m.id = nn.id GROUP BY nn.id)
+      SELECT {names}, CAST(1 AS BIGINT) AS w, lof, lof > (SELECT quantile_cont(lof, 0.95) FROM lof) AS anomaly FROM v JOIN lof USING (id)"""
+
+
+@query("local_outlier_factor_customer", lof_sql(["c_acctbal", "c_custkey"], "customer"), "z0 z1 lof")
+def _(spark, sf):
+    return ML.local_outlier_factor(table(spark, sf, "customer"), ["c_acctbal", "c_custkey"], leaf_size=60).select("z0", "z1", "w", "lof", "anomaly")
+
+
 @query("anomaly_consensus")
 def _(spark, sf):
     return ML.anomaly_consensus(table(spark, sf, "lineitem"), NUM).withColumn("pct", F.col("pct"))

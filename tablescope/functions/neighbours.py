@@ -9,69 +9,110 @@ import numpy as np
 CHUNK = 256
 
 
-def kd_tree(sample: np.ndarray, leaves: int) -> list[tuple]:
-    """Median cuts of a bounded sample: nodes (dim, cut, left, right); a negative child -l - 1 is leaf l."""
-    nodes: list = []
-    count = [0]
+class KdTree:
+    """Median cuts of bounded samples; leaves that hold too many points are split again from a sample of their own.
+
+    Nodes are (dim, cut, left, right); a negative child -l - 1 is leaf l. ``home`` gives the box and the weight of the
+    smallest part of the tree around a leaf that holds enough points for a search.
+    """
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.nodes: list[list] = []
+        self.leaves = 0
+        self.above: dict[int, tuple[int, int]] = {}  # leaf: its node and side
+        self.root = self._grow(sample, leaves)
+        self.home: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def grow(points, want):
-        spread = np.ptp(points, axis=0) if len(points) else np.zeros(sample.shape[1])
+    def _grow(self, points: np.ndarray, want: int) -> int:
+        spread = np.ptp(points, axis=0) if len(points) else np.zeros(1)
         dim = int(np.argmax(spread))
         if want < 2 or len(points) < 4 or spread[dim] == 0:
-            count[0] += 1
-            return -count[0]
+            self.leaves += 1
+            return -self.leaves
         cut = float(np.median(points[:, dim]))
         right = points[:, dim] > cut
         if not right.any():
             cut = float(np.max(points[points[:, dim] < cut, dim]))
             right = points[:, dim] > cut
-        at = len(nodes)
-        nodes.append(None)
-        a = grow(points[~right], want // 2)
-        b = grow(points[right], want - want // 2)
-        nodes[at] = (dim, cut, a, b)
+        at = len(self.nodes)
+        self.nodes.append([dim, cut, 0, 0])
+        for side, part, share in ((2, points[~right], want // 2), (3, points[right], want - want // 2)):
+            child = self.nodes[at][side] = self._grow(part, share)
+            if child < 0:
+                self.above[-child - 1] = at, side
         return at
 
-    root = grow(sample, leaves)
-    return nodes if root >= 0 else []
-
-
-def leaf_of(nodes, x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x), dtype=np.int64)
-    stack = [(0, np.arange(len(x)))] if nodes else []
-    while stack:
-        at, rows = stack.pop()
-        dim, cut, left, right = nodes[at]
-        high = x[rows, dim] > cut
-        for child, part in ((left, rows[~high]), (right, rows[high])):
-            if len(part) == 0:
-                continue
-            if child < 0:
-                out[part] = -child - 1
+    def split(self, leaf: int, points: np.ndarray, want: int) -> bool:
+        """Cut a leaf in about ``want`` parts; false if its sample has too few different points."""
+        before = len(self.nodes)
+        child = self._grow(points, max(2, want))
+        if len(self.nodes) == before:
+            return False
+        if self.root == -leaf - 1:
+            self.root = child
+        else:
+            at, side = self.above.pop(leaf)
+            self.nodes[at][side] = child
+        return True
+
+    def settle(self, leaf: dict[int, tuple[float, np.ndarray, np.ndarray]], enough: float) -> None:
+        """From (weight, least, most coordinates) of every leaf that holds points: ``home`` of the leaves below ``enough`` weight."""
+        stack, order = [(self.root, [])], []
+        while stack:  # every leaf with the nodes above it
+            at, above = stack.pop()
+            if at < 0:
+                order.append((-at - 1, above))
             else:
-                stack.append((child, part))
-    return out
-
-
-def leaves_in_reach(nodes, x: np.ndarray, radius: np.ndarray):
-    """(row, leaf) for every leaf whose half-spaces come within ``radius`` of the row."""
-    rows_out, leaf_out = [], []
-    stack = [(0, np.arange(len(x)))] if nodes else []
-    while stack:
-        at, rows = stack.pop()
-        dim, cut, left, right = nodes[at]
-        gap = x[rows, dim] - cut
-        for child, part in ((left, rows[gap <= radius[rows]]), (right, rows[-gap <= radius[rows]])):
-            if len(part) == 0:
+                stack += [(self.nodes[at][2], [*above, at]), (self.nodes[at][3], [*above, at])]
+        part: dict[int, tuple] = {}
+        for number, above in order:
+            if number in leaf:
+                for at in above:
+                    w, lo, hi = part.get(at, (0, np.inf, -np.inf))
+                    part[at] = w + leaf[number][0], np.minimum(lo, leaf[number][1]), np.maximum(hi, leaf[number][2])
+        for number, above in order:
+            if number in leaf and leaf[number][0] < enough:
+                at = next((at for at in reversed(above) if part[at][0] >= enough), None)
+                if at is not None:
+                    self.home[number] = part[at][1:]
+
+    def farthest(self, leaf: np.ndarray, x: np.ndarray, norm: str) -> np.ndarray:
+        """Distance within which a point surely finds enough others: to the farthest corner of its leaf's home; infinite without."""
+        out = np.full(len(x), np.inf)
+        for i, number in enumerate(leaf.tolist()):
+            if number in self.home:
+                lo, hi = self.home[number]
+                gap = np.maximum(np.abs(x[i] - lo), np.abs(hi - x[i]))
+                out[i] = gap.max() if norm == "max" else np.sqrt((gap * gap).sum())
+        return out * (1 + 1e-12)
+
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), dtype=np.int64)
+        stack = [(self.root, np.arange(len(x)))]
+        while stack:
+            at, rows = stack.pop()
+            if at < 0:
+                out[rows] = -at - 1
                 continue
-            if child < 0:
-                rows_out.append(part)
-                leaf_out.append(np.full(len(part), -child - 1))
-            else:
-                stack.append((child, part))
-    if not rows_out:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(rows_out), np.concatenate(leaf_out)
+            dim, cut, left, right = self.nodes[at]
+            high = x[rows, dim] > cut
+            stack += [(child, part) for child, part in ((left, rows[~high]), (right, rows[high])) if len(part)]
+        return out
+
+    def leaves_in_reach(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for every leaf whose half-spaces come within ``radius`` of the row."""
+        rows_out, leaf_out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        stack = [(self.root, np.arange(len(x)))]
+        while stack:
+            at, rows = stack.pop()
+            if at < 0:
+                rows_out.append(rows)
+                leaf_out.append(np.full(len(rows), -at - 1))
+                continue
+            dim, cut, left, right = self.nodes[at]
+            gap = x[rows, dim] - cut
+            stack += [(child, part) for child, part in ((left, rows[gap <= radius[rows]]), (right, rows[-gap <= radius[rows]])) if len(part)]
+        return np.concatenate(rows_out), np.concatenate(leaf_out)
 
 
 def nearest(queries, query_ids, points, ids, weights, k, norm="euclid"):

@@ -29,8 +29,8 @@ KM_COLUMNS, KM_ROWS, KM_MAX, SEED = 8, 20, 8, 42
 KM_TOLERANCE = 5e-3
 KM_PARALLEL = 4
 AN_COLUMNS, AN_ROWS, TREES, TREE_ROWS, NEIGHBOURS, FLAGGED = 10, 21, 100, 256, 20, 0.05
-# Points per leaf of the neighbour search, most leaves, rows of the driver-side sample that places the cuts.
-LEAF, MAX_LEAVES, CUT_SAMPLE, QUERY_BATCH = 2_000, 65_536, 50_000, 20_000
+# Points per leaf of the neighbour search (a leaf of twice as many is split), rows of the driver-side sample that places cuts.
+LEAF, CUT_SAMPLE = 2_000, 50_000
 
 
 def validate_target(df: DataFrame, target: str | None, problem_type: str | None) -> DataFrame:
@@ -205,28 +205,55 @@ def isolation_scores(vectors: DataFrame, names: list[str]) -> DataFrame:
     return vectors.select(*names, "w", "id").mapInPandas(score, f"{types}, w bigint, id bigint, score double")
 
 
-def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_size: int = LEAF, norm: str = "euclid") -> DataFrame:
-    """Exact k nearest neighbours: (id, nid, w, dist), weights adding up to k; ``norm`` is euclid or max.
+def _drawn(rows: DataFrame, names: list[str], n: int) -> pd.DataFrame:
+    """About ``CUT_SAMPLE`` of ``n`` rows, by hash."""
+    if n > CUT_SAMPLE:
+        rows = rows.where(F.xxhash64("id", F.lit(SEED)) < -(1 << 63) + (1 << 64) * CUT_SAMPLE // n)
+    return rows.limit(2 * CUT_SAMPLE).toPandas()
 
-    Median cuts from a bounded sample divide the space into leaves of about ``leaf_size`` vectors.
-    Each vector first searches its own leaf; the distance found bounds a ball, and only the leaves this
-    ball reaches are searched as well. Queries of a busy leaf are split into batches, each with its own
-    copy of the leaf.
+
+def search_tree(vectors: DataFrame, names: list[str], leaf_size: int) -> tuple[N.KdTree, DataFrame]:
+    """(tree, vectors with their ``leaf``): no leaf holds more than twice ``leaf_size`` distinct vectors.
+
+    A bounded sample places the first cuts; leaves that turn out too large are cut again from samples of their own.
     """
     spark = vectors.sparkSession
     n = vectors.count()
-    leaves = int(min(MAX_LEAVES, max(1, n // leaf_size)))
-    share = min(1.0, CUT_SAMPLE / max(n, 1))
-    sample = vectors.select(*names).where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * CUT_SAMPLE)
-    tree = spark.sparkContext.broadcast(N.kd_tree(sample.toPandas().to_numpy(float), leaves))
+    tree = N.KdTree(_drawn(vectors, names, n)[names].to_numpy(float), max(1, n // leaf_size))
     types = ", ".join(f"{c} double" for c in names)
+    while True:
+        shared = spark.sparkContext.broadcast(tree)
+
+        def place(frames, shared=shared):
+            for pdf in frames:
+                yield pdf.assign(leaf=shared.value.leaf_of(pdf[names].to_numpy()))
+
+        placed = cut_lineage(vectors.select(*names, "w", "id").mapInPandas(place, f"{types}, w bigint, id bigint, leaf bigint"))
+        large = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * leaf_size).collect()}
+        if not large:
+            return tree, placed
+        inside = placed.join(F.broadcast(spark.createDataFrame([(x,) for x in large], "leaf bigint")), "leaf")
+        sample = _drawn(inside, names, sum(large.values()))
+        grown = [tree.split(leaf, part[names].to_numpy(float), large[leaf] // leaf_size + 1) for leaf, part in sample.groupby("leaf")]
+        if not any(grown):
+            raise RuntimeError("points too close to be told apart")
 
-    def place(frames):
-        for pdf in frames:
-            yield pdf.assign(leaf=N.leaf_of(tree.value, pdf[names].to_numpy()))
 
-    placed = vectors.select(*names, "w", "id").mapInPandas(place, f"{types}, w bigint, id bigint, leaf bigint")
-    placed = cut_lineage(placed)
+def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_size: int = LEAF, norm: str = "euclid") -> DataFrame:
+    """Exact k nearest neighbours: (id, nid, w, dist), weights adding up to k; ``norm`` is euclid or max.
+
+    Each vector first searches its own leaf; the distance found bounds a ball, and only the leaves this
+    ball reaches are searched as well. A leaf with too few points takes its bound from the box of the smallest
+    part of the tree that has enough. Queries of a busy leaf are split into batches of two leaves' size, each with
+    its own copy of the leaf.
+    """
+    spark = vectors.sparkSession
+    tree, placed = search_tree(vectors, names, leaf_size)
+    edges = placed.groupBy("leaf").agg(F.sum("w").alias("w"), *[f(c).alias(f"{t}_{c}") for c in names for t, f in (("lo", F.min), ("hi", F.max))]).toPandas()
+    lo, hi = (edges[[f"{t}_{c}" for c in names]].to_numpy(float) for t in ("lo", "hi"))
+    tree.settle({leaf: (w, lo[i], hi[i]) for i, (leaf, w) in enumerate(zip(edges["leaf"].tolist(), edges["w"].tolist(), strict=True))}, k + 1)
+    tree = spark.sparkContext.broadcast(tree)
+    types = ", ".join(f"{c} double" for c in names)
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids, w = pdf[names].to_numpy(), pdf["id"].to_numpy(), pdf["w"].to_numpy()
@@ -235,17 +262,19 @@ def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_s
 
     found = cut_lineage(placed.groupBy("leaf").applyInPandas(local, "id bigint, nid bigint, w bigint, dist double, home bigint"))
     reach = found.groupBy("id").agg(F.when(F.sum("w") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("radius"))
-    queries = placed.select(*names, "id", "w", F.col("leaf").alias("home")).join(reach, "id", "left").na.fill(float("inf"), ["radius"])
+    queries = placed.select(*names, "id", F.col("leaf").alias("home")).join(reach, "id", "left").na.fill(float("inf"), ["radius"])
 
     def route(frames):
         for pdf in frames:
-            x = pdf[names].to_numpy()
-            row, leaf = N.leaves_in_reach(tree.value, x, pdf["radius"].to_numpy())
+            x, radius = pdf[names].to_numpy(), pdf["radius"].to_numpy(float, copy=True)
+            open_ = np.isinf(radius)
+            radius[open_] = tree.value.farthest(pdf["home"].to_numpy()[open_], x[open_], norm)
+            row, leaf = tree.value.leaves_in_reach(x, radius)
             out = pdf.iloc[row].assign(leaf=leaf)
             yield out[out["leaf"] != out["home"]][[*names, "id", "leaf"]]
 
     routed = cut_lineage(queries.mapInPandas(route, f"{types}, id bigint, leaf bigint"))
-    batches = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BATCH).cast("int").alias("batches"))
+    batches = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf_size)).cast("int").alias("batches"))
     visitors = routed.join(batches, "leaf").withColumn("batch", F.pmod(F.xxhash64("id"), F.col("batches")).cast("int")).drop("batches")
     hosts = placed.join(batches, "leaf").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).drop("batches")
 

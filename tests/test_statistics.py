@@ -190,3 +190,37 @@ def test_neighbours_and_counts_do_not_depend_on_blocks(spark, monkeypatch):
     assert got["f"]["n"] == 699
     empty = ML.mutual_information(df.limit(5), ["f"], "g", "regression")
     assert empty.count() == 0 and ML.mutual_information(df, [], "y", "classification").count() == 0
+
+
+@pytest.mark.parametrize("norm", ["euclid", "max"])
+def test_neighbours_equal_brute_force_with_small_and_large_leaves(spark, monkeypatch, norm):
+    monkeypatch.setattr(ML, "CUT_SAMPLE", 100)  # the first cuts come from a few rows: leaves are cut again
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(900, 2)), rng.normal(scale=1e-3, size=(600, 2)) + 5, rng.normal(scale=50, size=(20, 2))])
+    w = np.where(np.arange(len(x)) % 50 == 0, 4, 1)
+    df = spark.createDataFrame([(float(a), float(b), int(c), i) for i, ((a, b), c) in enumerate(zip(x, w, strict=True))], "z0 double, z1 double, w long, id long").repartition(5)
+    _, placed = ML.search_tree(df, ["z0", "z1"], 10)
+    sizes = [r["count"] for r in placed.groupBy("leaf").count().collect()]
+    assert max(sizes) <= 20 and sum(sizes) == len(x)
+    k = 25  # more than a leaf holds
+    got = {}
+    for r in ML.neighbours(df, ["z0", "z1"], k, 10, norm).collect():
+        got.setdefault(r["id"], []).append((r["dist"], r["w"]))
+    for i in range(len(x)):
+        gap = np.abs(x - x[i])
+        d = gap.max(1) if norm == "max" else np.sqrt((gap ** 2).sum(1))
+        reach = np.sort(np.repeat(d, w - (np.arange(len(x)) == i)))[:k]
+        mine = np.sort(np.repeat([a for a, _ in got[i]], [b for _, b in got[i]]))
+        assert len(mine) == k and np.allclose(mine, reach)
+
+
+def test_a_leaf_without_enough_points_has_a_finite_bound():
+    from tablescope.functions.neighbours import KdTree
+    x = np.random.default_rng(1).normal(size=(300, 2))
+    tree = KdTree(x, 60)
+    leaf = tree.leaf_of(x)
+    tree.settle({int(v): (int((leaf == v).sum()), x[leaf == v].min(0), x[leaf == v].max(0)) for v in np.unique(leaf)}, 12)
+    bound = tree.farthest(leaf, x, "euclid")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.isfinite(bound).all() and ((d <= bound[:, None]).sum(1) >= 12).all()
+    assert np.median((d <= bound[:, None]).sum(1)) < 150
