@@ -26,7 +26,7 @@ class KdTree:
     def _grow(self, points: np.ndarray, want: int) -> int:
         spread = np.ptp(points, axis=0) if len(points) else np.zeros(1)
         dim = int(np.argmax(spread))
-        if want < 2 or len(points) < 4 or spread[dim] == 0:
+        if want < 2 or len(points) < 2 or spread[dim] == 0:
             self.leaves += 1
             return -self.leaves
         cut = float(np.median(points[:, dim]))

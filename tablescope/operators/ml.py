@@ -205,10 +205,10 @@ def isolation_scores(vectors: DataFrame, names: list[str]) -> DataFrame:
     return vectors.select(*names, "w", "id").mapInPandas(score, f"{types}, w bigint, id bigint, score double")
 
 
-def _drawn(rows: DataFrame, names: list[str], n: int) -> pd.DataFrame:
+def _drawn(rows: DataFrame, n: int, seed: int) -> pd.DataFrame:
     """About ``CUT_SAMPLE`` of ``n`` rows, by hash."""
     if n > CUT_SAMPLE:
-        rows = rows.where(F.xxhash64("id", F.lit(SEED)) < -(1 << 63) + (1 << 64) * CUT_SAMPLE // n)
+        rows = rows.where(F.xxhash64("id", F.lit(seed)) < -(1 << 63) + (1 << 64) * CUT_SAMPLE // n)
     return rows.limit(2 * CUT_SAMPLE).toPandas()
 
 
@@ -219,9 +219,11 @@ def search_tree(vectors: DataFrame, names: list[str], leaf_size: int) -> tuple[N
     """
     spark = vectors.sparkSession
     n = vectors.count()
-    tree = N.KdTree(_drawn(vectors, names, n)[names].to_numpy(float), max(1, n // leaf_size))
+    tree = N.KdTree(_drawn(vectors, n, SEED)[names].to_numpy(float), max(1, n // leaf_size))
     types = ", ".join(f"{c} double" for c in names)
-    while True:
+    seed, fruitless = SEED, 0
+    while fruitless < 20:
+        seed += 1
         shared = spark.sparkContext.broadcast(tree)
 
         def place(frames, shared=shared):
@@ -232,11 +234,13 @@ def search_tree(vectors: DataFrame, names: list[str], leaf_size: int) -> tuple[N
         large = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * leaf_size).collect()}
         if not large:
             return tree, placed
+        # as many leaves a round as leave each of them a sample of its own
+        large = dict(sorted(large.items(), key=lambda x: (-x[1], x[0]))[:max(1, CUT_SAMPLE // 32)])
         inside = placed.join(F.broadcast(spark.createDataFrame([(x,) for x in large], "leaf bigint")), "leaf")
-        sample = _drawn(inside, names, sum(large.values()))
+        sample = _drawn(inside, sum(large.values()), seed)
         grown = [tree.split(leaf, part[names].to_numpy(float), large[leaf] // leaf_size + 1) for leaf, part in sample.groupby("leaf")]
-        if not any(grown):
-            raise RuntimeError("points too close to be told apart")
+        fruitless = 0 if any(grown) else fruitless + 1
+    raise RuntimeError("points too close to be told apart")
 
 
 def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_size: int = LEAF, norm: str = "euclid") -> DataFrame:

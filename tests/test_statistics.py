@@ -194,7 +194,7 @@ def test_neighbours_and_counts_do_not_depend_on_blocks(spark, monkeypatch):
 
 @pytest.mark.parametrize("norm", ["euclid", "max"])
 def test_neighbours_equal_brute_force_with_small_and_large_leaves(spark, monkeypatch, norm):
-    monkeypatch.setattr(ML, "CUT_SAMPLE", 100)  # the first cuts come from a few rows: leaves are cut again
+    monkeypatch.setattr(ML, "CUT_SAMPLE", 700)  # the first cuts come from a few rows: leaves are cut again
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(900, 2)), rng.normal(scale=1e-3, size=(600, 2)) + 5, rng.normal(scale=50, size=(20, 2))])
     w = np.where(np.arange(len(x)) % 50 == 0, 4, 1)
