@@ -196,6 +196,14 @@ def _(spark, sf):
     return G.split_by_time(table(spark, sf, "events"), "ts").select("event_id", "split")
 
 
+@query("split_proportions", f"""SELECT toxic, n, n - v - t AS n_train, v AS n_validation, t AS n_test FROM (SELECT toxic, n,
+      CASE WHEN n >= 3 THEN greatest(1, CAST(floor(n * 0.15 + 0.5) AS BIGINT)) ELSE 0 END AS v, CASE WHEN n >= 2 THEN greatest(1, CAST(floor(n * 0.15 + 0.5) AS BIGINT)) ELSE 0 END AS t
+      FROM (SELECT toxic, count(*) AS n FROM {duck('documents_labelled')} GROUP BY 1))""")
+def _(spark, sf):
+    parts = G.train_valid_test_split(table(spark, sf, "documents_labelled"), ["doc_id"], "toxic")
+    return parts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("split") == p).cast("bigint")).alias(f"n_{p}") for p in ("train", "validation", "test")])
+
+
 @query("train_valid_test_split")
 def _(spark, sf):
     return G.train_valid_test_split(table(spark, sf, "documents_labelled"), ["doc_id"], "toxic").select("doc_id", "toxic", "split")

@@ -8,6 +8,7 @@ from tablescope.catalog.common import duck, query, table
 from tablescope.operators import bivariate as BI
 from tablescope.operators import inference as I
 from tablescope.operators import multivariate as M
+from tablescope.operators import quality as Q
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PAIRS = BI.column_pairs(NUM)
@@ -328,3 +329,91 @@ def _(spark, sf):
     arg_min(feature || ' x ' || target, position) FILTER (significant_fdr) AS first_significant FROM ({TESTS})""")
 def _(spark, sf):
     return I.inference_summary(table(spark, sf, "lineitem"), NUM, G2 + G3)
+
+
+# ── wide tables and many levels: nothing is cut off ───────────────────────────────────────────
+
+WIDE = [f"c{i}" for i in range(30)]
+WIDE_SQL = "SELECT " + ", ".join(f"CASE WHEN (o_orderkey * {7 + i} + o_custkey) % {11 + i} <> 0 THEN (o_orderkey * {i + 3} + o_custkey * {31 - i}) % {101 + 7 * i} + 0.25 END AS c{i}"
+                                 for i in range(30)) + ", o_custkey % 12 AS g12, o_orderkey % 25 AS g25, o_custkey % 2 AS g2, o_orderpriority AS g5 FROM {orders}"
+
+
+def wide(spark, sf):
+    return spark.sql(WIDE_SQL, orders=table(spark, sf, "orders"))
+
+
+WIDE_FROM = "(" + WIDE_SQL.format(orders="orders") + ")"
+WIDE_PAIRS = BI.column_pairs(WIDE)
+#: One scan for all pairs.
+WIDE_MOMENTS = f"""SELECT t.a AS var_a, t.b AS var_b, t.n AS n, t.r AS r FROM (SELECT unnest([{', '.join(
+    f"{{'a': '{a}', 'b': '{b}', 'n': count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL), 'r': coalesce(corr({a}, {b}), 0)}}" for a, b in WIDE_PAIRS)}]) AS t FROM {WIDE_FROM})"""
+
+
+@query("pearson_pairs_wide", f"SELECT var_a, var_b, n, r AS pearson_r, abs(r) > 0.7 AS high FROM ({WIDE_MOMENTS})", "pearson_r")
+def _(spark, sf):
+    return BI.pearson_pairs(wide(spark, sf), WIDE)
+
+
+@query("correlation_matrix_wide_table", f"""SELECT var_a, var_b, r AS value FROM ({WIDE_MOMENTS}) UNION ALL SELECT var_b, var_a, r FROM ({WIDE_MOMENTS})
+    UNION ALL SELECT unnest({WIDE}) AS var_a, unnest({WIDE}) AS var_b, 1.0""", "value")
+def _(spark, sf):
+    return BI.correlation_matrix(wide(spark, sf), WIDE)
+
+
+@query("global_correlation_wide", f"SELECT var_a, var_b, n, r AS value, abs(r) > 0.7 AS high FROM ({WIDE_MOMENTS})", "value")
+def _(spark, sf):
+    return M.global_correlation(wide(spark, sf), WIDE)
+
+
+@query("trend_line_wide", "SELECT t.* FROM (SELECT unnest([" + ", ".join(
+    f"{{'var_a': '{a}', 'var_b': '{b}', 'n': regr_count({b}, {a}), 'slope': regr_slope({b}, {a}), 'intercept': regr_intercept({b}, {a})}}" for a, b in WIDE_PAIRS)
+    + f"]) AS t FROM {WIDE_FROM})", "slope intercept")
+def _(spark, sf):
+    return BI.trend_line(wide(spark, sf), WIDE)
+
+
+@query("variance_rank_wide", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", var_samp({c}) AS variance FROM {WIDE_FROM}" for c in WIDE), "variance")
+def _(spark, sf):
+    return M.variance_rank(wide(spark, sf), WIDE)
+
+
+def null_pairs_sql(value):
+    cells = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'na': count(*) - count({a}), 'nb': count(*) - count({b}), 'nab': count(*) FILTER ({a} IS NULL AND {b} IS NULL), 'n': count(*)}}"
+                      for a in WIDE for b in WIDE)
+    return f"SELECT t.a AS var_a, t.b AS var_b, {value} FROM (SELECT unnest([{cells}]) AS t FROM {WIDE_FROM})"
+
+
+@query("missing_cooccurrence_wide", null_pairs_sql("t.n AS n, t.na AS n_a, t.nb AS n_b, t.nab AS n_both"))
+def _(spark, sf):
+    return Q.missing_cooccurrence(wide(spark, sf), WIDE)
+
+
+@query("missing_correlation_wide", null_pairs_sql("CASE WHEN t.a = t.b THEN 1.0 ELSE coalesce((t.n * 1.0 * t.nab - t.na * 1.0 * t.nb) / nullif(sqrt(t.na * 1.0 * (t.n - t.na) * t.nb * (t.n - t.nb)), 0), 0) END AS value"), "value")
+def _(spark, sf):
+    return Q.missing_correlation(wide(spark, sf), WIDE)
+
+
+WIDE_NUM, WIDE_CAT = ["c0", "c5", "c9", "c14", "c20", "c29"], ["g12", "g25", "g2", "g5"]
+WIDE_LONG = long_sql(WIDE_NUM, WIDE_CAT, WIDE_FROM, 1000)
+
+
+@query("anova_oneway_wide", f"SELECT *, pvalue < 0.05 AS significant FROM ({anova_sql(WIDE_LONG)})", "statistic pvalue effect_size")
+def _(spark, sf):
+    return BI.anova_oneway(wide(spark, sf), WIDE_NUM, WIDE_CAT)
+
+
+@query("kruskal_wallis_wide", f"SELECT *, pvalue < 0.05 AS significant FROM ({kruskal_sql(WIDE_LONG)})", "statistic pvalue")
+def _(spark, sf):
+    return BI.kruskal_wallis(wide(spark, sf), WIDE_NUM, WIDE_CAT)
+
+
+@query("group_stats_wide", f"""SELECT num, cat, grp, n, mean, median, std, lo < q1 - 1.5 * (q3 - q1) OR hi > q3 + 1.5 * (q3 - q1) AS has_outliers FROM (
+    SELECT num, cat, grp, count(*) AS n, avg(x) AS mean, quantile_cont(x, .5) AS median, stddev_pop(x) AS std, min(x) AS lo, max(x) AS hi,
+    quantile_cont(x, .25) AS q1, quantile_cont(x, .75) AS q3 FROM ({WIDE_LONG}) GROUP BY 1, 2, 3) WHERE n >= 3""", "mean median std")
+def _(spark, sf):
+    return BI.group_stats(wide(spark, sf), WIDE_NUM, WIDE_CAT)
+
+
+@query("chi2_test_wide", chi2_sql(["g12", "g25", "g2", "g5"], WIDE_FROM), "chi2 pvalue")
+def _(spark, sf):
+    return BI.chi2_test(wide(spark, sf), ["g12", "g25", "g2", "g5"])

@@ -190,7 +190,7 @@ def _edge(col):
     FROM (SELECT *, trim(regexp_replace(lower(c), 'price|prezzo|costo', '', 'g'), '_') AS s FROM price) p,
          (SELECT *, trim(regexp_replace(lower(c), 'qty|quantity|quantita', '', 'g'), '_') AS s FROM qty) q ORDER BY p.position, q.position LIMIT 6"""), "confidence")
 def _(spark, sf):
-    return FE.suggest_revenue(_verdicts(spark, sf, "lineitem"))
+    return FE.suggest_revenue(_verdicts(spark, sf, "lineitem"), top=6)
 
 
 @query("suggest_margin", with_verdicts("sales", f""", m AS (SELECT a.c AS s, b.c AS k,

@@ -15,10 +15,8 @@ from tablescope.plans import blocks as B
 from tablescope.session import cut_lineage
 
 # Result sizes and thresholds.
-MAX_NUMERIC, MIN_N, TOP_PAIRS, TOP_SCATTERS, SCATTER_POINTS = 20, 10, 30, 5, 2_000
+MIN_N, TOP_SCATTERS, SCATTER_POINTS, MIN_GROUP = 10, 5, 2_000, 3
 HIGH, COLLINEAR, STRONG = 0.7, 0.85, 0.3
-MAX_NUM, MAX_CAT, MAX_NUM_CAT_PAIRS, MAX_LEVELS, MIN_GROUP = 5, 3, 9, 8, 3
-MAX_CATEGORIES, MAX_CAT_PAIRS = 6, 6
 
 
 def column_pairs(columns: list[str]) -> list[tuple[str, str]]:
@@ -31,11 +29,12 @@ def pearson_all(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return B.pair_moments(df, pairs).withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """B1: strongest 30 pairs of the first 20 columns, pairwise-complete, at least 10 rows."""
-    p = pearson_all(df, column_pairs(columns[:MAX_NUMERIC])).where(F.col("n") >= MIN_N)
-    return (p.select("var_a", "var_b", "n", F.col("r").alias("pearson_r"), (F.abs("r") > HIGH).alias("high"))
-            .orderBy(F.abs("pearson_r").desc(), "var_a", "var_b").limit(TOP_PAIRS))
+def pearson_pairs(df: DataFrame, columns: list[str], top: int | None = None) -> DataFrame:
+    """B1: all pairs, or the ``top`` strongest, pairwise-complete, at least 10 rows."""
+    p = pearson_all(df, column_pairs(columns)).where(F.col("n") >= MIN_N)
+    p = p.select("var_a", "var_b", "n", F.col("r").alias("pearson_r"), (F.abs("r") > HIGH).alias("high"))
+    p = p.orderBy(F.abs("pearson_r").desc(), "var_a", "var_b")
+    return p if top is None else p.limit(top)
 
 
 # A rank table up to this many distinct values is broadcast (about 16 bytes each).
@@ -79,7 +78,6 @@ def _spearman_pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame
 
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """B2: Pearson of the average ranks, per pair of complete rows."""
-    columns = columns[:MAX_NUMERIC]
     gaps = B.wide(df, {c: {"gaps": X.count_if(X.double(df, c).isNull())} for c in columns}).collect()
     whole = [r["column"] for r in gaps if r["gaps"] == 0]
     pairs = column_pairs(columns)
@@ -95,7 +93,6 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Square matrix in long form; pairs below 10 rows are 0, the diagonal is 1."""
-    columns = columns[:MAX_NUMERIC]
     p = pearson_all(df, column_pairs(columns)).where(F.col("n") >= MIN_N)
     cells = X.lit_rows(df, [(a, b) for a in columns for b in columns], "var_a string, var_b string")
     both = p.select("var_a", "var_b", "r").unionByName(p.select(F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"), "r"))
@@ -105,7 +102,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def correlation_matrix_wide(df: DataFrame, columns: list[str]) -> DataFrame:
     """B3 as a table: one row per column."""
-    return correlation_matrix(df, columns).groupBy("var_a").pivot("var_b", columns[:MAX_NUMERIC]).agg(F.first("value"))
+    return correlation_matrix(df, columns).groupBy("var_a").pivot("var_b", columns).agg(F.first("value"))
 
 
 def top_pairs(df: DataFrame, columns: list[str], k: int = TOP_SCATTERS) -> list[tuple[str, str]]:
@@ -113,9 +110,9 @@ def top_pairs(df: DataFrame, columns: list[str], k: int = TOP_SCATTERS) -> list[
     return [(r["var_a"], r["var_b"]) for r in pearson_pairs(df, columns).limit(k).collect()]
 
 
-def scatter_sample(df: DataFrame, columns: list[str], points: int = SCATTER_POINTS, seed: int = 42) -> DataFrame:
-    """Up to 2,000 points of each of the five strongest pairs, chosen by hash."""
-    rows = B.pair_rows(df, top_pairs(df, columns))
+def scatter_sample(df: DataFrame, columns: list[str], points: int = SCATTER_POINTS, seed: int = 42, top: int = TOP_SCATTERS) -> DataFrame:
+    """Up to ``points`` points of each of the ``top`` strongest pairs, chosen by hash."""
+    rows = B.pair_rows(df, top_pairs(df, columns, top))
     place = F.row_number().over(Window.partitionBy("var_a", "var_b").orderBy(F.xxhash64(F.lit(seed), "x", "y"), "x", "y"))
     return rows.withColumn("r", place).where(F.col("r") <= points).drop("r")
 
@@ -123,29 +120,15 @@ def scatter_sample(df: DataFrame, columns: list[str], points: int = SCATTER_POIN
 def trend_line(df: DataFrame, columns: list[str]) -> DataFrame:
     """Least-squares line of every pair over all rows."""
     slope = X.div(F.col("sxy"), F.col("sxx"))
-    return B.pair_moments(df, column_pairs(columns[:MAX_NUMERIC])).select("var_a", "var_b", "n", slope.alias("slope")
+    return B.pair_moments(df, column_pairs(columns)).select("var_a", "var_b", "n", slope.alias("slope")
         , (F.col("mean_b") - slope * F.col("mean_a")).alias("intercept"))
 
 
-def _long(df: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
-    return G.grouped_long(df, nums[:MAX_NUM], cats[:MAX_CAT], MAX_LEVELS)
-
-
-def _kept(groups: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
-    """The first nine valid pairs in column order; ``groups`` has at most 15 pairs x 8 levels."""
-    order = {(n, c): i for i, (n, c) in enumerate((n, c) for n in nums[:MAX_NUM] for c in cats[:MAX_CAT])}
-    position = reduce(lambda acc, kv: F.when((F.col("num") == kv[0][0]) & (F.col("cat") == kv[0][1]), kv[1]).otherwise(acc),
-                      order.items(), F.lit(None).cast("int"))
-    g = groups.withColumn("position", position)
-    place = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("position"))
-    return g.withColumn("place", place).where(F.col("place") <= MAX_NUM_CAT_PAIRS).drop("position", "place")
-
-
-def group_stats(df: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
-    """Count, mean, median, population sd and outlier flag per group."""
-    long = _long(df, nums, cats)
-    m = _kept(G.moments(long, MIN_GROUP), nums, cats)
-    q = B.quantiles(long, ["num", "cat", "grp"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
+def group_stats(df: DataFrame, nums: list[str], cats: list[str], levels: int | None = None) -> DataFrame:
+    """Count, mean, median, population sd and outlier flag per group; of all levels, or of the ``levels`` first in order."""
+    long = G.grouped_long(df, nums, cats, levels)
+    m = G.moments(long, MIN_GROUP)
+    q = B.quantiles(long, ["num", "cat", "grp"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, few_groups=levels is not None).drop("n")
     iqr = F.col("q3") - F.col("q1")
     out = (F.col("min") < F.col("q1") - 1.5 * iqr) | (F.col("max") > F.col("q3") + 1.5 * iqr)
     return m.join(q, ["num", "cat", "grp"]).select("num", "cat", "grp", "n", "mean", "median", "std", out.alias("has_outliers"))
@@ -156,14 +139,14 @@ def _skew_kurt(long: DataFrame) -> DataFrame:
     return long.groupBy("num", "cat", "grp").agg(F.count(F.lit(1)).alias("n"), s.alias("s"), k.alias("k"))
 
 
-def normality_gate(df: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
+def normality_gate(df: DataFrame, nums: list[str], cats: list[str], levels: int | None = None) -> DataFrame:
     """ANOVA if every group looks normal at .05, otherwise Kruskal-Wallis.
 
     Groups up to 5,000 values by Shapiro-Wilk, larger ones by Jarque-Bera.
     """
     keys = ["num", "cat", "grp"]
-    long = _long(df, nums, cats)
-    kept = _kept(G.moments(long, MIN_GROUP), nums, cats).select(*keys, "n")
+    long = G.grouped_long(df, nums, cats, levels)
+    kept = G.moments(long, MIN_GROUP).select(*keys, "n")
     small = U.shapiro_wilk(long, keys).select(*keys, F.col("pvalue").alias("sw"))
     jb = F.col("n") / 6.0 * (F.col("s") ** 2 + F.col("k") ** 2 / 4.0)
     large = _skew_kurt(long).where(F.col("n") > U.SHAPIRO_MAX).select(*keys, F.exp(-jb / 2).alias("jb"))
@@ -173,24 +156,24 @@ def normality_gate(df: DataFrame, nums: list[str], cats: list[str]) -> DataFrame
             .withColumn("test", F.when(F.col("lowest_p") >= 0.05, "anova").otherwise("kruskal_wallis")))
 
 
-def anova_oneway(df: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
+def anova_oneway(df: DataFrame, nums: list[str], cats: list[str], levels: int | None = None) -> DataFrame:
     """B8"""
-    groups = _kept(G.moments(_long(df, nums, cats), MIN_GROUP), nums, cats)
+    groups = G.moments(G.grouped_long(df, nums, cats, levels), MIN_GROUP)
     return G.anova(groups).withColumn("significant", F.col("pvalue") < 0.05)
 
 
-def kruskal_wallis(df: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
+def kruskal_wallis(df: DataFrame, nums: list[str], cats: list[str], levels: int | None = None) -> DataFrame:
     """B9"""
-    long = _long(df, nums, cats)
-    groups = _kept(G.moments(long, MIN_GROUP), nums, cats)
+    long = G.grouped_long(df, nums, cats, levels)
+    groups = G.moments(long, MIN_GROUP)
     return G.kruskal(G.rank_sums(long, groups)).withColumn("significant", F.col("pvalue") < 0.05)
 
 
-def num_cat_tests(df: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
+def num_cat_tests(df: DataFrame, nums: list[str], cats: list[str], levels: int | None = None) -> DataFrame:
     """B7-B9 together: the test the gate chooses, one row per pair."""
-    gate = normality_gate(df, nums, cats).select("num", "cat", "test")
-    a = anova_oneway(df, nums, cats).withColumn("test", F.lit("anova"))
-    k = kruskal_wallis(df, nums, cats).withColumn("test", F.lit("kruskal_wallis")).withColumn("effect_size", F.lit(None).cast("double"))
+    gate = normality_gate(df, nums, cats, levels).select("num", "cat", "test")
+    a = anova_oneway(df, nums, cats, levels).withColumn("test", F.lit("anova"))
+    k = kruskal_wallis(df, nums, cats, levels).withColumn("test", F.lit("kruskal_wallis")).withColumn("effect_size", F.lit(None).cast("double"))
     return a.unionByName(k).join(gate, ["num", "cat", "test"])
 
 
@@ -214,8 +197,7 @@ def chi2_test(df: DataFrame, columns: list[str]) -> DataFrame:
     2 x 2 table every cell has the same |o - e|.
     """
     keys = ["var_a", "var_b"]
-    pairs = column_pairs(columns[:MAX_CATEGORIES])[:MAX_CAT_PAIRS]
-    cells = contingency_cells(df, pairs)
+    cells = contingency_cells(df, column_pairs(columns))
     ra = cells.groupBy(*keys, "a").agg(F.sum("n").alias("ra"))
     cb = cells.groupBy(*keys, "b").agg(F.sum("n").alias("cb"))
     totals = ra.groupBy(*keys).agg(F.sum("ra").alias("total"), F.count(F.lit(1)).alias("r"),

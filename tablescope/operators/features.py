@@ -18,7 +18,6 @@ from tablescope.functions import keywords as K
 from tablescope.operators import semantic as S
 
 SUGGESTION = ("name", "type", "source_columns", "formula", "confidence", "status")
-MAX_REVENUE, MAX_FALLBACK_RATIOS = 6, 3
 
 
 def _hits(name: Column, words) -> Column:
@@ -51,8 +50,12 @@ def _suggestion(df: DataFrame, name, kind: str, formula, confidence, sources=Non
                      F.lit("pending").alias("status"))
 
 
-def suggest_revenue(verdicts: DataFrame) -> DataFrame:
-    """price x quantity, unit prices preferred, at most six."""
+def _first(rows: DataFrame, top: int | None) -> DataFrame:
+    return rows if top is None else rows.limit(top)
+
+
+def suggest_revenue(verdicts: DataFrame, top: int | None = None) -> DataFrame:
+    """price x quantity, unit prices preferred; all, or the first ``top`` in column order."""
     unit = (_hits(F.col("column"), K.UNIT_PRICE) > 0) & (_hits(F.col("column"), K.TOTAL_PRICE) == 0)
     whole = Window.partitionBy(F.lit(1))
     prices = (_of(verdicts, "price").withColumn("unit", unit.cast("int"))
@@ -66,7 +69,7 @@ def suggest_revenue(verdicts: DataFrame) -> DataFrame:
              .when((F.char_length(p) >= 3) & (F.left(p, F.lit(3)) == F.left(q, F.lit(3))), 0.08).otherwise(0.0))
     name = F.when((F.col("a_n") > 1) | (F.col("b_n") > 1), _both("revenue_%s_x_%s")).otherwise("revenue")
     conf = F.least((F.col("a_confidence") + F.col("b_confidence")) / 2 + bonus, F.lit(1.0))
-    return _suggestion(pairs.orderBy("a_position", "b_position").limit(MAX_REVENUE), name, "revenue",
+    return _suggestion(_first(pairs.orderBy("a_position", "b_position"), top), name, "revenue",
                        _both("%s * %s"), conf)
 
 
@@ -104,8 +107,8 @@ def suggest_discount(verdicts: DataFrame) -> DataFrame:
                        (F.col("a_confidence") + F.col("b_confidence")) / 2 * 0.9)
 
 
-def suggest_ratio(verdicts: DataFrame) -> DataFrame:
-    """keyword pairs of quantities; if none fits, three pairs by confidence."""
+def suggest_ratio(verdicts: DataFrame, top: int | None = None) -> DataFrame:
+    """keyword pairs of quantities; if none fits, all pairs by confidence, or the first ``top``."""
     quantities = _of(verdicts, "quantity")
     pairs = _crossed(quantities, quantities).where("a_column <> b_column")
     low, high = F.least("a_column", "b_column"), F.greatest("a_column", "b_column")
@@ -126,8 +129,7 @@ def suggest_ratio(verdicts: DataFrame) -> DataFrame:
                              (F.col("a_confidence") + F.col("b_confidence")) / 2)
     ranked = quantities.withColumn("pos", F.row_number().over(
         Window.partitionBy(F.lit(1)).orderBy(F.desc("confidence"), "position")))
-    fallback = (_crossed(ranked, ranked).where("a_pos < b_pos")
-                .orderBy("a_pos", "b_pos").limit(MAX_FALLBACK_RATIOS))
+    fallback = _first(_crossed(ranked, ranked).where("a_pos < b_pos").orderBy("a_pos", "b_pos"), top)
     fallback = _suggestion(fallback, _both("ratio_%s_per_%s"), "ratio", _both("%s / NULLIF(%s, 0)"),
                            (F.col("a_confidence") + F.col("b_confidence")) / 2 * 0.7)
     both = meaningful.withColumn("tier", F.lit(1)).unionByName(fallback.withColumn("tier", F.lit(2)))

@@ -32,7 +32,6 @@ HIGH_BAND, MEDIUM_BAND, READY_SCORE = 85, 70, 80
 NAME_CONFIDENCE, EMAIL_CONFIDENCE, PHONE_CONFIDENCE, PII_SHARE, PII_MIN = 96.0, 90.0, 82.0, 0.25, 2
 PSEUDONYMIZE = ("email", "phone", "financial", "government_id")
 MANY_LEVELS, MANY_OUTLIERS, SEGMENT_MISSING = 20, 5, 20
-MAX_ALERTS, MAX_ACTIONS, TOP_MISSING, TOP_PII = 8, 5, 3, 3
 FAIR_GROUP, FAIR_ROWS, FAIR_CLASSES = 10, 20, 6
 SPLIT = (70, 15, 15)
 
@@ -293,14 +292,34 @@ def split_by_time(df: DataFrame, column: str) -> DataFrame:
         "split", F.when(micros <= a, "train").when(micros <= b, "validation").otherwise("test"))
 
 
+def _part_sizes(n: Column) -> tuple[Column, Column]:
+    """Rows of a stratum of ``n`` that go to validation and to test, half up; three rows or more meet all parts."""
+    share = [F.floor(n * F.lit(p) / 100 + 0.5) for p in SPLIT[1:]]
+    return F.when(n >= 3, F.greatest(F.lit(1), share[0])).otherwise(0), F.when(n >= 2, F.greatest(F.lit(1), share[1])).otherwise(0)
+
+
 def train_valid_test_split(df: DataFrame, key: list[str], stratum: str | None = None, seed: int = 42) -> DataFrame:
-    """G13 without a time column: a seeded hash of the row key decides, independently in every stratum.
+    """G13 without a time column: by a seeded hash of the row key.
 
-    No shuffle at all, and a row keeps its split when the table grows.
+    Without ``stratum`` the hash alone decides: no shuffle at all, and a row keeps its split when the table grows. With it
+    every stratum (nulls are one) is cut at exact ranks of the hash, so each part holds its share of each stratum to the
+    row. Hashes are counted first and ranked in one global order; no stratum has to fit into one task. Rows with equal keys
+    stay together.
     """
-    parts = [X.ref(c) for c in key] + ([X.text(df, stratum)] if stratum else [])
-    h = F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(100))
-    return df.withColumn("split", F.when(h < SPLIT[0], "train").when(h < SPLIT[0] + SPLIT[1], "validation").otherwise("test"))
+    h = F.xxhash64(F.lit(seed), *[X.ref(c) for c in key])
+    if stratum is None:
+        place = F.pmod(h, F.lit(100))
+        return df.withColumn("split", F.when(place < SPLIT[0], "train").when(place < SPLIT[0] + SPLIT[1], "validation").otherwise("test"))
+    group = F.coalesce(F.concat(F.lit("="), X.text(df, stratum)), F.lit("null"))
+    counts = df.select(group.alias("_g"), h.alias("_h")).groupBy("_g", "_h").agg(F.count(F.lit(1)).alias("n"))
+    placed = B.ordered(counts, ["_g"], ["_h"], weight="n")
+    valid, test = _part_sizes(F.col("_total"))
+    train = F.col("_total") - valid - test
+    cuts = placed.groupBy("_g").agg(F.max(F.when(F.col("_before") < train, F.col("_h"))).alias("_train"),
+                                    F.max(F.when(F.col("_before") < train + valid, F.col("_h"))).alias("_valid"))
+    rows = df.withColumn("_g", group).withColumn("_h", h).join(cuts, "_g")
+    split = F.when(F.col("_h") <= F.col("_train"), "train").when(F.col("_h") <= F.col("_valid"), "validation").otherwise("test")
+    return rows.select(*[X.ref(c) for c in df.columns], split.alias("split"))
 
 
 def feature_advice(df: DataFrame, accepted: list[AcceptedFeature] = (), overrides: dict | None = None,
@@ -341,24 +360,24 @@ def _alerts(df: DataFrame, target: str | None, typed: DataFrame, pii: DataFrame)
                                  issue.alias("issue"), column.alias("columns"), action.alias("action")))
     top = Window.partitionBy(F.lit(1)).orderBy(F.desc("pct_missing"), "position")
     missing = (typed.withColumn("pct_missing", _pct_missing()).withColumn("at", F.row_number().over(top))
-               .where((F.col("at") <= TOP_MISSING) & (F.col("pct_missing") >= 10)))
+               .where(F.col("pct_missing") >= 10))
     tier(missing, F.when(F.col("pct_missing") >= 30, "critical").otherwise("high"), F.lit("high_missing"), F.col("column"), F.lit("impute or exclude"))
     if target is not None:
         tier(leakage_risks(df, target, typed=typed).withColumn("at", F.col("position")), F.col("severity"), F.col("risk"), F.col("column"), F.col("action"))
         balance = class_balance(df, target).groupBy("severity").agg(F.lit(0).alias("at")).where("severity <> 'ok'")
         tier(balance, F.col("severity"), F.lit("class_imbalance"), F.lit(target), F.lit("stratified split, reweighting or resampling"))
     first = Window.partitionBy(F.lit(1)).orderBy("position")
-    tier(pii.withColumn("at", F.row_number().over(first)).where(F.col("at") <= TOP_PII), F.lit("high"),
+    tier(pii.withColumn("at", F.row_number().over(first)), F.lit("high"),
          F.concat(F.lit("pii_"), F.col("pii_type")), F.col("column"), F.col("action"))
     every = reduce(DataFrame.unionByName, tiers)
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("tier", "at"))
-    return (every.withColumn("rank", place).where(F.col("rank") <= MAX_ALERTS)
+    return (every.withColumn("rank", place)
             .select("rank", "severity", "issue", "columns", "action", _owner(F.col("issue")).alias("owner")))
 
 
 def critical_alerts(df: DataFrame, target: str | None = None, overrides: dict | None = None,
                     typed: DataFrame | None = None, pii: DataFrame | None = None) -> DataFrame:
-    """First eight alerts: missing values, leakage, imbalance, personal data."""
+    """All alerts in order: missing values, leakage, imbalance, personal data."""
     return _alerts(df, target, S.typed(df, overrides, typed), pii_candidates(df) if pii is None else pii)
 
 
@@ -397,7 +416,7 @@ def decision_matrix(df: DataFrame, target: str | None = None, overrides: dict |
 
 def action_items(df: DataFrame, target: str | None = None, overrides: dict | None = None,
                  typed: DataFrame | None = None, pii: DataFrame | None = None) -> DataFrame:
-    """The first five alerts as actions with owner and deadline."""
-    return critical_alerts(df, target, overrides, typed, pii).where(F.col("rank") <= MAX_ACTIONS).select(
+    """The alerts as actions with owner and deadline."""
+    return critical_alerts(df, target, overrides, typed, pii).select(
         F.col("rank").alias("priority"), F.col("issue").alias("title"), "owner",
         F.when(F.col("severity") == "critical", "immediate").otherwise(F.concat(F.lit("sprint "), F.col("rank").cast("string"))).alias("deadline"), "action")

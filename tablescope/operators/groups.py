@@ -32,15 +32,15 @@ def moments(long: DataFrame, min_n: int) -> DataFrame:
     m = long.groupBy(*KEYS, "grp").agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
         F.min("x").alias("min"), F.max("x").alias("max"), F.regr_sxx("x", "x").alias("ss")).where(F.col("n") >= min_n)
-    pair = Window.partitionBy(*KEYS)
-    return m.withColumn("k", F.count(F.lit(1)).over(pair)).where("k >= 2")
+    # one row per pair of columns
+    pairs = m.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
+    return m.join(F.broadcast(pairs), KEYS)
 
 
 def anova(groups: DataFrame) -> DataFrame:
     """F test from the group moments."""
-    pair = Window.partitionBy(*KEYS)
-    total = F.sum("n").over(pair)
-    g = groups.withColumn("grand", F.sum(F.col("n") * F.col("mean")).over(pair) / total)
+    grand = groups.groupBy(*KEYS).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
+    g = groups.join(F.broadcast(grand), KEYS)
     s = g.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
         F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ssb"), F.sum("ss").alias("ssw"))
@@ -60,7 +60,7 @@ def rank_sums(long: DataFrame, groups: DataFrame) -> DataFrame:
     """
     kept = groups.select(*KEYS, "grp")
     counts = (long.groupBy(*KEYS, "grp", "x").agg(F.count(F.lit(1)).alias("c"))
-              .join(F.broadcast(kept), [*KEYS, "grp"]).select(*KEYS, "grp", "x", "c"))
+              .join(kept, [*KEYS, "grp"]).select(*KEYS, "grp", "x", "c"))
     ranked = B.avg_ranks(counts, KEYS, "x", "c")
     t = F.col("_peers").cast("double")
     return ranked.groupBy(*KEYS, "grp").agg(

@@ -10,22 +10,22 @@ from tablescope.operators import groups as G
 from tablescope.plans import blocks as B
 
 # Sizes of the test family.
-MIN_GROUP, MIN_LEVELS, MAX_LEVELS, MAX_NUM, MAX_GROUPINGS, SHOWN, ALPHA = 5, 2, 10, 8, 3, 40, 0.05
+MIN_GROUP, MIN_LEVELS, ALPHA = 5, 2, 0.05
 KEYS = ["num", "cat"]
 
 
-def usable_groupings(df: DataFrame, groupings: list[str]) -> list[str]:
-    """Grouping columns with 2 to 10 levels (column metadata)."""
+def usable_groupings(df: DataFrame, groupings: list[str], max_levels: int | None = None) -> list[str]:
+    """Grouping columns with 2 levels or more, at most ``max_levels`` if given (column metadata)."""
     u = B.freq(df, groupings, hashed=True).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    ok = {r[0] for r in u.where(F.col("n").between(MIN_LEVELS, MAX_LEVELS)).select("column").collect()}
+    ok = {r[0] for r in u.where((F.col("n") >= MIN_LEVELS) & (F.col("n") <= (max_levels or F.col("n")))).select("column").collect()}
     return [g for g in groupings if g in ok]
 
 
-def _setup(df: DataFrame, nums: list[str], groupings: list[str]):
-    cats = usable_groupings(df, groupings[:MAX_GROUPINGS])
+def _setup(df: DataFrame, nums: list[str], groupings: list[str], max_levels: int | None = None):
+    cats = usable_groupings(df, groupings, max_levels)
     if not cats or not nums:
         return None, None
-    long = G.grouped_long(df, nums[:MAX_NUM], cats)
+    long = G.grouped_long(df, nums, cats)
     return long, G.moments(long, MIN_GROUP)
 
 
@@ -61,9 +61,9 @@ def multi_group_tests(df: DataFrame, nums: list[str], groupings: list[str]) -> D
     return _many(groups, G.kruskal(G.rank_sums(long, groups.where("k > 2"))))
 
 
-def all_tests(df: DataFrame, nums: list[str], groupings: list[str]) -> DataFrame | None:
+def all_tests(df: DataFrame, nums: list[str], groupings: list[str], max_levels: int | None = None) -> DataFrame:
     """One row per (feature, grouping) with the reported p rounded to four decimals."""
-    long, groups = _setup(df, nums, groupings)
+    long, groups = _setup(df, nums, groupings, max_levels)
     if long is None:
         return X.lit_rows(df, [], "feature string, target string, test string, pvalue double, effect_size double, "
                                   "effect_label string, significant boolean, position int")
@@ -73,7 +73,7 @@ def all_tests(df: DataFrame, nums: list[str], groupings: list[str]) -> DataFrame
     more = G.kruskal(sums.where("k > 2").drop("k")).select(
         *KEYS, F.lit("anova_kruskal_wallis").alias("test"), "pvalue", F.lit(None).cast("double").alias("effect_size"),
         F.lit(None).cast("string").alias("effect_label"))
-    order = [(n, c) for n in nums[:MAX_NUM] for c in groupings[:MAX_GROUPINGS]]
+    order = [(n, c) for n in nums for c in groupings]
     position = F.array_position(F.array(*[F.lit(f"{n}\x00{c}") for n, c in order]), F.concat_ws("\x00", "num", "cat"))
     return two.unionByName(more).select(
         F.col("num").alias("feature"), F.col("cat").alias("target"), "test", F.round("pvalue", 4).alias("pvalue"),
@@ -89,14 +89,14 @@ def fdr_bh(tests: DataFrame, pvalue: str = "pvalue", alpha: float = ALPHA) -> Da
     return t.withColumn("significant_fdr", F.coalesce(F.col("rank") <= F.col("last"), F.lit(False))).drop("rank", "m", "last")
 
 
-def inference_table(df: DataFrame, nums: list[str], groupings: list[str]) -> DataFrame:
-    """I5 over all tests, first 40 in column order."""
-    return fdr_bh(all_tests(df, nums, groupings)).orderBy("position").limit(SHOWN)
+def inference_table(df: DataFrame, nums: list[str], groupings: list[str], max_levels: int | None = None) -> DataFrame:
+    """I5 over all tests in column order."""
+    return fdr_bh(all_tests(df, nums, groupings, max_levels)).orderBy("position")
 
 
-def inference_summary(df: DataFrame, nums: list[str], groupings: list[str]) -> DataFrame:
+def inference_summary(df: DataFrame, nums: list[str], groupings: list[str], max_levels: int | None = None) -> DataFrame:
     """I6"""
     hit = F.col("significant_fdr")
     first = F.min_by(F.when(hit, F.concat_ws(" x ", "feature", "target")), F.when(hit, F.col("position")))
-    return fdr_bh(all_tests(df, nums, groupings)).agg(
+    return fdr_bh(all_tests(df, nums, groupings, max_levels)).agg(
         F.count(F.lit(1)).alias("n_tests"), X.count_if(hit).alias("significant_after_fdr"), first.alias("first_significant"))

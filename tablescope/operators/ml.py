@@ -23,12 +23,12 @@ from tablescope.operators import univariate as U
 from tablescope.plans import blocks as B
 from tablescope.session import cut_lineage
 
-# Column limits, cluster range, forest and neighbourhood sizes, share flagged.
-KM_COLUMNS, KM_ROWS, KM_MAX, SEED = 8, 20, 8, 42
+# Fewest rows, cluster range, forest and neighbourhood sizes, share flagged.
+KM_ROWS, KM_MAX, SEED = 20, 8, 42
 # A fit stops when no centre moves further than this (in standard deviations).
 KM_TOLERANCE = 5e-3
 KM_PARALLEL = 4
-AN_COLUMNS, AN_ROWS, TREES, TREE_ROWS, NEIGHBOURS, FLAGGED = 10, 21, 100, 256, 20, 0.05
+AN_ROWS, TREES, TREE_ROWS, NEIGHBOURS, FLAGGED = 21, 100, 256, 20, 0.05
 # Points per leaf of the neighbour search (a leaf of twice as many is split), rows of the driver-side sample that places cuts.
 LEAF, CUT_SAMPLE = 2_000, 50_000
 
@@ -80,8 +80,8 @@ def _spread(df: DataFrame) -> DataFrame:
 
 
 def _vectors(df: DataFrame, columns: list[str], keep: list[str] = ()) -> tuple[DataFrame, int]:
-    z, n = _standardized(df, columns[:KM_COLUMNS], keep)
-    assembler = VectorAssembler(inputCols=[f"z{i}" for i in range(len(columns[:KM_COLUMNS]))], outputCol="features")
+    z, n = _standardized(df, columns, keep)
+    assembler = VectorAssembler(inputCols=[f"z{i}" for i in range(len(columns))], outputCol="features")
     return assembler.transform(z), n
 
 
@@ -125,7 +125,6 @@ def kmeans_best(df: DataFrame, columns: list[str], k: int | None = None) -> Data
 
 def cluster_projection(df: DataFrame, columns: list[str], k: int | None = None) -> DataFrame:
     """ML5: cluster members on the first two principal components (of the standardised columns)."""
-    columns = columns[:KM_COLUMNS]
     assigned = kmeans_assign(df, columns, k=k)
     _, _, _, corr = M.correlation_of_complete_rows(df, columns)
     values, vectors = np.linalg.eigh(corr)
@@ -141,7 +140,6 @@ def cluster_projection(df: DataFrame, columns: list[str], k: int | None = None)
 def _distinct(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str], int]:
     """Distinct vectors ``z0..`` with count ``w`` and a stable ``id``: a vector that fills a third of the
     table is one row from here on."""
-    columns = columns[:AN_COLUMNS]
     z, n = _standardized(df, columns)
     names = [f"z{i}" for i in range(len(columns))]
     v = z.groupBy(*names).agg(F.count(F.lit(1)).alias("w"))

@@ -1,4 +1,4 @@
-"""Many columns at once (M1-M8). The linear algebra runs on matrices of at most 25 x 25."""
+"""Many columns at once (M1-M8). The linear algebra runs on matrices of columns x columns."""
 
 from __future__ import annotations
 
@@ -11,32 +11,33 @@ from tablescope.functions import expr as X
 from tablescope.operators import bivariate as BI
 from tablescope.plans import blocks as B
 
-# Result sizes and thresholds.
-RANKED, HIGH_COLUMNS, HIGH_PAIRS, PCA_COLUMNS, PCA_COMPONENTS, VIF_COLUMNS = 25, 20, 15, 20, 10, 15
+# Thresholds.
 PCA_MIN_ROWS, VIF_MIN_ROWS, HIGH_VIF, LEAKAGE_R = 20, 10, 10.0, 0.98
 
 
-def variance_rank(df: DataFrame, columns: list[str], top_n: int = RANKED) -> DataFrame:
-    """M1: columns by sample variance."""
+def variance_rank(df: DataFrame, columns: list[str], top_n: int | None = None) -> DataFrame:
+    """M1: columns by sample variance, all or the ``top_n`` first."""
     v = B.wide(df, {c: {"variance": F.var_samp(X.double(df, c))} for c in columns})
-    return v.where("variance is not null").orderBy(F.desc("variance"), "column").limit(top_n).select("column", "variance")
+    v = v.where("variance is not null").orderBy(F.desc("variance"), "column").select("column", "variance")
+    return v if top_n is None else v.limit(top_n)
 
 
-def ranked(df: DataFrame, columns: list[str], top_n: int = RANKED) -> list[str]:
+def ranked(df: DataFrame, columns: list[str], top_n: int | None = None) -> list[str]:
     """M1 collected (column metadata); all-null columns are out, they would empty every complete case."""
     return [r["column"] for r in variance_rank(df, columns, top_n).collect()]
 
 
-def high_correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """M2: pairs above .7, flagged above .85, strongest 15."""
-    p = BI.pearson_all(df, BI.column_pairs(columns[:HIGH_COLUMNS])).where((F.col("n") >= BI.MIN_N) & (F.abs("r") > BI.HIGH))
-    return (p.select("var_a", "var_b", "n", F.col("r").alias("correlation"), (F.abs("r") > BI.COLLINEAR).alias("flag"))
-            .orderBy(F.abs("correlation").desc(), "var_a", "var_b").limit(HIGH_PAIRS))
+def high_correlation_pairs(df: DataFrame, columns: list[str], top: int | None = None) -> DataFrame:
+    """M2: pairs above .7, flagged above .85, all or the ``top`` strongest."""
+    p = BI.pearson_all(df, BI.column_pairs(columns)).where((F.col("n") >= BI.MIN_N) & (F.abs("r") > BI.HIGH))
+    p = p.select("var_a", "var_b", "n", F.col("r").alias("correlation"), (F.abs("r") > BI.COLLINEAR).alias("flag"))
+    p = p.orderBy(F.abs("correlation").desc(), "var_a", "var_b")
+    return p if top is None else p.limit(top)
 
 
 def global_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """M3: upper triangle over up to 25 columns with a mark on pairs above .7."""
-    p = BI.pearson_all(df, BI.column_pairs(columns[:RANKED])).where(F.col("n") >= BI.MIN_N)
+    """M3: upper triangle with a mark on pairs above .7."""
+    p = BI.pearson_all(df, BI.column_pairs(columns)).where(F.col("n") >= BI.MIN_N)
     return p.select("var_a", "var_b", "n", F.col("r").alias("value"), (F.abs("r") > BI.HIGH).alias("high"))
 
 
@@ -61,7 +62,6 @@ def pca_model(df: DataFrame, columns: list[str]):
 
     The sign of a component makes its largest loading positive.
     """
-    columns = columns[:PCA_COLUMNS]
     if len(columns) < 4:
         return None
     n, mean, sd, corr = correlation_of_complete_rows(df, columns)
@@ -78,14 +78,14 @@ def pca_model(df: DataFrame, columns: list[str]):
 PCA_SCHEMA = "component string, explained_pct double, cumulative_pct double, top_variables string, loadings string"
 
 
-def pca(df: DataFrame, columns: list[str]) -> DataFrame:
-    """M4: standardised principal components, up to ten; top three loadings of the first five."""
+def pca(df: DataFrame, columns: list[str], components: int | None = None) -> DataFrame:
+    """M4: standardised principal components, all or the first ``components``; top three loadings of the first five."""
     model = pca_model(df, columns)
     rows = []
     if model:
         names, _, _, values, vectors = model
         share = values / values.sum() * 100
-        for i in range(min(len(names), PCA_COMPONENTS)):
+        for i in range(min(len(names), components or len(names))):
             top = np.argsort(-np.abs(vectors[i]), kind="stable")[:3]
             rows.append((f"PC{i + 1}", float(share[i]), float(share[:i + 1].sum()),
                          ", ".join(names[j] for j in top) if i < 5 else None,
@@ -107,7 +107,6 @@ def pca_scores(df: DataFrame, columns: list[str], keep: list[str] = (), componen
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     """M6: diagonal of the inverse correlation matrix of the complete rows; constants are left out."""
-    columns = columns[:VIF_COLUMNS]
     schema = "feature string, vif double, high boolean"
     if len(columns) < 2:
         return X.lit_rows(df, [], schema)

@@ -16,7 +16,9 @@ from tablescope.plans import blocks as B
 # Missing-share bands and other thresholds, in percent.
 BANDS = ((0, "none"), (5, "low"), (20, "moderate"), (40, "high"))
 QUASI_CONSTANT, TOO_MANY_MISSING, MANY_DUPLICATES = 99, 60, 5
-HEATMAP_COLUMNS, PATTERN_COLUMNS, EXAMPLES = 30, 15, 5
+EXAMPLES = 5
+# Up to so many pairs of columns are counted by expressions, more by products of masks.
+PAIR_EXPRESSIONS = 120
 
 
 def severity(pct: Column) -> Column:
@@ -75,16 +77,15 @@ def missing_per_row(df: DataFrame) -> DataFrame:
                  ((at(F.floor(mid)) + at(F.ceil(mid))) / 2).alias("median_null"))
 
 
-def worst_columns(df: DataFrame, k: int) -> list[str]:
-    """Up to k columns with missing values, most first (column metadata)."""
-    rows = (_null_counts(df).where("n_missing > 0").orderBy(F.desc("n_missing"), "position").limit(k)
-            .select("column").collect())
-    return [r[0] for r in rows]
+def worst_columns(df: DataFrame, k: int | None = None) -> list[str]:
+    """All columns with missing values, or the ``k`` worst, most first (column metadata)."""
+    rows = _null_counts(df).where("n_missing > 0").orderBy(F.desc("n_missing"), "position").select("column").collect()
+    return [r[0] for r in rows][:k]
 
 
 def missing_heatmap(df: DataFrame, order_by: str, n_blocks: int = 50, columns: list[str] | None = None) -> DataFrame:
     """Q4: null share per block of rows and column; blocks are equal ranges of a numeric column."""
-    columns = worst_columns(df, HEATMAP_COLUMNS) if columns is None else columns
+    columns = worst_columns(df) if columns is None else columns
     if not columns:
         return X.lit_rows(df, [], "block bigint, column string, n bigint, null_share double")
     key = X.double(df, order_by)
@@ -99,12 +100,24 @@ def missing_heatmap(df: DataFrame, order_by: str, n_blocks: int = 50, columns: l
 
 
 def missing_cooccurrence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Q5: rows where both columns are null, for the worst columns; one aggregate for all pairs."""
-    columns = worst_columns(df, PATTERN_COLUMNS) if columns is None else columns
+    """Q5: rows where both columns are null, for all columns with missing values; one scan for all pairs."""
+    columns = worst_columns(df) if columns is None else columns
     if not columns:
         return X.lit_rows(df, [], "var_a string, var_b string, n bigint, n_a bigint, n_b bigint, n_both bigint")
     isnull = {c: X.ref(c).isNull() for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    if len(pairs) > PAIR_EXPRESSIONS:
+        flags = df.select(*[F.when(isnull[c], 1.0).alias(f"c{i}") for i, c in enumerate(columns)])
+        counts = B.moments_of_pairs(flags, flags.columns).select("var_a", "var_b", "n")
+        place = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"c{i}", c)])
+        counts = counts.select(place[F.col("var_a")].alias("var_a"), place[F.col("var_b")].alias("var_b"), F.col("n").alias("n_both"))
+        own = counts.where("var_a = var_b")
+        both = counts.union(counts.where("var_a <> var_b").select("var_b", "var_a", "n_both"))
+        every = X.lit_rows(df, [(a, b) for a in columns for b in columns], "var_a string, var_b string")
+        total = df.agg(F.count(F.lit(1)).alias("n"))
+        return (every.join(both, ["var_a", "var_b"], "left").join(own.select("var_a", F.col("n_both").alias("n_a")), "var_a")
+                .join(own.select("var_b", F.col("n_both").alias("n_b")), "var_b")
+                .select("var_a", "var_b", total.select("n").scalar().alias("n"), "n_a", "n_b", F.coalesce("n_both", F.lit(0).cast("long")).alias("n_both")))
     one = df.agg(F.count(F.lit(1)).alias("n"), *[
         X.count_if(isnull[a] & isnull[b]).alias(f"p{columns.index(a)}_{columns.index(b)}") for a, b in pairs])
     cells = []
@@ -128,7 +141,7 @@ def missing_correlation(df: DataFrame, columns: list[str] | None = None) -> Data
 def missing_clusters(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Q7: complete-linkage merges of the columns by null pattern.
 
-    The distances come from the counts of Q5; merging runs on that matrix of at most 15 columns.
+    The distances come from the counts of Q5; merging runs on that matrix of columns.
     """
     counts = missing_cooccurrence(df, columns).collect()
     gap = {(r["var_a"], r["var_b"]): math.sqrt(r["n_a"] + r["n_b"] - 2 * r["n_both"]) for r in counts}

@@ -255,9 +255,9 @@ def _levels(df: DataFrame, columns: list[str], k: int) -> DataFrame:
         "column", "rank", "value", "n", X.pct2(F.col("n"), F.col("total")).alias("pct"))
 
 
-def discrete_levels(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The 30 most frequent levels."""
-    return _levels(df, columns, TOP_LEVELS)
+def discrete_levels(df: DataFrame, columns: list[str], top: int = TOP_LEVELS) -> DataFrame:
+    """The ``top`` most frequent levels."""
+    return _levels(df, columns, top)
 
 
 def categorical_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -281,10 +281,10 @@ def categorical_summary(df: DataFrame, columns: list[str]) -> DataFrame:
         (card > 50).alias("high_cardinality"), (F.col("n_rare") > 0).alias("has_rare"), (card > 90).alias("quasi_id"))
 
 
-def pareto(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Top 15 categories with cumulative percent (of the rounded percents)."""
+def pareto(df: DataFrame, columns: list[str], top: int = TOP_CATEGORIES) -> DataFrame:
+    """The ``top`` most frequent categories with cumulative percent (of the rounded percents)."""
     upto = Window.partitionBy("column").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return _levels(df, columns, TOP_CATEGORIES).withColumn("cum_pct", F.round(F.sum("pct").over(upto), 2))
+    return _levels(df, columns, top).withColumn("cum_pct", F.round(F.sum("pct").over(upto), 2))
 
 
 def boolean_summary(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -66,7 +66,7 @@ def _overview(r: _Run):
 def _data_quality(r: _Run):
     df = r.full
     issues = Q.standardized_issues(df, r.patterns).persist()
-    worst = Q.worst_columns(df, Q.PATTERN_COLUMNS)
+    worst = Q.worst_columns(df)
     return {"missing_by_column": Q.missing_by_column(df), "missing_global": Q.missing_global(df), "missing_per_row": Q.missing_per_row(df),
             "missing_cooccurrence": Q.missing_cooccurrence(df, worst), "missing_correlation": Q.missing_correlation(df, worst),
             "missing_clusters": Q.missing_clusters(df, worst), "duplicates": Q.duplicate_rows(df, r.patterns), "near_constant": Q.near_constant(df),

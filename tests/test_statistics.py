@@ -224,3 +224,22 @@ def test_a_leaf_without_enough_points_has_a_finite_bound():
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     assert np.isfinite(bound).all() and ((d <= bound[:, None]).sum(1) >= 12).all()
     assert np.median((d <= bound[:, None]).sum(1)) < 150
+
+
+def test_split_cuts_every_stratum_to_the_row(spark):
+    from tablescope.operators import governance as G
+    sizes = {"huge": 2001, "some": 40, "three": 3, "two": 2, "one": 1, None: 7, "null": 10}
+    rows = [(f"{s}{i}", s, 1.5) for s, n in sizes.items() for i in range(n)]
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, "id string, s string, _h double").repartition(parts) if parts > 1 else spark.createDataFrame(rows, "id string, s string, x double")
+        out = G.train_valid_test_split(df.select("id", "s"), ["id"], "s").collect()
+        got = {}
+        for r in out:
+            got.setdefault(r["s"], []).append(r["split"])
+        assert len(out) == len(rows)
+        for s, n in sizes.items():
+            small = [max(1, int(n * 0.15 + 0.5)) if n >= least else 0 for least in (3, 2)]
+            assert [got[s].count(p) for p in ("validation", "test", "train")] == [*small, n - sum(small)], s
+    first = {r["id"]: r["split"] for r in out}
+    again = {r["id"]: r["split"] for r in G.train_valid_test_split(df.select("id", "s").repartition(3), ["id"], "s").collect()}
+    assert first == again
