@@ -27,6 +27,8 @@ from tablescope.llm import textnum as X
 from tablescope.session import cut_lineage
 
 ANCHOR = 32
+#: Bytes of text worked on at once: about a hundred bytes of arrays for each.
+TEXT_BYTES = 1 << 19
 WIDTHS = (16, 4, 1)
 #: Up to so many documents' span lists are sent to all executors; more are joined by shuffle.
 BROADCAST_DOCUMENTS = 400_000
@@ -57,7 +59,7 @@ def _blocks(length: int):
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, b, offsets in X.chunks(batch.column(1)):
+            for first, _, b, offsets in X.chunks(batch.column(1), TEXT_BYTES):
                 if len(b) < length:
                     continue
                 prefix = X.prefix_hash(b)
