@@ -290,6 +290,24 @@ def _(spark, sf):
     return I.mann_whitney_u(table(spark, sf, "lineitem"), NUM, G2)
 
 
+SMALL = ("SELECT s_suppkey, part, small_a, small_b FROM (SELECT s_suppkey, s_suppkey % 7 < 3 AS part, s_acctbal AS small_a, -s_acctbal * s_suppkey AS small_b, "
+               "row_number() OVER (PARTITION BY s_suppkey % 7 < 3 ORDER BY s_acctbal, s_suppkey) AS r FROM {supplier}) WHERE r <= CASE WHEN part THEN 6 ELSE 8 END")
+
+
+@query("mann_whitney_u_small", f"""WITH t AS ({SMALL.format(supplier="supplier")}),
+    x AS (SELECT 'small_a' AS num, CAST(part AS VARCHAR) AS grp, small_a AS v FROM t UNION ALL SELECT 'small_b', CAST(part AS VARCHAR), small_b FROM t),
+    r AS (SELECT num, grp, rank() OVER (PARTITION BY num ORDER BY v) AS r FROM x),
+    g AS (SELECT num, count(*) FILTER (grp = 'false') AS n_1, count(*) FILTER (grp = 'true') AS n_2, sum(r) FILTER (grp = 'false') AS s FROM r GROUP BY num),
+    u AS (SELECT num, n_1, n_2, s - n_1 * (n_1 + 1) / 2.0 AS u FROM g),
+    m AS (SELECT u.*, (SELECT sum(CASE WHEN (o.mask >> p) & 1 = 1 THEN p + 1 ELSE 0 END) FROM range(14) q(p)) - n_1 * (n_1 + 1) / 2.0 AS w
+          FROM u JOIN range(16384) o(mask) ON bit_count(o.mask) = u.n_1)
+    SELECT num, 'part' AS cat, 'false' AS grp_1, 'true' AS grp_2, n_1, n_2, u AS statistic,
+      least(1.0, 2.0 * count(*) FILTER (w >= greatest(u, n_1 * n_2 - u)) / count(*)) AS pvalue FROM m GROUP BY num, n_1, n_2, u""", "statistic pvalue")
+def _(spark, sf):
+    small = spark.sql(SMALL, supplier=table(spark, sf, "supplier"))
+    return I.mann_whitney_u(small, ["small_a", "small_b"], ["part"])
+
+
 COHEN = f"""SELECT *, CASE WHEN abs(effect_size) < .2 THEN 'negligible' WHEN abs(effect_size) < .5 THEN 'small' WHEN abs(effect_size) < .8 THEN 'medium'
     ELSE 'large' END AS effect_label FROM (SELECT num, cat, grp_1, grp_2, n_1, n_2, mean_1, mean_2, std_1, std_2,
     (mean_1 - mean_2) / sqrt((std_1^2 + std_2^2) / 2) AS effect_size FROM ({PAIRED}))"""

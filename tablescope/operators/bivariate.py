@@ -112,9 +112,25 @@ def top_pairs(df: DataFrame, columns: list[str], k: int = TOP_SCATTERS) -> list[
 
 def scatter_sample(df: DataFrame, columns: list[str], points: int = SCATTER_POINTS, seed: int = 42, top: int = TOP_SCATTERS) -> DataFrame:
     """Up to ``points`` points of each of the ``top`` strongest pairs, chosen by hash."""
-    rows = B.pair_rows(df, top_pairs(df, columns, top))
-    place = F.row_number().over(Window.partitionBy("var_a", "var_b").orderBy(F.xxhash64(F.lit(seed), "x", "y"), "x", "y"))
-    return rows.withColumn("r", place).where(F.col("r") <= points).drop("r")
+    pairs, parts = top_pairs(df, columns, top), []
+    rows = B.pair_rows(df, pairs).withColumn("h", F.xxhash64(F.lit(seed), "x", "y"))
+    share = {(r["var_a"], r["var_b"]): min(1.0, 4 * points / r["n"]) for r in B.pair_moments(df, pairs).select("var_a", "var_b", "n").collect()}
+    while share:
+        # values below a bound of the hash, counted; a pair whose bound holds too few points gets a wider one
+        bound = X.lit_rows(df, [(a, b, -(1 << 63) + int(((1 << 64) - 1) * p)) for (a, b), p in share.items()], "var_a string, var_b string, bound bigint")
+        low = rows.join(F.broadcast(bound), ["var_a", "var_b"]).where(F.col("h") <= F.col("bound"))
+        low = cut_lineage(low.groupBy("var_a", "var_b", "x", "y", "h").agg(F.least(F.count(F.lit(1)), F.lit(points)).alias("w")))
+        got = {(r["var_a"], r["var_b"]): r["w"] for r in low.groupBy("var_a", "var_b").agg(F.sum("w").alias("w")).collect()}
+        done = [p for p in share if got.get(p, 0) >= points or share[p] >= 1.0]
+        if done:
+            parts.append(low.join(F.broadcast(X.lit_rows(df, done, "var_a string, var_b string")), ["var_a", "var_b"]))
+        share = {p: min(1.0, 16 * v) for p, v in share.items() if p not in done}
+    if not parts:
+        return rows.drop("h")
+    first = Window.partitionBy("var_a", "var_b").orderBy("h", "x", "y").rowsBetween(Window.unboundedPreceding, -1)
+    low = reduce(DataFrame.unionByName, parts).withColumn("before", F.coalesce(F.sum("w").over(first), F.lit(0)))
+    low = low.where(F.col("before") < points).withColumn("w", F.least(F.col("w"), points - F.col("before")))
+    return low.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).select("var_a", "var_b", "x", "y")
 
 
 def trend_line(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +89,49 @@ def two_samples(table: DataFrame, columns: list[str]) -> DataFrame:
                        *[F.col(f"a.{c}").alias(f"{c}_1") for c in columns], *[F.col(f"b.{c}").alias(f"{c}_2") for c in columns])
 
 
+# Without ties and with a group of at most so many rows the p-value is exact, up to so many rows of both.
+EXACT_GROUP, EXACT_ROWS = 8, 1_000
+
+
+def _arrangements(n1: int, n2: int) -> np.ndarray:
+    """Orders of two groups by their U = 0 .. n1 * n2, counted one row of the smaller group at a time."""
+    out = np.zeros(n1 * n2 + 1)
+    out[0] = 1.0
+    for i in range(1, n1 + 1):
+        # times (1 - q^(n2 + i)) / (1 - q^i)
+        out[n2 + i:] -= out[:-(n2 + i)].copy() if n2 + i < len(out) else 0.0
+        for r in range(i):
+            out[r::i] = np.cumsum(out[r::i])
+    return out
+
+
+def _exact_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """Two-sided p of U = ``u`` under all orders being equally likely; one value per test."""
+    out = []
+    for x, a, b in zip(u, n1, n2, strict=True):
+        a, b = sorted((int(a), int(b)))
+        if not 0 < a <= EXACT_GROUP or a + b > EXACT_ROWS:
+            out.append(None)
+            continue
+        ways = _arrangements(a, b)
+        at = int(round(max(x, a * b - x)))
+        out.append(min(1.0, 2 * float(ways[at:].sum() / ways.sum())))
+    return pd.Series(out, dtype="float64")
+
+
 def mann_whitney(sums: DataFrame) -> DataFrame:
-    """Two-sided U of the first group, normal approximation with tie and continuity correction."""
+    """Two-sided U of the first group: exact without ties if a group has at most 8 rows, else the normal
+    approximation with tie and continuity correction."""
     s = two_samples(sums, ["n", "rank_sum", "ties"])
     n1, n2 = F.col("n_1").cast("double"), F.col("n_2").cast("double")
     n = n1 + n2
     u1 = F.col("rank_sum_1") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - (F.col("ties_1") + F.col("ties_2")) / (n * (n - 1))))
     z = X.div(F.greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5, spread)
-    s = s.select(*KEYS, "grp_1", "grp_2", "n_1", "n_2", u1.alias("statistic"), z.alias("z"))
-    p = F.when(F.col("z") <= 0, 1.0).otherwise(F.least(F.lit(1.0), ST.normal_two_sided(F.col("z"))))
-    return s.withColumn("pvalue", F.coalesce(p, F.lit(1.0))).drop("z")
+    small = (F.least("n_1", "n_2") <= EXACT_GROUP) & (F.col("ties_1") + F.col("ties_2") == 0)
+    s = s.select(*KEYS, "grp_1", "grp_2", "n_1", "n_2", u1.alias("statistic"), z.alias("z"), F.when(small, F.pandas_udf(_exact_p, "double")(u1, n1, n2)).alias("exact"))
+    p = F.when(F.col("exact").isNotNull(), F.col("exact")).when(F.col("z") <= 0, 1.0).otherwise(F.least(F.lit(1.0), ST.normal_two_sided(F.col("z"))))
+    return s.withColumn("pvalue", F.coalesce(p, F.lit(1.0))).drop("z", "exact")
 
 
 def welch(groups: DataFrame) -> DataFrame:
