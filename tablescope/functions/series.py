@@ -99,6 +99,21 @@ def cusum(x, tail_mean, tail_sd, first, state):
     return alarms, (start, mean, sd, hi, lo)
 
 
+def cusum_map(x, mean, sd):
+    """What a block without alarms does to the two sums: for each side (total, end from 0, highest running total, peak from 0).
+
+    A sum that enters at h leaves at max(end, h + total) and peaks at max(peak, h + highest): maps that can be composed.
+    """
+    if not sd > 0:
+        return (0.0, 0.0, -np.inf, -np.inf) * 2
+    out = []
+    for side in (1.0, -1.0):
+        total = np.cumsum(side * (x - mean) / sd - DRIFT)
+        own = total - np.minimum(np.minimum.accumulate(total), 0)
+        out += [float(total[-1]), float(own[-1]), float(total.max()), float(own.max())]
+    return tuple(out)
+
+
 def _local_line(y, at, left, span, reach, scale):
     """Tricube local line at positions ``at`` using ``span`` points from ``left``; ``scale`` is the series range."""
     n = len(y)

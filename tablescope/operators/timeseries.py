@@ -97,15 +97,34 @@ def _same(value: str, n: int) -> pd.Series:
 
 
 STATE = "start bigint, mean double, sd double, hi double, lo double"
+STATES = [c.split()[0] for c in STATE.split(", ")]
+SIDES = ("up", "down")
+
+
+def _entries(maps: DataFrame) -> DataFrame:
+    """Sums ``hi`` and ``lo`` at the entry of every block behind its source, and whether the block raises an alarm.
+
+    Blocks behind one source are composed in order: a running total and a running maximum per side.
+    """
+    order = Window.partitionBy(KEY, "src").orderBy("_block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    out = maps
+    for side, enter in zip(SIDES, ("hi", "lo"), strict=True):
+        out = out.withColumn(f"_c_{side}", F.coalesce(F.sum(f"total_{side}").over(before), F.lit(0.0)))
+        own = F.max(F.col(f"end_{side}") - F.col(f"_c_{side}") - F.col(f"total_{side}")).over(before) + F.col(f"_c_{side}")
+        out = out.withColumn(f"in_{enter}", F.greatest(F.col(enter) + F.col(f"_c_{side}"), own, F.lit(0.0)))
+    peak = [F.greatest(F.col(f"peak_{side}"), F.col(f"in_{enter}") + F.col(f"high_{side}")) > SE.THRESHOLD for side, enter in zip(SIDES, ("hi", "lo"), strict=True)]
+    return out.select(KEY, "_block", "src", "start", "mean", "sd", F.col("in_hi").alias("hi"), F.col("in_lo").alias("lo"), (peak[0] | peak[1]).alias("alarm"))
 
 
 def cusum_change_points(s: DataFrame, block: int = BLOCK) -> DataFrame:
     """TS3: CUSUM alarms on z-scores; behind an alarm at row i, mean and sd are those of row i onward.
 
-    The state behind an alarm depends only on the alarm's position, so two runs that share one alarm
-    agree from there on. Every block first runs from a guessed state; then each block receives the
-    state of its predecessor and only blocks whose entry state changed run again, until nothing
-    changes. That is exact after as many rounds as there are blocks and usually after two or three.
+    The state behind an alarm depends only on the alarm's position, and a block without alarms changes the two sums by a
+    map that can be composed. Blocks with alarms are sources: first guessed from runs on their own, then every stretch of
+    blocks behind a source is composed from the source's state up to its first alarm, that block runs again from its true
+    entry, and so on until no state changes. A quiet stretch takes one round whatever its length; where alarms are
+    frequent, runs that share one alarm agree from there on, so two or three rounds are usual.
     """
     n_tail = (F.col("n") - F.col("_rn") + 1).cast("double")
     tail = (F.col("sum_c_total") - F.col("sum_c") + F.col("c")) / n_tail
@@ -116,42 +135,73 @@ def cusum_change_points(s: DataFrame, block: int = BLOCK) -> DataFrame:
     data = cut_lineage(data)
     keys = [KEY, "_block"]
 
-    def run(pdf: pd.DataFrame, entry=None):
+    def run(pdf: pd.DataFrame):
+        """Alarms of a block and the state behind it, from its entry state or, without one, from a start at its first row."""
         pdf = pdf.sort_values("rn")
         x, tm, ts_ = (pdf[c].to_numpy() for c in ("x", "tail_mean", "tail_sd"))
         first = int(pdf["rn"].iloc[0])
-        state = entry if entry is not None else (first, tm[0], ts_[0], 0.0, 0.0)
-        return SE.cusum(x, tm, ts_, first, state)
-
-    def entry_of(pdf):
         row = pdf.iloc[0]
-        if "start" not in pdf or pd.isna(row["start"]):
-            return None
-        return tuple(row[c] for c in ("start", "mean", "sd", "hi", "lo"))
+        state = (first, tm[0], ts_[0], 0.0, 0.0) if "start" not in pdf or pd.isna(row["start"]) else tuple(row[c] for c in STATES)
+        return SE.cusum(x, tm, ts_, first, state)
 
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, state = run(pdf, entry_of(pdf))
-        return pd.DataFrame([[pdf[KEY].iloc[0], int(pdf["_block"].iloc[0]) + 1, int(state[0]), *map(float, state[1:])]],
-                            columns=[KEY, "_block", "start", "mean", "sd", "hi", "lo"])
+        found, state = run(pdf)
+        return pd.DataFrame([[pdf[KEY].iloc[0], int(pdf["_block"].iloc[0]), len(found), int(state[0]), *map(float, state[1:])]], columns=[*keys, "found", *STATES])
+
+    def change(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        values = SE.cusum_map(pdf.sort_values("rn")["x"].to_numpy(), row["mean"], row["sd"])
+        return pd.DataFrame([[row[KEY], int(row["_block"]), *values]], columns=[*keys, *MAP])
 
     def alarms(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, _ = run(pdf, entry_of(pdf))
+        found, _ = run(pdf)
         return pd.DataFrame({KEY: _same(pdf[KEY].iloc[0], len(found)), "rn": np.array(found, dtype="int64")})
 
-    schema = f"{KEY} string, _block bigint, {STATE}"
-    existing = data.select(*keys).distinct()
-    # Entry states by block; block 0 keeps its own start.
-    entry = cut_lineage(data.groupBy(*keys).applyInPandas(leave, schema).join(existing, keys, "left_semi"))
-    pending = entry
-    while not pending.isEmpty():
-        again = data.join(pending, keys)
-        fresh = again.groupBy(*keys).applyInPandas(leave, schema).join(existing, keys, "left_semi")
-        old = entry.select(*keys, *[F.col(c).alias(f"old_{c}") for c in ("start", "hi", "lo")])
-        same = (F.col("start") == F.col("old_start")) & (F.col("hi") == F.col("old_hi")) & (F.col("lo") == F.col("old_lo"))
-        pending = cut_lineage(fresh.join(old, keys).where(~same).drop("old_start", "old_hi", "old_lo"))
-        entry = cut_lineage(entry.join(pending.select(*keys), keys, "left_anti").unionByName(pending))
-    final = data.join(entry, keys, "left")
-    return final.groupBy(*keys).applyInPandas(alarms, f"{KEY} string, rn bigint")
+    MAP = [f"{c}_{side}" for side in SIDES for c in ("total", "end", "high", "peak")]
+    map_schema = f"{KEY} string, _block bigint, " + ", ".join(f"{c} double" for c in MAP)
+    exit_schema = f"{KEY} string, _block bigint, found int, {STATE}"
+    guess = cut_lineage(data.groupBy(*keys).applyInPandas(leave, exit_schema))
+    exits = guess.where("found > 0 or _block = 0").drop("found")
+    maps, entry = None, None
+    while True:
+        # every block takes its state from the nearest source before it
+        by = Window.partitionBy(KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        source = guess.select(*keys).join(exits.select(*keys, F.struct(F.col("_block").alias("src"), *STATES).alias("state")), keys, "left")
+        wanted = source.withColumn("state", F.last("state", ignorenulls=True).over(by)).where("state is not null").select(*keys, "state.*")
+        if maps is None:
+            todo = wanted.select(*keys, "start", "mean", "sd")
+        else:  # a block's map depends on the last alarm alone
+            todo = wanted.join(maps.select(*keys, "start"), [*keys, "start"], "left_anti").select(*keys, "start", "mean", "sd")
+        todo = cut_lineage(todo)
+        if not todo.isEmpty():
+            fresh = data.select(*keys, "rn", "x").join(todo, keys).groupBy(*keys).applyInPandas(change, map_schema).join(todo.select(*keys, "start"), keys)
+            maps = fresh if maps is None else maps.join(todo.select(*keys), keys, "left_anti").unionByName(fresh)
+            maps = cut_lineage(maps)
+        if maps is None:  # one block a series
+            break
+        now = cut_lineage(_entries(wanted.join(maps.drop("start"), keys)))
+        first = now.where("alarm").groupBy(KEY, "src").agg(F.min("_block").alias("first"))
+        reached = now.join(first, [KEY, "src"], "left").where(F.col("first").isNull() | (F.col("_block") <= F.col("first")))
+        reached = cut_lineage(reached.withColumn("alarm", F.col("_block") == F.coalesce("first", F.lit(-1))).drop("first"))
+        if entry is not None:
+            again = reached.where("alarm").join(entry.where("alarm").select(*keys, "start", "hi", "lo"), [*keys, "start", "hi", "lo"], "left_anti")
+        else:
+            again = reached.where("alarm")
+        again = cut_lineage(again.select(*keys, *STATES))
+        ran = cut_lineage(data.join(again, keys).groupBy(*keys).applyInPandas(leave, exit_schema).drop("found"))
+        settled = reached.where("not alarm").select(*keys).unionByName(ran.select(*keys))
+        after = cut_lineage(exits.join(settled, keys, "left_anti").unionByName(ran))
+        gone = exits.select(*keys, "start", "hi", "lo").exceptAll(after.select(*keys, "start", "hi", "lo"))
+        new = after.select(*keys, "start", "hi", "lo").exceptAll(exits.select(*keys, "start", "hi", "lo"))
+        entry, exits = reached, after
+        if gone.isEmpty() and new.isEmpty():
+            break
+    # alarms lie in first blocks and in blocks that the composition says raise one
+    start = guess.where("_block = 0 and found > 0").select(*keys)
+    if entry is None:
+        return data.join(start, keys).groupBy(*keys).applyInPandas(alarms, f"{KEY} string, rn bigint")
+    at = start.unionByName(entry.where("alarm").select(*keys)).join(entry.select(*keys, *STATES), keys, "left")
+    return data.join(at, keys).groupBy(*keys).applyInPandas(alarms, f"{KEY} string, rn bigint")
 
 
 def acf(s: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:

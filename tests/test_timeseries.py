@@ -171,3 +171,28 @@ def test_series_on_different_levels_keep_their_moments(spark):
     assert abs(ss["a"] - want) < 1e-6 * want and abs(ss["b"] - want) < 1e-3 * want
     lag = {r["series_key"]: r["acf"] for r in TS.acf(s).where("lag = 1").collect()}
     assert abs(lag["a"] - lag["b"]) < 1e-4
+
+
+def test_a_quiet_stretch_is_one_round(spark, monkeypatch):
+    """One early alarm, then many quiet blocks: checkpoints do not follow the blocks."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(8.0, 1.0, size=30), np.tile([0.4, -0.4], 600)])
+    s = prepared(spark, x)
+    made = []
+    cut = TS.cut_lineage
+    monkeypatch.setattr(TS, "cut_lineage", lambda df: made.append(1) or cut(df))
+    counts = {}
+    for block in (100, 25):
+        made.clear()
+        got = sorted(r["rn"] for r in TS.cusum_change_points(s, block).collect())
+        assert got == naive_cusum(x) and got
+        counts[block] = len(made)
+    assert counts[25] <= counts[100] + 8  # 4 times the blocks; only the rounds of the first alarms may differ
+
+
+def test_cusum_of_random_series_at_many_block_sizes(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(m, 1.0, size=n) for m, n in ((0, 90), (2, 30), (0, 200), (-1, 60), (0.2, 120))])
+    s = prepared(spark, x)
+    for block in (10, 64, 499):
+        assert sorted(r["rn"] for r in TS.cusum_change_points(s, block).collect()) == naive_cusum(x), block
