@@ -35,7 +35,18 @@ def _(spark, sf):
     return TS.rolling_mean(_series(spark, sf))
 
 
-@query("cusum_change_points")
+#: Row by row: both sums, an alarm beyond five, and from an alarm on the mean and deviation of the rest of the series.
+CUSUM = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT series_key, CAST(rn AS BIGINT) AS rn, x - m AS c, avg(x - m) OVER rest AS tail_mean, stddev_pop(x - m) OVER rest AS tail_sd FROM ({RANKED})
+      WINDOW rest AS (PARTITION BY series_key ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    st AS (SELECT series_key, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS lo, tail_mean AS mean, tail_sd AS sd, false AS alarm FROM d WHERE rn = 1 UNION ALL
+      SELECT series_key, rn, CASE WHEN h > 5 OR l > 5 THEN 0.0 ELSE h END, CASE WHEN h > 5 OR l > 5 THEN 0.0 ELSE l END,
+        CASE WHEN h > 5 OR l > 5 THEN tail_mean ELSE mean END, CASE WHEN h > 5 OR l > 5 THEN tail_sd ELSE sd END, h > 5 OR l > 5
+      FROM (SELECT d.*, st.mean, st.sd, greatest(0.0, st.hi + (d.c - st.mean) / st.sd - 0.5) AS h, greatest(0.0, st.lo - (d.c - st.mean) / st.sd - 0.5) AS l
+            FROM st JOIN d ON d.series_key = st.series_key AND d.rn = st.rn + 1 WHERE st.sd > 0))
+    SELECT series_key, rn FROM st WHERE alarm"""
+
+
+@query("cusum_change_points", CUSUM)
 def _(spark, sf):
     return TS.cusum_change_points(_series(spark, sf))
 
