@@ -75,7 +75,19 @@ def _(spark, sf):
     return TS.adf_test(_series(spark, sf))
 
 
-@query("kpss_test")
+#: Lag products by self-joins, the lag rule, then the table of critical values.
+KPSS = f"""WITH d AS MATERIALIZED (SELECT series_key, rn, n, x - m AS dev FROM ({RANKED})),
+    f AS (SELECT series_key, any_value(n) AS n, sum(dev * dev) AS ss, sum(drift * drift) AS eta FROM (SELECT *, sum(dev) OVER (PARTITION BY series_key ORDER BY rn) AS drift FROM d) GROUP BY 1),
+    p AS MATERIALIZED (SELECT a.series_key, l.k, sum(a.dev * b.dev) AS p FROM range(1, 200) l(k) JOIN d a ON a.rn > l.k JOIN d b ON b.series_key = a.series_key AND b.rn = a.rn - l.k GROUP BY 1, 2),
+    c AS (SELECT f.series_key, f.n, ss, eta, (sum(p * k) / (f.n / 2.0)) / (ss / f.n + sum(p) / (f.n / 2.0)) AS ratio FROM f JOIN p ON p.series_key = f.series_key AND k <= floor(pow(f.n, 2.0 / 9.0)) GROUP BY 1, 2, 3, 4),
+    g AS (SELECT *, CAST(least(floor(1.1447 * pow(ratio * ratio, 1.0 / 3.0) * pow(n, 1.0 / 3.0)), n - 1) AS BIGINT) AS lags FROM c),
+    v AS (SELECT g.series_key, lags, eta / (n * 1.0 * n) / ((ss + 2 * coalesce(sum(p * (1 - k / (lags + 1.0))), 0)) / n) AS statistic FROM g LEFT JOIN p ON p.series_key = g.series_key AND k <= lags GROUP BY 1, 2, n, eta, ss),
+    q AS (SELECT *, CASE WHEN statistic >= 0.739 THEN 0.01 WHEN statistic >= 0.574 THEN 0.025 - (statistic - 0.574) * 0.015 / 0.165
+      WHEN statistic >= 0.463 THEN 0.05 - (statistic - 0.463) * 0.025 / 0.111 WHEN statistic >= 0.347 THEN 0.1 - (statistic - 0.347) * 0.05 / 0.116 ELSE 0.1 END AS pvalue FROM v)
+    SELECT series_key, statistic, lags, pvalue, pvalue >= 0.05 AS stationary FROM q"""
+
+
+@query("kpss_test", KPSS, "statistic pvalue")
 def _(spark, sf):
     return TS.kpss_test(_series(spark, sf))
 

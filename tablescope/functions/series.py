@@ -62,6 +62,13 @@ def adf_from_gram(gram: np.ndarray, n_obs: int, head: np.ndarray, max_lag: int)
     return float(beta[0] / math.sqrt(ssr / (n - k) * inverse[0, 0])), lag
 
 
+def lagged_products(x: np.ndarray, own: np.ndarray, lags: int) -> np.ndarray:
+    """Sums of x(t) * x(t - k) over the own rows t, for k = 1 .. lags, by one transform for all lags."""
+    size = 1 << int(len(x) + lags).bit_length()
+    spectrum = np.fft.rfft(np.where(own, x, 0.0), size) * np.conj(np.fft.rfft(x, size))
+    return np.fft.irfft(spectrum, size)[1:lags + 1]
+
+
 def levinson(r: np.ndarray) -> np.ndarray:
     """Partial autocorrelations from autocorrelations r[0..m] (Durbin's recursion)."""
     out, phi, noise = [1.0], np.zeros(0), 1.0

@@ -284,7 +284,7 @@ def _lag_products(s: DataFrame, lags: Column) -> DataFrame:
         pdf = pdf.sort_values("_rn")
         x, own = pdf["dev"].to_numpy(), pdf["_own"].to_numpy()
         lags = int(pdf["lags"].iloc[0])
-        sums = [float((x[k:] * x[:len(x) - k])[own[k:]].sum()) for k in range(1, lags + 1)]
+        sums = SE.lagged_products(x, own, lags)
         return pd.DataFrame({KEY: _same(pdf[KEY].iloc[0], lags), "lag": np.arange(1, lags + 1), "s": sums})
 
     parts = b.groupBy(KEY, "_block").applyInPandas(part, f"{KEY} string, lag int, s double")
