@@ -48,6 +48,26 @@ def _(spark, sf):
     return _by_status(df.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")))
 
 
+@query("csv_report", """
+    SELECT position, "column", dtype, count(*) AS n_rows, count(cell) AS n_filled,
+        count(*) FILTER (dtype = 'bigint' AND NOT regexp_full_match(cell, '[0-9]+') OR dtype = 'date' AND TRY_CAST(cell AS DATE) IS NULL) AS n_bad,
+        min(cell) FILTER (dtype = 'bigint' AND NOT regexp_full_match(cell, '[0-9]+') OR dtype = 'date' AND TRY_CAST(cell AS DATE) IS NULL) AS example
+    FROM (SELECT unnest([
+        {'position': 0, 'column': 'o_orderkey', 'dtype': 'bigint', 'cell': CAST(o_orderkey AS VARCHAR)},
+        {'position': 1, 'column': 'customer', 'dtype': 'bigint', 'cell': CASE WHEN o_orderkey % 97 = 0 THEN 'n/a ' || o_orderkey ELSE CAST(o_custkey AS VARCHAR) END},
+        {'position': 2, 'column': 'day', 'dtype': 'date', 'cell': CASE WHEN o_orderkey % 89 = 0 THEN '2024-02-30' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END},
+        {'position': 3, 'column': 'o_orderstatus', 'dtype': 'string', 'cell': CASE WHEN o_orderkey % 83 <> 0 THEN o_orderstatus END},
+        {'position': 4, 'column': NULL, 'dtype': 'line', 'cell': ''}], recursive := true) FROM orders) GROUP BY ALL""")
+def _(spark, sf):
+    path = _folder(spark, "csv3")
+    key = F.col("o_orderkey")
+    table(spark, sf, "orders").select(
+        key, F.when(key % 97 == 0, F.concat(F.lit("n/a "), key.cast("string"))).otherwise(F.col("o_custkey").cast("string")).alias("customer"),
+        F.when(key % 89 == 0, "2024-02-30").otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("day"),
+        F.when(key % 83 != 0, F.col("o_orderstatus")).alias("o_orderstatus")).write.option("header", True).csv(path)
+    return SF.csv_report(spark, path, bad_share=0.05)
+
+
 @query("read_json", BY_STATUS, "total")
 def _(spark, sf):
     path = _folder(spark, "json")

@@ -96,6 +96,38 @@ def test_lenient_csv_keeps_going(spark, tmp_path):
         SF.read_csv_strict(spark, str(tmp_path / "a.csv"), "a int").collect()
 
 
+def test_lenient_csv_types_every_cell(spark, tmp_path):
+    lines = [f"{i},{i},{i / 2},true,2024-01-0{1 + i % 9},x{i},99999999999999999999" for i in range(30_000)]
+    lines[25_000] = "25000,odd,1d,TRUE,2024-02-30,,7"
+    lines[26_000] = "26000,5, 2.5 ,,2024-01-01 10:00:00,y,8,surplus"
+    path = tmp_path / "late.csv"
+    path.write_text("id,a,b,c,d,e,f\n" + "\n".join(lines) + "\n")
+    df = SF.read_csv_lenient(spark, str(path))
+    assert dict(df.dtypes) == {"id": "bigint", "a": "string", "b": "string", "c": "boolean", "d": "string", "e": "string", "f": "decimal(38,0)"}
+    assert df.where("id = 25000").first()["a"] == "odd"
+    df = SF.read_csv_lenient(spark, str(path), bad_share=0.001, keep_bad="odd_cells")
+    assert dict(df.dtypes)["a"] == "bigint" and dict(df.dtypes)["b"] == "double" and dict(df.dtypes)["d"] == "date"
+    rows = {r["id"]: r for r in df.where("odd_cells IS NOT NULL").collect()}
+    assert set(rows) == {25_000, 26_000} and rows[25_000]["a"] is None and rows[26_000]["b"] == 2.5
+    assert {tuple(c) for c in rows[25_000]["odd_cells"]} == {("a", "odd"), ("b", "1d"), ("d", "2024-02-30")}
+    assert (None, lines[26_000]) in {tuple(c) for c in rows[26_000]["odd_cells"]}
+    report = {r["column"]: r for r in SF.csv_report(spark, str(path), bad_share=0.001).collect()}
+    assert (report["a"]["n_bad"], report["a"]["example"], report["e"]["n_filled"]) == (1, "odd", 29_999)
+    assert report[None]["n_bad"] == 1 and report["id"]["n_rows"] == 30_000
+
+
+def test_lenient_csv_of_edge_cases(spark, tmp_path):
+    path = tmp_path / "edge.csv"
+    path.write_text("a,a,t,z,n\n1,2,2024-01-01 10:00:00,2024-01-01T10:00:00Z,\n-3,1e3,2024-01-02,2024-01-01 10:00:00+02:00,\n")
+    df = SF.read_csv_lenient(spark, str(path))
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "timestamp_ntz", "timestamp", "string"]
+    assert [r[0] for r in df.collect()] == [1, -3]
+    path.write_text("a,b\n")
+    assert SF.read_csv_lenient(spark, str(path)).dtypes == [("a", "string"), ("b", "string")]
+    path.write_text("")
+    assert SF.read_csv_lenient(spark, str(path)).columns == []
+
+
 def test_json_document_and_lines(spark, tmp_path):
     (tmp_path / "d.json").write_text('[{"a": 1},\n {"a": 2}]')
     (tmp_path / "l.json").write_text('{"a": 1}\n{"a": 2}\n')
