@@ -152,6 +152,15 @@ def _(spark, sf):
     return BI.contingency_table(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
 
+@query("contingency_blocks", """WITH levels AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS place FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders)),
+    cells AS (SELECT o_orderpriority AS p, CAST(o_custkey AS VARCHAR) AS v, count(*) AS n FROM orders GROUP BY 1, 2)
+    SELECT p AS "row", CAST(place // 150 AS INTEGER) AS block, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY place) AS counts
+    FROM (SELECT DISTINCT p FROM cells) CROSS JOIN levels LEFT JOIN cells USING (p, v) GROUP BY 1, 2 HAVING sum(n) > 0""")
+def _(spark, sf):
+    blocks = BI.contingency_blocks(table(spark, sf, "orders"), "o_orderpriority", "o_custkey", width=150)
+    return blocks.withColumn("counts", F.array_join("counts", ","))
+
+
 CAT_COLS = ["l_returnflag", "l_linestatus", "l_linenumber"]
 
 
@@ -343,6 +352,12 @@ def _(spark, sf):
     return I.inference_table(table(spark, sf, "lineitem"), NUM, G2 + G3)
 
 
+@query("tested_groups", f"""SELECT num AS feature, cat AS target, grp, n, mean, std FROM (SELECT num, cat, grp, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std
+    FROM ({long_sql(NUM, G2 + G3, "lineitem", 10)}) GROUP BY 1, 2, 3) WHERE n >= 5""", "mean std")
+def _(spark, sf):
+    return I.tested_groups(table(spark, sf, "lineitem"), NUM, G2 + G3)
+
+
 @query("inference_summary", f"""{WITH_TESTS} SELECT count(*) AS n_tests, count(*) FILTER (significant_fdr) AS significant_after_fdr,
     arg_min(feature || ' x ' || target, position) FILTER (significant_fdr) AS first_significant FROM ({TESTS})""")
 def _(spark, sf):

@@ -16,6 +16,14 @@ RANKED = """SELECT event_type AS series_key, ts, value AS x, row_number() OVER (
     count(*) OVER (PARTITION BY event_type) AS n, avg(value) OVER (PARTITION BY event_type) AS m FROM events"""
 
 
+#: Every user is a series; the value is null in nine of ten events, so that most series are too short.
+@query("series_status", """SELECT CAST(user_id AS VARCHAR) AS series_key, 'value' AS value, count(*) FILTER (event_id % 10 = 0 AND "value" IS NOT NULL AND ts IS NOT NULL) AS n,
+    CASE WHEN count(*) FILTER (event_id % 10 = 0 AND "value" IS NOT NULL AND ts IS NOT NULL) < 10 THEN 'too short' ELSE 'ok' END AS status FROM events GROUP BY user_id""")
+def _(spark, sf):
+    events = table(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 10 == 0, F.col("value")))
+    return TS.series_status(events, "ts", ["value"], "user_id")
+
+
 @query("series_prepare", f"SELECT series_key, CAST(ts AS VARCHAR) AS ts, x, rn, n, m AS mean FROM ({RANKED})", "x mean")
 def _(spark, sf):
     return _series(spark, sf).select("series_key", "ts", "x", "rn", "n", "mean")

@@ -33,3 +33,7 @@ class AnalysisContext:
     selected_features: tuple[str, ...] = ()
     accepted_features: tuple[AcceptedFeature, ...] = ()
     cleaning_actions: tuple[CleaningAction, ...] = ()
+    #: Limits of the hypothesis tests and of the series; None takes all.
+    max_groupings: int | None = None
+    max_levels: int | None = None
+    max_series: int | None = None

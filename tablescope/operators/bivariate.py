@@ -193,10 +193,36 @@ def num_cat_tests(df: DataFrame, nums: list[str], cats: list[str], levels: int |
     return a.unionByName(k).join(gate, ["num", "cat", "test"])
 
 
+def contingency_levels(df: DataFrame, b: str) -> DataFrame:
+    """(level, position, n_levels): the levels of a column in code-point order from 0, by a distributed order."""
+    levels = df.select(X.text(df, b).alias("level")).dropna().distinct().select(F.lit("").alias("_all"), "level", F.lit(1).alias("_one"))
+    o = B.ordered(levels, ["_all"], ["level"], weight="_one", totals=True)
+    return o.select("level", F.col("_before").cast("bigint").alias("position"), F.col("_total").cast("bigint").alias("n_levels"))
+
+
+def contingency_blocks(df: DataFrame, a: str, b: str, width: int = 1_000) -> DataFrame:
+    """B10 for any number of levels: (row, block, counts), where counts[i] is the cell of level ``block * width + i`` of
+    ``contingency_levels``. A block without a filled cell has no row. Only filled cells are shuffled, and no
+    task or driver holds more than one block of a row; rows with a null on either side do not count."""
+    cells = df.select(X.text(df, a).alias("row"), X.text(df, b).alias("level")).dropna().groupBy("row", "level").agg(F.count(F.lit(1)).alias("n"))
+    placed = cells.join(contingency_levels(df, b), "level")
+    blocks = placed.groupBy("row", F.floor(F.col("position") / width).cast("int").alias("block")).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("position") % width).cast("int"), "n"))).alias("found"), F.max("n_levels").alias("n_levels"))
+    last = F.least(F.lit(width), F.col("n_levels") - F.col("block").cast("bigint") * width).cast("int") - 1
+    return blocks.select("row", "block", F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.col("found")[i], F.lit(0))).alias("counts"))
+
+
 def contingency_table(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Wide table of counts, absent cells 0."""
-    rows = df.select(X.text(df, a).alias(a), X.text(df, b).alias("level")).dropna()
-    return rows.groupBy(a).pivot("level").count().na.fill(0)
+    """Wide table of counts, one column per level of ``b`` (their names, nothing else, reach the driver), absent cells 0.
+
+    Cells are counted first and then spread, so the data are read once per pass and never sorted by level. Beyond some
+    thousand levels ``contingency_blocks`` is the better form.
+    """
+    rows = df.select(X.text(df, a).alias("_row"), X.text(df, b).alias("_level")).dropna()
+    names = [r[0] for r in rows.select("_level").distinct().orderBy("_level").collect()]
+    cells = rows.groupBy("_row", "_level").agg(F.count(F.lit(1)).alias("_n"))
+    found = cells.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_level", "_n"))).alias("_m"))
+    return found.select(F.col("_row").alias(a), *[F.coalesce(F.col("_m")[F.lit(v)], F.lit(0)).alias(v) for v in names])
 
 
 def contingency_cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

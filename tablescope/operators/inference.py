@@ -80,6 +80,14 @@ def all_tests(df: DataFrame, nums: list[str], groupings: list[str], max_levels:
         "effect_size", "effect_label", (F.col("pvalue") < ALPHA).alias("significant"), position.cast("int").alias("position"))
 
 
+def tested_groups(df: DataFrame, nums: list[str], groupings: list[str], max_levels: int | None = None) -> DataFrame:
+    """The groups behind every test of ``all_tests``: (feature, target, grp, n, mean, std), groups of at least 5 values."""
+    _, groups = _setup(df, nums, groupings, max_levels)
+    if groups is None:
+        return X.lit_rows(df, [], "feature string, target string, grp string, n bigint, mean double, std double")
+    return groups.select(F.col("num").alias("feature"), F.col("cat").alias("target"), "grp", "n", "mean", "std")
+
+
 def fdr_bh(tests: DataFrame, pvalue: str = "pvalue", alpha: float = ALPHA) -> DataFrame:
     """Benjamini-Hochberg step-up; one row per test, so the family is small whatever the data."""
     family = Window.partitionBy(F.lit(1))

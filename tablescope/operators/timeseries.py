@@ -19,7 +19,6 @@ from tablescope.session import cut_lineage
 
 # Shortest series, most lags, the lag worth a note.
 MIN_N, MAX_LAG, NOTABLE = 10, 40, 0.2
-MAX_VALUES = 3
 # Rows per block and rows of context the seasonal decomposition needs on either side.
 BLOCK, STL_HALO = 100_000, 1_000
 # Copies of one row that a task expands at a time.
@@ -29,10 +28,20 @@ BROADCAST_SERIES = 200_000
 KEY = "series_key"
 
 
-def value_columns(numeric: list[str]) -> list[str]:
-    """At most three value columns, calendar features first."""
+def value_columns(numeric: list[str], top: int | None = None) -> list[str]:
+    """Value columns, calendar features first; the first ``top`` if given."""
     calendar = [c for c in numeric if c.endswith(("_year", "_month"))]
-    return (calendar + [c for c in numeric if c not in calendar])[:MAX_VALUES]
+    return (calendar + [c for c in numeric if c not in calendar])[:top]
+
+
+def series_status(df: DataFrame, ts: str, values: list[str], key: str | None = None) -> DataFrame:
+    """Which series can be analysed: (series_key, value, n, status) with the complete rows of each value column and series, also those
+    that ``series_prepare`` drops. status is ``too short`` below 10 complete rows, else ``ok``."""
+    k = F.coalesce(X.text(df, key), F.lit("null")) if key else F.lit("all")
+    complete = [X.count_if(X.timestamp(df, ts).isNotNull() & X.double(df, c).isNotNull()).alias(f"n{i}") for i, c in enumerate(values)]
+    counts = df.groupBy(k.alias(KEY)).agg(*complete) if key else df.agg(*complete).withColumn(KEY, k)
+    rows = X.rows(*[F.struct(F.lit(c).alias("value"), F.col(f"n{i}").alias("n")) for i, c in enumerate(values)])
+    return counts.select(KEY, rows).withColumn("status", F.when(F.col("n") < MIN_N, "too short").otherwise("ok"))
 
 
 def series_prepare(df: DataFrame, ts: str, value: str, key: str | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime
+from functools import cached_property
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablescope.context import AnalysisContext
@@ -23,181 +26,244 @@ from tablescope.operators import quality as Q
 from tablescope.operators import semantic as S
 from tablescope.operators import timeseries as TS
 from tablescope.operators import univariate as U
-from tablescope.sources.sampling import sample_fixed
-
-# At most this many grouping columns of each kind enter the hypothesis tests; categories up to FEW_LEVELS.
-TEST_BOOLEANS, TEST_CATEGORIES, FEW_LEVELS = 2, 2, 5
-
+from tablescope.sources.sampling import sample_fixed, sample_info
 
 class _Run:
-    """What the modules share: the prepared table, the raw result of typing, the request."""
+    """What the modules share: the prepared table, the raw result of typing, the request. ``kept`` lists what is persisted."""
 
-    def __init__(self, full: DataFrame, table: DataFrame, ctx: AnalysisContext):
+    def __init__(self, full: DataFrame, table: DataFrame, ctx: AnalysisContext, kept: list[DataFrame]):
         self.full, self.table, self.ctx = full, table, ctx
+        self._kept, self._made = kept, {}
         # One row per column; kept, because most of overview and governance is a projection of it.
-        self.typed = G.profile_stats(full, ctx.semantic_overrides).persist()
+        self.typed = self.kept("typed", lambda: G.profile_stats(full, ctx.semantic_overrides))()
         rows = self.typed.select("position", "column", "semantic_type").orderBy("position").collect()
         self.types = {r["column"]: r["semantic_type"] for r in rows}
-        types = self.types
-        self._patterns = self._pii = None
-        self.groups = S.group_map(types)
+        self.groups = S.group_map(self.types)
         self.numeric = self.groups["numeric_continuous"] + self.groups["numeric_discrete"]
         self.categorical = self.groups["categorical_nominal"] + self.groups["categorical_ordinal"]
+        self.target = ctx.target if ctx.target in full.columns else None
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        """A persisted table, made on first use."""
+        def get():
+            if name not in self._made:
+                self._made[name] = make().persist()
+                self._kept.append(self._made[name])
+            return self._made[name]
+        return get
 
     @property
     def patterns(self) -> DataFrame:
         """At most four rows behind the one whole-row shuffle."""
-        if self._patterns is None:
-            self._patterns = Q.row_patterns(self.full).persist()
-        return self._patterns
+        return self.kept("patterns", lambda: Q.row_patterns(self.full))()
 
     @property
     def pii(self) -> DataFrame:
-        if self._pii is None:
-            self._pii = G.pii_candidates(self.full).persist()
-        return self._pii
+        return self.kept("pii", lambda: G.pii_candidates(self.full))()
+
+    @property
+    def issues(self) -> DataFrame:
+        return self.kept("issues", lambda: Q.standardized_issues(self.full, self.patterns))()
+
+    @cached_property
+    def worst(self) -> list[str]:
+        return Q.worst_columns(self.full)
 
 
 def _overview(r: _Run):
-    return {"table": O.table_overview(r.full), "columns": O.column_overview(r.full, typed=r.typed),
-            "flags": O.overview_flags(r.full, typed=r.typed)}
+    yield "table", lambda: O.table_overview(r.full)
+    yield "columns", lambda: O.column_overview(r.full, typed=r.typed)
+    yield "flags", lambda: O.overview_flags(r.full, typed=r.typed)
 
 
 def _data_quality(r: _Run):
     df = r.full
-    issues = Q.standardized_issues(df, r.patterns).persist()
-    worst = Q.worst_columns(df)
-    return {"missing_by_column": Q.missing_by_column(df), "missing_global": Q.missing_global(df), "missing_per_row": Q.missing_per_row(df),
-            "missing_cooccurrence": Q.missing_cooccurrence(df, worst), "missing_correlation": Q.missing_correlation(df, worst),
-            "missing_clusters": Q.missing_clusters(df, worst), "duplicates": Q.duplicate_rows(df, r.patterns), "near_constant": Q.near_constant(df),
-            "exclusion_candidates": Q.exclusion_candidates(df), "masked_missing": Q.masked_missing(df),
-            "whitespace": Q.whitespace_issues(df), "overlap": Q.anomaly_overlap(df, r.patterns), "issues": issues,
-            "cleaning_summary": Q.cleaning_summary(df, issues), "issues_by_severity": Q.issues_by_severity(df, issues)}
+    yield "missing_by_column", lambda: Q.missing_by_column(df)
+    yield "missing_global", lambda: Q.missing_global(df)
+    yield "missing_per_row", lambda: Q.missing_per_row(df)
+    order = next((c for c in [*r.groups["id"], *r.numeric] if isinstance(X.dtype(df, c), X.NUMERIC_TYPES)), None)
+    if order:  # blocks of rows need an order of the rows
+        yield "missing_heatmap", lambda: Q.missing_heatmap(df, order)
+    yield "missing_cooccurrence", lambda: Q.missing_cooccurrence(df, r.worst)
+    yield "missing_correlation", lambda: Q.missing_correlation(df, r.worst)
+    yield "missing_clusters", lambda: Q.missing_clusters(df, r.worst)
+    yield "duplicates", lambda: Q.duplicate_rows(df, r.patterns)
+    yield "near_constant", lambda: Q.near_constant(df)
+    yield "exclusion_candidates", lambda: Q.exclusion_candidates(df)
+    yield "masked_missing", lambda: Q.masked_missing(df)
+    yield "whitespace", lambda: Q.whitespace_issues(df)
+    yield "overlap", lambda: Q.anomaly_overlap(df, r.patterns)
+    yield "issues", lambda: r.issues
+    yield "cleaning_summary", lambda: Q.cleaning_summary(df, r.issues)
+    yield "issues_by_severity", lambda: Q.issues_by_severity(df, r.issues)
 
 
 def _univariate(r: _Run):
-    df, g, out = r.table, r.groups, {}
-    if g["numeric_continuous"]:
-        c = g["numeric_continuous"]
-        out |= {"numeric": U.numeric_summary(df, c), "outliers": U.iqr_outliers(df, c), "normality": U.jarque_bera(df, c),
-                "histogram": U.histogram(df, c), "kde": U.kde(df, c), "boxplot": U.boxplot_stats(df, c),
-                "qq": U.qq_points(df, c), "ecdf": U.ecdf(df, c), "suggestions": U.transform_suggestions(df, c)}
+    df, g = r.table, r.groups
+    c = g["numeric_continuous"]
+    if c:
+        for name, operator in {"numeric": U.numeric_summary, "outliers": U.iqr_outliers, "normality": U.jarque_bera, "histogram": U.histogram,
+                               "kde": U.kde, "boxplot": U.boxplot_stats, "qq": U.qq_points, "qq_band": U.qq_band, "ecdf": U.ecdf,
+                               "suggestions": U.transform_suggestions}.items():
+            yield name, lambda operator=operator: operator(df, c)
     if g["numeric_discrete"]:
-        out |= {"discrete": U.discrete_summary(df, g["numeric_discrete"]), "levels": U.discrete_levels(df, g["numeric_discrete"])}
+        yield "discrete", lambda: U.discrete_summary(df, g["numeric_discrete"])
+        yield "levels", lambda: U.discrete_levels(df, g["numeric_discrete"])
     if r.categorical:
-        out |= {"categorical": U.categorical_summary(df, r.categorical), "pareto": U.pareto(df, r.categorical)}
+        yield "categorical", lambda: U.categorical_summary(df, r.categorical)
+        yield "pareto", lambda: U.pareto(df, r.categorical)
     if g["boolean"]:
-        out["boolean"] = U.boolean_summary(df, g["boolean"])
+        yield "boolean", lambda: U.boolean_summary(df, g["boolean"])
     if g["datetime"]:
-        out["datetime"] = U.datetime_summary(df, g["datetime"])
-        for c in g["datetime"]:
-            out |= {f"year:{c}": U.counts_by_year(df, c), f"month:{c}": U.counts_by_month(df, c)}
+        yield "datetime", lambda: U.datetime_summary(df, g["datetime"])
+        for d in g["datetime"]:
+            yield f"year:{d}", lambda d=d: U.counts_by_year(df, d)
+            yield f"month:{d}", lambda d=d: U.counts_by_month(df, d)
     if g["text"]:
-        out |= {"text": U.text_summary(df, g["text"]), "text_lengths": U.text_length_histogram(df, g["text"])}
+        yield "text", lambda: U.text_summary(df, g["text"])
+        yield "text_lengths", lambda: U.text_length_histogram(df, g["text"])
     if g["id"]:
-        out["id"] = U.id_summary(df, g["id"])
+        yield "id", lambda: U.id_summary(df, g["id"])
     if g["geographic"]:
-        out["geographic"] = U.geo_summary(df, g["geographic"])
+        yield "geographic", lambda: U.geo_summary(df, g["geographic"])
     if r.numeric or r.categorical or g["boolean"]:
-        out["findings"] = U.univariate_findings(df, g["numeric_continuous"], r.categorical, g["boolean"])
-    return out
+        yield "findings", lambda: U.univariate_findings(df, c, r.categorical, g["boolean"])
 
 
 def _bivariate(r: _Run):
-    df, out = r.table, {}
+    df = r.table
     if len(r.numeric) >= 2:
-        out |= {"pearson": BI.pearson_pairs(df, r.numeric), "spearman": BI.spearman_pairs(df, r.numeric),
-                "matrix": BI.correlation_matrix(df, r.numeric), "scatter": BI.scatter_sample(df, r.numeric), "trend": BI.trend_line(df, r.numeric)}
+        for name, operator in {"pearson": BI.pearson_pairs, "spearman": BI.spearman_pairs, "matrix": BI.correlation_matrix,
+                               "scatter": BI.scatter_sample, "trend": BI.trend_line}.items():
+            yield name, lambda operator=operator: operator(df, r.numeric)
     if r.numeric and r.categorical:
-        out |= {"group_stats": BI.group_stats(df, r.numeric, r.categorical), "tests": BI.num_cat_tests(df, r.numeric, r.categorical)}
+        yield "group_stats", lambda: BI.group_stats(df, r.numeric, r.categorical)
+        yield "tests", lambda: BI.num_cat_tests(df, r.numeric, r.categorical)
     if len(r.categorical) >= 2:
-        out["association"] = BI.cramers_v(df, r.categorical)
-    if out:
-        out["findings"] = BI.bivariate_findings(df, r.numeric, r.categorical)
-    return out
+        yield "contingency", lambda: BI.contingency_cells(df, BI.column_pairs(r.categorical))
+        yield "association", lambda: BI.cramers_v(df, r.categorical)
+    if len(r.numeric) >= 2 or len(r.categorical) >= 2 or (r.numeric and r.categorical):
+        yield "findings", lambda: BI.bivariate_findings(df, r.numeric, r.categorical)
 
 
 def _multivariate(r: _Run):
     if len(r.numeric) < 3:
-        return {}
-    df = r.table
+        return
+    df, target = r.table, r.target
     ranked = M.ranked(df, r.numeric)
-    target = r.ctx.target if r.ctx.target in df.columns else None
-    return {"variance_rank": M.variance_rank(df, r.numeric), "high_pairs": M.high_correlation_pairs(df, ranked),
-            "correlation": M.global_correlation(df, ranked), "pca": M.pca(df, ranked), "vif": M.vif(df, ranked),
-            "warnings": M.ml_warnings(df, ranked, target)}
+    yield "variance_rank", lambda: M.variance_rank(df, r.numeric)
+    yield "high_pairs", lambda: M.high_correlation_pairs(df, ranked)
+    yield "correlation", lambda: M.global_correlation(df, ranked)
+    yield "pca", lambda: M.pca(df, ranked)
+    yield "pca_scores", lambda: M.pca_scores(df, ranked, [target] if target else [])
+    yield "vif", lambda: M.vif(df, ranked)
+    yield "warnings", lambda: M.ml_warnings(df, ranked, target)
 
 
 def _timeseries(r: _Run):
-    out = {}
     dates = r.groups["datetime"]
-    if dates:
-        out["gaps"] = TS.datetime_gaps(r.table, dates)
-    for c in TS.value_columns(r.numeric) if dates else []:
-        s = TS.series_prepare(r.table, dates[0], c).persist()
-        out |= {f"metadata:{c}": TS.series_metadata(s), f"rolling:{c}": TS.rolling_mean(s), f"change_points:{c}": TS.cusum_change_points(s),
-                f"acf:{c}": TS.acf(s), f"pacf:{c}": TS.pacf(s), f"stationarity:{c}": TS.stationarity(s),
-                f"stl:{c}": TS.stl_decompose(s), f"findings:{c}": TS.timeseries_findings(s)}
-    return out
+    if not dates:
+        return
+    values = TS.value_columns(r.numeric, r.ctx.max_series)
+    yield "gaps", lambda: TS.datetime_gaps(r.table, dates)
+    if values:
+        yield "status", lambda: TS.series_status(r.table, dates[0], values)
+    for c in values:
+        prepared = r.kept(f"series:{c}", lambda c=c: TS.series_prepare(r.table, dates[0], c))
+        for name, operator in {"metadata": TS.series_metadata, "rolling": TS.rolling_mean, "change_points": TS.cusum_change_points, "acf": TS.acf,
+                               "pacf": TS.pacf, "stationarity": TS.stationarity, "stl": TS.stl_decompose, "findings": TS.timeseries_findings}.items():
+            yield f"{name}:{c}", lambda operator=operator, prepared=prepared: operator(prepared())
 
 
 def _ml(r: _Run):
     df, ctx = r.table, r.ctx
     check = ML.validate_target(df, ctx.target, ctx.problem_type)
-    out = {"target": check}
+    yield "target", lambda: check
     features = M.ranked(df, [c for c in r.numeric if c != ctx.target]) if r.numeric else []
     features = [c for c in r.numeric if c in features]
     # only feature importance needs a target; clusters and anomalies are found without one
     if features and check.first()["valid"]:
-        out["mutual_information"] = ML.mutual_information(df, features, ctx.target, ctx.problem_type)
+        yield "mutual_information", lambda: ML.mutual_information(df, features, ctx.target, ctx.problem_type)
     if len(features) >= 2:
-        out |= {"kmeans_sweep": ML.kmeans_sweep(df, features), "clusters": ML.kmeans_best(df, features),
-                "anomalies": ML.anomaly_consensus(df, features), "anomaly_scores": ML.anomaly_score_histogram(df, features)}
-    return out
+        yield "kmeans_sweep", lambda: ML.kmeans_sweep(df, features)
+        yield "clusters", lambda: ML.kmeans_best(df, features)
+        yield "cluster_projection", lambda: ML.cluster_projection(df, features)
+        yield "anomalies", lambda: ML.anomaly_consensus(df, features)
+        yield "anomaly_scores", lambda: ML.anomaly_score_histogram(df, features)
 
 
 def _inference(r: _Run):
-    few = {x["column"] for x in S.distinct_counts(r.table, r.categorical).where(F.col("n_distinct") <= FEW_LEVELS).collect()} if r.categorical else set()
-    groupings = r.groups["boolean"][:TEST_BOOLEANS] + [c for c in r.categorical if c in few][:TEST_CATEGORIES]
+    groupings = I.usable_groupings(r.table, r.groups["boolean"] + r.categorical, r.ctx.max_levels)[:r.ctx.max_groupings]
     if not r.numeric or not groupings:
-        return {}
-    return {"tests": I.inference_table(r.table, r.numeric, groupings), "summary": I.inference_summary(r.table, r.numeric, groupings)}
+        return
+    yield "tests", lambda: I.inference_table(r.table, r.numeric, groupings)
+    yield "groups", lambda: I.tested_groups(r.table, r.numeric, groupings)
+    yield "summary", lambda: I.inference_summary(r.table, r.numeric, groupings)
 
 
 def _governance(r: _Run):
-    df, ctx, typed = r.full, r.ctx, r.typed
-    target = ctx.target if ctx.target in df.columns else None
-    known = {"typed": typed, "patterns": r.patterns}
-    out = {"dimensions": G.quality_dimensions(df, **known), "score": G.quality_score(df, **known), "pii": r.pii,
-           "schema": G.column_schema_profile(df, typed=typed, pii=r.pii), "types": G.semantic_summary(df, typed=typed),
-           "encoding": G.encoding_advice(df, typed=typed), "scaling": G.scaling_advice(df, types=r.types),
-           "imputation": G.imputation_advice(df, typed=typed), "split": G.split_advice(df, ctx.problem_type, typed=typed),
-           "features": G.feature_advice(df, list(ctx.accepted_features), typed=typed),
-           "applicability": G.analysis_applicability(df, typed=typed), "alerts": G.critical_alerts(df, target, typed=typed, pii=r.pii),
-           "metrics": G.executive_metrics(df, **known), "decisions": G.decision_matrix(df, target, pii=r.pii, **known),
-           "actions": G.action_items(df, target, typed=typed, pii=r.pii)}
+    df, ctx, typed, target = r.full, r.ctx, r.typed, r.target
+    def known():
+        return {"typed": typed, "patterns": r.patterns}
+    yield "dimensions", lambda: G.quality_dimensions(df, **known())
+    yield "score", lambda: G.quality_score(df, **known())
+    yield "pii", lambda: r.pii
+    yield "schema", lambda: G.column_schema_profile(df, typed=typed, pii=r.pii)
+    yield "types", lambda: G.semantic_summary(df, typed=typed)
+    yield "encoding", lambda: G.encoding_advice(df, typed=typed)
+    yield "scaling", lambda: G.scaling_advice(df, types=r.types)
+    yield "imputation", lambda: G.imputation_advice(df, typed=typed)
+    yield "split", lambda: G.split_advice(df, ctx.problem_type, typed=typed)
+    yield "features", lambda: G.feature_advice(df, list(ctx.accepted_features), typed=typed)
+    yield "applicability", lambda: G.analysis_applicability(df, typed=typed)
+    yield "alerts", lambda: G.critical_alerts(df, target, typed=typed, pii=r.pii)
+    yield "metrics", lambda: G.executive_metrics(df, **known())
+    yield "decisions", lambda: G.decision_matrix(df, target, pii=r.pii, **known())
+    yield "actions", lambda: G.action_items(df, target, typed=typed, pii=r.pii)
     if target:
-        out |= {"class_balance": G.class_balance(df, target), "leakage": G.leakage_risks(df, target, typed=typed)}
+        yield "class_balance", lambda: G.class_balance(df, target)
+        yield "leakage", lambda: G.leakage_risks(df, target, typed=typed)
         if ctx.problem_type == "classification":
-            out |= {"fairness_groups": G.fairness_groups(df, target), "fairness": G.fairness(df, target)}
-    return out
+            yield "fairness_groups", lambda: G.fairness_groups(df, target)
+            yield "fairness", lambda: G.fairness(df, target)
 
 
-MODULES: dict[str, Callable[[_Run], dict[str, DataFrame]]] = {
+#: A module yields (result, function that plans it).
+MODULES: dict[str, Callable[[_Run], Iterable[tuple[str, Callable[[], DataFrame]]]]] = {
     "overview": _overview, "data_quality": _data_quality, "univariate": _univariate, "bivariate": _bivariate,
     "multivariate": _multivariate, "timeseries": _timeseries, "ml": _ml, "inference": _inference, "governance": _governance,
 }
 
 
+class Analysis(dict):
+    """``{module: {result: DataFrame}}`` with the shared tables behind it; ``release`` gives their storage back."""
+
+    def __init__(self, kept: list[DataFrame]):
+        super().__init__()
+        self._kept = kept
+
+    def release(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+
+
+def _reason(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
 def run_analysis(df: DataFrame, ctx: AnalysisContext | None = None, modules: list[str] | None = None,
-                 sample: bool = False) -> dict[str, dict[str, DataFrame]]:
+                 sample: bool = False) -> Analysis:
     """Derived columns, cleaning, optional sample, typing, then the modules.
 
-    Returns ``{module: {result: DataFrame}}``; a module that fails is reported as ``{"error": ...}`` and
-    the others go on. The analysis reads the whole table unless ``sample`` is asked for; overview, data
-    quality and governance always do.
+    Returns ``{module: {result: DataFrame}}``. A result that cannot be planned is reported in the ``error`` table of its
+    module (module, result, error; result null if the module itself failed), and all others go on; errors of
+    running a result are reported by ``summary`` and ``write_analysis``. ``meta`` holds the facts of the run: the size of the
+    table, the sample, target and problem type. The analysis reads the whole table unless ``sample`` is asked
+    for; overview, data quality and governance always do. Call ``release()`` on the result when it is no longer needed.
     """
     ctx = ctx or AnalysisContext()
+    kept: list[DataFrame] = []
+    results = Analysis(kept)
     full, warnings = FE.apply_features(df, list(ctx.accepted_features))
     cleaned = C.apply_cleaning(full, list(ctx.cleaning_actions))
     prepare = {"feature_warnings": warnings}
@@ -209,36 +275,66 @@ def run_analysis(df: DataFrame, ctx: AnalysisContext | None = None, modules: lis
         full = full.select(*[X.ref(c) for c in full.columns if c in wanted])
     if ctx.accepted_features or ctx.cleaning_actions:
         full = full.persist()
-    run = _Run(full, sample_fixed(full) if sample else full, ctx)
-    results = {"prepare": prepare | {"types": X.lit_rows(df, list(run.types.items()), "column string, semantic_type string")}}
+        kept.append(full)
+    run = _Run(full, sample_fixed(full) if sample else full, ctx, kept)
+    results["prepare"] = prepare | {"types": X.lit_rows(df, list(run.types.items()), "column string, semantic_type string")}
+    results["meta"] = {"run": _metadata(run, sample)}
     for name in modules or MODULES:
+        found, errors = {}, []
         try:
-            results[name] = MODULES[name](run)
+            for result, plan in MODULES[name](run):
+                try:
+                    found[result] = plan()
+                except Exception as error:  # noqa: BLE001 - one result must not stop the others
+                    errors.append((name, result, _reason(error)))
         except Exception as error:  # noqa: BLE001 - one module must not stop the others
-            results[name] = {"error": X.lit_rows(df, [(name, f"{type(error).__name__}: {error}"[:500])], "module string, error string")}
+            errors.append((name, None, _reason(error)))
+        if errors:
+            found["error"] = X.lit_rows(df, errors, "module string, result string, error string")
+        results[name] = found
     return results
 
 
-def write_analysis(results: dict[str, dict[str, DataFrame]], path: str) -> dict[str, str]:
-    """Write every result as Parquet under ``path/module/result``; returns the failures by result."""
-    failed = {}
-    for module, frames in results.items():
-        for name, frame in frames.items():
-            try:
-                frame.write.mode("overwrite").parquet(f"{path}/{module}/{name.replace(':', '=')}")
-            except Exception as error:  # noqa: BLE001 - reported, the rest is still written
-                failed[f"{module}/{name}"] = f"{type(error).__name__}: {error}"[:500]
-    return failed
-
+def _metadata(r: _Run, sample: bool) -> DataFrame:
+    """One row: n_rows, n_columns, sampled, sample_n, target, problem_type, generated_at."""
+    sampled = F.lit(sample) & F.col("will_sample")
+    return sample_info(r.full).select(
+        F.col("original_rows").alias("n_rows"), F.lit(len(r.full.columns)).cast("bigint").alias("n_columns"), sampled.alias("sampled"),
+        F.when(sampled, F.col("sample_rows")).otherwise(F.col("original_rows")).alias("sample_n"),
+        F.lit(r.ctx.target).cast("string").alias("target"), F.lit(r.ctx.problem_type).cast("string").alias("problem_type"),
+        F.lit(datetime.now(UTC).isoformat()).alias("generated_at"))
 
-def summary(results: dict[str, dict[str, DataFrame]], parallel: int = 8) -> DataFrame:
-    """Run every result on its own and report its size: (module, result, n_rows).
 
-    The results are independent jobs, so they are submitted from a few threads.
-    """
+def _run_each(results: dict[str, dict[str, DataFrame]], action: Callable[[str, str, DataFrame], int | None], parallel: int) -> list[tuple]:
+    """(module, result, rows, seconds, error) of every result; independent jobs, submitted from a few threads."""
     frames = [(module, name, frame) for module, found in results.items() for name, frame in found.items()]
-    spark = frames[0][2].sparkSession
-    count = inheritable_thread_target(spark)(lambda item: (item[0], item[1], item[2].count()))
+
+    def one(item):
+        start = time.monotonic()
+        try:
+            return *item[:2], action(*item), time.monotonic() - start, None
+        except Exception as error:  # noqa: BLE001 - reported, the others go on
+            return *item[:2], None, time.monotonic() - start, _reason(error)
     with ThreadPoolExecutor(parallel) as pool:
-        rows = list(pool.map(count, frames))
-    return X.lit_rows(frames[0][2], rows, "module string, result string, n_rows bigint")
+        return list(pool.map(inheritable_thread_target(frames[0][2].sparkSession)(one), frames))
+
+
+def write_analysis(results: dict[str, dict[str, DataFrame]], path: str, parallel: int = 4) -> dict[str, str]:
+    """Write every result as Parquet under ``path/module/result`` and the log (module, result, seconds, error) under
+    ``path/meta/results``; returns the failures by result."""
+    log = _run_each(results, lambda module, name, frame: frame.write.mode("overwrite").parquet(f"{path}/{module}/{name.replace(':', '=')}"), parallel)
+    first = next(iter(next(iter(results.values())).values()))
+    X.lit_rows(first, [(m, n, s, e) for m, n, _, s, e in log], "module string, result string, seconds double, error string").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/meta/results")
+    return {f"{module}/{name}": error for module, name, _, _, error in log if error}
+
+
+def summary(results: dict[str, dict[str, DataFrame]], parallel: int = 8) -> DataFrame:
+    """Run every result whole, all columns, and report its size: (module, result, n_rows, error), n_rows null where it failed."""
+    def rows(module, name, frame):
+        seen = Observation()
+        frame.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+        return seen.get.get("n", 0)
+    log = _run_each(results, rows, parallel)
+    first = next(iter(next(iter(results.values())).values()))
+    return X.lit_rows(first, [(m, n, rows, e) for m, n, rows, _, e in log], "module string, result string, n_rows bigint, error string")

@@ -151,6 +151,53 @@ def test_a_failing_module_does_not_stop_the_others(spark, monkeypatch):
     assert "ZeroDivisionError" in res["bivariate"]["error"].first()["error"] and res["overview"]["table"].first()["n_rows"] == 30
 
 
+def test_a_failing_result_does_not_stop_its_module(spark, monkeypatch, tmp_path):
+    from tablescope.plans import pipeline as P
+    monkeypatch.setattr(P.O, "overview_flags", lambda *a, **k: 1 / 0)  # cannot be planned
+    late = spark.range(5).select(F.raise_error(F.lit("late")).cast("string").alias("x"))  # planned, fails when run
+    monkeypatch.setattr(P.O, "table_overview", lambda *a, **k: late)
+    res = P.run_analysis(spark.range(30).toDF("n"), AnalysisContext(target="n", problem_type="regression"), ["overview"], sample=True)
+    assert set(res["overview"]) == {"table", "columns", "error"}
+    assert [r["result"] for r in res["overview"]["error"].collect()] == ["flags"]
+    meta = res["meta"]["run"].first()
+    assert (meta["n_rows"], meta["n_columns"], meta["sampled"], meta["sample_n"], meta["target"]) == (30, 1, False, 30, "n")
+    rows = {(r["module"], r["result"]): r for r in P.summary(res).collect()}
+    assert "late" in rows["overview", "table"]["error"] and rows["overview", "columns"]["n_rows"] == 1
+    failed = P.write_analysis(res, str(tmp_path))
+    assert set(failed) == {"overview/table"}
+    log = spark.read.parquet(f"{tmp_path}/meta/results")
+    assert log.where("error IS NULL").count() == len(rows) - 1 and log.where("seconds < 0").count() == 0
+    assert res._kept
+    res.release()
+    assert not res._kept
+
+
+def test_short_series_are_reported(spark):
+    from tablescope.operators import timeseries as TS
+    rows = [(i, "2024-01-%02d" % (1 + i % 28), float(i) if i < 12 else None, 1.0 if i < 9 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, day string, a double, b double")
+    got = {(r["value"], r["n"], r["status"]) for r in TS.series_status(df, "day", ["a", "b"]).collect()}
+    assert got == {("a", 12, "ok"), ("b", 9, "too short")}
+    assert TS.series_status(df.limit(0), "day", ["a"]).first()["n"] == 0
+
+
+def test_contingency_of_many_levels(spark):
+    from tablescope.operators import bivariate as BI
+    df = spark.range(36_000).select((F.col("id") % 2).alias("row"), F.concat(F.lit("v"), (F.col("id") % 12_000).cast("string")).alias("level"))
+    df = df.unionAll(spark.createDataFrame([(None, "v1"), (7, None), (9, "v11999")], "row long, level string"))
+    levels = {r["position"]: r["level"] for r in BI.contingency_levels(df, "level").collect()}
+    assert [levels[i] for i in range(12_000)] == sorted(f"v{i}" for i in range(12_000))
+    blocks = BI.contingency_blocks(df, "row", "level", 700).collect()
+    assert len(blocks) == 2 * 18 + 1 and {len(b["counts"]) for b in blocks} == {700, 100}
+    for b in blocks:
+        for i, n in enumerate(b["counts"]):
+            v = int(levels[b["block"] * 700 + i][1:])
+            assert n == (int(v == 11_999) if b["row"] == "9" else 3 if v % 2 == int(b["row"]) else 0)
+    small = BI.contingency_table(df.where("level IN ('v1', 'v2')"), "row", "level")
+    assert {tuple(r) for r in small.collect()} == {("0", 0, 3), ("1", 3, 0)} and small.columns == ["row", "v1", "v2"]
+    assert BI.contingency_blocks(df.limit(0), "row", "level").count() == 0
+
+
 def test_content_hash_tells_nulls_columns_and_maps_apart(spark):
     def h(rows, schema):
         return SF.content_hash(spark.createDataFrame(rows, schema)).first()["content_hash"]
