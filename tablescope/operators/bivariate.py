@@ -117,7 +117,7 @@ def scatter_sample(df: DataFrame, columns: list[str], points: int = SCATTER_POIN
     share = {(r["var_a"], r["var_b"]): min(1.0, 4 * points / r["n"]) for r in B.pair_moments(df, pairs).select("var_a", "var_b", "n").collect()}
     while share:
         # values below a bound of the hash, counted; a pair whose bound holds too few points gets a wider one
-        bound = X.lit_rows(df, [(a, b, -(1 << 63) + int(((1 << 64) - 1) * p)) for (a, b), p in share.items()], "var_a string, var_b string, bound bigint")
+        bound = X.lit_rows(df, [(a, b, min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * p))) for (a, b), p in share.items()], "var_a string, var_b string, bound bigint")
         low = rows.join(F.broadcast(bound), ["var_a", "var_b"]).where(F.col("h") <= F.col("bound"))
         low = cut_lineage(low.groupBy("var_a", "var_b", "x", "y", "h").agg(F.least(F.count(F.lit(1)), F.lit(points)).alias("w")))
         got = {(r["var_a"], r["var_b"]): r["w"] for r in low.groupBy("var_a", "var_b").agg(F.sum("w").alias("w")).collect()}

@@ -181,6 +181,14 @@ def test_short_series_are_reported(spark):
     assert TS.series_status(df.limit(0), "day", ["a"]).first()["n"] == 0
 
 
+def test_scatter_sample_of_a_small_table_is_the_table(spark):
+    from tablescope.operators import bivariate as BI
+    df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(50)] + [(None, 1.0)], "a double, b double")
+    got = sorted((r["x"], r["y"]) for r in BI.scatter_sample(df, ["a", "b"]).collect())
+    assert got == [(float(i), float(i % 7)) for i in range(50)]
+    assert BI.scatter_sample(df, ["a", "b"], points=20).count() == 20
+
+
 def test_contingency_of_many_levels(spark):
     from tablescope.operators import bivariate as BI
     df = spark.range(36_000).select((F.col("id") % 2).alias("row"), F.concat(F.lit("v"), (F.col("id") % 12_000).cast("string")).alias("level"))
