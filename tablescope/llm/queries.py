@@ -131,27 +131,28 @@ def _seed_rows(key: str, table: str) -> str:
 
 
 def _quantile_rules_sql() -> str:
-    gamma, fence, least = "(1.02::double / 0.98::double)", 3.0, 50
-    measures = {"word_length": ("word_chars / n_words", 0.5, True), "symbol_rate": ("n_symbols / n_words", 0.05, False),
-                "dup_line_rate": ("n_dup_lines / n_words", 0.01, False), "repeat_rate": ("n_repeat_words / n_words", 0.03, False)}
+    gamma, pseudo = "(1.005::double / 0.995::double)", 50.0
+    measures = {"word_length": ("word_chars / n_words", "n_words", 4.0, True), "symbol_rate": ("(n_symbols + 0.5::double) / (n_words + 1)", "n_symbols", 2.0, False),
+                "dup_line_rate": ("(n_dup_lines + 0.5::double) / (n_words + 1)", "n_dup_lines", 2.0, False),
+                "repeat_rate": ("(n_repeat_words + 0.5::double) / (n_words + 1)", "n_repeat_words", 2.0, False)}
     rows = " union all ".join(
-        f"select lang, source, '{m}' as measure, case when x <= 1e-6 then 0 else ceil(ln(x / 1e-6) / ln({gamma}))::int end as bin "
-        f"from (select lang, source, ({e})::double as x from m where not base_failed)" for m, (e, _, _) in measures.items())
+        f"select lang, source, '{m}' as measure, ceil(ln(x) / ln({gamma}))::int as bin "
+        f"from (select lang, source, ({e})::double as x from m where not base_failed)" for m, (e, *_) in measures.items())
 
     def level(name, keys):
         over = f"partition by measure{keys}"
-        value = f"case when bin = 0 then 0.0 else pow({gamma}, bin - 0.5) * 1e-6 end"
         return f"""
-{name} as (select measure{keys}, max(a) as n, min(case when b >= 0.25 * a then {value} end) as q1, min(case when b >= 0.75 * a then {value} end) as q3
+{name} as (select measure{keys}, max(a) as n, ln(pow({gamma}, min(case when b >= 0.25 * a then bin end) - 1)) as q1,
+  ln(pow({gamma}, min(case when b >= 0.75 * a then bin end))) as q3
   from (select *, sum(n) over ({over} order by bin) as b, sum(n) over ({over}) as a from
         (select measure{keys}, bin, count(*) as n from s group by measure{keys}, bin)) group by measure{keys})"""
-    pick = {q: f"case when f.n >= {least} then f.{q} when c.n >= {least} then c.{q} else w.{q} end" for q in ("q1", "q3")}
+    pick = {q: f"(f.n * f.{q} + {pseudo} * (c.n * c.{q} + {pseudo} * w.{q}) / (c.n + {pseudo})) / (f.n + {pseudo})" for q in ("q1", "q3")}
     fences, tests = [], []
-    for m, (e, spread, both) in measures.items():
-        fences.append(f"max(case when measure = '{m}' then q3 + greatest(q3 - q1, {spread}) * {fence} end) as {m}_high")
-        tests.append(f"({e})::double <= {m}_high")
+    for m, (e, count, fence, both) in measures.items():
+        fences.append(f"max(case when measure = '{m}' then exp(q3 + (q3 - q1) * {fence}) end) as {m}_high")
+        tests.append(f"({count} = 0 or ({e})::double <= {m}_high)")
         if both:
-            fences.append(f"max(case when measure = '{m}' then q1 - greatest(q3 - q1, {spread}) * {fence} end) as {m}_low")
+            fences.append(f"max(case when measure = '{m}' then exp(q1 - (q3 - q1) * {fence}) end) as {m}_low")
             tests.append(f"({e})::double >= {m}_low")
     return rf"""
 with w as (select doc_id, lang, source, coalesce(text, '') as t, {WORDS.format(text="coalesce(text, '')")} as ws from documents),

@@ -76,3 +76,29 @@ def test_adaptive_rules_drop_outliers_only(spark):
     whole = Q.quartiles(Q.merged(s, []), []).where("measure = 'word_length'").first()
     exact = measured.where("not base_failed").select(F.percentile(F.expr("word_chars / n_words"), F.lit(0.75))).first()[0]
     assert abs(whole["q3"] - exact) <= 0.03 * exact
+
+
+def test_fences_follow_the_rates_of_their_source(spark):
+    rng = random.Random(8)
+
+    def text(often):
+        w = words(rng, 120) if not often else [x + rng.choice(("", "yyyy")) for x in words(rng, 120)]
+        for _ in range(rng.randint(6, 12) if often else rng.randint(0, 1)):
+            w[rng.randrange(120)] += "#"
+        lines = [" ".join(w[i:i + 12]) for i in range(0, 120, 12)]
+        if often:
+            lines += lines[:rng.randint(1, 2)]
+        return "\n".join(lines)
+    rows = [(i, text(i % 2), "en", "noisy" if i % 2 else "plain") for i in range(400)] + [(900, text(1), "en", "plain"), (901, text(0), "en", "rare")]
+    rows += [rows[0], (902, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("symbol_rate_high", F.lit("x"))
+    measured = Q.measures(df).cache()
+    fences = {r["source"]: r for r in Q.thresholds(Q.sketches(measured)).collect()}
+    assert set(fences) == {"noisy", "plain", "rare"}
+    for c in ("word_length_high", "symbol_rate_high", "dup_line_rate_high", "repeat_rate_high"):
+        assert fences["noisy"][c] > 1.15 * fences["plain"][c], c
+        assert fences["plain"][c] < fences["rare"][c], c  # one document: drawn towards its language, which mixes both
+    out = Q.apply_rules(measured.withColumn("symbol_rate_high", F.lit("x")))
+    got = {r["doc_id"]: r["kept"] for r in out.collect()}
+    assert not got[900] and got[901] and not got[902] and out.count() == len(rows)
+    assert sum(got[i] for i in range(400)) >= 380
