@@ -2,10 +2,12 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from tablescope.llm import binary_packing as B
@@ -161,6 +163,56 @@ def test_dom_model(spark):
     assert D.train(df.limit(0)).odds == {}
 
 
+BODY = "<h1>The title</h1><p>A first sentence, long enough to be one, of the article.</p><p>And a second sentence, again long enough.</p>"
+TEXT = "The title\nA first sentence, long enough to be one, of the article.\nAnd a second sentence, again long enough."
+
+
+@pytest.fixture(scope="module")
+def dom(spark):
+    return D.train(spark.createDataFrame([(i, PAGE.replace("{ad}", f'<div class="ad">Buy {i}.</div>')) for i in range(20)], "page_id long, html string"))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<nav>Menu</nav><div id="content" class="no-sidebar">{BODY}</div><div class="sidebar">See also.</div>', TEXT),
+    (f'<div class="post-with-comments">{BODY}<div id="comments"><p>I like it, very much.</p></div></div>', TEXT),
+    (f'<div class="wide sidebar">{BODY}</div><div class="site-footer"><p>All rights, reserved.</p></div>', TEXT),
+    (f"<article><svg/>{BODY}</article>", TEXT),
+    (f"<article><button>Share{BODY}</article>", "Share " + TEXT),
+    (f"<article><div><button>Share</div>{BODY}<button>x</button></article>", TEXT),
+    (f"<article><svg><title>t</title><g><path/><text>drawn</text></g></svg>{BODY}</article>", TEXT),
+    (f'<article><header class="entry-header"><h1>Head</h1></header>{BODY}</article>', "Head\n" + TEXT),
+    (f'<article><div class="entry-header"><h2>Head</h2></div>{BODY}</article>', "Head\n" + TEXT),
+    (f"<article>{BODY}<figure><img src=a><figcaption>A view of it.</figcaption></figure></article>", TEXT + "\nA view of it."),
+    (f"<article>{BODY}<table><tr><td>a<td>1<tr><td>b<td>2</table></article>", TEXT + "\na\n1\nb\n2"),
+    (f"<article>{BODY}<p>Let <math><mi>x</mi><p>y</math> be a number, as above.</article>", TEXT + "\nLet be a number, as above."),
+    (f"<article data-a='>' title=it's data-b=\"x'>\">{BODY}</article>", TEXT),
+    (f"<article>{BODY}<p title=\"never closed>And an end, after all.</article>", TEXT + "\nAnd an end, after all."),
+    (f"<article>{BODY}<p>1 < 2 <3, is it not?<!-- <p>hidden --></article><noscript><p>on</p></noscript>", TEXT + "\n1 < 2 <3, is it not?"),
+    (f"<article>{BODY}</article><form><p>Your name, please.</p></form><select><option>a<option>b</select><textarea><p>t</textarea>", TEXT),
+])
+def test_dom_of_odd_pages(dom, page, want):
+    assert D.main_text(f"<html><head><title>t</title></head><body>{page}</body></html>", dom).replace("Share\n", "Share ") == want
+
+
+@pytest.mark.parametrize("piece", ["<script ", '<p title="x" ', '<a href="', "<p a='", "<button>", "<li>", "<div></p>", "<p = ", "<!-- ", "<svg><td>", "<ul><li><div>"])
+def test_dom_takes_linear_time(piece):
+    def seconds(n):
+        start = time.process_time()
+        D.parse(piece * n)
+        return time.process_time() - start
+    seconds(100)
+    assert seconds(40_000) < 30 * seconds(4_000) + 0.5
+
+
+def test_dom_repeated_rows_clashing_names_empty_table(spark, dom):
+    df = spark.createDataFrame([(1, BODY, "x"), (1, BODY, "x"), (None, None, None)], "page_id long, html string, text string")
+    out = df.withColumn("t", D.extract(F.col("html"), dom, spark))
+    rows = out.collect()
+    assert len(rows) == 3 and [r["text"] for r in rows].count("x") == 2
+    assert len({r["t"] for r in rows if r["page_id"] == 1}) == 1
+    assert out.limit(0).count() == 0
+
+
 def test_sum_product_equals_enumeration():
     model = D.DomModel({"a": 0.7, "b": -1.1}, {(k, u, y): math.log(p) for k in ("run", "element") for u, y, p in ((0, 0, 0.9), (0, 1, 0.1), (1, 1, 0.7), (1, 0, 0.3))})
     nodes = [D.Node("#root", -1, []), D.Node("div", 0, ["a"]), D.Node("#text", 1, ["b"]), D.Node("p", 1, ["b"], prior=0.4), D.Node("#text", 3, ["a"])]
