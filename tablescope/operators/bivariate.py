@@ -158,18 +158,27 @@ def _skew_kurt(long: DataFrame) -> DataFrame:
 def normality_gate(df: DataFrame, nums: list[str], cats: list[str], levels: int | None = None) -> DataFrame:
     """ANOVA if every group looks normal at .05, otherwise Kruskal-Wallis.
 
-    Groups up to 5,000 values by Shapiro-Wilk, larger ones by Jarque-Bera.
+    Groups up to 5,000 values by Shapiro-Wilk, larger ones by Jarque-Bera. Both are reported, so a verdict that only follows the size
+    shows: ``lowest_shapiro`` of the ``n_shapiro`` groups within its limit, ``lowest_jarque_bera`` of all groups, and whether the gate would
+    choose the same test by Jarque-Bera alone (``agree``).
     """
     keys = ["num", "cat", "grp"]
     long = G.grouped_long(df, nums, cats, levels)
     kept = G.moments(long, MIN_GROUP).select(*keys, "n")
     small = U.shapiro_wilk(long, keys).select(*keys, F.col("pvalue").alias("sw"))
-    jb = F.col("n") / 6.0 * (F.col("s") ** 2 + F.col("k") ** 2 / 4.0)
-    large = _skew_kurt(long).where(F.col("n") > U.SHAPIRO_MAX).select(*keys, F.exp(-jb / 2).alias("jb"))
-    p = F.coalesce("sw", "jb", F.lit(1.0))
-    return (kept.join(small, keys, "left").join(large, keys, "left").groupBy("num", "cat")
-            .agg(F.count(F.lit(1)).alias("n_groups"), F.min(p).alias("lowest_p"))
-            .withColumn("test", F.when(F.col("lowest_p") >= 0.05, "anova").otherwise("kruskal_wallis")))
+    shape = F.col("n") / 6.0 * (F.col("s") ** 2 + F.col("k") ** 2 / 4.0)
+    # a constant group has neither skewness nor kurtosis and is left to the other test
+    moments = _skew_kurt(long).select(*keys, F.exp(-shape / 2).alias("jb"))
+    jb = F.when(~F.isnan("jb"), F.col("jb"))
+    p = F.coalesce("sw", F.when(F.col("n") > U.SHAPIRO_MAX, jb), F.lit(1.0))
+    out = kept.join(small, keys, "left").join(moments, keys, "left").groupBy("num", "cat").agg(
+        F.count(F.lit(1)).alias("n_groups"), F.min(p).alias("lowest_p"), F.count("sw").alias("n_shapiro"), F.min("sw").alias("lowest_shapiro"),
+        F.min(jb).alias("lowest_jarque_bera"))
+
+    def anova(lowest):
+        return F.coalesce(F.col(lowest), F.lit(1.0)) >= 0.05
+    return out.withColumn("test", F.when(anova("lowest_p"), "anova").otherwise("kruskal_wallis")).withColumn(
+        "agree", anova("lowest_p") == anova("lowest_jarque_bera"))
 
 
 def anova_oneway(df: DataFrame, nums: list[str], cats: list[str], levels: int | None = None) -> DataFrame:

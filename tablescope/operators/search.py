@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions import expr as X
 from tablescope.plans import blocks as B
+from tablescope.session import cut_lineage
 
 # BM25 parameters and the shortest kept token.
 K1, LENGTH_WEIGHT, MIN_LENGTH, TOP = 1.5, 0.75, 3, 3
@@ -56,8 +56,8 @@ def bm25_topk(df: DataFrame, doc: str, text: str, query: str, k: int = TOP) -> D
     """The k best documents; a repeated query word counts again.
 
     Each row turns into its length and one count per query word, so the texts are read once and never
-    shuffled; these few numbers per document are kept for the second step, which follows when the corpus
-    statistics (one row) are known and keeps a per-task top k.
+    shuffled; these few numbers per document are checkpointed for the second step, which follows when the corpus
+    statistics (one row) are known and keeps a per-task top k. A lost executor loses none of them.
     """
     words = [w for w in re.sub(r"[^\w\s]", " ", query.lower()).split() if len(w) >= MIN_LENGTH]
     if not words:
@@ -67,7 +67,7 @@ def bm25_topk(df: DataFrame, doc: str, text: str, query: str, k: int = TOP) -> D
     docs = df.select(X.ref(doc).alias("doc"), tokens.alias("tokens")).select(
         "doc", F.size("tokens").cast("double").alias("length"),
         *[_occurrences("tokens", w).cast("double").alias(f"tf{i}") for i, w in enumerate(distinct)])
-    docs = docs.persist(StorageLevel.DISK_ONLY)
+    docs = cut_lineage(docs)
     one = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"),
                    *[X.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
     # One row of corpus statistics, joined on a constant key.

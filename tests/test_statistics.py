@@ -69,6 +69,26 @@ def test_normality_gate_chooses_by_shape(spark):
     assert got == {"n": "anova", "s": "kruskal_wallis"}
 
 
+def test_normality_gate_reports_both_tests(spark):
+    rng = np.random.default_rng(3)
+    parts = {"large": rng.normal(size=6_000), "small": rng.exponential(size=300), "flat": np.full(20, 2.0), "pair": np.array([1.0, 9.0])}
+    df = frame(spark, g=[k for k, v in parts.items() for _ in v], x=np.concatenate(list(parts.values())))
+
+    def jb(x):
+        z = (x - x.mean()) / x.std()
+        return np.exp(-len(x) / 12 * ((z**3).mean() ** 2 + ((z**4).mean() - 3) ** 2 / 4))
+    row = BI.normality_gate(df, ["x"], ["g"]).first()
+    assert (row["n_groups"], row["test"], row["agree"]) == (3, "kruskal_wallis", True)
+    assert row["lowest_jarque_bera"] == pytest.approx(min(jb(parts["large"]), jb(parts["small"])), rel=1e-6, abs=1e-12)
+    assert row["n_shapiro"] <= 2 and row["lowest_p"] == row["lowest_shapiro"] < 0.05
+    other = rng.normal(size=5_500)
+    two = frame(spark, g=["large"] * 6_000 + ["other"] * 5_500, x=np.concatenate([parts["large"], other]))
+    alone = BI.normality_gate(two, ["x"], ["g"]).first()
+    assert alone["n_shapiro"] == 0 and alone["lowest_shapiro"] is None and alone["agree"]
+    assert alone["lowest_p"] == alone["lowest_jarque_bera"] == pytest.approx(min(jb(parts["large"]), jb(other)), rel=1e-6)
+    assert BI.normality_gate(df.limit(0), ["x"], ["g"]).count() == 0
+
+
 def test_fdr_step_up(spark):
     p = [0.01, 0.04, 0.03, 0.002, 0.5]
     tests = frame(spark, pvalue=p, position=list(range(5)))
