@@ -28,7 +28,7 @@ from tablescope.session import cut_lineage
 
 ANCHOR = 32
 #: Bytes of text worked on at once: about a hundred bytes of arrays for each.
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 17
 WIDTHS = (16, 4, 1)
 #: Up to so many documents' span lists are sent to all executors; more are joined by shuffle.
 BROADCAST_DOCUMENTS = 400_000
