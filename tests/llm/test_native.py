@@ -99,6 +99,8 @@ def test_fences_follow_the_rates_of_their_source(spark):
         assert fences["noisy"][c] > 1.15 * fences["plain"][c], c
         assert fences["plain"][c] < fences["rare"][c], c  # one document: drawn towards its language, which mixes both
     out = Q.apply_rules(measured.withColumn("symbol_rate_high", F.lit("x")))
-    got = {r["doc_id"]: r["kept"] for r in out.collect()}
+    rows_out = out.collect()
+    got = {r["doc_id"]: r["kept"] for r in rows_out}
+    sound = [r["doc_id"] for r in rows_out if r["doc_id"] < 400 and not r["base_failed"]]  # two repeated lines are over the base rule
     assert not got[900] and got[901] and not got[902] and out.count() == len(rows)
-    assert sum(got[i] for i in range(400)) >= 380
+    assert len(sound) > 250 and sum(got[i] for i in sound) >= 0.95 * len(sound)
