@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.context import PROBLEM_TYPES
 from tablescope.functions import expr as X
+from tablescope.functions import kmeans as K
 from tablescope.functions import neighbours as N
 from tablescope.operators import information as I
 from tablescope.operators import multivariate as M
@@ -27,7 +24,8 @@ from tablescope.session import cut_lineage
 KM_ROWS, KM_MAX, SEED = 20, 8, 42
 # A fit stops when no centre moves further than this (in standard deviations).
 KM_TOLERANCE = 5e-3
-KM_PARALLEL = 4
+# Distinct vectors from which the fits start, rows of a task of an iterative fit.
+KM_SAMPLE, PART_ROWS = 200_000, 500_000
 AN_ROWS, TREES, TREE_ROWS, NEIGHBOURS, FLAGGED = 21, 100, 256, 20, 0.05
 # Points per leaf of the neighbour search (a leaf of twice as many is split), rows of the driver-side sample that places cuts.
 LEAF, CUT_SAMPLE = 2_000, 50_000
@@ -72,36 +70,112 @@ def _standardized(df: DataFrame, columns: list[str], keep: list[str] = ()) -> tu
     return df.select(*[X.ref(c) for c in keep], *z).dropna(subset=names), int(n)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Iterative fits touch the rows many times: use every core even if the input is one file.
-    A table with enough partitions is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def _vectors(df: DataFrame, columns: list[str], keep: list[str] = ()) -> tuple[DataFrame, int]:
-    z, n = _standardized(df, columns, keep)
-    assembler = VectorAssembler(inputCols=[f"z{i}" for i in range(len(columns))], outputCol="features")
-    return assembler.transform(z), n
+def _spread(df: DataFrame, n: int) -> DataFrame:
+    """Iterative fits touch the rows many times: use every core even if the input is one file, and no more than
+    ``PART_ROWS`` of ``n`` rows in a task. A table with enough partitions is left as it is."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // PART_ROWS))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+
+
+def _start_sample(data: DataFrame, names: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, weights) of about ``KM_SAMPLE`` distinct vectors drawn by hash, all of them if there are few."""
+    share = min(1.0, KM_SAMPLE / n)
+    while True:
+        # a table of few distinct vectors needs a larger share of them
+        low = data if share >= 1 else data.where(F.xxhash64(F.lit(SEED), *names) < -(1 << 63) + int((1 << 64) * share))
+        drawn = low.groupBy(*names).agg(F.count(F.lit(1)).alias("w")).orderBy(F.xxhash64(F.lit(SEED), *names), *names).limit(2 * KM_SAMPLE).toPandas()
+        if share >= 1 or len(drawn) >= KM_SAMPLE // 4:
+            return drawn[names].to_numpy(float).T.copy(), drawn["w"].to_numpy(float)
+        share = min(1.0, 16 * share)
+
+
+def _batch_sums(data: DataFrame, names: list[str], work, fields: list[str]) -> pd.DataFrame:
+    """Adds up, over all Arrow batches and tasks, the rows (fit, cluster, fields) that ``work`` yields for the columns of a batch."""
+    def run(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                for fit, rows in work(x):
+                    for cluster, row in enumerate(rows):
+                        total[fit, cluster] = total.get((fit, cluster), 0.0) + row
+        keys = sorted(total)
+        yield pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
+                               *[pa.array([float(total[k][i]) for k in keys], pa.float64()) for i in range(len(fields))]], ["fit", "cluster", *fields])
+    types = ", ".join(f"{f} double" for f in fields)
+    sums = data.select(*names).mapInArrow(run, f"fit int, cluster int, {types}").groupBy("fit", "cluster").agg(*[F.sum(f).alias(f) for f in fields])
+    # one row per cluster
+    return sums.toPandas().sort_values(["fit", "cluster"]).set_index("fit")
+
+
+def _table_of(found: pd.DataFrame, fit: int) -> np.ndarray:
+    return found.loc[[fit]].drop(columns="cluster").to_numpy(float)
+
+
+def _fit(data: DataFrame, names: list[str], n: int, ks: list[int], rounds: int) -> dict[int, np.ndarray]:
+    """Lloyd's centres for every k, from one job a round for all fits that still move.
+
+    The starts are fits of a bounded sample; every round assigns all rows, and a fit ends when a round over
+    all rows moves no centre further than ``KM_TOLERANCE``.
+    """
+    sc = data.sparkSession.sparkContext
+    sample = sc.broadcast(_start_sample(data, names, n))
+    centres = dict(sc.parallelize(ks, len(ks)).map(lambda k: (k, K.start(*sample.value, k, SEED, rounds, KM_TOLERANCE))).collect())
+    sample.destroy()
+    fields = ["n", *[f"s{i}" for i in range(len(names))]]
+    moving = list(ks)
+    for _ in range(rounds):
+        if not moving:
+            break
+        now = {k: centres[k] for k in moving}
+
+        def work(x, now=now):
+            for k, c in now.items():
+                yield k, K.sums(x, K.nearest(x, c)[0], len(c))
+        found = _batch_sums(data, names, work, fields)
+        for k in list(moving):
+            new = K.moved(centres[k], _table_of(found, k))
+            gap = np.sqrt(((new - centres[k]) ** 2).sum(axis=1).max())
+            centres[k] = new
+            if gap <= KM_TOLERANCE:
+                moving.remove(k)
+    return centres
+
+
+def _judge(data: DataFrame, names: list[str], centres: dict[int, np.ndarray]) -> list[tuple[int, float, float | None]]:
+    """(k, inertia, silhouette) over all rows: one pass for the clusters' sums, one for the rows' silhouettes."""
+    fields = ["n", *[f"s{i}" for i in range(len(names))], "squares", "cost"]
+
+    def describe(x):
+        norm = (x * x).sum(axis=0)
+        for k, c in centres.items():
+            label, best = K.nearest(x, c)
+            cost = np.maximum(norm + 2 * best, 0.0)
+            yield k, np.column_stack([K.sums(x, label, len(c)), np.bincount(label, norm, len(c)), np.bincount(label, cost, len(c))])
+    found = _batch_sums(data, names, describe, fields)
+    tables = {k: _table_of(found, k) for k in centres}
+    several = {k: c for k, c in centres.items() if (tables[k][:, 0] > 0).sum() > 1}
+
+    def judge(x):
+        for k, c in several.items():
+            t = tables[k]
+            yield k, [np.array([K.silhouettes(x, K.nearest(x, c)[0], t[:, :-2], t[:, -2]).sum()])]
+    scores = _batch_sums(data, names, judge, ["silhouette"])["silhouette"] if several else {}
+    return [(k, float(t[:, -1].sum()), float(scores[k] / t[:, 0].sum()) if k in several else None) for k, t in tables.items()]
 
 
 def kmeans_sweep(df: DataFrame, columns: list[str]) -> DataFrame:
     """ML3: inertia and silhouette for k = 2 .. min(8, n // 5), all rows."""
-    data, n = _vectors(df, columns)
+    data, n = _standardized(df, columns)
     schema = "k int, inertia double, silhouette double"
     if n < KM_ROWS or len(columns) < 2:
         return X.lit_rows(df, [], schema)
-    data = _spread(data.select("features")).persist()
-    judge = ClusteringEvaluator()
-
-    def fit(k):
-        model = KMeans(k=k, seed=SEED, maxIter=100, tol=KM_TOLERANCE).fit(data)
-        return k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(data)))
-
-    # The fits are independent Spark jobs over the same cached rows.
-    with ThreadPoolExecutor(KM_PARALLEL) as pool:
-        out = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(2, min(KM_MAX, n // 5) + 1)))
-    data.unpersist()
+    names = data.columns
+    data = _spread(data, n).persist()
+    try:
+        out = _judge(data, names, _fit(data, names, n, list(range(2, min(KM_MAX, n // 5) + 1)), 100))
+    finally:
+        data.unpersist()
     return X.lit_rows(df, out, schema)
 
 
@@ -110,10 +184,17 @@ def kmeans_assign(df: DataFrame, columns: list[str], keep: list[str] = (), k: in
     if k is None:
         best = kmeans_sweep(df, columns).orderBy(F.desc("silhouette"), "k").first()
         k = best["k"] if best else 2
-    data, _ = _vectors(df, columns, keep)
-    data = _spread(data).persist()
-    model = KMeans(k=k, seed=SEED, maxIter=300, tol=KM_TOLERANCE).fit(data)
-    return model.transform(data).withColumnRenamed("prediction", "cluster")
+    z, n = _standardized(df, columns, keep)
+    names = [f"z{i}" for i in range(len(columns))]
+    if n == 0:
+        return z.withColumn("cluster", F.lit(0))
+    data = _spread(z.select(*names), n).persist()
+    try:
+        centres = _fit(data, names, n, [k], 300)[k]
+    finally:
+        data.unpersist()
+    gaps = F.array(*[reduce(lambda a, b: a + b, [(F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(names, centre, strict=True)]) for centre in centres])
+    return z.withColumn("_gaps", gaps).withColumn("cluster", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_gaps")
 
 
 def kmeans_best(df: DataFrame, columns: list[str], k: int | None = None) -> DataFrame:
@@ -143,7 +224,7 @@ def _distinct(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str],
     z, n = _standardized(df, columns)
     names = [f"z{i}" for i in range(len(columns))]
     v = z.groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
-    return cut_lineage(_spread(v).withColumn("id", F.monotonically_increasing_id())), names, n
+    return cut_lineage(_spread(v, n).withColumn("id", F.monotonically_increasing_id())), names, n
 
 
 def _worst(scored: DataFrame, value: str) -> DataFrame:

@@ -123,6 +123,43 @@ def test_kmeans_finds_the_blobs(spark):
     assert sorted(r["n"] for r in ML.kmeans_best(df, ["a", "b"], k=3).collect()) == [200, 200, 200]
 
 
+def test_kmeans_fits_share_their_rounds_and_tasks_stay_bounded(spark, monkeypatch):
+    x = np.concatenate([blobs()[:600]] * 2 + [np.full((40, 2), 5.0)])
+    df = frame(spark, a=x[:, 0], b=x[:, 1])
+    rounds, parts, whole = [], [], ML._batch_sums
+
+    def counted(data, *rest):
+        rounds.append(1)
+        parts.append(data.rdd.getNumPartitions())
+        return whole(data, *rest)
+    monkeypatch.setattr(ML, "_batch_sums", counted)
+    monkeypatch.setattr(ML, "PART_ROWS", 100)
+    sweep = {r["k"]: r for r in ML.kmeans_sweep(df, ["a", "b"]).collect()}
+    assert len(rounds) < 2 * len(sweep) + 20  # one job a round for all seven fits, two to judge them
+    assert min(parts) >= 13  # at most about a hundred rows a task
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    monkeypatch.setattr(ML, "_batch_sums", whole)
+    labels = np.array([r["cluster"] for r in ML.kmeans_assign(df.coalesce(1), ["a", "b"], k=3).orderBy("z0", "z1").collect()])
+    z = z[np.lexsort((z[:, 1], z[:, 0]))]
+    centres = np.array([z[labels == c].mean(axis=0) for c in range(3)])
+    assert abs(((z - centres[labels]) ** 2).sum() - sweep[3]["inertia"]) < 1e-2 * sweep[3]["inertia"]
+    d = ((z[:, None] - z[None]) ** 2).sum(-1)
+    size = np.bincount(labels)
+    mean = np.stack([d[:, labels == c].sum(axis=1) / size[c] for c in range(3)], axis=1)
+    at = np.arange(len(z))
+    a = mean[at, labels] * size[labels] / (size[labels] - 1)
+    mean[at, labels] = np.inf
+    b = mean.min(axis=1)
+    assert abs(((b - a) / np.maximum(a, b)).mean() - sweep[3]["silhouette"]) < 1e-6
+
+
+def test_kmeans_of_few_distinct_vectors(spark):
+    df = frame(spark, a=[0.0, 1.0, 1.0] * 20, b=[0.0, 2.0, 2.0] * 20)
+    sweep = ML.kmeans_sweep(df, ["a", "b"]).collect()
+    assert len(sweep) == 7 and all(abs(r["inertia"]) < 1e-9 and abs(r["silhouette"] - 1) < 1e-9 for r in sweep)
+    assert sorted(r["n"] for r in ML.kmeans_best(df, ["a", "b"]).collect()) == [20, 40]
+
+
 def brute_lof(x, k):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
