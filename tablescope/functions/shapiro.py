@@ -62,8 +62,10 @@ def shapiro(values) -> tuple[float, float]:
 
 
 def shapiro_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` holds (keys, x), 3 to 5,000 per group."""
+    """``rows`` holds (keys, x), up to 5,000 per group; fewer than 3 give no statistic."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < 3:
+            return pdf[keys].head(1).assign(n=len(pdf), statistic=np.nan, pvalue=np.nan, normal=False)
         stat, p = shapiro(pdf["x"])
         return pdf[keys].head(1).assign(n=len(pdf), statistic=stat, pvalue=p, normal=p > 0.05)
 

@@ -69,12 +69,13 @@ def jarque_bera(df: DataFrame, columns: list[str]) -> DataFrame:
 def shapiro_wilk(long: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
     """U4: Shapiro-Wilk per group of 3 to 5,000 values; larger groups are left to Jarque-Bera.
 
-    Groups are counted first and only those within the limit reach a Python task.
+    Groups are counted first and only those within the limit reach a Python task. The larger ones are few (one for 5,000 rows
+    at most), so they are taken out by a broadcast and their rows are never shuffled.
     """
-    size = long.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    small = size.where(F.col("_n").between(3, SHAPIRO_MAX)).drop("_n")
-    rows = long.where(F.col(value).isNotNull()).join(small, keys)
-    return shapiro_groups(rows.select(*keys, F.col(value).cast("double").alias("x")), keys)
+    rows = long.dropna(subset=[*keys, value])
+    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(F.broadcast(size.where(F.col("_n") > SHAPIRO_MAX).drop("_n")), keys, "left_anti")
+    return shapiro_groups(rows.select(*keys, F.col(value).cast("double").alias("x")), keys).where("n >= 3")
 
 
 def _bins_of(n: Column) -> Column:

@@ -110,3 +110,14 @@ def test_moments_of_pairs_equal_numpy_without_copies_of_rows(spark):
         assert r["sxx"] == pytest.approx(((p - p.mean()) ** 2).sum(), rel=1e-6, abs=1e-9)
         assert r["sxy"] == pytest.approx(((p - p.mean()) * (q - q.mean())).sum(), rel=1e-5, abs=1e-6)
     assert B.pair_moments(df.limit(0), pairs).count() == 0
+
+
+def test_rows_of_large_groups_are_not_shuffled_for_shapiro(spark):
+    from tablescope.operators import univariate as U
+    rng = np.random.default_rng(2)
+    rows = [("large", float(v)) for v in rng.normal(size=6_000)] + [("small", float(v)) for v in rng.normal(size=50)] + [("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    out = U.shapiro_wilk(df, ["k"])
+    assert [(r["k"], r["n"]) for r in out.collect()] == [("small", 50)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "strategy=broadcast" in plan
