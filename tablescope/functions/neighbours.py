@@ -22,6 +22,7 @@ class KdTree:
         self.above: dict[int, tuple[int, int]] = {}  # leaf: its node and side
         self.root = self._grow(sample, leaves)
         self.home: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.lo = self.hi = np.zeros((0, 0))
 
     def _grow(self, points: np.ndarray, want: int) -> int:
         spread = np.ptp(points, axis=0) if len(points) else np.zeros(1)
@@ -56,7 +57,12 @@ class KdTree:
         return True
 
     def settle(self, leaf: dict[int, tuple[float, np.ndarray, np.ndarray]], enough: float) -> None:
-        """From (weight, least, most coordinates) of every leaf that holds points: ``home`` of the leaves below ``enough`` weight."""
+        """From (weight, least, most coordinates) of every leaf that holds points: its box, and ``home`` of the leaves below ``enough`` weight."""
+        if leaf:
+            self.lo = np.full((self.leaves, len(next(iter(leaf.values()))[1])), np.inf)
+            self.hi = -self.lo
+            for number, (_, lo, hi) in leaf.items():
+                self.lo[number], self.hi[number] = lo, hi
         stack, order = [(self.root, [])], []
         while stack:  # every leaf with the nodes above it
             at, above = stack.pop()
@@ -86,6 +92,12 @@ class KdTree:
                 out[i] = gap.max() if norm == "max" else np.sqrt((gap * gap).sum())
         return out * (1 + 1e-12)
 
+    def touches(self, x: np.ndarray, radius: np.ndarray, leaf: np.ndarray, norm: str) -> np.ndarray:
+        """Does the box of the leaf's points come within ``radius`` (rounding allowed for) of the row? An empty leaf has none."""
+        gap = np.maximum(np.maximum(self.lo[leaf] - x, x - self.hi[leaf]), 0.0)
+        far = gap.max(axis=1) if norm == "max" else np.sqrt((gap * gap).sum(axis=1))
+        return np.isfinite(far) & (far <= radius * (1 + 1e-9))
+
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), dtype=np.int64)
         stack = [(self.root, np.arange(len(x)))]

@@ -325,7 +325,7 @@ def search_tree(vectors: DataFrame, names: list[str], leaf_size: int) -> tuple[N
 def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_size: int = LEAF, norm: str = "euclid") -> DataFrame:
     """Exact k nearest neighbours: (id, nid, w, dist), weights adding up to k; ``norm`` is euclid or max.
 
-    Each vector first searches its own leaf; the distance found bounds a ball, and only the leaves this
+    Each vector first searches its own leaf; the distance found bounds a ball, and only the leaves whose points' box this
     ball reaches are searched as well. A leaf with too few points takes its bound from the box of the smallest
     part of the tree that has enough. Queries of a busy leaf are split into batches of two leaves' size, each with
     its own copy of the leaf.
@@ -353,8 +353,9 @@ def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_s
             open_ = np.isinf(radius)
             radius[open_] = tree.value.farthest(pdf["home"].to_numpy()[open_], x[open_], norm)
             row, leaf = tree.value.leaves_in_reach(x, radius)
-            out = pdf.iloc[row].assign(leaf=leaf)
-            yield out[out["leaf"] != out["home"]][[*names, "id", "leaf"]]
+            near = leaf != pdf["home"].to_numpy()[row]
+            near[near] = tree.value.touches(x[row[near]], radius[row[near]], leaf[near], norm)
+            yield pdf.iloc[row[near]].assign(leaf=leaf[near])[[*names, "id", "leaf"]]
 
     routed = cut_lineage(queries.mapInPandas(route, f"{types}, id bigint, leaf bigint"))
     batches = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf_size)).cast("int").alias("batches"))

@@ -160,6 +160,18 @@ def test_kmeans_of_few_distinct_vectors(spark):
     assert sorted(r["n"] for r in ML.kmeans_best(df, ["a", "b"]).collect()) == [20, 40]
 
 
+def test_balls_visit_only_leaves_whose_points_they_reach():
+    from tablescope.functions import neighbours as N
+    x = np.array([[float(v), 0.0] for v in (0, 0, 0, 0, 9, 9, 9, 9)])
+    tree = N.KdTree(x, 2)
+    leaf = tree.leaf_of(x)
+    tree.settle({int(a): (4, x[leaf == a].min(axis=0), x[leaf == a].max(axis=0)) for a in set(leaf)}, 3)
+    row, near = tree.leaves_in_reach(x, np.full(8, 5.0))
+    kept = tree.touches(x[row], np.full(len(row), 5.0), near, "euclid")
+    assert sorted(zip(row[kept].tolist(), near[kept].tolist(), strict=True)) == list(enumerate(leaf.tolist()))
+    assert tree.touches(x[:1], np.array([9.0]), leaf[-1:], "max").all()
+
+
 def brute_lof(x, k):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
