@@ -55,9 +55,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without byte strings that started earlier; a document of which nothing is left goes."""
-    out = prefix_doubling.repeated_spans(docs, length=PASSAGE, keep=["lang", "source"])
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(prefix_doubling.kept_text(F.col("text"), F.col("spans")))
-    out = out.select(F.col("id").alias("doc_id"), text.alias("text"), "payload.lang", "payload.source", (F.size("spans") > 0).alias("cut"))
+    out = prefix_doubling.cut_texts(prefix_doubling.repeated_spans(docs, length=PASSAGE, keep=["lang", "source"]))
+    out = out.select(F.col("id").alias("doc_id"), "text", "payload.lang", "payload.source", "cut")
     out = out.where(~F.col("cut") | F.regexp_like("text", F.lit(r"\S")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 

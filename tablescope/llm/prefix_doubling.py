@@ -251,8 +251,26 @@ def kept_bytes(text: Column, spans: Column) -> Column:
     return F.pandas_udf(cut, "binary")(text, spans)
 
 
-def kept_text(text: Column, spans: Column) -> Column:
-    """``kept_bytes`` as text; bytes of a character that a span has split are left out."""
-    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([_outside(t, x).decode("utf-8", "ignore") for t, x in zip(texts, lists, strict=True)])
-    return F.pandas_udf(cut, "string")(text, spans)
+def _cut(batches):
+    """(text, spans, ...) -> (text without the bytes of its spans, cut, ...), in pieces of about ``CHUNK`` bytes of text."""
+    for batch in batches:
+        text, lists, rest = batch.column(0), batch.column(1), batch.columns[2:]
+        for first, end, _, _ in X.chunks(text):
+            texts, spans = text.slice(first, end - first), lists.slice(first, end - first)
+            cut = np.diff(spans.offsets.to_numpy()) > 0
+            if cut.any():
+                texts = pa.array([_outside(t, x).decode("utf-8", "ignore") if c else t
+                                  for t, x, c in zip(texts.to_pylist(), spans.to_pylist(), cut.tolist(), strict=True)], batch.schema.field(0).type)
+            yield pa.record_batch([texts, pa.array(cut), *[c.slice(first, end - first) for c in rest]], ["text", "cut", *batch.schema.names[2:]])
+    X.release()
+
+
+def cut_texts(spans: DataFrame) -> DataFrame:
+    """(id, text, cut, payload) of the rows of ``repeated_spans``: the text outside the spans, and whether it has any.
+
+    Bytes of a character that a span has split are left out. One pass of one function, so a task needs one Python worker and,
+    beyond its batch, the memory of a piece of it, whatever is filtered or derived from the text afterwards.
+    """
+    rows = spans.select("text", "spans", "id", "payload")
+    payload = rows.schema["payload"].dataType.simpleString()
+    return rows.mapInArrow(_cut, f"text string, cut boolean, id long, payload {payload}").select("id", "text", "cut", "payload")

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tablescope.llm.prefix_doubling import kept_bytes, repeated_spans
+from tablescope.llm.prefix_doubling import cut_texts, kept_bytes, repeated_spans
 
 L = 100
 
@@ -69,3 +69,24 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
 
 def test_empty(spark):
     assert repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_cut_texts_in_one_pass(spark, capsys):
+    docs = sample()
+    df = spark.createDataFrame([(*d, "l") for d in docs], "doc_id long, text string, lang string").repartition(3)
+    out = cut_texts(repeated_spans(df, keep=["lang"]))
+    for r in out.collect():
+        b, at, keep = (dict(docs)[r["id"]] or "").encode(), 0, b""
+        for lo, hi in brute(docs)[r["id"]]:
+            keep, at = keep + b[at:lo], hi
+        assert r["text"] == (keep + b[at:]).decode("utf-8", "ignore")
+        assert r["cut"] == bool(brute(docs)[r["id"]]) and r["payload"]["lang"] == "l"
+
+
+def test_pipeline_cuts_a_text_once(spark, capsys):
+    """A filter on the text left must not cut every text again in a second Python worker."""
+    import corpus_pipeline
+    df = spark.createDataFrame([(i, t, "l", "s", 1) for i, t in sample()], "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.repeated_passages(spark, df, "").explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[0]
+    assert "EvalPython" not in plan
