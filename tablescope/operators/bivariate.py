@@ -189,9 +189,8 @@ def anova_oneway(df: DataFrame, nums: list[str], cats: list[str], levels: int |
 
 def kruskal_wallis(df: DataFrame, nums: list[str], cats: list[str], levels: int | None = None) -> DataFrame:
     """B9"""
-    long = G.grouped_long(df, nums, cats, levels)
-    groups = G.moments(long, MIN_GROUP)
-    return G.kruskal(G.rank_sums(long, groups)).withColumn("significant", F.col("pvalue") < 0.05)
+    long = G.spread(G.value_counts(df, nums, cats), df, cats, levels)
+    return G.kruskal(G.rank_sums(long, G.weighted_moments(long, MIN_GROUP))).withColumn("significant", F.col("pvalue") < 0.05)
 
 
 def num_cat_tests(df: DataFrame, nums: list[str], cats: list[str], levels: int | None = None) -> DataFrame:

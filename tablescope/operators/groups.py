@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tablescope.functions import expr as X
 from tablescope.functions import stats as ST
 from tablescope.plans import blocks as B
+from tablescope.session import cut_lineage
 
 KEYS = ["num", "cat"]
+# A table of so many groups is broadcast (about 100 bytes each).
+BROADCAST_GROUPS = 50_000
 
 
 def grouped_long(df: DataFrame, nums: list[str], cats: list[str], max_groups: int | None = None) -> DataFrame:
@@ -20,6 +23,10 @@ def grouped_long(df: DataFrame, nums: list[str], cats: list[str], max_groups: in
         F.struct(F.lit(n).alias("num"), F.lit(c).alias("cat"), X.text(df, c).alias("grp"), X.double(df, n).alias("x"))
         for n in nums for c in cats]))
         .where(F.col("grp").isNotNull() & F.col("x").isNotNull()))
+    return _first_levels(long, df, cats, max_groups)
+
+
+def _first_levels(long: DataFrame, df: DataFrame, cats: list[str], max_groups: int | None) -> DataFrame:
     if max_groups is None:
         return long
     place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
@@ -29,6 +36,43 @@ def grouped_long(df: DataFrame, nums: list[str], cats: list[str], max_groups: in
     return long.join(F.broadcast(levels), ["cat", "grp"])
 
 
+def value_counts(df: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
+    """(num, x, g0, g1, .., c): rows of every number and combination of levels, checkpointed.
+
+    The one pass over the rows behind rank tests and group statistics. A row becomes one row per number here, not one per
+    number and category; what follows spreads only what is left after merging equal rows.
+    """
+    levels = [f"g{i}" for i in range(len(cats))]
+    rows = df.select(*[X.text(df, c).alias(g) for c, g in zip(cats, levels, strict=True)],
+                     *[X.double(df, n).alias(f"x{i}") for i, n in enumerate(nums)])
+    rows = rows.select(*levels, X.rows(*[F.struct(F.lit(n).alias("num"), F.col(f"x{i}").alias("x")) for i, n in enumerate(nums)]))
+    return cut_lineage(rows.where("x is not null").groupBy("num", "x", *levels).agg(F.count(F.lit(1)).alias("c")))
+
+
+def spread(counts: DataFrame, df: DataFrame, cats: list[str], max_groups: int | None = None) -> DataFrame:
+    """``grouped_long`` of ``value_counts``: (num, cat, grp, x, c); a value may have several rows in a group."""
+    each = [F.struct(F.lit(c).alias("cat"), F.col(f"g{i}").alias("grp")) for i, c in enumerate(cats)]
+    long = counts.select("num", X.rows(*each), "x", "c").where("grp is not null")
+    return _first_levels(long, df, cats, max_groups)
+
+
+def weighted_moments(long: DataFrame, min_n: int) -> DataFrame:
+    """``moments`` of the rows of ``spread``, checkpointed: squares are summed around the mean in a second pass."""
+    by = [*KEYS, "grp"]
+    x, c = F.col("x"), F.col("c")
+    mean = F.when(F.min(x) == F.max(x), F.min(x)).otherwise(F.sum(c * x) / F.sum(c))
+    first = cut_lineage(long.groupBy(*by).agg(F.sum(c).alias("n"), mean.alias("mean"), F.min(x).alias("min"), F.max(x).alias("max")).where(F.col("n") >= min_n))
+    first = first.join(F.broadcast(first.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k")).where("k >= 2")), KEYS)
+    squares = _with_groups(long, first.select(*by, "mean")).groupBy(*by).agg(F.sum(c * (x - F.col("mean")) ** 2).alias("ss"))
+    return cut_lineage(first.join(squares, by).select(*by, "n", "mean", F.sqrt(F.col("ss") / F.col("n")).alias("std"), "min", "max", "ss", "k"))
+
+
+def _with_groups(long: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of the given groups with their columns."""
+    few = groups.count() <= BROADCAST_GROUPS
+    return long.join(F.broadcast(groups) if few else groups, [*KEYS, "grp"])
+
+
 def moments(long: DataFrame, min_n: int) -> DataFrame:
     """Count, mean, central sum of squares per group; only pairs left with two groups or more."""
     m = long.groupBy(*KEYS, "grp").agg(
@@ -55,14 +99,12 @@ def anova(groups: DataFrame) -> DataFrame:
 
 
 def rank_sums(long: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rank sum per group (average ranks over all kept groups of the pair) with the tie term.
+    """Rank sum per group (average ranks over all kept groups of the pair) with the tie term, from the rows of ``spread``.
 
     Values are merged per (pair, group) before the global order, so a value shared by a third of
     the rows is one row per group.
     """
-    kept = groups.select(*KEYS, "grp")
-    counts = (long.groupBy(*KEYS, "grp", "x").agg(F.count(F.lit(1)).alias("c"))
-              .join(kept, [*KEYS, "grp"]).select(*KEYS, "grp", "x", "c"))
+    counts = _with_groups(long, groups.select(*KEYS, "grp")).groupBy(*KEYS, "grp", "x").agg(F.sum("c").alias("c"))
     ranked = B.avg_ranks(counts, KEYS, "x", "c")
     t = F.col("_peers").cast("double")
     return ranked.groupBy(*KEYS, "grp").agg(

@@ -29,6 +29,15 @@ def _setup(df: DataFrame, nums: list[str], groupings: list[str], max_levels: int
     return long, G.moments(long, MIN_GROUP)
 
 
+def _ranked_setup(df: DataFrame, nums: list[str], groupings: list[str], max_levels: int | None = None):
+    """``_setup`` from the counts of equal values, which the rank tests need anyway: the rows are read once."""
+    cats = usable_groupings(df, groupings, max_levels)
+    if not cats or not nums:
+        return None, None
+    long = G.spread(G.value_counts(df, nums, cats), df, cats)
+    return long, G.weighted_moments(long, MIN_GROUP)
+
+
 def welch_t_test(df: DataFrame, nums: list[str], groupings: list[str]) -> DataFrame:
     """I1"""
     _, groups = _setup(df, nums, groupings)
@@ -37,7 +46,7 @@ def welch_t_test(df: DataFrame, nums: list[str], groupings: list[str]) -> DataFr
 
 def mann_whitney_u(df: DataFrame, nums: list[str], groupings: list[str]) -> DataFrame:
     """I2"""
-    long, groups = _setup(df, nums, groupings)
+    long, groups = _ranked_setup(df, nums, groupings)
     return G.mann_whitney(G.rank_sums(long, groups.where("k = 2")))
 
 
@@ -57,13 +66,13 @@ def _many(groups: DataFrame, kw: DataFrame) -> DataFrame:
 
 def multi_group_tests(df: DataFrame, nums: list[str], groupings: list[str]) -> DataFrame:
     """I4: three or more groups: ANOVA and Kruskal-Wallis (whose p is the reported one)."""
-    long, groups = _setup(df, nums, groupings)
+    long, groups = _ranked_setup(df, nums, groupings)
     return _many(groups, G.kruskal(G.rank_sums(long, groups.where("k > 2"))))
 
 
 def all_tests(df: DataFrame, nums: list[str], groupings: list[str], max_levels: int | None = None) -> DataFrame:
     """One row per (feature, grouping) with the reported p rounded to four decimals."""
-    long, groups = _setup(df, nums, groupings, max_levels)
+    long, groups = _ranked_setup(df, nums, groupings, max_levels)
     if long is None:
         return X.lit_rows(df, [], "feature string, target string, test string, pvalue double, effect_size double, "
                                   "effect_label string, significant boolean, position int")

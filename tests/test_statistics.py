@@ -7,6 +7,7 @@ from tablescope.functions.shapiro import shapiro
 from tablescope.functions.special import beta_quantile
 from tablescope.operators import bivariate as BI
 from tablescope.operators import governance as G
+from tablescope.operators import groups as GR
 from tablescope.operators import inference as I
 from tablescope.operators import ml as ML
 from tablescope.operators import multivariate as M
@@ -312,3 +313,41 @@ def test_split_cuts_every_stratum_to_the_row(spark):
     first = {r["id"]: r["split"] for r in out}
     again = {r["id"]: r["split"] for r in G.train_valid_test_split(df.select("id", "s").repartition(3), ["id"], "s").collect()}
     assert first == again
+
+
+def counted(df):
+    """``df`` behind a function that counts the rows it hands on."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_rank_tests_read_the_rows_once(spark):
+    rng = np.random.default_rng(4)
+    n = 400
+    df, seen = counted(frame(spark, x=rng.normal(size=n).round(1), y=np.full(n, 0.1), g=list(rng.choice(["a", "b", "c"], n)), h=list(rng.choice(["u", "v"], n))))
+    assert I.all_tests(df, ["x", "y"], ["g", "h"]).count() == 4
+    assert seen.value <= 2 * n  # the levels of the groupings, and the counts of equal values
+    before = seen.value
+    BI.kruskal_wallis(df, ["x", "y"], ["g", "h"]).collect()
+    assert seen.value - before == n
+
+
+def test_moments_of_counts_equal_those_of_rows(spark):
+    rng = np.random.default_rng(5)
+    n = 900
+    x = np.where(rng.random(n) < 0.1, None, rng.integers(0, 40, n) / 10 + 1e6)
+    df = frame(spark, x=list(x), y=np.full(n, 0.1), g=list(rng.choice(["a", "b", None], n)), h=list(rng.choice(["u", "v", "w"], n)))
+    long = GR.spread(GR.value_counts(df, ["x", "y"], ["g", "h"]), df, ["g", "h"])
+    key = ["num", "cat", "grp"]
+    got = {tuple(r[k] for k in key): r for r in GR.weighted_moments(long, 3).collect()}
+    want = {tuple(r[k] for k in key): r for r in GR.moments(GR.grouped_long(df, ["x", "y"], ["g", "h"]), 3).collect()}
+    assert got.keys() == want.keys() and len(want) == 10
+    for k, w in want.items():
+        for c in ("n", "mean", "std", "min", "max", "ss", "k"):
+            assert got[k][c] == pytest.approx(w[c], rel=1e-6, abs=1e-12), (k, c)
+        assert k[0] != "y" or got[k]["ss"] == got[k]["std"] == 0.0
