@@ -17,6 +17,8 @@ from tablescope.session import cut_lineage
 # Result sizes and thresholds.
 MIN_N, TOP_SCATTERS, SCATTER_POINTS, MIN_GROUP = 10, 5, 2_000, 3
 HIGH, COLLINEAR, STRONG = 0.7, 0.85, 0.3
+# Rows per distinct combination from which quartiles come from the counts.
+MERGED = 4
 
 
 def column_pairs(columns: list[str]) -> list[tuple[str, str]]:
@@ -142,12 +144,18 @@ def trend_line(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def group_stats(df: DataFrame, nums: list[str], cats: list[str], levels: int | None = None) -> DataFrame:
     """Count, mean, median, population sd and outlier flag per group; of all levels, or of the ``levels`` first in order."""
-    long = G.grouped_long(df, nums, cats, levels)
-    m = G.moments(long, MIN_GROUP)
-    q = B.quantiles(long, ["num", "cat", "grp"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, few_groups=levels is not None).drop("n")
+    keys, quartiles = ["num", "cat", "grp"], {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    counts = G.value_counts(df, nums, cats)
+    long = G.spread(counts, df, cats, levels)
+    m = G.weighted_moments(long, MIN_GROUP)
+    merged, rows = counts.agg(F.count(F.lit(1)), F.sum("c")).first()
+    if merged * MERGED <= (rows or 0):  # repeated values: order what merging left, else bracket the rows themselves
+        q = B.weighted_quantiles(long.groupBy(*keys, "x").agg(F.sum("c").alias("c")), keys, "x", "c", quartiles)
+    else:
+        q = B.quantiles(G.grouped_long(df, nums, cats, levels), keys, "x", quartiles, few_groups=levels is not None).drop("n")
     iqr = F.col("q3") - F.col("q1")
     out = (F.col("min") < F.col("q1") - 1.5 * iqr) | (F.col("max") > F.col("q3") + 1.5 * iqr)
-    return m.join(q, ["num", "cat", "grp"]).select("num", "cat", "grp", "n", "mean", "median", "std", out.alias("has_outliers"))
+    return m.join(q, keys).select(*keys, "n", "mean", "median", "std", out.alias("has_outliers"))
 
 
 def _skew_kurt(long: DataFrame) -> DataFrame:

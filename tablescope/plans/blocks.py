@@ -26,6 +26,8 @@ ACCURACY = 20_000
 EXACT_BELOW = 100_000
 # Rows per key that one task may sort, and ranges into which a round of selection cuts them.
 KEEP, CELLS = 100_000, 256
+# A bracket table of so many groups is broadcast (about 200 bytes each).
+BROADCAST_BRACKETS = 50_000
 # Strings longer than this enter frequency tables as SHA-256 when only counts are needed.
 HASH_ABOVE = 64
 
@@ -166,8 +168,9 @@ def quantiles(long: DataFrame, keys: list[str], value: str, probs: dict[str, flo
        again, each to a small part of the last, until no more are left.
     4. A running count over that bounded table finds the exact order statistics.
 
-    With ``few_groups`` (keys are column names or a fixed number of category levels) the bracket
-    table, one row per group, is broadcast; otherwise Spark chooses the join from its size.
+    With ``few_groups`` (keys are column names or a fixed number of category levels), or up to ``BROADCAST_BRACKETS``
+    groups, the bracket table, one row per group, is broadcast, so the rows are merged where they are
+    read; otherwise Spark chooses the join from its size.
     """
     names = list(probs)
     eps = 4.0 / ACCURACY
@@ -182,7 +185,8 @@ def quantiles(long: DataFrame, keys: list[str], value: str, probs: dict[str, flo
     brackets = brackets.select(*keys, "_total", *[lo[n].alias(f"_lo_{n}") for n in names],
                                *[hi[n].alias(f"_hi_{n}") for n in names])
     brackets = cut_lineage(brackets)
-    largest = brackets.agg(F.max("_total")).first()[0] or 0
+    largest, n_groups = brackets.agg(F.max("_total"), F.count(F.lit(1))).first()
+    largest, few_groups = largest or 0, few_groups or n_groups <= BROADCAST_BRACKETS
     inside = (F.col("_total") <= EXACT_BELOW) | reduce(lambda a, b: a | b, [(x >= F.col(f"_lo_{n}")) & (x <= F.col(f"_hi_{n}")) for n in names])
     folded = [F.when(F.col(f"_hi_{n}") < x, F.col(f"_hi_{n}")) for n in names]
     below = F.greatest(*folded) if len(folded) > 1 else folded[0]
@@ -275,15 +279,21 @@ def avg_ranks(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> D
     return o.withColumn("rank", F.col("_before") + (F.col("_peers") + 1) / F.lit(2.0))
 
 
-def weighted_quantile(counts: DataFrame, keys: list[str], value: str, weight: str, prob: float, name: str) -> DataFrame:
-    """Exact linear-interpolated quantile per key of a frequency table, by global order."""
+def weighted_quantiles(counts: DataFrame, keys: list[str], value: str, weight: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per key of a frequency table, by global order."""
     o = ordered(counts, keys, [value], weight=weight)
-    h = F.lit(float(prob)) * (F.col("_total") - 1)
+    h = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in probs.items()}
 
     def at(i):
         return F.max(F.when((F.col("_before") <= i) & (F.col("_before") + F.col("_peers") > i), F.col(value)))
-    found = o.groupBy(*keys).agg(at(F.floor(h)).alias("_a"), at(F.ceil(h)).alias("_b"), F.max(h - F.floor(h)).alias("_f"))
-    return found.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(name))
+    found = o.groupBy(*keys).agg(*[a for name, i in h.items() for a in (
+        at(F.floor(i)).alias(f"_a_{name}"), at(F.ceil(i)).alias(f"_b_{name}"), F.max(i - F.floor(i)).alias(f"_f_{name}"))])
+    return found.select(*keys, *[(F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_f_{n}")).alias(n) for n in probs])
+
+
+def weighted_quantile(counts: DataFrame, keys: list[str], value: str, weight: str, prob: float, name: str) -> DataFrame:
+    """One of ``weighted_quantiles``."""
+    return weighted_quantiles(counts, keys, value, weight, {name: prob})
 
 
 def pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

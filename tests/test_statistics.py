@@ -351,3 +351,16 @@ def test_moments_of_counts_equal_those_of_rows(spark):
         for c in ("n", "mean", "std", "min", "max", "ss", "k"):
             assert got[k][c] == pytest.approx(w[c], rel=1e-6, abs=1e-12), (k, c)
         assert k[0] != "y" or got[k]["ss"] == got[k]["std"] == 0.0
+
+
+def test_group_statistics_of_repeated_values_read_the_rows_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 3_000
+    df, seen = counted(frame(spark, x=rng.integers(0, 30, n) + 0.25, g=list(rng.choice(["a", "b", "c"], n))))
+    got = {r["grp"]: r for r in BI.group_stats(df, ["x"], ["g"]).collect()}
+    assert seen.value == n
+    monkeypatch.setattr(BI, "MERGED", 10**9)  # quartiles from brackets
+    assert {r["grp"]: r for r in BI.group_stats(df, ["x"], ["g"]).collect()} == got
+    pdf = df.toPandas()
+    for grp, x in pdf.groupby("g")["x"]:
+        assert got[grp]["median"] == x.median() and got[grp]["mean"] == pytest.approx(x.mean())
