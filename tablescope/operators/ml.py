@@ -224,6 +224,7 @@ def _distinct(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str],
     z, n = _standardized(df, columns)
     names = [f"z{i}" for i in range(len(columns))]
     v = z.groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
+    v = cut_lineage(v)  # first, as asking for the partitions of a table that is not settled makes it once more
     return cut_lineage(_spread(v, n).withColumn("id", F.monotonically_increasing_id())), names, n
 
 

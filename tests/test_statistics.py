@@ -364,3 +364,14 @@ def test_group_statistics_of_repeated_values_read_the_rows_once(spark, monkeypat
     pdf = df.toPandas()
     for grp, x in pdf.groupby("g")["x"]:
         assert got[grp]["median"] == x.median() and got[grp]["mean"] == pytest.approx(x.mean())
+
+
+def test_distinct_vectors_are_made_once(spark):
+    rng = np.random.default_rng(8)
+    n = 600
+    df, seen = counted(frame(spark, a=rng.integers(0, 20, n) * 1.0, b=rng.integers(0, 9, n) * 1.0).repartition(3))
+    ML.M.correlation_of_complete_rows(df, ["a", "b"])
+    moments = seen.value  # rows read for means and deviations
+    vectors, _, rows = ML._distinct(df, ["a", "b"])
+    assert (rows, vectors.count()) == (n, len(df.distinct().collect()))
+    assert seen.value == moments + moments + n + n  # the same, the vectors, and the line above
