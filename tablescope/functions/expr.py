@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +103,17 @@ def rows(*structs: Column) -> Column:
     return F.inline(F.array(*structs))
 
 
+_ARROW = {T.StringType(): pa.string(), T.BooleanType(): pa.bool_(), T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
+
+
 def lit_rows(df: DataFrame, data: list[tuple], schema: str) -> DataFrame:
-    """Small metadata table (a handful of rows per column of the input) as a DataFrame."""
-    return df.sparkSession.createDataFrame(data, schema)
+    """Small metadata table (a handful of rows per column of the input) as a DataFrame.
+
+    Handed over as Arrow it is a part of the plan; as a list of tuples, reading it would start a Python worker on every core.
+    """
+    fields = T.StructType.fromDDL(schema)
+    if any(f.dataType not in _ARROW for f in fields):
+        return df.sparkSession.createDataFrame(data, schema)
+    columns = zip(*data, strict=True) if data else [()] * len(fields)
+    arrays = [pa.array(list(c), _ARROW[f.dataType]) for c, f in zip(columns, fields, strict=True)]
+    return df.sparkSession.createDataFrame(pa.table(arrays, names=fields.names), fields)

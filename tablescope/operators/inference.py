@@ -111,9 +111,10 @@ def inference_table(df: DataFrame, nums: list[str], groupings: list[str], max_le
     return fdr_bh(all_tests(df, nums, groupings, max_levels)).orderBy("position")
 
 
-def inference_summary(df: DataFrame, nums: list[str], groupings: list[str], max_levels: int | None = None) -> DataFrame:
-    """I6"""
+def inference_summary(df: DataFrame, nums: list[str], groupings: list[str], max_levels: int | None = None, tests: DataFrame | None = None) -> DataFrame:
+    """I6; ``tests`` is the ``inference_table`` of the same columns, if it is known."""
     hit = F.col("significant_fdr")
     first = F.min_by(F.when(hit, F.concat_ws(" x ", "feature", "target")), F.when(hit, F.col("position")))
-    return fdr_bh(all_tests(df, nums, groupings, max_levels)).agg(
+    tests = fdr_bh(all_tests(df, nums, groupings, max_levels)) if tests is None else tests
+    return tests.agg(
         F.count(F.lit(1)).alias("n_tests"), X.count_if(hit).alias("significant_after_fdr"), first.alias("first_significant"))

@@ -196,9 +196,10 @@ def _inference(r: _Run):
     groupings = I.usable_groupings(r.table, r.groups["boolean"] + r.categorical, r.ctx.max_levels)[:r.ctx.max_groupings]
     if not r.numeric or not groupings:
         return
-    yield "tests", lambda: I.inference_table(r.table, r.numeric, groupings)
+    tests = r.kept("tests", lambda: I.inference_table(r.table, r.numeric, groupings))  # a row per test
+    yield "tests", tests
     yield "groups", lambda: I.tested_groups(r.table, r.numeric, groupings)
-    yield "summary", lambda: I.inference_summary(r.table, r.numeric, groupings)
+    yield "summary", lambda: I.inference_summary(r.table, r.numeric, groupings, tests=tests())
 
 
 def _governance(r: _Run):

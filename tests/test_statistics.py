@@ -375,3 +375,13 @@ def test_distinct_vectors_are_made_once(spark):
     vectors, _, rows = ML._distinct(df, ["a", "b"])
     assert (rows, vectors.count()) == (n, len(df.distinct().collect()))
     assert seen.value == moments + moments + n + n  # the same, the vectors, and the line above
+
+
+def test_metadata_tables_start_no_python_worker(spark, capsys):
+    from tablescope.functions import expr as X
+    rows = [("a", True, 1, 0.5, 2), (None, None, None, None, None)]
+    df = X.lit_rows(spark.range(1), rows, "s string, b boolean, n bigint, x double, i int")
+    df.explain()
+    assert "LocalTableScan" in capsys.readouterr().out
+    assert [tuple(r) for r in df.collect()] == rows and df.schema.simpleString() == "struct<s:string,b:boolean,n:bigint,x:double,i:int>"
+    assert X.lit_rows(df, [], "s string, n bigint").collect() == []
