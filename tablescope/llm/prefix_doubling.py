@@ -18,7 +18,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,14 +90,13 @@ def _blocks(length: int):
 
 
 def _tiles(width: int, length: int):
-    """Rows of ``_blocks`` for the open window starts of each text, cut at multiples of ``width`` before the anchor."""
+    """(key, text, lists lo, hi, at) -> rows of ``_blocks`` for these open window starts, cut at multiples of ``width`` before the anchor."""
     def run(batches):
         for batch in batches:
-            spans = batch.column(2)
-            size = np.diff(spans.offsets.to_numpy())
-            lo, hi, at = (spans.flatten().field(i).to_numpy().astype(np.int64) for i in range(3))
+            size = np.diff(batch.column(2).offsets.to_numpy())
+            lo, hi, at = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (2, 3, 4))
             bounds = X.counts_to_offsets(size)
-            for first, end, b, offsets in X.chunks(batch.column(1)):
+            for first, end, b, offsets in X.chunks(batch.column(1), TEXT_BYTES):
                 mine = slice(bounds[first], bounds[end])
                 doc = np.repeat(np.arange(end - first), size[first:end])
                 l, h, p = lo[mine], hi[mine], at[mine]
@@ -114,6 +112,7 @@ def _tiles(width: int, length: int):
                 c = X.mix(covered + ((p - l) * 4096 + p - h).astype(np.uint64), 34)
                 yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).slice(first, end - first).take(pa.array(doc)),
                                        *(pa.array(x.astype(np.int32)) for x in (l, h, p))], ["a", "c", "key", "lo", "hi", "at"])
+        X.release()
     return run
 
 
@@ -163,7 +162,7 @@ def _resolve(batches):
 
 
 def _merged(batches):
-    """(key, sorted list of spans) -> (key, maximal spans of overlapping or touching ones)."""
+    """(key, sorted list of spans) -> (key, lists lo and hi of the maximal spans of overlapping or touching ones)."""
     for batch in batches:
         lists = batch.column(1)
         owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
@@ -173,9 +172,8 @@ def _merged(batches):
         new[1:] = (owner[1:] << 32) + lo[1:] > reach[:-1]
         begin = np.flatnonzero(new)
         end = reach[np.append(begin[1:], len(lo)) - 1] & 0xFFFFFFFF
-        offsets = X.counts_to_offsets(np.bincount(owner[begin], minlength=len(lists)))
-        spans = pa.StructArray.from_arrays([pa.array(lo[begin].astype(np.int32)), pa.array(end.astype(np.int32))], ["lo", "hi"])
-        yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), spans)], ["key", "spans"])
+        offsets = pa.array(X.counts_to_offsets(np.bincount(owner[begin], minlength=len(lists))).astype(np.int32))
+        yield pa.record_batch([batch.column(0), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (lo[begin], end))], ["key", "lo", "hi"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, bool]:
@@ -197,9 +195,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tupl
 
 
 def _with_lists(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """``rows`` and the list ``spans`` of their key."""
+    """``rows`` and the lists (``lo`` and others as long) of their key.
+
+    Lists of whole numbers take 4 bytes a number where they are broadcast, a list of structs 8 and 16 a struct besides.
+    """
     lists = cut_lineage(lists)
-    small = lists.count() <= BROADCAST_DOCUMENTS and (lists.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
+    small = lists.count() <= BROADCAST_DOCUMENTS and (lists.agg(F.sum(F.size("lo"))).first()[0] or 0) <= BROADCAST_SPANS
     return rows.join(F.broadcast(lists) if small else lists, "key", how)
 
 
@@ -228,11 +229,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             _resolve, "open boolean, key long, lo int, hi int, at int"))
         removed.append(settled.where("not open").select("key", "lo", (F.col("hi") + length).alias("hi")))
         if width:
-            left = settled.where("open").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("spans"))
+            left = settled.where("open").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("spans")).select("key", "spans.lo", "spans.hi", "spans.at")
             blocks = _with_lists(texts, left, "inner").mapInArrow(_tiles(width, length), _RANKED)
     lists = reduce(DataFrame.union, removed).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    out = _with_lists(rows, lists.mapInArrow(_merged, f"key long, spans {_SPANS}"), "left")
-    return out.select("id", "text", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), "payload")
+    out = _with_lists(rows, lists.mapInArrow(_merged, "key long, lo array<int>, hi array<int>"), "left")
+    return out.select("id", "text", F.coalesce(F.arrays_zip("lo", "hi"), F.array()).cast(_SPANS).alias("spans"), "payload")
 
 
 def _outside(text: str, spans) -> bytes:
@@ -245,10 +246,16 @@ def _outside(text: str, spans) -> bytes:
 
 
 def kept_bytes(text: Column, spans: Column) -> Column:
-    """The bytes of ``text`` outside ``spans``, one after another."""
-    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([_outside(t, x) for t, x in zip(texts, lists, strict=True)])
-    return F.pandas_udf(cut, "binary")(text, spans)
+    """The bytes of ``text`` outside ``spans``, one after another.
+
+    Joined as hexadecimal text without a Python worker: whole batches of texts do not leave the JVM, and every byte is copied
+    equally often, however many spans there are. The text is bound once as bytes, not cast again for every span.
+    """
+    def cut(b: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), spans["hi"])
+        ends = F.concat(spans["lo"], F.array(F.length(b)))
+        return F.array_join(F.zip_with(starts, ends, lambda lo, hi: F.hex(F.substring(b, lo + 1, hi - lo))), "")
+    return F.unhex(F.transform(F.array(text.cast("binary")), cut)[0])
 
 
 def _cut(batches):

@@ -38,7 +38,7 @@ def release() -> None:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base^i`` and ``base^-i`` modulo 2^64 for i < n."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, 2 * len(_powers[0]), CHUNK // 4)
         for k, b in enumerate((_BASE, _INVERSE)):
             step = np.full(size, b & (2**64 - 1), np.uint64)
             step[0] = 1

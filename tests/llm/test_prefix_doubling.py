@@ -90,3 +90,55 @@ def test_pipeline_cuts_a_text_once(spark, capsys):
     corpus_pipeline.repeated_passages(spark, df, "").explain()
     plan = capsys.readouterr().out.split("Initial Plan")[0]
     assert "EvalPython" not in plan
+
+
+def test_last_step_of_the_query_sends_no_texts_to_python(spark, tmp_path, capsys):
+    """Whole batches of texts in Python workers took the executors' memory to its limit."""
+    from tablescope.llm.queries import op5_prefix_doubling
+    docs = sample()
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op5_prefix_doubling(spark, str(tmp_path))
+    want = brute(docs)
+    for r in out.collect():
+        b, at, keep = (dict(docs)[r["doc_id"]] or "").encode(), 0, b""
+        for lo, hi in want[r["doc_id"]]:
+            keep, at = keep + b[at:lo], hi
+        assert r["kept_sha256"] == hashlib.sha256(keep + b[at:]).hexdigest()
+        assert (r["n_bytes"], r["n_spans"], r["n_removed"]) == (len(b), len(want[r["doc_id"]]), sum(hi - lo for lo, hi in want[r["doc_id"]]))
+    capsys.readouterr()
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "Scan" in plan and "EvalPython" not in plan
+
+
+def test_kept_bytes_of_split_characters_and_many_spans(spark):
+    rng = random.Random(6)
+    texts = ["é€𝄞" * 3000, "x", "", "ab" * 20_000]
+    lists = [sorted(rng.sample(range(len(t.encode()) + 1), min(4000, len(t.encode()) // 2 * 2))) for t in texts]
+    rows = [(i, t, list(zip(x[::2], x[1::2], strict=True))) for i, (t, x) in enumerate(zip(texts, lists, strict=True))]
+    rows.append((4, "whole", [(0, 5)]))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<lo:int,hi:int>>")
+    got = {r["i"]: bytes(r["k"]) for r in df.select("i", kept_bytes(F.col("text"), F.col("spans")).alias("k")).collect()}
+    for i, text, spans_ in rows:
+        gone = {p for lo, hi in spans_ for p in range(lo, hi)}
+        assert got[i] == bytes(x for p, x in enumerate(text.encode()) if p not in gone)
+
+
+def test_broadcast_lists_hold_numbers_not_structs(spark, monkeypatch):
+    from tablescope.llm import prefix_doubling as P
+    kinds, join = [], P._with_lists
+    monkeypatch.setattr(P, "_with_lists", lambda rows, lists, how: (kinds.append(dict(lists.dtypes)), join(rows, lists, how))[1])
+    P.repeated_spans(spark.createDataFrame(sample(), "doc_id long, text string"))
+    assert len(kinds) == 4 and not any("struct" in t for k in kinds for t in k.values())
+
+
+def test_powers_take_no_more_than_the_texts_need(monkeypatch):
+    import numpy as np
+
+    from tablescope.llm import textnum as X
+    monkeypatch.setattr(X, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    few = [x.copy() for x in X.powers(1000)]
+    assert len(X._powers[0]) <= X.CHUNK // 2
+    many = X.powers(2 * X.CHUNK + 5)
+    assert len(many[0]) == 2 * X.CHUNK + 5 and all((a == b[:1000]).all() for a, b in zip(few, many, strict=True))
+    assert (many[0][-3:] * many[1][-3:] == 1).all()
