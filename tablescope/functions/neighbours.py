@@ -1,12 +1,17 @@
-"""Numpy helpers of the anomaly detectors: kd cuts of the space, nearest points inside one leaf, isolation trees."""
+"""Numpy helpers of the anomaly detectors: kd cuts of the space, nearest points inside one leaf or region, isolation trees."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK = 256
+# Points per cell of a search inside a region, and per box that a region tells the others about.
+CELL, BOX = 96, 512
+# Allowance for rounding where boxes and balls decide what is looked at.
+SLACK = 1 + 1e-9
 
 
 class KdTree:
@@ -156,6 +161,247 @@ def nearest(queries, query_ids, points, ids, weights, k, norm="euclid"):
     return np.concatenate(qi), np.concatenate(pi), np.concatenate(ds)
 
 
+def pack(**columns: np.ndarray) -> bytes:
+    """Columns of one region as compressed Arrow bytes."""
+    out = pa.BufferOutputStream()
+    batch = pa.record_batch([pa.array(v) for v in columns.values()], list(columns))
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpack(parts: list[bytes]) -> dict[str, np.ndarray]:
+    """The columns of one or several packed parts, one after the other."""
+    tables = [pa.ipc.open_stream(p).read_all() for p in parts]
+    return {c: np.concatenate([t[c].to_numpy() for t in tables]) for c in (tables[0].column_names if tables else ())}
+
+
+def cells(x: np.ndarray, size: int, around: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, cell, box) of the points in that order: median cuts down to ``size`` points; a box is the first part of at most ``around``.
+
+    A cut does not part equal values, unless all of a cell's points are the same.
+    """
+    order, cell, box = [], [], []
+    stack, n_cells, n_boxes = [(np.arange(len(x)), -1)], 0, 0
+    while stack:
+        rows, inside = stack.pop()
+        if inside < 0 and len(rows) <= around:
+            inside, n_boxes = n_boxes, n_boxes + 1
+        part = x[rows]
+        spread = part.max(axis=0) - part.min(axis=0) if len(rows) else np.zeros(1)
+        if len(rows) <= size or not spread.max() > 0:
+            if len(rows):
+                if inside < 0:
+                    inside, n_boxes = n_boxes, n_boxes + 1
+                order.append(rows)
+                cell.append(np.full(len(rows), n_cells, np.int32))
+                box.append(np.full(len(rows), inside, np.int32))
+                n_cells += 1
+            continue
+        v = part[:, int(np.argmax(spread))]
+        cut = np.partition(v, len(v) // 2)[len(v) // 2]
+        low, upto = v < cut, v <= cut
+        left = low if abs(int(low.sum()) - len(v) // 2) <= abs(int(upto.sum()) - len(v) // 2) and low.any() or upto.all() else upto
+        stack += [(rows[~left], inside), (rows[left], inside)]
+    if not order:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return np.concatenate(order), np.concatenate(cell), np.concatenate(box)
+
+
+def runs(label: np.ndarray) -> np.ndarray:
+    """Where the runs of equal labels start, and the end."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(label)) + 1, [len(label)]]) if len(label) else np.zeros(1, np.int64)
+
+
+def boxes(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and most coordinates of every run."""
+    if len(starts) < 2:
+        return np.zeros((0, x.shape[1])), np.zeros((0, x.shape[1]))
+    return np.minimum.reduceat(x, starts[:-1]), np.maximum.reduceat(x, starts[:-1])
+
+
+def between(lo: np.ndarray, hi: np.ndarray, to_lo: np.ndarray, to_hi: np.ndarray) -> np.ndarray:
+    """Squared distance of every box (or point, if lo is hi) to every other."""
+    out = np.zeros((len(lo), len(to_lo)))
+    for j in range(lo.shape[1]):
+        gap = np.maximum(np.maximum(to_lo[None, :, j] - hi[:, None, j], lo[:, None, j] - to_hi[None, :, j]), 0.0)
+        out += gap * gap
+    return out
+
+
+def across(lo: np.ndarray, hi: np.ndarray, to_lo: np.ndarray, to_hi: np.ndarray) -> np.ndarray:
+    """Squared distance of the farthest corners of every two boxes."""
+    out = np.zeros((len(lo), len(to_lo)))
+    for j in range(lo.shape[1]):
+        gap = np.maximum(to_hi[None, :, j] - lo[:, None, j], hi[:, None, j] - to_lo[None, :, j])
+        out += gap * gap
+    return out
+
+
+def enough(far: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Per row the least of the distances ``far`` within which the boxes weigh more than ``k``; infinite if all weigh less."""
+    order = np.argsort(far, axis=1)
+    reached = np.cumsum(weight[order], axis=1) > k
+    first = np.where(reached.any(axis=1), reached.argmax(axis=1), -1)
+    return np.where(first >= 0, np.take_along_axis(far, np.take_along_axis(order, first[:, None], axis=1), axis=1)[:, 0], np.inf)
+
+
+class Region:
+    """The points of one region, cell by cell (the first ``own`` of them), and points of others near it."""
+
+    def __init__(self, x: np.ndarray, w: np.ndarray, cell: np.ndarray, guests: np.ndarray, guest_w: np.ndarray, k: int):
+        order, guest_cell, _ = cells(guests, CELL, BOX)
+        self.own, self.order, self.k = len(x), order, k
+        self.x, self.w = np.concatenate([x, guests[order]]), np.concatenate([w, guest_w[order]])
+        own = runs(cell)
+        self.starts = np.concatenate([own, len(x) + runs(guest_cell)[1:]])
+        self.cells = len(own) - 1
+        self.lo, self.hi = boxes(self.x, self.starts)
+        # equal distances are taken in the order of the coordinates, wherever the points lie
+        self.rank = np.empty(len(self.x), np.int64)
+        self.rank[np.lexsort(self.x.T[::-1])] = np.arange(len(self.x))
+        self.weight = np.add.reduceat(self.w, self.starts[:-1])
+
+    def bounds(self) -> np.ndarray:
+        """Squared distance within which a point of the region finds enough others in its cell, or in the cells nearest to it."""
+        out = np.full(self.own, np.inf)
+        poor = []
+        for c in range(self.cells):
+            a, b = self.starts[c], self.starts[c + 1]
+            if b - a > self.k:
+                out[a:b] = np.partition(self._gaps(a, b, np.arange(a, b)), self.k, axis=1)[:, self.k]
+            else:
+                poor.append(c)
+        for at in range(0, len(poor), CHUNK):
+            c = np.array(poor[at:at + CHUNK])
+            far = enough(across(self.lo[c], self.hi[c], self.lo, self.hi), self.weight, self.k) * SLACK
+            for i, r in zip(c, far, strict=True):
+                out[self.starts[i]:self.starts[i + 1]] = r
+        return out
+
+    def _gaps(self, a: int, b: int, near: np.ndarray) -> np.ndarray:
+        out = np.zeros((b - a, len(near)))
+        for j in range(self.x.shape[1]):
+            gap = self.x[a:b, j:j + 1] - self.x[near, j][None]
+            gap *= gap
+            out += gap
+        return out
+
+    def lists(self, reach: np.ndarray, exact: bool, touched: bool = False):
+        """Per piece of a cell (row, point, squared distance, weight) of the nearest points until their weights reach k, by row and distance.
+
+        ``reach`` bounds the squared distances; if ``exact``, it is the k-th itself. With ``touched``, only cells that
+        guests can change. A point's own copies (weight - 1) count at distance 0.
+        """
+        k = self.k
+        most = np.maximum.reduceat(reach, self.starts[:self.cells])
+        for first in range(0, self.cells, CHUNK):
+            some = np.arange(first, min(first + CHUNK, self.cells))
+            close = between(self.lo[some], self.hi[some], self.lo, self.hi) <= most[some, None] * SLACK
+            for c, hit in zip(some, close, strict=True):
+                if touched and not hit[self.cells:].any():
+                    continue
+                near = np.concatenate([np.arange(self.starts[i], self.starts[i + 1]) for i in np.flatnonzero(hit)])
+                near = near[np.argsort(self.rank[near])]
+                step = max(1, (1 << 22) // len(near))
+                for a in range(self.starts[c], self.starts[c + 1], step):
+                    b = min(a + step, self.starts[c + 1])
+                    gaps = self._gaps(a, b, near)
+                    limit = reach[a:b, None] if exact else np.partition(gaps, k, axis=1)[:, k:k + 1] if len(near) > k else np.inf
+                    row, col = np.nonzero(gaps <= limit)
+                    d = gaps[row, col]
+                    order = np.lexsort((d, row))
+                    row, point, d = row[order] + a, near[col[order]], d[order]
+                    w = self.w[point] - (point == row)
+                    there = w > 0
+                    row, point, d, w = row[there], point[there], d[there], w[there]
+                    upto = np.cumsum(w)
+                    begin = np.searchsorted(row, np.arange(a, b))
+                    before = upto - w - np.concatenate([[0], upto])[begin][row - a]
+                    kept = before < k
+                    yield a, b, row[kept], point[kept], d[kept], np.minimum(w[kept], k - before[kept])
+
+
+def kth(region: Region, reach: np.ndarray, found: np.ndarray | None = None) -> np.ndarray:
+    """Squared distance to the k-th nearest of every point of the region, infinite where there are too few; ``found`` holds where guests change nothing."""
+    out = np.full(region.own, np.inf) if found is None else found.copy()
+    for a, b, row, _, d, w in region.lists(reach, exact=False, touched=found is not None):
+        most, total = np.zeros(b - a), np.zeros(b - a)
+        np.maximum.at(most, row - a, d)
+        np.add.at(total, row - a, w)
+        out[a:b] = np.where(total >= region.k, most, np.inf)
+    return out
+
+
+def density(region: Region, reach: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Local reachability density from the k-th distances of all points, guests included."""
+    out = np.zeros(region.own)
+    for a, b, row, point, d, w in region.lists(reach, exact=True):
+        at = row - a
+        sums = np.bincount(at, w * np.maximum(np.sqrt(d), distance[point]), b - a)
+        out[a:b] = 1.0 / (sums / np.bincount(at, w, b - a) + 1e-10)
+    return out
+
+
+def outlier_factor(region: Region, reach: np.ndarray, lrd: np.ndarray) -> np.ndarray:
+    """Mean density of the neighbours over the own one."""
+    out = np.zeros(region.own)
+    for a, b, row, point, _, w in region.lists(reach, exact=True):
+        at = row - a
+        out[a:b] = np.bincount(at, w * lrd[point], b - a) / np.bincount(at, w, b - a) / lrd[a:b]
+    return out
+
+
+class Boxes:
+    """Boxes of all regions, region by region: which of them do the balls of a region's points reach?"""
+
+    def __init__(self, region: np.ndarray, box: np.ndarray, w: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        order = np.lexsort((box, region))
+        self.region, self.box, self.w, self.lo, self.hi = region[order], box[order], w[order], lo[order], hi[order]
+        self.starts = runs(self.region)
+        self.numbers = self.region[self.starts[:-1]]
+        self.all_lo, self.all_hi = np.minimum.reduceat(self.lo, self.starts[:-1]), np.maximum.reduceat(self.hi, self.starts[:-1])
+
+    def asks(self, number: int, x: np.ndarray, cell: np.ndarray, reach: np.ndarray, k: int):
+        """(region, its boxes reached, least, most coordinates wanted of each) for every other region that a ball reaches.
+
+        A ball also shrinks to the nearest box that holds enough points for the search.
+        """
+        starts = runs(cell)
+        lo, hi = boxes(x, starts)
+        most = np.maximum.reduceat(reach, starts[:-1])
+        reach, open_ = reach.copy(), np.flatnonzero(np.isinf(most))
+        for c in open_:
+            far = enough(across(lo[c:c + 1], hi[c:c + 1], self.lo, self.hi), self.w, k)[0] * SLACK
+            a, b = starts[c], starts[c + 1]
+            reach[a:b] = np.minimum(reach[a:b], far)
+            most[c] = reach[a:b].max()
+        near = between(lo, hi, self.all_lo, self.all_hi) <= most[:, None] * SLACK
+        met = [s for s in np.flatnonzero(near.any(axis=0)) if self.numbers[s] != number]
+        poking = {}
+        for s in met:
+            rows = np.concatenate([np.arange(starts[c], starts[c + 1]) for c in np.flatnonzero(near[:, s])])
+            rows = rows[between(x[rows], x[rows], self.all_lo[s:s + 1], self.all_hi[s:s + 1])[:, 0] <= reach[rows] * SLACK]
+            poking[s] = rows
+            part = np.arange(self.starts[s], self.starts[s + 1])
+            part = part[self.w[part] > k]
+            for at in range(0, len(rows) if len(part) else 0, CHUNK * 16):
+                r = rows[at:at + CHUNK * 16]
+                reach[r] = np.minimum(reach[r], across(x[r], x[r], self.lo[part], self.hi[part]).min(axis=1) * SLACK)
+        for s, rows in poking.items():
+            part = np.arange(self.starts[s], self.starts[s + 1])
+            want_lo, want_hi = np.full((len(part), x.shape[1]), np.inf), np.full((len(part), x.shape[1]), -np.inf)
+            for at in range(0, len(rows), CHUNK * 16):
+                r = rows[at:at + CHUNK * 16]
+                hit, b = np.nonzero(between(x[r], x[r], self.lo[part], self.hi[part]) <= reach[r, None] * SLACK)
+                ball = np.sqrt(reach[r[hit]])[:, None] * SLACK + 1e-15 * np.abs(x[r[hit]])
+                np.minimum.at(want_lo, b, x[r[hit]] - ball)
+                np.maximum.at(want_hi, b, x[r[hit]] + ball)
+            asked = np.flatnonzero(want_lo[:, 0] < np.inf)
+            if len(asked):
+                yield int(self.numbers[s]), self.box[part[asked]], want_lo[asked], want_hi[asked]
+
+
 def path_length(n):
     """Average depth of an unsuccessful search in a binary tree of n points."""
     n = np.asarray(n, float)

@@ -29,6 +29,9 @@ KM_SAMPLE, PART_ROWS = 200_000, 500_000
 AN_ROWS, TREES, TREE_ROWS, NEIGHBOURS, FLAGGED = 21, 100, 256, 20, 0.05
 # Points per leaf of the neighbour search (a leaf of twice as many is split), rows of the driver-side sample that places cuts.
 LEAF, CUT_SAMPLE = 2_000, 50_000
+# Points per region of the outlier factor: at most, at least (where the cores need more regions); rows dealt to regions at
+# a time; bytes of requests between regions that are broadcast.
+REGION, LEAST_REGION, DEALT, ASKED = 50_000, 5_000, 500_000, 64 << 20
 
 
 def validate_target(df: DataFrame, target: str | None, problem_type: str | None) -> DataFrame:
@@ -225,14 +228,15 @@ def _distinct(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str],
     names = [f"z{i}" for i in range(len(columns))]
     v = z.groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
     v = cut_lineage(v)  # first, as asking for the partitions of a table that is not settled makes it once more
-    return cut_lineage(_spread(v, n).withColumn("id", F.monotonically_increasing_id())), names, n
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    if v.rdd.getNumPartitions() < parts:  # few vectors
+        v = cut_lineage(v.repartition(parts))
+    return v.withColumn("id", F.monotonically_increasing_id()), names, n
 
 
 def _worst(scored: DataFrame, value: str) -> DataFrame:
     """Adds ``anomaly``: above the linear-interpolated 95 % quantile of the rows (vectors weighted by count)."""
-    cut = B.weighted_quantile(scored.select(F.lit("all").alias("_all"), value, "w"), ["_all"], value, "w", 1 - FLAGGED, "cut")
-    cut = cut.select("cut").scalar()
-    return scored.withColumn("anomaly", F.col(value) > cut)
+    return scored.withColumn("anomaly", F.col(value) > F.lit(B.weighted_cut(scored, value, "w", 1 - FLAGGED)))
 
 
 def _forest(vectors: DataFrame, names: list[str]):
@@ -273,6 +277,7 @@ def _forest(vectors: DataFrame, names: list[str]):
 
 
 def isolation_scores(vectors: DataFrame, names: list[str]) -> DataFrame:
+    """Adds ``score`` to the vectors."""
     trees, size = _forest(vectors, names)
     shared = vectors.sparkSession.sparkContext.broadcast((trees, size))
 
@@ -281,8 +286,9 @@ def isolation_scores(vectors: DataFrame, names: list[str]) -> DataFrame:
         for pdf in frames:
             yield pdf.assign(score=N.isolation_score(forest, n, pdf[names].to_numpy()))
 
-    types = ", ".join(f"{c} double" for c in names)
-    return vectors.select(*names, "w", "id").mapInPandas(score, f"{types}, w bigint, id bigint, score double")
+    kept = [f for f in vectors.schema.fields if f.name not in names]
+    types = ", ".join([*[f"{c} double" for c in names], *[f"{f.name} {f.dataType.simpleString()}" for f in kept]])
+    return vectors.select(*names, *[f.name for f in kept]).mapInPandas(score, f"{types}, score double")
 
 
 def _drawn(rows: DataFrame, n: int, seed: int) -> pd.DataFrame:
@@ -296,6 +302,7 @@ def search_tree(vectors: DataFrame, names: list[str], leaf_size: int) -> tuple[N
     """(tree, vectors with their ``leaf``): no leaf holds more than twice ``leaf_size`` distinct vectors.
 
     A bounded sample places the first cuts; leaves that turn out too large are cut again from samples of their own.
+    The vectors are placed whenever they are read, so ``vectors`` must be settled.
     """
     spark = vectors.sparkSession
     n = vectors.count()
@@ -310,7 +317,7 @@ def search_tree(vectors: DataFrame, names: list[str], leaf_size: int) -> tuple[N
             for pdf in frames:
                 yield pdf.assign(leaf=shared.value.leaf_of(pdf[names].to_numpy()))
 
-        placed = cut_lineage(vectors.select(*names, "w", "id").mapInPandas(place, f"{types}, w bigint, id bigint, leaf bigint"))
+        placed = vectors.select(*names, "w", "id").mapInPandas(place, f"{types}, w bigint, id bigint, leaf bigint")
         large = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * leaf_size).collect()}
         if not large:
             return tree, placed
@@ -333,6 +340,7 @@ def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_s
     """
     spark = vectors.sparkSession
     tree, placed = search_tree(vectors, names, leaf_size)
+    placed = cut_lineage(placed)
     edges = placed.groupBy("leaf").agg(F.sum("w").alias("w"), *[f(c).alias(f"{t}_{c}") for c in names for t, f in (("lo", F.min), ("hi", F.max))]).toPandas()
     lo, hi = (edges[[f"{t}_{c}" for c in names]].to_numpy(float) for t in ("lo", "hi"))
     tree.settle({leaf: (w, lo[i], hi[i]) for i, (leaf, w) in enumerate(zip(edges["leaf"].tolist(), edges["w"].tolist(), strict=True))}, k + 1)
@@ -380,16 +388,134 @@ def neighbours(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_s
             .select("id", "nid", F.least(F.col("w"), k - F.col("before")).alias("w"), "dist"))
 
 
-def lof_scores(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_size: int = LEAF) -> DataFrame:
-    """(id, lof) from two joins over the neighbour lists."""
-    nn = cut_lineage(neighbours(vectors, names, k, leaf_size))
-    kdist = nn.groupBy("id").agg(F.max("dist").alias("kdist"))
-    reach = nn.join(kdist.select(F.col("id").alias("nid"), "kdist"), "nid")
-    lrd = reach.groupBy("id").agg((1.0 / (F.sum(F.col("w") * F.greatest("dist", "kdist")) / F.sum("w") + 1e-10)).alias("lrd"))
-    lrd = cut_lineage(lrd)
-    around = nn.join(lrd.select(F.col("id").alias("nid"), F.col("lrd").alias("other")), "nid").groupBy("id").agg(
-        (F.sum(F.col("w") * F.col("other")) / F.sum("w")).alias("mean_lrd"))
-    return around.join(lrd, "id").select("id", (F.col("mean_lrd") / F.col("lrd")).alias("lof"))
+def _dealt(vectors: DataFrame, names: list[str], size: int) -> tuple[DataFrame, int]:
+    """(region, data) with the packed vectors of regions of about ``size`` points, several rows a region, and the number of regions."""
+    tree, _ = search_tree(vectors, names, size)
+    shared = vectors.sparkSession.sparkContext.broadcast(tree)
+
+    def deal(batches):
+        held, rows = [], 0
+
+        def out():
+            x, w = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            leaf = shared.value.leaf_of(x)
+            order = np.argsort(leaf, kind="stable")
+            starts = N.runs(leaf[order])
+            parts = [order[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            return pa.record_batch([pa.array([int(leaf[p[0]]) for p in parts], pa.int64()),
+                                    pa.array([N.pack(**_coordinates(x[p]), w=w[p]) for p in parts], pa.binary())], ["region", "data"])
+        for batch in batches:
+            if batch.num_rows:
+                held.append((np.column_stack([batch[c].to_numpy() for c in names]), batch["w"].to_numpy()))
+                rows += batch.num_rows
+                if rows >= DEALT:
+                    yield out()
+                    held, rows = [], 0
+        if held:
+            yield out()
+    return vectors.select(*names, "w").mapInArrow(deal, "region bigint, data binary"), tree.leaves
+
+
+def _coordinates(x: np.ndarray) -> dict[str, np.ndarray]:
+    return {f"x{j}": np.ascontiguousarray(x[:, j]) for j in range(x.shape[1])}
+
+
+def _points(found: dict[str, np.ndarray], m: int) -> np.ndarray:
+    """The ``m`` coordinates of unpacked points; no rows where there are none."""
+    return np.column_stack([found[f"x{j}"] for j in range(m)]) if found else np.zeros((0, m))
+
+
+def _row(region: int, **data: bytes) -> pa.Table:
+    return pa.table({"region": pa.array([region], pa.int64()), **{c: pa.array([v], pa.binary()) for c, v in data.items()}})
+
+
+def lof_scores(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_size: int | None = None) -> DataFrame:
+    """(z.., w, lof, id), ids of its own. The neighbours of a point are found again in each of three rounds (k-th distance,
+    density, factor) and never written: a round writes one number a point.
+
+    The vectors are dealt to regions, packed. A region searches itself first and tells the others the boxes of its points;
+    then it asks, box by box, for the points of others that its balls can reach, and gets them with their number of the last round.
+    """
+    spark, m = vectors.sparkSession, len(names)
+    size = leaf_size or min(REGION, max(LEAST_REGION, vectors.count() // (4 * spark.sparkContext.defaultParallelism)))
+    dealt, parts = _dealt(vectors, names, size)
+
+    def settle(key, table):
+        found = N.unpack(table["data"].to_pylist())
+        x = _points(found, m)
+        order, cell, box = N.cells(x, N.CELL, N.BOX)
+        x, w = x[order], found["w"][order]
+        region = N.Region(x, w, cell, np.zeros((0, m)), w[:0], k)
+        reach = N.kth(region, region.bounds())
+        starts = N.runs(box)
+        lo, hi = N.boxes(x, starts)
+        told = N.pack(box=box[starts[:-1]], w=np.add.reduceat(w, starts[:-1]), **_coordinates(np.concatenate([lo, hi], axis=1)))
+        return _row(key[0].as_py(), data=N.pack(**_coordinates(x), w=w, cell=cell, box=box, reach=reach), told=told)
+
+    settled = cut_lineage(dealt.repartition(parts, "region").groupBy("region").applyInArrow(settle, "region bigint, data binary, told binary"))
+    told = [(r["region"], N.unpack([r["told"]])) for r in settled.select("region", "told").toLocalIterator()]
+    corners = np.concatenate([_points(t, 2 * m) for _, t in told])
+    every = spark.sparkContext.broadcast(N.Boxes(np.concatenate([np.full(len(t["w"]), r) for r, t in told]), np.concatenate([t["box"] for _, t in told]),
+                                                 np.concatenate([t["w"] for _, t in told]), corners[:, :m], corners[:, m:]))
+
+    def ask(batches):
+        for batch in batches:
+            for number, data in zip(batch["region"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                found = N.unpack([data])
+                asks = [(to, N.pack(box=box, **_coordinates(np.concatenate([lo, hi], axis=1))))
+                        for to, box, lo, hi in every.value.asks(number, _points(found, m), found["cell"], found["reach"], k)]
+                if asks:
+                    yield pa.record_batch([pa.array([a[0] for a in asks], pa.int64()), pa.array([number] * len(asks), pa.int64()),
+                                           pa.array([a[1] for a in asks], pa.binary())], ["region", "asker", "wanted"])
+
+    asked = settled.select("region", "data").mapInArrow(ask, "region bigint, asker bigint, wanted binary")
+    asked = cut_lineage(asked.groupBy("region").agg(F.collect_list(F.struct("asker", "wanted")).alias("asks")))
+    n_bytes = asked.agg(F.sum(F.aggregate("asks", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["wanted"])))).first()[0] or 0
+    if n_bytes <= ASKED:
+        asked = F.broadcast(asked)
+
+    def answers(table: DataFrame, carried: list[str]) -> DataFrame:
+        def answer(batches):
+            for batch in batches:
+                for data, asks in zip(batch["data"], batch["asks"], strict=True):
+                    found = N.unpack([data.as_py()])
+                    x, starts, out = _points(found, m), N.runs(found["box"]), []
+                    at = {int(b): i for i, b in enumerate(found["box"][starts[:-1]])}
+                    for one in asks.as_py():
+                        wanted = N.unpack([one["wanted"]])
+                        rows = []
+                        for box, edge in zip(wanted["box"].tolist(), _points(wanted, 2 * m), strict=True):
+                            a, b = starts[at[box]], starts[at[box] + 1]
+                            rows.append(a + np.flatnonzero(((x[a:b] >= edge[:m]) & (x[a:b] <= edge[m:])).all(axis=1)))
+                        rows = np.concatenate(rows)
+                        if len(rows):
+                            out.append((one["asker"], N.pack(**_coordinates(x[rows]), **{c: found[c][rows] for c in ("w", *carried)})))
+                    if out:
+                        yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["region", "data"])
+        return table.select("region", "data").join(asked, "region").select("data", "asks").mapInArrow(answer, "region bigint, data binary")
+
+    def round_(table: DataFrame, carried: list[str], work) -> DataFrame:
+        """One more number for every point from ``work(region, own columns, the carried columns of own and others' points)``."""
+        def meet(key, left, right):
+            own, guests = N.unpack(left["data"].to_pylist()), N.unpack(right["data"].to_pylist())
+            x = _points(own, m)
+            region = N.Region(x, own["w"], own["cell"], _points(guests, m), guests["w"] if guests else own["w"][:0], k)
+            both = {c: np.concatenate([own[c], guests[c][region.order]]) if guests else own[c] for c in carried}
+            return _row(key[0].as_py(), data=N.pack(**own | work(region, own, both)))
+        own, others = (t.select("region", "data").repartition(parts, "region").groupBy("region") for t in (table, answers(table, carried)))
+        return cut_lineage(own.cogroup(others).applyInArrow(meet, "region bigint, data binary"))
+
+    settled = round_(settled, [], lambda region, own, _: {"reach": N.kth(region, own["reach"], own["reach"])})
+    settled = round_(settled, ["reach"], lambda region, own, both: {"lrd": N.density(region, own["reach"], np.sqrt(both["reach"]))})
+    settled = round_(settled, ["lrd"], lambda region, own, both: {"lof": N.outlier_factor(region, own["reach"], both["lrd"])})
+
+    def rows(batches):
+        for batch in batches:
+            for data in batch["data"].to_pylist():
+                found = N.unpack([data])
+                yield from pa.table([found[f"x{j}"] for j in range(m)] + [found["w"], found["lof"]], [*names, "w", "lof"]).to_batches(10_000)
+    types = ", ".join(f"{c} double" for c in names)
+    return settled.select("data").mapInArrow(rows, f"{types}, w bigint, lof double").withColumn("id", F.monotonically_increasing_id())
 
 
 def isolation_forest(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -400,12 +526,12 @@ def isolation_forest(df: DataFrame, columns: list[str]) -> DataFrame:
     return _worst(cut_lineage(isolation_scores(vectors, names)), "score")
 
 
-def local_outlier_factor(df: DataFrame, columns: list[str], leaf_size: int = LEAF) -> DataFrame:
+def local_outlier_factor(df: DataFrame, columns: list[str], leaf_size: int | None = None) -> DataFrame:
     """ML7: exact LOF with 20 neighbours per distinct vector; the worst 5 % of the rows are flagged."""
     vectors, names, n = _distinct(df, columns)
     if n < AN_ROWS:
         return X.lit_rows(df, [], "id bigint, w bigint, lof double, anomaly boolean")
-    return _worst(cut_lineage(vectors.join(lof_scores(vectors, names, leaf_size=leaf_size), "id")), "lof")
+    return _worst(lof_scores(vectors, names, leaf_size=leaf_size).select("id", *names, "w", "lof"), "lof")
 
 
 def anomaly_table(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -413,9 +539,9 @@ def anomaly_table(df: DataFrame, columns: list[str]) -> DataFrame:
     vectors, names, n = _distinct(df, columns)
     if n < AN_ROWS:
         return X.lit_rows(df, [], "id bigint, w bigint, score double, iso boolean, lof double, lof_flag boolean")
-    iso = _worst(cut_lineage(isolation_scores(vectors, names)), "score").withColumnRenamed("anomaly", "iso")
-    lof = _worst(cut_lineage(vectors.select("id", "w").join(lof_scores(vectors, names), "id")), "lof").withColumnRenamed("anomaly", "lof_flag")
-    return iso.join(lof.drop("w"), "id")
+    both = cut_lineage(isolation_scores(lof_scores(vectors, names), names))
+    both = _worst(_worst(both, "score").withColumnRenamed("anomaly", "iso"), "lof").withColumnRenamed("anomaly", "lof_flag")
+    return both.select("id", *names, "w", "score", "iso", "lof", "lof_flag")
 
 
 def anomaly_consensus(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -26,6 +26,8 @@ ACCURACY = 20_000
 EXACT_BELOW = 100_000
 # Rows per key that one task may sort, and ranges into which a round of selection cuts them.
 KEEP, CELLS = 100_000, 256
+# Ranges of a round of selection over a whole table.
+CUT_RANGES = 4096
 # A bracket table of so many groups is broadcast (about 200 bytes each).
 BROADCAST_BRACKETS = 50_000
 # Strings longer than this enter frequency tables as SHA-256 when only counts are needed.
@@ -296,6 +298,39 @@ def weighted_quantile(counts: DataFrame, keys: list[str], value: str, weight: st
     return weighted_quantiles(counts, keys, value, weight, {name: prob})
 
 
+def weighted_cut(counts: DataFrame, value: str, weight: str, prob: float) -> float | None:
+    """Exact linear-interpolated quantile of a whole frequency table, without sorting it: rounds of selection add up the
+    weights of equal ranges and go on in the range that holds the rank, until few rows are left for the driver."""
+    v, w = F.col(value), F.col(weight)
+    counts = counts.select(v, w).where(v.isNotNull())
+    lo, hi, total = counts.agg(F.min(v), F.max(v), F.sum(w)).first()
+    if not total:
+        return None
+    at = prob * (total - 1)
+    ranks = sorted({int(np.floor(at)), int(np.ceil(at))})
+
+    def find(lo: float, hi: float, before: int, ranks: list[int]) -> dict[int, float]:
+        inside = counts.where(v.between(lo, hi))
+        step = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * CUT_RANGES), F.lit(CUT_RANGES - 1)) if hi > lo else F.lit(0)
+        parts = inside.groupBy(step.alias("_cell")).agg(F.sum(w).alias("w"), F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        out = {}
+        for r in sorted(parts.collect(), key=lambda r: r["lo"]):
+            mine = [x for x in ranks if before <= x < before + r["w"]]
+            if mine and r["lo"] == r["hi"]:
+                out |= dict.fromkeys(mine, r["lo"])
+            elif mine and (r["n"] <= KEEP or (r["lo"], r["hi"]) == (lo, hi)):
+                few = inside.where(v.between(r["lo"], r["hi"])).groupBy(value).agg(F.sum(w).alias("w")).toPandas().sort_values(value)
+                place = np.searchsorted(before + few["w"].cumsum().to_numpy(), mine, side="right")
+                out |= dict(zip(mine, few[value].to_numpy()[place].tolist(), strict=True))
+            elif mine:
+                out |= find(r["lo"], r["hi"], before, mine)
+            before += r["w"]
+        return out
+    found = find(lo, hi, 0, ranks)
+    low, high = found[ranks[0]], found[ranks[-1]]
+    return low + (high - low) * (at - ranks[0])
+
+
 def pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(var_a, var_b, x, y), pairwise-complete."""
     return (df.select(X.rows(*[
