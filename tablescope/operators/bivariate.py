@@ -289,11 +289,12 @@ def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
         "strong", F.col("cramers_v") > STRONG)
 
 
-def bivariate_findings(df: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
-    """Coded findings."""
+def bivariate_findings(df: DataFrame, nums: list[str], cats: list[str], pearson: DataFrame | None = None, tests: DataFrame | None = None,
+                       groups: DataFrame | None = None, association: DataFrame | None = None) -> DataFrame:
+    """Coded findings, from the results of the operators of these names where they are known."""
     found = []
     if len(nums) >= 2:
-        p = pearson_pairs(df, nums)
+        p = pearson_pairs(df, nums) if pearson is None else pearson
         one = p.agg(F.max_by(F.struct("var_a", "var_b", "pearson_r"), F.abs("pearson_r")).alias("top"),
                     X.count_if(F.col("high")).alias("n_high"), X.count_if(F.abs("pearson_r") > COLLINEAR).alias("n_multi"))
         name = F.concat_ws(" x ", "top.var_a", "top.var_b")
@@ -302,17 +303,17 @@ def bivariate_findings(df: DataFrame, nums: list[str], cats: list[str]) -> DataF
             F.struct(F.lit("multicollinearity").alias("code"), F.lit(None).cast("string").alias("subject"), F.col("n_multi").cast("double").alias("value"), (F.col("n_multi") > 0).alias("hit")),
             F.struct(F.lit("no_strong_correlation").alias("code"), F.lit(None).cast("string").alias("subject"), F.lit(0.0).alias("value"), (F.col("n_high") == 0).alias("hit")))))
     if nums and cats:
-        t = num_cat_tests(df, nums, cats).where("significant")
+        t = (num_cat_tests(df, nums, cats) if tests is None else tests).where("significant")
         best = t.agg(F.max_by(F.struct("num", "cat", "pvalue"), F.struct(F.coalesce("effect_size", F.lit(0.0)), F.col("statistic"))).alias("top"))
         found.append(best.where("top is not null").select(
             F.lit("group_difference").alias("code"), F.concat_ws(" x ", "top.num", "top.cat").alias("subject"),
             F.col("top.pvalue").alias("value"), F.lit(True).alias("hit")))
-        o = group_stats(df, nums, cats).where("has_outliers").select("num", "cat").distinct()
+        o = (group_stats(df, nums, cats) if groups is None else groups).where("has_outliers").select("num", "cat").distinct()
         found.append(o.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("num", "cat")).alias("first")).where("n > 0").select(
             F.lit("influential_outliers").alias("code"), F.concat_ws(" x ", "first.num", "first.cat").alias("subject"),
             F.col("n").cast("double").alias("value"), F.lit(True).alias("hit")))
     if len(cats) >= 2:
-        v = cramers_v(df, cats).where("strong").agg(F.max_by(F.struct("var_a", "var_b", "cramers_v"), "cramers_v").alias("top"))
+        v = (cramers_v(df, cats) if association is None else association).where("strong").agg(F.max_by(F.struct("var_a", "var_b", "cramers_v"), "cramers_v").alias("top"))
         found.append(v.where("top is not null").select(
             F.lit("strong_association").alias("code"), F.concat_ws(" x ", "top.var_a", "top.var_b").alias("subject"),
             F.col("top.cramers_v").alias("value"), F.lit(True).alias("hit")))

@@ -182,10 +182,10 @@ def kmeans_sweep(df: DataFrame, columns: list[str]) -> DataFrame:
     return X.lit_rows(df, out, schema)
 
 
-def kmeans_assign(df: DataFrame, columns: list[str], keep: list[str] = (), k: int | None = None) -> DataFrame:
-    """ML4: every complete row with its cluster under the best k (by silhouette)."""
+def kmeans_assign(df: DataFrame, columns: list[str], keep: list[str] = (), k: int | None = None, sweep: DataFrame | None = None) -> DataFrame:
+    """ML4: every complete row with its cluster under the best k (by silhouette in ``sweep``)."""
     if k is None:
-        best = kmeans_sweep(df, columns).orderBy(F.desc("silhouette"), "k").first()
+        best = (kmeans_sweep(df, columns) if sweep is None else sweep).orderBy(F.desc("silhouette"), "k").first()
         k = best["k"] if best else 2
     z, n = _standardized(df, columns, keep)
     names = [f"z{i}" for i in range(len(columns))]
@@ -200,16 +200,16 @@ def kmeans_assign(df: DataFrame, columns: list[str], keep: list[str] = (), k: in
     return z.withColumn("_gaps", gaps).withColumn("cluster", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_gaps")
 
 
-def kmeans_best(df: DataFrame, columns: list[str], k: int | None = None) -> DataFrame:
-    """ML4: cluster sizes of the best k."""
-    sizes = kmeans_assign(df, columns, k=k).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+def kmeans_best(df: DataFrame, columns: list[str], k: int | None = None, assigned: DataFrame | None = None) -> DataFrame:
+    """ML4: cluster sizes of the best k (``assigned``: rows with their cluster, if known)."""
+    sizes = (kmeans_assign(df, columns, k=k) if assigned is None else assigned).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))
     return sizes.select("cluster", "n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).cast("int").alias("k"), X.pct2(F.col("n"), total).alias("pct"))
 
 
-def cluster_projection(df: DataFrame, columns: list[str], k: int | None = None) -> DataFrame:
+def cluster_projection(df: DataFrame, columns: list[str], k: int | None = None, assigned: DataFrame | None = None) -> DataFrame:
     """ML5: cluster members on the first two principal components (of the standardised columns)."""
-    assigned = kmeans_assign(df, columns, k=k)
+    assigned = kmeans_assign(df, columns, k=k) if assigned is None else assigned
     _, _, _, corr = M.correlation_of_complete_rows(df, columns)
     values, vectors = np.linalg.eigh(corr)
     parts = []
@@ -544,21 +544,21 @@ def anomaly_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return both.select("id", *names, "w", "score", "iso", "lof", "lof_flag")
 
 
-def anomaly_consensus(df: DataFrame, columns: list[str]) -> DataFrame:
-    """ML8: rows flagged by each detector and by both."""
+def anomaly_consensus(df: DataFrame, columns: list[str], found: DataFrame | None = None) -> DataFrame:
+    """ML8: rows flagged by each detector and by both (``found``: the ``anomaly_table``, if known)."""
     w = F.col("w")
 
     def rows(cond):
         return F.coalesce(F.sum(F.when(cond, w)), F.lit(0)).cast("bigint")
-    one = anomaly_table(df, columns).agg(F.sum(w).alias("total"), rows(F.col("iso")).alias("a"), rows(F.col("lof_flag")).alias("b"),
+    one = (anomaly_table(df, columns) if found is None else found).agg(F.sum(w).alias("total"), rows(F.col("iso")).alias("a"), rows(F.col("lof_flag")).alias("b"),
                                          rows(F.col("iso") & F.col("lof_flag")).alias("c"))
     return one.select(X.rows(*[F.struct(F.lit(name).alias("method"), F.col(c).alias("n_anomalies"), X.pct2(F.col(c), F.col("total")).alias("pct"))
                                for name, c in (("isolation_forest", "a"), ("local_outlier_factor", "b"), ("consensus", "c"))]))
 
 
-def anomaly_score_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
+def anomaly_score_histogram(df: DataFrame, columns: list[str], found: DataFrame | None = None) -> DataFrame:
     """ML9: isolation scores in 30 bins (normal) and 20 bins (flagged)."""
-    s = cut_lineage(isolation_forest(df, columns))
+    s = cut_lineage(isolation_forest(df, columns)) if found is None else found.withColumnRenamed("iso", "anomaly")
     kinds = [U.binned(s.where(cond).select(F.lit(name).alias("column"), F.col("score").alias("x"), "w"), bins, "w")
              for name, cond, bins in (("normal", ~F.col("anomaly"), 30), ("anomaly", F.col("anomaly"), 20))]
     return kinds[0].unionByName(kinds[1])

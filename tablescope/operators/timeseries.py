@@ -232,12 +232,12 @@ def acf(s: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
         "notable", (F.col("lag") > 0) & F.coalesce(F.abs("acf") > NOTABLE, F.lit(False)))
 
 
-def pacf(s: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
-    """TS5: Yule-Walker partial autocorrelations from the at most 41 autocorrelations of each series."""
+def pacf(s: DataFrame, max_lag: int = MAX_LAG, lags: DataFrame | None = None) -> DataFrame:
+    """TS5: Yule-Walker partial autocorrelations from the at most 41 autocorrelations of each series (``lags``, if known)."""
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lag")
         return pd.DataFrame({KEY: pdf[KEY], "lag": pdf["lag"], "pacf": SE.levinson(pdf["acf"].to_numpy())})
-    return acf(s, max_lag).select(KEY, "lag", "acf").groupBy(KEY).applyInPandas(solve, f"{KEY} string, lag int, pacf double")
+    return (acf(s, max_lag) if lags is None else lags).select(KEY, "lag", "acf").groupBy(KEY).applyInPandas(solve, f"{KEY} string, lag int, pacf double")
 
 
 def _adf_lags(n: Column) -> Column:
@@ -382,14 +382,14 @@ def datetime_gaps(df: DataFrame, columns: list[str]) -> DataFrame:
     return found.select("column", ms.alias("median_ms"), label.alias("inferred_frequency"), "n_gaps", (F.col("n_gaps") > 0).alias("has_gaps"))
 
 
-def timeseries_findings(s: DataFrame) -> DataFrame:
-    """TS11: coded findings per series."""
-    st = stationarity(s)
+def timeseries_findings(s: DataFrame, tests: DataFrame | None = None, lags: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """TS11: coded findings per series, from its stationarity tests, autocorrelations and change points where they are known."""
+    st = stationarity(s) if tests is None else tests
     first = st.select(KEY, F.when(F.col("stationary"), "stationary").otherwise("not_stationary").alias("code"),
                       F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("detail"))
-    lags = acf(s).where("notable").groupBy(KEY).agg(F.sort_array(F.collect_list("lag")).alias("lags"))
+    lags = (acf(s) if lags is None else lags).where("notable").groupBy(KEY).agg(F.sort_array(F.collect_list("lag")).alias("lags"))
     second = lags.select(KEY, F.lit("autocorrelated").alias("code"), F.size("lags").cast("double").alias("value"),
                          F.array_join(F.slice("lags", 1, 5).cast("array<string>"), ", ").alias("detail"))
-    third = cusum_change_points(s).groupBy(KEY).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+    third = (cusum_change_points(s) if changes is None else changes).groupBy(KEY).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
         KEY, F.lit("change_points").alias("code"), "value", F.lit(None).cast("string").alias("detail"))
     return first.unionByName(second).unionByName(third)

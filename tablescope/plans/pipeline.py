@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from functools import cached_property
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation
@@ -33,7 +34,7 @@ class _Run:
 
     def __init__(self, full: DataFrame, table: DataFrame, ctx: AnalysisContext, kept: list[DataFrame]):
         self.full, self.table, self.ctx = full, table, ctx
-        self._kept, self._made = kept, {}
+        self._kept, self._made, self._lock, self._locks = kept, {}, Lock(), {}
         # One row per column; kept, because most of overview and governance is a projection of it.
         self.typed = self.kept("typed", lambda: G.profile_stats(full, ctx.semantic_overrides))()
         rows = self.typed.select("position", "column", "semantic_type").orderBy("position").collect()
@@ -43,15 +44,25 @@ class _Run:
         self.categorical = self.groups["categorical_nominal"] + self.groups["categorical_ordinal"]
         self.target = ctx.target if ctx.target in full.columns else None
 
-    def kept(self, name: str, make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
-        """A persisted table, made on first use."""
+    def once(self, name: str, make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        """A table that several results share, planned on first use; results are planned at the same time."""
         def get():
-            if name not in self._made:
-                self._made[name] = make().persist()
-                self._kept.append(self._made[name])
+            with self._lock:
+                lock = self._locks.setdefault(name, Lock())
+            with lock:
+                if name not in self._made:
+                    self._made[name] = make()
             return self._made[name]
         return get
 
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        """The same, persisted."""
+        def persisted():
+            table = make().persist()
+            self._kept.append(table)
+            return table
+        return self.once(name, persisted)
+
     @property
     def patterns(self) -> DataFrame:
         """At most four rows behind the one whole-row shuffle."""
@@ -131,19 +142,23 @@ def _univariate(r: _Run):
 
 
 def _bivariate(r: _Run):
-    df = r.table
+    df, known = r.table, {}
     if len(r.numeric) >= 2:
-        for name, operator in {"pearson": BI.pearson_pairs, "spearman": BI.spearman_pairs, "matrix": BI.correlation_matrix,
-                               "scatter": BI.scatter_sample, "trend": BI.trend_line}.items():
+        known["pearson"] = r.kept("pearson", lambda: BI.pearson_pairs(df, r.numeric))
+        yield "pearson", known["pearson"]
+        for name, operator in {"spearman": BI.spearman_pairs, "matrix": BI.correlation_matrix, "scatter": BI.scatter_sample, "trend": BI.trend_line}.items():
             yield name, lambda operator=operator: operator(df, r.numeric)
     if r.numeric and r.categorical:
-        yield "group_stats", lambda: BI.group_stats(df, r.numeric, r.categorical)
-        yield "tests", lambda: BI.num_cat_tests(df, r.numeric, r.categorical)
+        known["groups"] = r.kept("group_stats", lambda: BI.group_stats(df, r.numeric, r.categorical))
+        known["tests"] = r.kept("num_cat_tests", lambda: BI.num_cat_tests(df, r.numeric, r.categorical))
+        yield "group_stats", known["groups"]
+        yield "tests", known["tests"]
     if len(r.categorical) >= 2:
+        known["association"] = r.kept("association", lambda: BI.cramers_v(df, r.categorical))
         yield "contingency", lambda: BI.contingency_cells(df, BI.column_pairs(r.categorical))
-        yield "association", lambda: BI.cramers_v(df, r.categorical)
+        yield "association", known["association"]
     if len(r.numeric) >= 2 or len(r.categorical) >= 2 or (r.numeric and r.categorical):
-        yield "findings", lambda: BI.bivariate_findings(df, r.numeric, r.categorical)
+        yield "findings", lambda: BI.bivariate_findings(df, r.numeric, r.categorical, **{name: made() for name, made in known.items()})
 
 
 def _multivariate(r: _Run):
@@ -170,9 +185,15 @@ def _timeseries(r: _Run):
         yield "status", lambda: TS.series_status(r.table, dates[0], values)
     for c in values:
         prepared = r.kept(f"series:{c}", lambda c=c: TS.series_prepare(r.table, dates[0], c))
-        for name, operator in {"metadata": TS.series_metadata, "rolling": TS.rolling_mean, "change_points": TS.cusum_change_points, "acf": TS.acf,
-                               "pacf": TS.pacf, "stationarity": TS.stationarity, "stl": TS.stl_decompose, "findings": TS.timeseries_findings}.items():
+        changes, lags, tests = (r.kept(f"{name}:{c}", lambda operator=operator, prepared=prepared: operator(prepared())) for name, operator in (
+            ("change_points", TS.cusum_change_points), ("acf", TS.acf), ("stationarity", TS.stationarity)))
+        for name, operator in {"metadata": TS.series_metadata, "rolling": TS.rolling_mean, "stl": TS.stl_decompose}.items():
             yield f"{name}:{c}", lambda operator=operator, prepared=prepared: operator(prepared())
+        yield f"change_points:{c}", changes
+        yield f"acf:{c}", lags
+        yield f"pacf:{c}", lambda prepared=prepared, lags=lags: TS.pacf(prepared(), lags=lags())
+        yield f"stationarity:{c}", tests
+        yield f"findings:{c}", lambda prepared=prepared, shared=(tests, lags, changes): TS.timeseries_findings(prepared(), *[made() for made in shared])
 
 
 def _ml(r: _Run):
@@ -185,11 +206,14 @@ def _ml(r: _Run):
     if features and check.first()["valid"]:
         yield "mutual_information", lambda: ML.mutual_information(df, features, ctx.target, ctx.problem_type)
     if len(features) >= 2:
-        yield "kmeans_sweep", lambda: ML.kmeans_sweep(df, features)
-        yield "clusters", lambda: ML.kmeans_best(df, features)
-        yield "cluster_projection", lambda: ML.cluster_projection(df, features)
-        yield "anomalies", lambda: ML.anomaly_consensus(df, features)
-        yield "anomaly_scores", lambda: ML.anomaly_score_histogram(df, features)
+        sweep = r.once("kmeans_sweep", lambda: ML.kmeans_sweep(df, features))
+        assigned = r.once("clusters", lambda: ML.kmeans_assign(df, features, sweep=sweep()))
+        flagged = r.once("anomalies", lambda: ML.anomaly_table(df, features))  # settled
+        yield "anomalies", lambda: ML.anomaly_consensus(df, features, found=flagged())
+        yield "anomaly_scores", lambda: ML.anomaly_score_histogram(df, features, found=flagged())
+        yield "kmeans_sweep", sweep
+        yield "clusters", lambda: ML.kmeans_best(df, features, assigned=assigned())
+        yield "cluster_projection", lambda: ML.cluster_projection(df, features, assigned=assigned())
 
 
 def _inference(r: _Run):
@@ -253,14 +277,15 @@ def _reason(error: Exception) -> str:
 
 
 def run_analysis(df: DataFrame, ctx: AnalysisContext | None = None, modules: list[str] | None = None,
-                 sample: bool = False) -> Analysis:
+                 sample: bool = False, parallel: int = 8) -> Analysis:
     """Derived columns, cleaning, optional sample, typing, then the modules.
 
     Returns ``{module: {result: DataFrame}}``. A result that cannot be planned is reported in the ``error`` table of its
     module (module, result, error; result null if the module itself failed), and all others go on; errors of
     running a result are reported by ``summary`` and ``write_analysis``. ``meta`` holds the facts of the run: the size of the
     table, the sample, target and problem type. The analysis reads the whole table unless ``sample`` is asked
-    for; overview, data quality and governance always do. Call ``release()`` on the result when it is no longer needed.
+    for; overview, data quality and governance always do. Planning a result may run jobs; ``parallel`` results are planned at
+    a time, and what several of them need is made once. Call ``release()`` on the result when it is no longer needed.
     """
     ctx = ctx or AnalysisContext()
     kept: list[DataFrame] = []
@@ -280,19 +305,28 @@ def run_analysis(df: DataFrame, ctx: AnalysisContext | None = None, modules: lis
     run = _Run(full, sample_fixed(full) if sample else full, ctx, kept)
     results["prepare"] = prepare | {"types": X.lit_rows(df, list(run.types.items()), "column string, semantic_type string")}
     results["meta"] = {"run": _metadata(run, sample)}
-    for name in modules or MODULES:
-        found, errors = {}, []
-        try:
-            for result, plan in MODULES[name](run):
+    with ThreadPoolExecutor(parallel) as pool:
+        threaded = inheritable_thread_target(df.sparkSession)
+        planned, broken = {}, {}
+        for name in modules or MODULES:
+            planned[name] = []
+            try:
+                for result, plan in MODULES[name](run):
+                    planned[name].append((result, pool.submit(threaded(plan))))
+            except Exception as error:  # noqa: BLE001 - one module must not stop the others
+                broken[name] = _reason(error)
+        for name, plans in planned.items():
+            found, errors = {}, []
+            for result, plan in plans:
                 try:
-                    found[result] = plan()
+                    found[result] = plan.result()
                 except Exception as error:  # noqa: BLE001 - one result must not stop the others
                     errors.append((name, result, _reason(error)))
-        except Exception as error:  # noqa: BLE001 - one module must not stop the others
-            errors.append((name, None, _reason(error)))
-        if errors:
-            found["error"] = X.lit_rows(df, errors, "module string, result string, error string")
-        results[name] = found
+            if name in broken:
+                errors.append((name, None, broken[name]))
+            if errors:
+                found["error"] = X.lit_rows(df, errors, "module string, result string, error string")
+            results[name] = found
     return results
 
 
