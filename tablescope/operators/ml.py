@@ -453,7 +453,7 @@ def lof_scores(vectors: DataFrame, names: list[str], k: int = NEIGHBOURS, leaf_s
         return _row(key[0].as_py(), data=N.pack(**_coordinates(x), w=w, cell=cell, box=box, reach=reach), told=told)
 
     settled = cut_lineage(dealt.repartition(parts, "region").groupBy("region").applyInArrow(settle, "region bigint, data binary, told binary"))
-    told = [(r["region"], N.unpack([r["told"]])) for r in settled.select("region", "told").toLocalIterator()]
+    told = [(r["region"], N.unpack([r["told"]])) for r in settled.select("region", "told").collect()]
     corners = np.concatenate([_points(t, 2 * m) for _, t in told])
     every = spark.sparkContext.broadcast(N.Boxes(np.concatenate([np.full(len(t["w"]), r) for r, t in told]), np.concatenate([t["box"] for _, t in told]),
                                                  np.concatenate([t["w"] for _, t in told]), corners[:, :m], corners[:, m:]))
